@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, merkle, shards
+from quire.llm import bpe, merkle, mixing, ngrams, shards
 from quire.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -15,13 +15,21 @@ def op1_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.with_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_merkle, op6_shards, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_merkle, op2_mixing, op6_shards, op7_ngrams, op9_bpe)}
 ORACLES: dict[str, str] = {}
