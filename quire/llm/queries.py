@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, merkle, mixing, ngrams, shards
+from quire.llm import bpe, merkle, mixing, ngrams, pseudonyms, quality, shards
 from quire.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -27,9 +31,13 @@ def op7_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_merkle, op2_mixing, op6_shards, op7_ngrams, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_merkle, op2_mixing, op5_quality, op6_shards, op7_ngrams, op8_pseudonyms, op9_bpe)}
 ORACLES: dict[str, str] = {}
