@@ -125,8 +125,11 @@ class Codec:
         found = self.young.__getitem__
         return [list(map(found, s)) if k not in special else [found(c) if isinstance(c, str) else (str(self.special[c.group()]), 1, c.group()) for c in special[k]] for k, s in enumerate(split)]
 
+    def ids(self, text: str) -> list[int]:
+        return list(map(int, " ".join([p[0] for p in self.lookup([text])[0]]).split()))
+
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for s, n, _ in self.lookup([text or ""])[0] if n for i in s.split(" ")]
+        return self.ids(text or "")
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder, so tokens are joined by one blank."""
