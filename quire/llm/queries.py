@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, merkle, mixing, ngrams, pivots, pseudonyms, quality, shards, wavelet
+from quire.llm import bpe, html_tree, merkle, mixing, ngrams, pivots, pseudonyms, quality, shards, wavelet
 from quire.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,10 @@ def op3_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,5 +51,5 @@ def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_merkle, op2_mixing, op3_pivots, op5_quality, op6_shards, op7_ngrams, op8_pseudonyms, op9_bpe, op10_wavelet)}
+QUERIES = {f.__name__: f for f in (op1_merkle, op2_mixing, op3_pivots, op4_html, op5_quality, op6_shards, op7_ngrams, op8_pseudonyms, op9_bpe, op10_wavelet)}
 ORACLES: dict[str, str] = {}
