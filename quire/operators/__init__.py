@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""DataFrame-in, DataFrame-out operators over pages, lines, sections, edges and runs."""

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Registered queries: operators applied to whole tables, each with its SQL for the oracle."""

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""The import log as an append stream."""
