@@ -21,8 +21,8 @@ from quire.llm.common import settle
 #: Pivots, and vectors (those of least hash) among which they are chosen; both bounded whatever the table.
 PIVOTS, PIVOT_SAMPLE = 48, 1024
 #: Rows of a block of queries and of candidates, and blocks of candidates at least, for enough tasks.
-QUERY_BLOCK, BLOCK, LEAST_BLOCKS = 1024, 4096, 64
-#: Candidates evaluated at once.
+QUERY_BLOCK, BLOCK, LEAST_BLOCKS = 1024, 4096, 32
+#: Candidates evaluated first; each further step takes twice as many.
 STEP = 64
 #: Room for rounding in bounds, relative to the lengths of the two vectors.
 SLACK = 1e-9
@@ -71,15 +71,17 @@ def best(query: np.ndarray, qd: np.ndarray, own: int, ids: np.ndarray, v: np.nda
     room = SLACK * (square + squares) + 1
     bound = (square + squares - apart**2) / 2 + room
     bound[ids == own] = -np.inf
-    order = np.argsort(-bound, kind="stable")
-    found: list[tuple[int, int]] = []
-    for at in range(0, len(order), STEP):
-        part = order[at : at + STEP]
-        if len(found) == k and bound[part[0]] < found[-1][0]:
-            break
-        part = part[bound[part] > -np.inf]
-        found = sorted([*found, *((int(s), int(i)) for s, i in zip(v[part] @ query, ids[part]))], key=lambda x: (-x[0], x[1]))[:k]
-    return found
+    order = np.argsort(-bound, kind="stable")[: int((bound > -np.inf).sum())]
+    scores, at, step, least = np.zeros(0, v.dtype), 0, STEP, None
+    while at < len(order) and (least is None or bound[order[at]] >= least):
+        scores = np.concatenate([scores, v[order[at : at + step]] @ query])
+        at, step = at + step, 2 * step
+        if len(scores) >= k:
+            least = np.partition(scores, -k)[-k]
+    seen = ids[order[: len(scores)]]
+    top = np.flatnonzero(scores >= least) if least is not None else np.arange(len(scores))
+    top = top[np.lexsort((seen[top], -scores[top]))][:k]
+    return list(zip(scores[top].astype(np.int64).tolist(), seen[top].tolist()))
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
