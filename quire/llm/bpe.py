@@ -11,9 +11,11 @@ import hashlib
 import json
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -22,7 +24,7 @@ from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
 #: Words, and chunks in each of two generations, that a worker remembers, so that memory stays bounded on any corpus.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 
 #: Rows per batch of encoded output.
 ROWS = 512
@@ -49,6 +51,8 @@ class Codec:
         self.end = model.get("end_of_word_suffix") or ""
         merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if max([*self.vocab.values(), *self.special.values()], default=0) >= 1 << 16:
+            raise ValueError("ids must fit in two bytes")
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.decimal = {i: str(i) for i in self.token}
         self.letters = byte_letters()
@@ -60,9 +64,9 @@ class Codec:
         self.inside = {p for t in self.vocab for bare in [t[: -len(self.end)] if self.end and t.endswith(self.end) else t] for p in zip(bare, bare[1:])}
         bare = lambda **end: Tokenizer(BPE(self.vocab, merges, **end))
         self.ends, self.middles = bare(**{"end_of_word_suffix": self.end} if self.end else {}), bare()
-        self.word: dict[str, tuple[str, int, str]] = {}
-        self.young: dict[str, tuple[str, int, str]] = {}
-        self.old: dict[str, tuple[str, int, str]] = {}
+        self.word: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def fragments(self, letters: str) -> list[str]:
         """letters cut at every certain boundary."""
@@ -72,10 +76,17 @@ class Codec:
         cuts = [i for i, pair in enumerate(zip(letters, letters[1:]), 1) if pair not in inside]
         return [letters[i:j] for i, j in zip([0, *cuts], [*cuts, len(letters)])]
 
+    def words_of(self, chunk: str) -> list[str]:
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.words.findall(chunk)
+
     def learn(self, chunks: list[str]) -> None:
         """Encodes chunks, each the text between two white spaces: words, their fragments, the ids concatenated."""
-        find, known = self.words.findall, self.word
-        words = list(map(find, chunks))
+        known = self.word
+        words = list(map(self.words_of, chunks))
         if len(known) > REMEMBERED:
             known.clear()
         new = list(set(chain.from_iterable(words)).difference(known))
@@ -84,26 +95,18 @@ class Codec:
         other = list({x for f in cut if len(f) > 1 for x in f[:-1]})
         ends = self.ends.encode_batch_fast(last, add_special_tokens=False)
         middles = {f: e.ids for f, e in zip(other, self.middles.encode_batch_fast(other, add_special_tokens=False))} if other else {}
-        decimal, token = self.decimal.__getitem__, self.token.__getitem__
         for word, f, end in zip(new, cut, ends):
-            ids = end.ids if len(f) == 1 else [i for x in f[:-1] for i in middles[x]] + end.ids
-            known[word] = (" ".join(map(decimal, ids)), len(ids), " ".join(map(token, ids)))
-        young = self.young
+            known[word] = array("H", end.ids if len(f) == 1 else [i for x in f[:-1] for i in middles[x]] + end.ids).tobytes()
+        young, of = self.young, known.__getitem__
         for chunk, ws in zip(chunks, words):
-            if len(ws) == 1:
-                young[chunk] = known[ws[0]]
-            elif ws:
-                lines, sizes, tokens = zip(*map(known.__getitem__, ws))
-                young[chunk] = (" ".join(lines), sum(sizes), " ".join(tokens))
-            else:
-                young[chunk] = ("", 0, "")
+            young[chunk] = of(ws[0]) if len(ws) == 1 else b"".join(map(of, ws))
 
     def split(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return self.spaces.split(text) if self.controls.search(text) else text.split()
 
-    def lookup(self, texts: list[str]) -> list[list[tuple[str, int, str]]]:
-        """Per text its chunks with their decimal ids, their number and the decoded tokens."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, two bytes each in the machine's order."""
         split, special = [], {}
         for k, text in enumerate(texts):
             if "<|" in text:
@@ -119,21 +122,18 @@ class Codec:
         new = needed.difference(self.young)
         if len(self.young) + len(new) > REMEMBERED:
             self.old, self.young, new = self.young, {}, needed
-        again = new.intersection(self.old)
+        again = {c for c in new if c in self.old}
         self.young.update((c, self.old[c]) for c in again)
         self.learn(list(new.difference(again)))
-        found = self.young.__getitem__
-        return [list(map(found, s)) if k not in special else [found(c) if isinstance(c, str) else (str(self.special[c.group()]), 1, c.group()) for c in special[k]] for k, s in enumerate(split)]
-
-    def ids(self, text: str) -> list[int]:
-        return list(map(int, " ".join([p[0] for p in self.lookup([text])[0]]).split()))
+        found, mark = self.young.__getitem__, lambda m: array("H", [self.special[m.group()]]).tobytes()
+        return [b"".join(map(found, s) if k not in special else [found(c) if isinstance(c, str) else mark(c) for c in special[k]]) for k, s in enumerate(split)]
 
-    def encode(self, text: str | None) -> list[int]:
-        return self.ids(text or "")
+    def decimals(self, ids: bytes) -> str:
+        return " ".join(map(self.decimal.__getitem__, memoryview(ids).cast("H")))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: bytes) -> str:
         """The file names no decoder, so tokens are joined by one blank."""
-        return " ".join(self.token[i] for i in ids if i in self.token)
+        return " ".join(map(self.token.__getitem__, memoryview(ids).cast("H")))
 
 
 def shared_codec(df: DataFrame, path: str):
@@ -172,14 +172,12 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), with
             for at in range(0, len(whole), ROWS):
                 batch = whole.iloc[at : at + ROWS]
                 n, ids, dec, lists = [], [], [], []
-                for parts in codec.lookup([t or "" for t in batch["text"]]):
-                    parts = [p for p in parts if p[1]]
-                    line = " ".join([p[0] for p in parts])
-                    n.append(sum([p[1] for p in parts]))
-                    ids.append(hashlib.sha256(line.encode()).hexdigest())
-                    dec.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())
+                for own in codec.encode([t or "" for t in batch["text"]]):
+                    n.append(len(own) // 2)
+                    ids.append(hashlib.sha256(codec.decimals(own).encode()).hexdigest())
+                    dec.append(hashlib.sha256(codec.decode(own).encode()).hexdigest())
                     if with_ids:
-                        lists.append([int(i) for i in line.split(" ")] if line else [])
+                        lists.append(np.frombuffer(own, np.uint16).astype(np.int32))
                 out = batch.drop(columns="text").assign(n_tokens=n, ids_sha256=ids, decoded_sha256=dec)
                 yield out.assign(ids=lists) if with_ids else out
 

@@ -123,7 +123,8 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         for whole in batches:
             for at in range(0, len(whole), ROWS):
                 batch = whole.iloc[at : at + ROWS]
-                ids = [np.array([*codec.ids(text or ""), END], "<u2").tobytes() for text in batch["text"]]
+                end = np.array([END], np.uint16).tobytes()
+                ids = [own + end for own in codec.encode([text or "" for text in batch["text"]])]
                 yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": ids})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, ids binary")
@@ -140,7 +141,7 @@ def write_shards(docs: DataFrame, path: str, name: str = "wavelet_shards") -> Da
 
     def shard(at: int, number: int, ids: list, parts: list[bytes]) -> pd.DataFrame:
         sizes = [len(p) // 2 for p in parts]
-        blob = WaveletMatrix.build(np.frombuffer(b"".join(parts), "<u2")).to_bytes()
+        blob = WaveletMatrix.build(np.frombuffer(b"".join(parts), np.uint16)).to_bytes()
         return pd.DataFrame({"range": [at], "number": [number], "tokens": [sum(sizes)], "doc_ids": [ids], "sizes": [sizes], "blob": [blob]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
