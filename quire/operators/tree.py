@@ -13,19 +13,19 @@ MOST_LEVELS = 12
 
 
 def nested_set(nodes: DataFrame) -> DataFrame:
-    """nodes with level (from 1), path, is_group, lft and rgt, numbered per document depth-first by (sort_order, id).
+    """nodes with level (from 1), path, line (ids from the root), is_group, lft and rgt, depth-first by (sort_order, id).
 
-    Paths grow by one join per level until none does. With m the rank in the depth-first order and d the
+    Paths grow by one join per level until none does; each level is persisted, for the next one reads it. With m the rank in the depth-first order and d the
     descendants, lft = 2 m - level and rgt = lft + 2 d + 1 (m from 1): numbers before a node are two for each
     node closed and one for each open ancestor.
     """
     key = F.struct(F.coalesce("sort_order", F.lit(0)).alias("o"), F.col("id").alias("i"))
-    step = nodes.select("doc", "id", "parent", "title", key.alias("key"))
+    step = nodes.select("doc", "id", "parent", "title", key.alias("key")).persist()
     level = step.filter("parent is null").select("doc", "id", F.array("key").alias("keys"), F.array("title").alias("path"), F.array("id").alias("line"))
     found = level
     for _ in range(MOST_LEVELS - 1):
         up = level.select("doc", F.col("id").alias("parent"), F.col("keys").alias("ks"), F.col("path").alias("ps"), F.col("line").alias("ls"))
-        level = step.join(up, ["doc", "parent"]).select("doc", "id", F.concat("ks", F.array("key")).alias("keys"), F.concat("ps", F.array("title")).alias("path"), F.concat("ls", F.array("id")).alias("line"))
+        level = step.join(up, ["doc", "parent"]).select("doc", "id", F.concat("ks", F.array("key")).alias("keys"), F.concat("ps", F.array("title")).alias("path"), F.concat("ls", F.array("id")).alias("line")).persist()
         if level.isEmpty():
             break
         found = found.unionByName(level)
@@ -33,16 +33,15 @@ def nested_set(nodes: DataFrame) -> DataFrame:
     below = found.select("doc", F.explode("line").alias("id")).groupBy("doc", "id").agg((F.count("*") - 1).alias("d"))
     depth = F.size("path")
     out = ranked.join(below, ["doc", "id"]).select(
-        "doc", "id", depth.alias("level"), "path", (F.col("d") > 0).alias("is_group"), (2 * F.col("m") - depth).alias("lft"), (2 * F.col("m") - depth + 2 * F.col("d") + 1).alias("rgt")
+        "doc", "id", depth.alias("level"), "path", "line", (F.col("d") > 0).alias("is_group"), (2 * F.col("m") - depth).alias("lft"), (2 * F.col("m") - depth + 2 * F.col("d") + 1).alias("rgt")
     )
-    drop = [c for c in ("level", "path", "is_group", "lft", "rgt") if c in nodes.columns]
+    drop = [c for c in ("level", "path", "line", "is_group", "lft", "rgt") if c in nodes.columns]
     return nodes.drop(*drop).join(out, ["doc", "id"])
 
 
 def subtree(numbered: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of numbered within the subtrees of roots (doc, id), roots included."""
-    spans = roots.select("doc", "id").join(numbered, ["doc", "id"]).select("doc", F.col("lft").alias("a"), F.col("rgt").alias("b")).distinct()
-    return numbered.join(spans, (numbered["doc"] == spans["doc"]) & (numbered["lft"] >= spans["a"]) & (numbered["rgt"] <= spans["b"]), "left_semi")
+    """doc, id within the subtrees of roots (doc, id), roots included: an equi-join on the ids of a node's line."""
+    return numbered.select("doc", "id", F.explode("line").alias("up")).join(roots.select("doc", F.col("id").alias("up")).distinct(), ["doc", "up"]).select("doc", "id").distinct()
 
 
 def subtree_sizes(numbered: DataFrame) -> DataFrame:
@@ -51,10 +50,10 @@ def subtree_sizes(numbered: DataFrame) -> DataFrame:
 
 def included_ancestor(numbered: DataFrame) -> DataFrame:
     """doc, id, wiki_parent of each included row: its nearest included ancestor, null for the root."""
-    rows = numbered.filter("include")
-    up = rows.select("doc", F.col("id").alias("up"), F.col("lft").alias("a"), F.col("rgt").alias("b"))
-    pairs = rows.join(up, "doc", "left").filter("a < lft and b > rgt").groupBy("doc", "id").agg(F.max_by("up", "a").alias("wiki_parent"))
-    return rows.select("doc", "id").join(pairs, ["doc", "id"], "left")
+    ups = numbered.filter("include").select("doc", "id", F.posexplode("line").alias("depth", "up")).filter("up <> id")
+    known = numbered.filter("include").select("doc", F.col("id").alias("up"))
+    found = ups.join(known, ["doc", "up"]).groupBy("doc", "id").agg(F.max_by("up", "depth").alias("wiki_parent"))
+    return numbered.filter("include").select("doc", "id").join(found, ["doc", "id"], "left")
 
 
 def include(numbered: DataFrame, roots: DataFrame, value: bool) -> DataFrame:

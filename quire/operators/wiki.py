@@ -44,11 +44,12 @@ def slugs(placed: DataFrame) -> DataFrame:
 
 def routes(named: DataFrame) -> DataFrame:
     """doc, id, route: the document's slug and those of the ancestors, joined by slashes."""
+    named = named.persist()
     level = named.filter("wiki_parent is null").select("doc", "id", F.concat_ws("/", T.slug(F.col("doc").cast("string")), "slug").alias("route"))
     found = level
     for _ in range(tree.MOST_LEVELS - 1):
         up = level.select("doc", F.col("id").alias("wiki_parent"), F.col("route").alias("r"))
-        level = named.join(up, ["doc", "wiki_parent"]).select("doc", "id", F.concat_ws("/", "r", "slug").alias("route"))
+        level = named.join(up, ["doc", "wiki_parent"]).select("doc", "id", F.concat_ws("/", "r", "slug").alias("route")).persist()
         if level.isEmpty():
             break
         found = found.unionByName(level)

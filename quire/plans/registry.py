@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quire.plans import fidelity, retrieval, structure
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+QUERIES = fidelity.QUERIES | structure.QUERIES | retrieval.QUERIES
+ORACLES = fidelity.ORACLES | structure.ORACLES | retrieval.ORACLES
+#: Per page: recall, extra, composite and verdict.
+FLAGSHIP = fidelity.page_scores
