@@ -15,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from quire.llm.common import settle, sized_join
 
@@ -27,15 +26,17 @@ STEPS, CLOSE = 40, 1e-5
 PART = 1000
 
 
-@F.pandas_udf(LongType())
-def words(texts: pd.Series) -> pd.Series:
-    return pd.Series([len(t.encode().split()) if t else 0 for t in texts], dtype="int64")
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, key (of the source) and size. Bytes split at exactly the white space of the contract."""
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            size = np.array([len(t.encode().split()) if t else 0 for t in batch["text"]], np.int64)
+            yield batch.drop(columns="text").assign(doc_id=batch["doc_id"].astype("Int64"), size=size)
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source key and size. Bytes split at exactly the white space of the contract."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", key.alias("key"), words("text").alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), "text")
+    return rows.mapInPandas(count, "doc_id bigint, source string, key string, size bigint")
 
 
 def targets(histogram: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def multipliers(histogram: DataFrame, goals: DataFrame) -> DataFrame:
     Where a target equals MOST times the size, the multiplier has no finite value; it is held as null.
     """
     open_ = F.col("target") < MOST * F.col("source_size")
-    state = settle(goals.filter(open_).select("key", "longest", "target", F.lit(0.0).alias("m"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")), "dual")
+    state = settle(goals.filter(open_).select("key", "longest", "target", F.lit(0.0).alias("m"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")), "dual", narrow=True)
     histogram = histogram.filter("size > 0")
     for _ in range(STEPS):
         r = rate(F.col("m"), F.col("size"), F.col("longest"))
@@ -81,13 +82,34 @@ def multipliers(histogram: DataFrame, goals: DataFrame) -> DataFrame:
         halfway = F.coalesce((F.col("lo") + F.col("hi")) / 2, F.col("lo") * 2 + 1, F.col("hi") * 2 - 1)
         miss = F.abs(F.col("taken") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0))
         m = F.when(miss <= CLOSE, F.col("m")).when(inside, F.col("step")).otherwise(halfway)
-        state = settle(sums.select("key", "longest", "target", m.alias("m"), "lo", "hi", miss.alias("miss")), "dual")
+        state = settle(sums.select("key", "longest", "target", m.alias("m"), "lo", "hi", miss.alias("miss")), "dual", narrow=True)
         if state.filter(F.col("miss") > CLOSE).isEmpty():
             break
         state = state.drop("miss")
     return state.select("key", F.col("m").alias("multiplier"))
 
 
+def settled(sizes: np.ndarray, copies: np.ndarray, owed: float) -> np.ndarray:
+    """Copies after the changes, by one document or by one for another, that bring the words owed nearest to none."""
+    for _ in range(len(sizes)):
+        up, down = np.flatnonzero((copies < MOST) & (sizes > 0)), np.flatnonzero((copies > 0) & (sizes > 0))
+        gain = np.concatenate([[0], sizes[up], -sizes[down]])
+        more = np.concatenate([[-1], up, -1 * np.ones(len(down), int)])
+        less = np.concatenate([[-1], -1 * np.ones(len(up), int), down])
+        if len(up) and len(down):  # for each document that gains a copy, the one whose loss leaves least owed
+            order = down[np.argsort(sizes[down], kind="stable")]
+            at = np.searchsorted(sizes[order], sizes[up] - owed)
+            for k in (np.maximum(at - 1, 0), np.minimum(at, len(order) - 1)):
+                gain, more, less = np.concatenate([gain, sizes[up] - sizes[order[k]]]), np.concatenate([more, up]), np.concatenate([less, order[k]])
+        best = int(np.argmin(np.abs(owed - gain)))
+        if abs(owed - gain[best]) >= abs(owed) - 0.5:
+            break
+        copies[more[best]] += more[best] >= 0
+        copies[less[best]] -= less[best] >= 0
+        owed -= gain[best]
+    return copies
+
+
 def diffuse(part: pd.DataFrame) -> pd.DataFrame:
     """Copies of one part: large documents first, each rounded to whichever side lessens the words owed so far."""
     part = part.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
@@ -97,7 +119,8 @@ def diffuse(part: pd.DataFrame) -> pd.DataFrame:
         c = low if not size else min(max(round((owed + size * r) / size), low), low + (r > low))
         owed += size * (r - c)
         copies.append(c)
-    return pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "size": part["size"], "source_size": part["source_size"], "target": part["target"], "taken": np.array(copies) * part["size"].to_numpy(), "copies": copies})
+    copies = settled(part["size"].to_numpy(), np.array(copies, np.int64), owed)
+    return pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "size": part["size"], "source_size": part["source_size"], "target": part["target"], "taken": copies * part["size"].to_numpy(), "copies": copies})
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -108,7 +131,7 @@ def mix(docs: DataFrame) -> DataFrame:
     other than doc_id, source and text are ignored.
     """
     rows = settle(sized(docs), "sized")
-    histogram = settle(rows.groupBy("key", "source", "size").agg(F.count("*").alias("docs")), "sizes")
+    histogram = settle(rows.groupBy("key", "source", "size").agg(F.count("*").alias("docs")), "sizes", narrow=True)
     goals = settle(targets(histogram).coalesce(1), "targets")
     parts = histogram.groupBy("key").agg(F.ceil(F.sum("docs") / PART).alias("parts"))
     plan = goals.join(multipliers(histogram, goals), "key", "left").join(parts, "key")
