@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,3 +76,52 @@ def unfenced(markdown: Column) -> Column:
     """Without an outer code fence, if it is untagged or md and no fence stands within."""
     inner = F.regexp_extract(markdown, r"(?s)\A\s*```(?:md|markdown)?[ \t]*\n(.*?)\n?```\s*\Z", 1)
     return F.when((inner != "") & ~F.contains(inner, F.lit("```")), inner).otherwise(markdown)
+
+
+def table_edges(markdown: Column) -> Column:
+    """lines, lead and tail: table rows at the very start and end of a text, and the columns of the first row of each."""
+    rows = T.lines(F.regexp_replace(F.regexp_replace(markdown, r"^\n+", ""), r"\s+$", ""))
+    row = F.transform(rows, lambda ln: ln.rlike(T.TABLE_ROW))
+    run = lambda flags: F.when(F.array_position(flags, False) > 0, F.array_position(flags, False) - 1).otherwise(F.size(flags))
+    lead, tail = run(row), run(F.reverse(row))
+    first = lambda at: F.when(at <= F.size(rows), T.column_count(F.element_at(rows, at.cast("int"))))
+    return F.struct(rows.alias("lines"), lead.cast("int").alias("lead"), tail.cast("int").alias("tail"), F.when(lead > 0, first(F.lit(1))).alias("lead_columns"), F.when(tail > 0, first(F.size(rows) - tail + 1)).alias("tail_columns"))
+
+
+def stitched(pages: DataFrame) -> DataFrame:
+    """Pages with a table that goes on over the page's end joined to its start, a repeated header dropped.
+
+    A join may run on over several pages, each one seeing the last one's result, so a document is walked in
+    order; documents in which no two pages could join are left alone.
+    """
+    w = Window.partitionBy("doc").orderBy("page_no")
+    rows = pages.select("doc", "page_no", F.coalesce("markdown", F.lit("")).alias("markdown"))
+    rows = rows.withColumn("edge", table_edges(F.col("markdown"))).withColumn("meets", F.col("edge.tail_columns") == F.lead("edge.lead_columns").over(w))
+    hit = rows.filter("meets").select("doc").distinct()
+    schema = f"doc {pages.schema['doc'].dataType.simpleString()}, page_no {pages.schema['page_no'].dataType.simpleString()}, markdown string"
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("page_no")
+        texts = group["markdown"].tolist()
+        for k in range(len(texts) - 1):
+            above, below = texts[k].rstrip().split("\n"), texts[k + 1].lstrip("\n").rstrip().split("\n")
+            start = len(above)
+            while start and is_row(above[start - 1]):
+                start -= 1
+            end = 0
+            while end < len(below) and is_row(below[end]):
+                end += 1
+            if start < len(above) and end and columns(above[start]) == columns(below[0]):
+                more = below[2:end] if end >= 2 and set(below[1].strip()) <= set("|-: \t") else below[:end]
+                texts[k], texts[k + 1] = "\n".join(above + more).strip(), "\n".join(below[end:]).strip()
+        return group.assign(markdown=texts)[["doc", "page_no", "markdown"]]
+
+    def is_row(line: str) -> bool:
+        s = line.strip()
+        return len(s) > 1 and s[0] == s[-1] == "|"
+
+    def columns(line: str) -> int:
+        return line.strip().strip("|").count("|") + 1
+
+    plain = rows.select("doc", "page_no", "markdown")
+    return plain.join(hit, "doc", "left_anti").unionByName(plain.join(hit, "doc", "left_semi").groupBy("doc").applyInPandas(walk, schema))

@@ -103,3 +103,15 @@ def expected_headings(source: Column) -> Column:
     letters = lambda s: F.length(F.regexp_replace(s, r"\P{L}", ""))
     upper = lambda s: F.length(F.regexp_replace(s, r"\P{Lu}", ""))
     return F.size(F.filter(T.lines(source), lambda ln: (F.length(T.strip(ln)) <= 100) & (letters(ln) >= 4) & (upper(ln) >= 0.75 * letters(ln))))
+
+
+# Words that head a table of revisions.
+TABLE_TERMS = ("revision", "description", "initiated by", "approved by", "page", "issue")
+
+
+def source_has_any_table(source: Column) -> Column:
+    """Three table-like lines (pipe rows, or two gaps of two blanks or more), or three head words with date or number rows."""
+    like = F.size(F.filter(T.lines(source), lambda ln: ln.rlike(T.TABLE_ROW) | (F.regexp_count(ln, F.lit(r"\S\s{2,}(?=\S)")) >= 2)))
+    heads = sum((F.contains(F.lower(source), F.lit(t)).cast("int") for t in TABLE_TERMS), F.lit(0))
+    dates, numbers = F.regexp_count(source, F.lit(r"\b\d{1,2}/\d{4}\b")), F.regexp_count(source, F.lit(r"(?m)^\s*\d+\s*$"))
+    return (like >= 3) | ((heads >= 3) & ((dates >= 3) | (numbers >= 4)))

@@ -171,3 +171,15 @@ def test_canonical_documents(spark, tmp_path):
     docs = canonical.read(spark, str(tmp_path))
     assert canonical.pages(docs).first()["markdown"] == "# Heading\n\nBody"
     assert canonical.graph(docs).groupBy("type").count().orderBy("type").collect() == [("BLOCK_PART_OF_SECTION", 2), ("DOCUMENT_HAS_PAGE", 1), ("PAGE_HAS_BLOCK", 2)]
+
+
+def test_tables_are_stitched_over_pages(spark):
+    rows = clean.stitched(pages(spark, "intro\n|a|b|\n|---|---|\n|1|2|", "|a|b|\n|---|---|\n|3|4|", "|5|6|\nafter", "none")).orderBy("page_no").collect()
+    assert [r["markdown"] for r in rows] == ["intro\n|a|b|\n|---|---|\n|1|2|\n|3|4|", "", "|5|6|\nafter", "none"]
+    apart = clean.stitched(pages(spark, "|a|b|\n|1|2|", "|x|y|z|\nend")).orderBy("page_no").collect()
+    assert [r["markdown"] for r in apart] == ["|a|b|\n|1|2|", "|x|y|z|\nend"]
+
+
+def test_source_tables(spark):
+    rows = spark.createDataFrame([(1, "|a|b|\n|c|d|\n|e|f|"), (2, "a  b  c\nd  e  f\ng  h  i"), (3, "Revision Description Page 1/2020 2/2021 3/2022"), (4, "plain text")], "k int, t string")
+    assert [r[0] for r in rows.orderBy("k").select(score.source_has_any_table(F.col("t"))).collect()] == [True, True, True, False]
