@@ -18,7 +18,17 @@ BROADCAST_ROWS = 500_000
 MAX_BUCKETS = 20_000
 
 
+#: Rows of one Arrow batch at most; texts may be long, and several Python workers share an executor's memory.
+BATCH_ROWS = 1024
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,9 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, lost executors cost nothing."""
+def settle(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there, lost executors cost nothing.
+
+    narrow: rows hold a few numbers only, so an eighth of the tasks (and files) will do.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(1, partitions(spark) // 8))
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,12 +1,14 @@
 """N-gram Jaccard join: prefix-tree join over globally ordered sets of word n-grams.
 
 1. A document's set holds the hashes of its distinct n-grams. Equal sets form a class; one row stands for it.
-2. All sets follow one global order: rare n-grams first by hash, frequent ones last. Two sets that link
+2. A set of which too many n-grams occur in no other class can reach no link and is done. Occurrences are
+   counted over all documents for a fixed quarter of all n-grams, which is enough to see it.
+3. The sets left follow one global order: rare n-grams first by hash, frequent ones last. Two sets that link
    share an n-gram among their first |x| - ceil(t|x|) + 1, so documents meet under those n-grams.
-3. Under each n-gram that several documents start with, the sets form a trie. A walk carries the overlap
+4. Under each n-gram that several documents start with, the sets form a trie. A walk carries the overlap
    of the path with every document at once; subtrees share it, and are pruned where even all remaining
    n-grams could not reach the overlap that a link needs.
-4. The links (a spanning set for each meeting) are joined into components by repeated contraction.
+5. The links (a spanning set for each meeting) are joined into components by repeated contraction.
 
 Groups of one n-gram are cut into blocks of bounded size that meet pairwise, so no task holds a large one.
 """
@@ -20,17 +22,19 @@ import hashlib
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import settle, sized_join
 
-#: One document in so many tells which n-grams are frequent. The order changes the cost, never the links.
-ORDER_SAMPLE = 16
-#: Times an n-gram must occur in these documents to count as frequent, and most frequent n-grams kept (512 KB).
-FREQUENT, FREQUENT_KEPT = 3, 65_536
-#: N-grams that one block of a meeting holds.
-BLOCK = 65_536
+#: N-grams whose hash is below this (a quarter of all) are counted to find sets that can have no link.
+COUNTED = 1 << 62
+#: Most frequent n-grams that the order puts last (512 KB), and times one must occur. They change the cost, never the links.
+FREQUENT_KEPT, FREQUENT = 65_536, 8
+#: N-grams of a block, and the weight of a group from which blocks grow as its root, so that copies of a set do too.
+BLOCK, EVEN = 16_384, 524_288
+#: N-grams of a group of documents, joined by meetings, that gather at once without a first look at their counted n-grams.
+GATHERING = 4 * BLOCK
 #: Rows per batch that leaves a task.
 ROWS = 1024
 
@@ -61,50 +65,87 @@ def _lists(batches: Iterator[pd.DataFrame], of) -> Iterator[pd.DataFrame]:
             yield of(whole.iloc[at : at + ROWS])
 
 
-def frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """N-grams that many documents hold, the least frequent first; at most FREQUENT_KEPT, from a fixed share of documents."""
+def classes(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, size and class key of each document's set, and its counted n-grams."""
+
+    def of(batch: pd.DataFrame) -> pd.DataFrame:
+        sets = [ngram_set(t, n) for t in batch["text"]]
+        keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
+        low = [s[: np.searchsorted(s, np.uint64(COUNTED))].view(np.int64) for s in sets]
+        return pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "size": list(map(len, sets)), "key": keys, "low": low})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _lists(batches, of)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, size bigint, key string, low array<bigint>")
+
+
+def open_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, size, grams (the whole set) and low (its counted part) of the class representatives that may have a link."""
+    reps = settle(sets.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes", narrow=True)
+    reps = sized_join(sets, reps.select("doc_id"), "doc_id", "left_semi")
+    counted = reps.select("doc_id", F.explode("low").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    lone = settle(counted.filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("lone")), "lone", narrow=True)
+    may = F.col("size") - F.coalesce(F.col("lone"), F.lit(0)) >= F.ceil(F.col("size") * percent / 100)
+    wanted = settle(sized_join(reps.select("doc_id", "size"), lone, "doc_id", "left").filter(may).select("doc_id").distinct(), "wanted", narrow=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _lists(batches, lambda b: pd.DataFrame({"gram": np.concatenate([np.zeros(0, np.uint64), *(ngram_set(t, n) for t in b["text"])]).view(np.int64)}))
+        def of(b: pd.DataFrame) -> pd.DataFrame:
+            sets = [ngram_set(t, n) for t in b["text"]]
+            low = [s[: np.searchsorted(s, np.uint64(COUNTED))].tobytes() for s in sets]
+            return pd.DataFrame({"doc_id": b["doc_id"], "size": list(map(len, sets)), "grams": [s.tobytes() for s in sets], "low": low})
+
+        yield from _lists(batches, of)
+
+    texts = sized_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id", "left_semi")
+    return settle(texts.mapInPandas(run, "doc_id bigint, size bigint, grams binary, low binary"), "open_sets")
+
+
+def frequent(sets: DataFrame) -> np.ndarray:
+    """N-grams that many of the sets hold, the least frequent first; at most FREQUENT_KEPT."""
 
-    part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_SAMPLE)) == 0).select("text")
-    counts = part.mapInPandas(run, "gram bigint").groupBy("gram").count().filter(F.col("count") >= FREQUENT)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _lists(batches, lambda b: pd.DataFrame({"gram": np.frombuffer(b"".join(b["grams"]), np.int64)}))
+
+    counts = sets.select("grams").mapInPandas(run, "gram bigint").groupBy("gram").count().filter(F.col("count") >= FREQUENT)
     rows = counts.orderBy(F.desc("count"), "gram").limit(FREQUENT_KEPT).collect()
     return np.array([r["gram"] for r in reversed(rows)], np.int64).view(np.uint64)
 
 
-def prefixes(docs: DataFrame, n: int, percent: int, late: np.ndarray) -> DataFrame:
-    """doc_id, size and class key of each document's set, and its first n-grams in the global order."""
+def prefixes(sets: DataFrame, percent: int, late: np.ndarray) -> DataFrame:
+    """doc_id, size, gram: the first n-grams of each set in the global order."""
     by_value = np.argsort(late)
-    shared = docs.sparkSession.sparkContext.broadcast((late[by_value], by_value))
+    shared = sets.sparkSession.sparkContext.broadcast((late[by_value], by_value))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         values, rank = shared.value
 
         def of(batch: pd.DataFrame) -> pd.DataFrame:
-            size, key, first = [], [], []
-            for text in batch["text"]:
-                s = ngram_set(text, n)
-                size.append(len(s))
-                key.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
-                keep = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
+            first = []
+            for grams in batch["grams"]:
+                s = np.frombuffer(grams, np.uint64)
+                keep = len(s) - (percent * len(s) + 99) // 100 + 1
                 if len(values):
                     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
                     is_late = values[at] == s
                     s = np.concatenate([s[~is_late], s[is_late][np.argsort(rank[at[is_late]])]])
                 first.append(s[:keep].view(np.int64))
-            return pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "size": size, "key": key, "first": first})
+            return pd.DataFrame({"doc_id": batch["doc_id"], "size": batch["size"], "first": first})
 
         yield from _lists(batches, of)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, size bigint, key string, first array<bigint>")
+    return sets.mapInPandas(run, "doc_id bigint, size bigint, first array<bigint>").select("doc_id", "size", F.explode("first").alias("gram"))
+
 
+def trie_links(sets: list[np.ndarray], size: np.ndarray, block: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning set of the links between sets (of different blocks, if there are two blocks).
 
-def trie_links(sets: list[np.ndarray], block: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning set of the links between sets (of different blocks, if there are two blocks)."""
+    size tells how large the sets are in full. Where only parts are given, pairs count as linked if they might be.
+    """
     m = len(sets)
-    size = np.array([len(s) for s in sets])
-    gram, owner = np.concatenate(sets), np.repeat(np.arange(m), size)
+    given = np.array([len(s) for s in sets])
+    rest = size - given
+    gram, owner = np.concatenate(sets), np.repeat(np.arange(m), given)
     _, token, times = np.unique(gram, return_inverse=True, return_counts=True)
     rank = np.empty(len(times), np.int64)
     rank[np.lexsort((np.arange(len(times)), -times))] = np.arange(len(times))
@@ -124,7 +165,7 @@ def trie_links(sets: list[np.ndarray], block: np.ndarray, percent: int) -> list[
         d = np.flatnonzero(a[:c] != b[:c])
         same[k] = d[0] if len(d) else c
     both, label, links = block.min() != block.max(), np.arange(m), []
-    sizes = size[order]
+    sizes, rests = size[order], rest[order]
     todo = [(0, m, 0, np.zeros(m, np.int64))]
     while todo:
         lo, hi, depth, overlap = todo.pop()
@@ -133,7 +174,7 @@ def trie_links(sets: list[np.ndarray], block: np.ndarray, percent: int) -> list[
         if len(steps):
             overlap = overlap + np.bincount(np.concatenate([holders[starts[t] : starts[t + 1]] for t in steps]), minlength=m)
         need = (percent * (sizes[lo:hi].min() + size) + 99 + percent) // (100 + percent)
-        reach = overlap + (length[lo:hi].max() - end) >= need
+        reach = overlap + (length[lo:hi].max() - end) + np.minimum(rests[lo:hi].max(), rest) >= need
         if hi - lo == 1:
             reach[order[lo]] = False
         if not reach.any():
@@ -141,7 +182,7 @@ def trie_links(sets: list[np.ndarray], block: np.ndarray, percent: int) -> list[
         at = lo
         while at < hi and length[at] == end:  # documents that end here
             i = order[at]
-            found = reach & (label != label[i]) & (100 * overlap >= percent * (size[i] + size - overlap))
+            found = reach & (label != label[i]) & ((100 + percent) * (overlap + np.minimum(rest[i], rest)) >= percent * (size[i] + size))
             if both:
                 found &= block != block[i]
             for j in np.flatnonzero(found):
@@ -155,40 +196,68 @@ def trie_links(sets: list[np.ndarray], block: np.ndarray, percent: int) -> list[
     return links
 
 
-def links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links a, b between representatives of classes (sets: the settled result of prefixes)."""
-    reps = settle(sets.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes")
-    starts = sized_join(sets, reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", "size", F.explode("first").alias("gram"))
-    met = settle(starts.groupBy("gram").count().filter("count > 1").select("gram"), "met")
-    members = settle(sized_join(starts, met, "gram", "left_semi"), "members")
+def links(sets: DataFrame, percent: int) -> DataFrame:
+    """A spanning set of the links a, b between sets (the result of open_sets)."""
+    starts = settle(prefixes(sets, percent, frequent(sets)), "starts")
+    met = settle(starts.groupBy("gram").count().filter("count > 1").select("gram"), "met", narrow=True)
+    members = near_in_size(sized_join(starts, met, "gram", "left_semi"), percent)
+    members = settle(members, "members", narrow=True)
     # n-grams with the very same documents need one meeting only
     groups = members.groupBy("gram").agg(
-        F.count("*").alias("n"), F.sum("size").alias("weight"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h1"), F.expr("bit_xor(xxhash64(doc_id, 7))").alias("h2")
+        F.count("*").alias("n"), F.sum("size").alias("weight"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h1"), F.expr("bit_xor(xxhash64(doc_id, 7))").alias("h2"), F.min("doc_id").alias("least")
     )
-    meetings = settle(groups.groupBy("n", "weight", "h1", "h2").agg(F.min("gram").alias("gram")).select("gram", "weight"), "meetings")
-    blocks = F.ceil(F.col("weight") / BLOCK).cast("int")
+    meetings = settle(groups.groupBy("n", "weight", "h1", "h2").agg(F.min("gram").alias("gram"), F.min("least").alias("least")).select("gram", "weight", "least"), "meetings", narrow=True)
+    held = settle(sized_join(members, meetings, "gram", "inner"), "held", narrow=True)
+    # documents that meet only among few others gather once, in one place; the rest gather for each meeting
+    gathered = components(held.select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
+    sizes = held.select("doc_id", "size").distinct()
+    near = settle(gathered.join(sizes, gathered["node"] == sizes["doc_id"]).select("doc_id", "size", "component"), "near", narrow=True)
+    weights = settle(near.groupBy("component").agg(F.sum("size").alias("gathering")), "gatherings", narrow=True)
+    near = settle(sized_join(near, weights, "component", "inner"), "near_weights", narrow=True)
+    few = near.filter(F.col("gathering") <= GATHERING).select("component", "gathering", "doc_id")
+    many = sized_join(held, near.filter(F.col("gathering") > GATHERING).select("doc_id"), "doc_id", "left_semi")
+    # the others are first compared under each meeting by the counted quarter of their sets, which keeps whoever might link
+    might = meet(many.select(F.col("gram").alias("cell"), (F.col("weight") / 4).alias("weight"), "doc_id"), sets.select("doc_id", "size", F.col("low").alias("grams")), percent)
+    closer = components(might)
+    closer = settle(sized_join(closer, sets.select("doc_id", "size"), closer["node"] == F.col("doc_id"), "inner").select("doc_id", "size", "component"), "closer", narrow=True)
+    weights = settle(closer.groupBy("component").agg(F.sum("size").alias("gathering")), "closer_weights", narrow=True)
+    closer = sized_join(closer, weights, "component", "inner").select("component", "gathering", "doc_id")
+    gatherings = few.unionByName(closer).select(F.col("component").alias("cell"), F.col("gathering").alias("weight"), "doc_id")
+    return meet(gatherings, sets.select("doc_id", "size", "grams"), percent)
+
+
+def near_in_size(members: DataFrame, percent: int) -> DataFrame:
+    """members (gram, doc_id, size) with each n-gram's documents parted wherever sizes differ too much for any link.
+
+    In the order of sizes a part ends where the next size is too large for the one before. Documents left
+    alone are dropped; each part gets an n-gram of its own.
+    """
+    order = Window.partitionBy("gram").orderBy("size", "doc_id")
+    parts = F.coalesce(100 * F.lag("size").over(order) < percent * F.col("size"), F.lit(True))
+    rows = members.select("gram", "doc_id", "size", parts.cast("int").alias("parts")).withColumn("part", F.sum("parts").over(order))
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("gram", "part"))).filter("n > 1")
+    return rows.select(F.xxhash64("gram", "part").alias("gram"), "doc_id", "size")
+
+
+def meet(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A spanning set of the links a, b within each group: cell, weight (n-grams of the whole group), doc_id.
+
+    A group is cut into blocks by a hash of doc_id; each pair of blocks meets in one place.
+    """
+    blocks = F.ceil(F.least(F.col("weight") / BLOCK, EVEN / BLOCK * F.sqrt(F.col("weight") / EVEN))).cast("int")
     cells = (
-        sized_join(members.drop("size"), meetings, "gram", "inner")
-        .withColumn("blocks", blocks)
+        groups.withColumn("blocks", F.greatest(F.lit(1), blocks))
         .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id")
+        .select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id")
     )
-    cells = settle(cells, "cells")
-    wanted = settle(cells.select("doc_id").distinct(), "wanted")
-
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _lists(batches, lambda b: pd.DataFrame({"doc_id": b["doc_id"], "grams": [ngram_set(t, n).tobytes() for t in b["text"]]}))
-
-    texts = sized_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id", "left_semi")
-    full = settle(texts.mapInPandas(sets_of, "doc_id bigint, grams binary"), "sets").dropDuplicates(["doc_id"])
 
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
         ids = group["doc_id"].to_numpy()
-        found = trie_links([np.frombuffer(g, np.uint64) for g in group["grams"]], group["block"].to_numpy(), percent)
+        found = trie_links([np.frombuffer(g, np.uint64) for g in group["grams"]], group["size"].to_numpy(), group["block"].to_numpy(), percent) if len(ids) > 1 else []
         return pd.DataFrame([(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in found], columns=["a", "b"], dtype="int64")
 
-    return cells.join(full, "doc_id").groupBy("gram", "i", "j").applyInPandas(meet, "a bigint, b bigint").distinct()
+    return cells.join(sets, "doc_id").groupBy("cell", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -197,18 +266,18 @@ def components(links: DataFrame) -> DataFrame:
     Each round every node points to its least neighbour, and links move to where their ends point, until
     none is left. Links and labels stay distributed; each round is a written table.
     """
-    edges, labels = settle(links.filter("a <> b"), "links"), None
+    edges, labels = settle(links.filter("a <> b"), "links", narrow=True), None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
-        to = settle(both.select(F.col("a").alias("node"), F.least("a", "b").alias("to")), "to")
+        to = settle(both.select(F.col("a").alias("node"), F.least("a", "b").alias("to")), "to", narrow=True)
         if labels is None:
             labels = to.withColumnRenamed("to", "component")
         else:
             moved = sized_join(labels, to.select(F.col("node").alias("component"), "to"), "component", "left")
-            labels = settle(moved.select("node", F.coalesce("to", "component").alias("component")), "labels")
+            labels = settle(moved.select("node", F.coalesce("to", "component").alias("component")), "labels", narrow=True)
         ends = sized_join(edges, to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a", "inner")
         ends = sized_join(ends, to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b", "inner")
-        edges = settle(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        edges = settle(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links", narrow=True)
     return labels if labels is not None else edges.selectExpr("a as node", "b as component")
 
 
@@ -219,18 +288,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     without words has an empty set and links with nothing. Rows that share a doc_id count as one document
     in links. An empty table gives an empty result; columns other than doc_id and text are ignored.
     """
-    sets = settle(prefixes(docs, n, percent, frequent(docs, n)), "ngram_prefixes")
-    found = components(links(docs, sets, n, percent))
-    classes = settle(sets.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("node")), "class_nodes")
-    classes = settle(sized_join(classes, found, "node", "left").select("key", F.coalesce("component", "node").alias("component")), "class_components")
-    out = sized_join(sets.select("doc_id", "size", "key"), classes, "key", "left")
+    sets = settle(classes(docs, n), "ngram_classes")
+    found = components(links(open_sets(docs, sets, n, percent), percent))
+    nodes = settle(sets.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("node")), "class_nodes", narrow=True)
+    nodes = settle(sized_join(nodes, found, "node", "left").select("key", F.coalesce("component", "node").alias("component")), "class_components", narrow=True)
+    out = sized_join(sets.select("doc_id", "size", "key"), nodes, "key", "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs without the documents that link to one of a smaller doc_id; of rows that repeat a doc_id one stays."""
     found = near_duplicates(docs, n, percent)
-    found = settle(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "groups")
+    found = settle(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "groups", narrow=True)
     gone = found.filter("component_id <> doc_id").select("doc_id")
     repeated = found.filter("component_id = doc_id and rows > 1").select("doc_id")
     kept = sized_join(docs, gone, "doc_id", "left_anti")
