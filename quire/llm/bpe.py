@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 #: Words, and chunks in each of two generations, that a worker remembers, so that memory stays bounded on any corpus.
 REMEMBERED = 200_000
 
 #: Rows per batch of encoded output.
-ROWS = 512
+ROWS = 1024
 
 
 def byte_letters() -> dict[int, str]:
@@ -55,15 +56,25 @@ class Codec:
             raise ValueError("ids must fit in two bytes")
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.decimal = {i: str(i) for i in self.token}
-        self.letters = byte_letters()
+        self.letters = {b: letter for b, letter in byte_letters().items() if b != 32}  # blanks part words
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.spaces = regex.compile(r"\p{White_Space}+")
         self.controls = regex.compile(r"[\x1c-\x1f]")  # white space to str.split alone
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.inside = {p for t in self.vocab for bare in [t[: -len(self.end)] if self.end and t.endswith(self.end) else t] for p in zip(bare, bare[1:])}
-        bare = lambda **end: Tokenizer(BPE(self.vocab, merges, **end))
-        self.ends, self.middles = bare(**{"end_of_word_suffix": self.end} if self.end else {}), bare()
+        if not self.end:
+            raise ValueError("words must carry a word-end mark")
+        self.joined = Tokenizer(BPE(self.vocab, merges, end_of_word_suffix=self.end))
+        self.joined.pre_tokenizer = WhitespaceSplit()
+        self.middles = Tokenizer(BPE(self.vocab, merges))
+        self.is_end = np.zeros(1 << 16, bool)
+        self.is_end[[i for t, i in self.vocab.items() if t.endswith(self.end)]] = True
+        # byte pairs that some token holds, and those at a blank between words
+        self.together = np.zeros(1 << 16, bool)
+        byte = {letter: b for b, letter in byte_letters().items()}
+        self.together[[byte[a] << 8 | byte[b] for a, b in self.inside]] = True
+        self.together[[32 << 8 | b for b in range(256)]] = self.together[[b << 8 | 32 for b in range(256)]] = True
         self.word: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -76,6 +87,33 @@ class Codec:
         cuts = [i for i, pair in enumerate(zip(letters, letters[1:]), 1) if pair not in inside]
         return [letters[i:j] for i, j in zip([0, *cuts], [*cuts, len(letters)])]
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. All byte pairs are looked up at once; words with a certain cut are encoded by fragments.
+
+        Words without one go through the merges in one text; their ids part where a token carries the word end.
+        """
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        if not len(data):
+            return []
+        cuts = np.flatnonzero(~self.together[data[:-1].astype(np.uint16) << 8 | data[1:]])
+        blanks = np.flatnonzero(data == 32)
+        out = {int(k): self.by_fragments(words[k]) for k in np.unique(np.searchsorted(blanks, cuts))}
+        plain = [w for k, w in enumerate(words) if k not in out] if out else words
+        letters = " ".join(plain).encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.joined.encode_batch_fast([letters], add_special_tokens=False)[0].ids, np.uint16)
+        data, ends = ids.tobytes(), [0, *(2 * np.flatnonzero(self.is_end[ids]) + 2).tolist()]
+        parts = [data[i:j] for i, j in zip(ends, ends[1:])]
+        if out:
+            rest = iter(parts)
+            parts = [out[k] if k in out else next(rest) for k in range(len(words))]
+        return parts
+
+    def by_fragments(self, word: str) -> bytes:
+        cut = self.fragments(word.encode().decode("latin-1").translate(self.letters))
+        *middles, last = cut
+        ids = [i for e in self.middles.encode_batch_fast(middles, add_special_tokens=False) for i in e.ids] if middles else []
+        return array("H", ids + self.joined.encode(last, add_special_tokens=False).ids).tobytes()
+
     def words_of(self, chunk: str) -> list[str]:
         if chunk.isalpha():
             return [chunk]
@@ -90,13 +128,7 @@ class Codec:
         if len(known) > REMEMBERED:
             known.clear()
         new = list(set(chain.from_iterable(words)).difference(known))
-        cut = [self.fragments(w.encode().decode("latin-1").translate(self.letters)) for w in new]
-        last = [f[-1] for f in cut]
-        other = list({x for f in cut if len(f) > 1 for x in f[:-1]})
-        ends = self.ends.encode_batch_fast(last, add_special_tokens=False)
-        middles = {f: e.ids for f, e in zip(other, self.middles.encode_batch_fast(other, add_special_tokens=False))} if other else {}
-        for word, f, end in zip(new, cut, ends):
-            known[word] = array("H", end.ids if len(f) == 1 else [i for x in f[:-1] for i in middles[x]] + end.ids).tobytes()
+        known.update(zip(new, self.encode_words(new)))
         young, of = self.young, known.__getitem__
         for chunk, ws in zip(chunks, words):
             young[chunk] = of(ws[0]) if len(ws) == 1 else b"".join(map(of, ws))

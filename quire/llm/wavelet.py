@@ -23,7 +23,7 @@ from quire.llm.bpe import ROWS, codec_of, shared_codec
 from quire.llm.common import bucket_bounds, bucket_of, partitions, settle, sized_join
 
 #: Id after each document; tokens after which a shard is closed; bits between counts of ones.
-END, SHARD_TOKENS, RANK_STEP = 1, 1 << 20, 512
+END, SHARD_TOKENS, RANK_STEP = 1, 1 << 17, 512
 MAGIC = b"WM01"
 
 
