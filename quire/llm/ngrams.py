@@ -81,7 +81,7 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
 
 
 def open_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, grams (the whole set) and low (its counted part) of the class representatives that may have a link."""
+    """doc_id, size, grams (the whole set) and low (the leading halves of its counted part) of the class representatives that may have a link."""
     reps = settle(sets.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes", narrow=True)
     reps = sized_join(sets, reps.select("doc_id"), "doc_id", "left_semi")
     counted = reps.select("doc_id", F.explode("low").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
@@ -92,7 +92,7 @@ def open_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def of(b: pd.DataFrame) -> pd.DataFrame:
             sets = [ngram_set(t, n) for t in b["text"]]
-            low = [s[: np.searchsorted(s, np.uint64(COUNTED))].tobytes() for s in sets]
+            low = [np.unique(s[: np.searchsorted(s, np.uint64(COUNTED))] >> np.uint64(30)).astype(np.uint32).tobytes() for s in sets]
             return pd.DataFrame({"doc_id": b["doc_id"], "size": list(map(len, sets)), "grams": [s.tobytes() for s in sets], "low": low})
 
         yield from _lists(batches, of)
@@ -102,10 +102,13 @@ def open_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFra
 
 
 def frequent(sets: DataFrame) -> np.ndarray:
-    """N-grams that many of the sets hold, the least frequent first; at most FREQUENT_KEPT."""
+    """N-grams that many of the sets hold, the least frequent first; at most FREQUENT_KEPT.
+
+    Only the counted quarter is looked at: prefixes, which start with the least hashes, hardly reach beyond it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _lists(batches, lambda b: pd.DataFrame({"gram": np.frombuffer(b"".join(b["grams"]), np.int64)}))
+        yield from _lists(batches, lambda b: pd.DataFrame({"gram": (g := np.frombuffer(b"".join(b["grams"]), np.uint64))[g < COUNTED].view(np.int64)}))
 
     counts = sets.select("grams").mapInPandas(run, "gram bigint").groupBy("gram").count().filter(F.col("count") >= FREQUENT)
     rows = counts.orderBy(F.desc("count"), "gram").limit(FREQUENT_KEPT).collect()
@@ -217,7 +220,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     few = near.filter(F.col("gathering") <= GATHERING).select("component", "gathering", "doc_id")
     many = sized_join(held, near.filter(F.col("gathering") > GATHERING).select("doc_id"), "doc_id", "left_semi")
     # the others are first compared under each meeting by the counted quarter of their sets, which keeps whoever might link
-    might = meet(many.select(F.col("gram").alias("cell"), (F.col("weight") / 4).alias("weight"), "doc_id"), sets.select("doc_id", "size", F.col("low").alias("grams")), percent)
+    might = meet(many.select(F.col("gram").alias("cell"), (F.col("weight") / 8).alias("weight"), "doc_id"), sets.select("doc_id", "size", F.col("low").alias("grams")), percent, np.uint32)
     closer = components(might)
     closer = settle(sized_join(closer, sets.select("doc_id", "size"), closer["node"] == F.col("doc_id"), "inner").select("doc_id", "size", "component"), "closer", narrow=True)
     weights = settle(closer.groupBy("component").agg(F.sum("size").alias("gathering")), "closer_weights", narrow=True)
@@ -239,9 +242,11 @@ def near_in_size(members: DataFrame, percent: int) -> DataFrame:
     return rows.select(F.xxhash64("gram", "part").alias("gram"), "doc_id", "size")
 
 
-def meet(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def meet(groups: DataFrame, sets: DataFrame, percent: int, kind: type = np.uint64) -> DataFrame:
     """A spanning set of the links a, b within each group: cell, weight (n-grams of the whole group), doc_id.
 
+    sets hold numbers of the given kind; what their size exceeds them by counts as n-grams that might be common.
+
     A group is cut into blocks by a hash of doc_id; each pair of blocks meets in one place.
     """
     blocks = F.ceil(F.least(F.col("weight") / BLOCK, EVEN / BLOCK * F.sqrt(F.col("weight") / EVEN))).cast("int")
@@ -254,7 +259,7 @@ def meet(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         ids = group["doc_id"].to_numpy()
-        found = trie_links([np.frombuffer(g, np.uint64) for g in group["grams"]], group["size"].to_numpy(), group["block"].to_numpy(), percent) if len(ids) > 1 else []
+        found = trie_links([np.frombuffer(g, kind) for g in group["grams"]], group["size"].to_numpy(), group["block"].to_numpy(), percent) if len(ids) > 1 else []
         return pd.DataFrame([(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in found], columns=["a", "b"], dtype="int64")
 
     return cells.join(sets, "doc_id").groupBy("cell", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
