@@ -81,7 +81,7 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
 
 
 def open_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, grams (the whole set) and low (the leading halves of its counted part) of the class representatives that may have a link."""
+    """doc_id, size, grams (the whole set) and low (the leading halves of half its counted part) of the class representatives that may have a link."""
     reps = settle(sets.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes", narrow=True)
     reps = sized_join(sets, reps.select("doc_id"), "doc_id", "left_semi")
     counted = reps.select("doc_id", F.explode("low").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
@@ -92,7 +92,7 @@ def open_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def of(b: pd.DataFrame) -> pd.DataFrame:
             sets = [ngram_set(t, n) for t in b["text"]]
-            low = [np.unique(s[: np.searchsorted(s, np.uint64(COUNTED))] >> np.uint64(30)).astype(np.uint32).tobytes() for s in sets]
+            low = [np.unique(s[: np.searchsorted(s, np.uint64(COUNTED // 2))] >> np.uint64(29)).astype(np.uint32).tobytes() for s in sets]
             return pd.DataFrame({"doc_id": b["doc_id"], "size": list(map(len, sets)), "grams": [s.tobytes() for s in sets], "low": low})
 
         yield from _lists(batches, of)
@@ -219,8 +219,8 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     near = settle(sized_join(near, weights, "component", "inner"), "near_weights", narrow=True)
     few = near.filter(F.col("gathering") <= GATHERING).select("component", "gathering", "doc_id")
     many = sized_join(held, near.filter(F.col("gathering") > GATHERING).select("doc_id"), "doc_id", "left_semi")
-    # the others are first compared under each meeting by the counted quarter of their sets, which keeps whoever might link
-    might = meet(many.select(F.col("gram").alias("cell"), (F.col("weight") / 8).alias("weight"), "doc_id"), sets.select("doc_id", "size", F.col("low").alias("grams")), percent, np.uint32)
+    # the others are first compared under each meeting by an eighth of their sets, which keeps whoever might link
+    might = meet(many.select(F.col("gram").alias("cell"), (F.col("weight") / 16).alias("weight"), "doc_id"), sets.select("doc_id", "size", F.col("low").alias("grams")), percent, np.uint32)
     closer = components(might)
     closer = settle(sized_join(closer, sets.select("doc_id", "size"), closer["node"] == F.col("doc_id"), "inner").select("doc_id", "size", "component"), "closer", narrow=True)
     weights = settle(closer.groupBy("component").agg(F.sum("size").alias("gathering")), "closer_weights", narrow=True)
