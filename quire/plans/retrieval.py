@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -11,6 +11,8 @@ from quire.plans.views import PAGES
 from quire.sources import tables as S
 
 KEYS = ["doc", "page_no"]
+#: Tokens in a row by which a passage is found in a document.
+RUN = 8
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,12 +177,26 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.changes(c, c.filter("conv_id % 9 <> 0").unionByName(c.filter("conv_id % 50 = 1"))).groupBy("conv_id", "role", "side").agg(F.count("*").alias("rows"))
 
 
+def _runs(tokens: str, n: int) -> Column:
+    """The runs of n tokens, joined by blanks; none where there are fewer."""
+    at = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
+    return F.when(F.size(tokens) >= n, F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token recall of each benchmark passage in the documents that hold its first words in full."""
+    """Token recall of each benchmark passage in the documents that hold any RUN tokens of it in a row.
+
+    A passage of fewer tokens is looked up whole, at its own length; one without any gives no row. The lengths
+    of such passages, at most RUN - 1 numbers, are collected.
+    """
     b, d = S.read(spark, sf_dir, "benchmark"), S.read(spark, sf_dir, "documents")
-    gram = lambda text: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(T.tokens(text)) - 7, F.lit(1))), lambda i: F.array_join(F.slice(T.tokens(text), i, 8), " "))))
-    head = b.select("item_id", F.array_join(F.slice(T.tokens(F.col("text")), 1, 8), " ").alias("gram"))
-    hits = d.select("doc_id", gram(F.col("text")).alias("gram")).join(head, "gram").select("doc_id", "item_id").distinct()
+    words = lambda df, key: df.select(key, T.tokens(F.col("text")).alias("tk"))
+    items = words(b, "item_id").filter(F.size("tk") > 0)
+    short = [r[0] for r in items.filter(F.size("tk") < RUN).select(F.size("tk")).distinct().collect()]
+    looked_up = F.when(F.size("tk") < RUN, F.array(F.array_join("tk", " "))).otherwise(_runs("tk", RUN))
+    wanted = items.select("item_id", F.explode(F.array_distinct(looked_up)).alias("gram"))
+    held = words(d, "doc_id").select("doc_id", F.explode(F.array_distinct(F.concat(*[_runs("tk", n) for n in [RUN, *sorted(short)]]))).alias("gram"))
+    hits = held.join(wanted, "gram").select("doc_id", "item_id").distinct()
     pairs = hits.join(d.select("doc_id", F.col("text").alias("parsed")), "doc_id").join(b.select("item_id", F.col("text").alias("truth")), "item_id")
     return score.overlap(pairs, ["doc_id", "item_id"], "truth", "parsed").select("doc_id", "item_id", F.round("text_recall", 6).alias("text_recall"))
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import adopt, clean, explore, lint, refs, runs, score, sectionize, tree, wiki
+from quire.plans import retrieval
 from quire.sources import canonical
 
 
@@ -183,3 +184,12 @@ def test_tables_are_stitched_over_pages(spark):
 def test_source_tables(spark):
     rows = spark.createDataFrame([(1, "|a|b|\n|c|d|\n|e|f|"), (2, "a  b  c\nd  e  f\ng  h  i"), (3, "Revision Description Page 1/2020 2/2021 3/2022"), (4, "plain text")], "k int, t string")
     assert [r[0] for r in rows.orderBy("k").select(score.source_has_any_table(F.col("t"))).collect()] == [True, True, True, False]
+
+
+def test_passages_are_found_by_any_part(spark, tmp_path):
+    passage = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(1, passage), (2, "Alpha beta"), (3, ""), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [passage, "so two three four five six seven eight nine ten", "one two three x five six seven eight nine ten", "here alpha, beta stand in a text of more than eight words", "", "eight seven six five four three two one"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r["doc_id"], r["item_id"]): r["text_recall"] for r in retrieval.benchmark_overlap(spark, str(tmp_path)).collect()}
+    assert found == {(0, 1): 1.0, (1, 1): 0.9, (3, 2): 1.0}
