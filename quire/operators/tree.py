@@ -5,30 +5,47 @@ A tree is rows doc, id, parent (null for roots), sort_order, title and any other
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Levels that a tree may have; one equi-join each.
-MOST_LEVELS = 12
+
+def descend(top: DataFrame, below: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """top, the rows that below gives for it, those that it gives for these, and so on until there are none.
+
+    Each level is written to the shared folder and read back, so plans don't grow with the depth.
+    """
+    spark = top.sparkSession
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/levels-{uuid.uuid4().hex}"
+    paths, level = [], top
+    while True:
+        paths.append(f"{folder}/{len(paths)}")
+        level.write.parquet(paths[-1])
+        level = spark.read.schema(top.schema).parquet(paths[-1])
+        if level.isEmpty():
+            return spark.read.schema(top.schema).parquet(*paths)
+        level = below(level)
 
 
 def nested_set(nodes: DataFrame) -> DataFrame:
     """nodes with level (from 1), path, line (ids from the root), is_group, lft and rgt, depth-first by (sort_order, id).
 
-    Paths grow by one join per level until none does; each level is persisted, for the next one reads it. With m the rank in the depth-first order and d the
-    descendants, lft = 2 m - level and rgt = lft + 2 d + 1 (m from 1): numbers before a node are two for each
-    node closed and one for each open ancestor.
+    A row whose parent has no row in its document is a root. Rows on a cycle of parents, and those below one, hang
+    from no root and are left out. Paths grow by one join per level until none does, whatever the depth. With m the
+    rank in the depth-first order and d the descendants, lft = 2 m - level and rgt = lft + 2 d + 1 (m from 1):
+    numbers before a node are two for each node closed and one for each open ancestor.
     """
     key = F.struct(F.coalesce("sort_order", F.lit(0)).alias("o"), F.col("id").alias("i"))
     step = nodes.select("doc", "id", "parent", "title", key.alias("key")).persist()
-    level = step.filter("parent is null").select("doc", "id", F.array("key").alias("keys"), F.array("title").alias("path"), F.array("id").alias("line"))
-    found = level
-    for _ in range(MOST_LEVELS - 1):
+    top = step.join(step.select("doc", F.col("id").alias("parent")), ["doc", "parent"], "left_anti").select("doc", "id", F.array("key").alias("keys"), F.array("title").alias("path"), F.array("id").alias("line"))
+
+    def below(level: DataFrame) -> DataFrame:
         up = level.select("doc", F.col("id").alias("parent"), F.col("keys").alias("ks"), F.col("path").alias("ps"), F.col("line").alias("ls"))
-        level = step.join(up, ["doc", "parent"]).select("doc", "id", F.concat("ks", F.array("key")).alias("keys"), F.concat("ps", F.array("title")).alias("path"), F.concat("ls", F.array("id")).alias("line")).persist()
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
+        return step.join(up, ["doc", "parent"]).select("doc", "id", F.concat("ks", F.array("key")).alias("keys"), F.concat("ps", F.array("title")).alias("path"), F.concat("ls", F.array("id")).alias("line"))
+
+    found = descend(top, below)
     ranked = found.withColumn("m", F.row_number().over(Window.partitionBy("doc").orderBy("keys")))
     below = found.select("doc", F.explode("line").alias("id")).groupBy("doc", "id").agg((F.count("*") - 1).alias("d"))
     depth = F.size("path")

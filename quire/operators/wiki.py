@@ -22,38 +22,44 @@ def siblings(numbered: DataFrame) -> DataFrame:
 def slugs(placed: DataFrame) -> DataFrame:
     """placed with slug, unique among siblings: the title's, else -2, -3, ... past those that are taken.
 
-    A title may itself be another's numbered slug, so siblings are walked in order, one bounded group at a time.
+    Siblings of one base are numbered by a window. A title may itself be another's numbered slug: only siblings
+    whose bases are the same up to such numbers then, and can so meet, are walked in order, one group at a time.
     """
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for base in group.sort_values("place")["base"]:
-            name, n = base, 2
+        group, taken, last, out = group.sort_values("place"), set(), {}, []
+        for base in group["base"]:
+            name, n = base, last.get(base, 2)  # numbers before the last one are taken for good
             while name in taken:
                 name, n = f"{base}-{n}", n + 1
+            last[base] = max(n - 1, 2)
             taken.add(name)
             out.append(name)
-        return group.sort_values("place").assign(slug=out)[["doc", "id", "slug"]]
+        return group.assign(slug=out)[["doc", "id", "slug"]]
 
-    rows = placed.withColumn("base", T.slug(F.col("title")))
-    ids = placed.schema["id"].dataType.simpleString()
-    docs = placed.schema["doc"].dataType.simpleString()
-    named = rows.select("doc", "id", F.coalesce(F.col("wiki_parent").cast("string"), F.lit("")).alias("up"), "place", "base").groupBy("doc", "up").applyInPandas(walk, f"doc {docs}, id {ids}, slug string")
-    return placed.join(named, ["doc", "id"])
+    ids, docs = (placed.schema[c].dataType.simpleString() for c in ("id", "doc"))
+    base, up = T.slug(F.col("title")), F.coalesce(F.col("wiki_parent").cast("string"), F.lit(""))
+    rows = placed.select("doc", "id", up.alias("up"), "place", base.alias("base")).withColumn("stem", F.regexp_replace("base", "(-[0-9]+)+$", "")).persist()
+    bases = rows.select("doc", "up", "stem", "base").distinct()
+    numbers = bases.filter(F.col("base").rlike("-[0-9]+$")).withColumn("base", F.regexp_replace("base", "-[0-9]+$", ""))
+    meet = numbers.join(bases, ["doc", "up", "stem", "base"], "left_semi").select("doc", "up", "stem").distinct()
+    k = F.row_number().over(Window.partitionBy("doc", "up", "base").orderBy("place"))
+    apart = rows.join(meet, ["doc", "up", "stem"], "left_anti").withColumn("k", k)
+    apart = apart.select("doc", "id", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "k")).alias("slug"))
+    walked = rows.join(meet, ["doc", "up", "stem"], "left_semi").groupBy("doc", "up", "stem").applyInPandas(walk, f"doc {docs}, id {ids}, slug string")
+    return placed.join(apart.unionByName(walked), ["doc", "id"])
 
 
 def routes(named: DataFrame) -> DataFrame:
     """doc, id, route: the document's slug and those of the ancestors, joined by slashes."""
     named = named.persist()
-    level = named.filter("wiki_parent is null").select("doc", "id", F.concat_ws("/", T.slug(F.col("doc").cast("string")), "slug").alias("route"))
-    found = level
-    for _ in range(tree.MOST_LEVELS - 1):
+    top = named.filter("wiki_parent is null").select("doc", "id", F.concat_ws("/", T.slug(F.col("doc").cast("string")), "slug").alias("route"))
+
+    def below(level: DataFrame) -> DataFrame:
         up = level.select("doc", F.col("id").alias("wiki_parent"), F.col("route").alias("r"))
-        level = named.join(up, ["doc", "wiki_parent"]).select("doc", "id", F.concat_ws("/", "r", "slug").alias("route")).persist()
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found
+        return named.join(up, ["doc", "wiki_parent"]).select("doc", "id", F.concat_ws("/", "r", "slug").alias("route"))
+
+    return tree.descend(top, below)
 
 
 def contents(sections: DataFrame, placed: DataFrame) -> DataFrame:

@@ -193,3 +193,24 @@ def test_passages_are_found_by_any_part(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {(r["doc_id"], r["item_id"]): r["text_recall"] for r in retrieval.benchmark_overlap(spark, str(tmp_path)).collect()}
     assert found == {(0, 1): 1.0, (1, 1): 0.9, (3, 2): 1.0}
+
+
+def test_deep_trees_and_orphans_are_whole(spark):
+    rows = [("d", f"n{i:02}", f"n{i - 1:02}" if i else None, "Same", 0, True) for i in range(15)] + [("d", "x", "gone", "Lost", 1, True), ("d", "y", "x", "Lost child", 0, True)]
+    nodes = tree.nested_set(spark.createDataFrame(rows, "doc string, id string, parent string, title string, sort_order int, include boolean"))
+    found = spans(nodes)
+    assert len(found) == 17 and found["n14"][:3] == (15, 16, 15) and found["n00"][:2] == (1, 30)
+    assert found["x"] == (31, 34, 1, ["Lost"]) and found["y"] == (32, 33, 2, ["Lost", "Lost child"])
+    routes = {r["id"]: r["route"] for r in wiki.routes(wiki.slugs(wiki.siblings(nodes))).collect()}
+    assert len(routes) == 17 and routes["n14"] == "d" + 15 * "/same" and routes["y"] == "d/lost/lost-child"
+
+
+def test_slugs_that_meet(spark):
+    titles = ["A", "A 2", "A", "A", "A 2", "B 1", "B 2", "B 2", "A 2 2", "C", "C", "C 3 1"]
+    placed = spark.createDataFrame([("d", i, None, t, i) for i, t in enumerate(titles)], "doc string, id int, wiki_parent int, title string, place int")
+    taken = set()
+    for i, t in enumerate(titles):
+        base = t.lower().replace(" ", "-")
+        titles[i] = next(s for s in [base, *(f"{base}-{n}" for n in range(2, 20))] if s not in taken)
+        taken.add(titles[i])
+    assert [r["slug"] for r in wiki.slugs(placed).orderBy("place").collect()] == titles
