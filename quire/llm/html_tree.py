@@ -291,12 +291,25 @@ def labelled(source: str) -> tuple[list[int], list[list[str]], list[int]] | None
 def train(pages: DataFrame) -> Model:
     """The model from at most SAMPLE labelled pages of the table (those of least hash) and their renderings.
 
-    Without labelled pages it is trained on renderings of a few fixed sentences alone.
+    A page that names an article or main element only within a comment or a hidden element is no labelled
+    page: the next one takes its place. Without labelled pages the model is trained on renderings of a few
+    fixed sentences alone.
     """
     marked = pages.filter(F.col("html").rlike("(?i)<(?:article|main)[ >]") & (F.length("html") <= SAMPLE_CHARS))
-    rows = marked.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).select("html").collect()
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(page_id=batch["page_id"].astype("Int64"))[[labelled(h) is not None for h in batch["html"]]]
+
+    def least(rows: DataFrame, n: int) -> DataFrame:
+        return rows.orderBy(F.xxhash64("page_id"), "page_id").limit(n)
+
+    rows = [r["html"] for r in least(marked, SAMPLE).select("html").collect()]
+    if any(labelled(h) is None for h in rows):
+        marked = marked.select(F.col("page_id").cast("long").alias("page_id"), "html")
+        rows = [r["html"] for r in least(marked.mapInPandas(parsed, marked.schema), SAMPLE).select("html").collect()]
     known, seed = [], 0
-    for source in [r["html"] for r in rows] or ["<article><h1>Fixed page</h1><p>" + "</p><p>".join([". ".join(PROSE)] * 3) + "</p></article><nav><a>Home</a></nav>"]:
+    for source in rows or ["<article><h1>Fixed page</h1><p>" + "</p><p>".join([". ".join(PROSE)] * 3) + "</p></article><nav><a>Home</a></nav>"]:
         found = labelled(source)
         known.append(found)
         page = Page(source)

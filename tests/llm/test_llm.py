@@ -123,6 +123,21 @@ def test_extraction(spark):
     assert html_tree.extract(pages.limit(0)).count() == 0
 
 
+def test_pages_that_hide_their_article_are_passed_over(spark, monkeypatch):
+    hidden = ["<body><!-- <article> --><p>Words of a page.</p>", "<body><script>x = '<main >'</script><p>Words of a page.</p>", "<body><template><article><p>no</p></article></template><p>Words of a page.</p>"]
+    shown = '<body><article><h1>Title</h1><p>Long enough text of a story, with words.</p></article><footer>me</footer>'
+    assert all(html_tree.labelled(h) is None for h in hidden)
+    row = lambda i, h: (i, "u", h)
+    only = spark.createDataFrame([row(i, h) for i, h in enumerate(hidden)], "page_id bigint, url string, html string")
+    assert html_tree.extract(only).count() == 3
+    monkeypatch.setattr(html_tree, "SAMPLE", 2)
+    both = only.unionByName(spark.createDataFrame([row(i, shown) for i in range(3, 9)], only.schema))
+    known = []
+    monkeypatch.setattr(html_tree.Model, "learn", lambda self, pages: known.extend(pages))
+    html_tree.train(both)
+    assert len(known) == 2 * (1 + html_tree.RENDERINGS)
+
+
 def test_messages_match_enumeration():
     model = html_tree.Model()
     model.pair, model.weight = [[0.3, -0.7], [-1.1, 0.9]], {"a": 0.8, "b": -1.3, "c": 0.2}
