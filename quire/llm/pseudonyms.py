@@ -24,11 +24,16 @@ FIRST_DAY, DAYS = "1900-01-01", 73_049
 EMAIL = r"[\p{L}\p{N}._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]*[A-Za-z0-9])+"
 SECRET = r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|(?i:\b(?:password|passwd|secret|token|api_key)\s*[=:]\s*)[\"']?[A-Za-z0-9_\-/+]{8,}[\"']?"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?!\w|\.[0-9])"
-DATE = r"(?<![\w.\-/])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![\w\-/])"
+_D, _M, _Y = r"(?:0?[1-9]|[12][0-9]|3[01])", r"(?:0?[1-9]|1[0-2])", r"(?:19|20)[0-9]{2}"
+_NAME = r"(?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?"
+_DAY = _D + r"(?i:st|nd|rd|th)?"
+#: Day, month and year in any order with one separator; a time may follow after T.
+_NUMERIC = "|".join(f"{_Y}{x}(?:0[1-9]|1[0-2]){x}(?:0[1-9]|[12][0-9]|3[01])|{_D}{x}{_M}{x}{_Y}|{_M}{x}{_D}{x}{_Y}" for x in ("-", "[.]", "/"))
+DATE = rf"(?<![\w.\-/])(?:{_NUMERIC})(?![\-/]|\.[0-9]|(?!T[0-9]{{2}})\w)|(?<![\w.\-/])(?:{_DAY}(?:[ \-]|(?i: of ))(?:{_NAME}),?[ \-]|(?:{_NAME}) {_DAY},? ){_Y}(?![\w\-/])"
 SSN = r"(?<![\w\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w\-])"
 PHONE = r"(?<![\w.])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{3}[.\- ])[0-9]{3}[.\- ][0-9]{4}(?!\w)|(?<!\w)\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?!\w)"
-NUMBER = r"(?<![\w.])[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}(?!\w|\.[0-9])"
-IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
+NUMBER = r"(?<![\w.])(?:[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?!\w|\.[0-9])"
+IBAN = r"\b[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})\b"
 #: Kinds in the order in which they are tried at a place.
 KINDS = {"secret": SECRET, "email": EMAIL, "iban": IBAN, "ip": IP, "date": DATE, "ssn": SSN, "phone": PHONE, "number": NUMBER}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -69,12 +74,43 @@ def respelt(value: str, digits: str) -> str:
     return f"array_join(transform(split({value}, ''), (c, i) -> if(c between '0' and '9', substr({digits}, length(regexp_replace(substr({value}, 1, i + 1), '[^0-9]', '')), 1), c)), '')"
 
 
+def date(value: str, key: str) -> str:
+    """SQL: the pseudonym of a date in the form of the date, null if there is no such day.
+
+    Of 1/2/2003 the month comes first, of 1.2.2003 and 1-2-2003 the day, unless the other number alone can be
+    the month; such dates are permuted among themselves (days after the 12th), so no two dates meet in one form.
+    """
+    part = lambda n: f"element_at(split({value}, '[./-]'), {n})"
+    pick = lambda pattern: f"regexp_extract({value}, {_sql(pattern)}, 0)"
+    is_ = lambda pattern: f"{value} rlike {_sql(pattern)}"
+    year_first, named, slash = is_("^[0-9]{4}"), is_("[A-Za-z]{3}"), f"contains({value}, '/')"
+    name, day = pick("[A-Za-z]{3,9}"), pick("(?<![0-9])[0-9]{1,2}(?![0-9])")
+    month = f"cast((locate(lower(substr({name}, 1, 3)), 'janfebmaraprmayjunjulaugsepoctnovdec') + 2) div 3 as string)"
+    iso = lambda y, m, d: f"concat({y}, '-', lpad({m}, 2, '0'), '-', lpad({d}, 2, '0'))"
+    other = f"(not {year_first} and not {named} and cast({part(1)} as int) > 12 = {slash} and greatest(cast({part(1)} as int), cast({part(2)} as int)) > 12)"
+    day_first = f"({slash} = {other})"
+    found = f"case when {year_first} then {iso(part(1), part(2), part(3))} when {named} then {iso(f'substr({value}, -4)', month, day)} when {day_first} then {iso(part(3), part(2), part(1))} else {iso(part(3), part(1), part(2))} end"
+    moved = lambda v: permuted(v, "'date'", key)
+    good = f"cast(d as int) < {DAYS} and (not f.other or day(date_add(date'{FIRST_DAY}', cast(d as int))) > 12)"
+    start = moved(f"lpad(cast(datediff(f.day, date'{FIRST_DAY}') as string), 5, '0')")
+    walk = f"aggregate(sequence(1, 64), {start}, (d, k) -> if({good}, d, {moved('d')}))"
+    short = f"{is_('(?:^|[./-])0[1-9][./-]')}"
+    number = lambda c: f"if({short}, lpad(cast({c} as string), 2, '0'), cast({c} as string))"
+    mark = f"substr(regexp_replace({value}, '[0-9]', ''), 1, 1)"
+    word = f"date_format(x, if(length({name}) > 4 or lower({name}) in ('june', 'july'), 'MMMM', 'MMM'))"
+    word = f"case when {name} = upper({name}) then upper({word}) when {name} = lower({name}) then lower({word}) else {word} end"
+    ordinal = f"if({is_('[0-9](?i:st|nd|rd|th)')}, case when day(x) in (1, 21, 31) then 'st' when day(x) in (2, 22) then 'nd' when day(x) in (3, 23) then 'rd' else 'th' end, '')"
+    figure = f"concat(if({day} like '0%', lpad(cast(day(x) as string), 2, '0'), cast(day(x) as string)), {ordinal})"
+    spelt = f"regexp_replace(regexp_replace(concat(substr({value}, 1, length({value}) - 4), year(x)), '[A-Za-z]{{3,9}}', {word}), '(?<![0-9])[0-9]{{1,2}}(?![0-9])(?i:st|nd|rd|th)?', {figure})"
+    printed = f"""case when x is null then null when {year_first} then date_format(x, concat('yyyy', {mark}, 'MM', {mark}, 'dd')) when {named} then {spelt}
+        when {day_first} then concat_ws({mark}, {number('day(x)')}, {number('month(x)')}, year(x)) else concat_ws({mark}, {number('month(x)')}, {number('day(x)')}, year(x)) end"""
+    return f"element_at(transform(transform(array(named_struct('day', try_to_date({found}), 'other', {other})), f -> if(f.day is null, null, date_add(date'{FIRST_DAY}', cast({walk} as int)))), x -> {printed}), 1)"
+
+
 def pseudonym(value: str, key: str) -> str:
     """SQL: the pseudonym of one matched value."""
     digits = f"regexp_replace({value}, '[^0-9]', '')"
     full = lambda kind: f"{value} rlike {_sql('^(?:' + KINDS[kind] + ')$')}"
-    day = f"datediff(to_date({value}), date'{FIRST_DAY}')"
-    walk = f"aggregate(sequence(1, 64), {permuted(f'lpad(cast({day} as string), 5, {chr(39)}0{chr(39)})', chr(39) + 'date' + chr(39), key)}, (d, k) -> if(cast(d as int) < {DAYS}, d, {permuted('d', chr(39) + 'date' + chr(39), key)}))"
     payload = f"substr({digits}, 1, length({digits}) - 1)"
     moved = permuted(payload, "'number'", key)
     last = f"cast(pmod(cast(substr({digits}, -1, 1) as int) + {luhn(payload)} - {luhn('p')}, 10) as string)"
@@ -92,7 +128,7 @@ def pseudonym(value: str, key: str) -> str:
         when {full('email')} then concat({permuted(f"lower(substring_index({value}, '@', 1))", "'email'", key)}, '@', substring_index({value}, '@', -1))
         when {full('iban')} then concat(substr({value}, 1, 2), {permuted(rest("'xx'"), "'iban'", key)})
         when {full('ip')} then {ip}
-        when {full('date')} and try_to_date({value}) is not null then coalesce(cast(date_add(date'{FIRST_DAY}', cast({walk} as int)) as string), {value})
+        when {full('date')} then coalesce({date(value, key)}, {value})
         when {full('ssn')} then {respelt(value, permuted(digits, "'ssn'", key))}
         when {full('phone')} then concat({country}, {respelt(rest(country), permuted(f"regexp_replace({rest(country)}, '[^0-9]', '')", "'phone'", key))})
         when {full('number')} then {respelt(value, number)}
@@ -103,7 +139,8 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with text replaced and n_chars brought up to date, plus n_pseudonyms (values replaced).
 
     Cards and account numbers keep whether their check digit holds; dates stay dates; e-mail addresses keep
-    their domain. A null text stays null with 0 pseudonyms; texts without such values stay as they are;
+    their domain. Left in clear: dates without a day or a four-digit year from 1900 to 2099, and those with month
+    names other than English ones. A null text stays null with 0 pseudonyms; texts without such values stay as they are;
     repeated rows are treated each; a column named n_pseudonyms is replaced.
     """
     found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0)))

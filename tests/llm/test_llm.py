@@ -271,6 +271,24 @@ def test_pseudonyms(spark, odd, none):
     assert pseudonyms.pseudonymised(none).count() == 0
 
 
+def test_pseudonyms_of_other_forms(spark):
+    import datetime
+    import re
+
+    values = ["31.12.1999", "12/31/1999", "31/12/1999", "3/4/1999", "12-31-1999", "2024/02/29", "3 March 1999", "March 3rd, 1999", "03 SEP 1999", "2024-02-29", "3782 822463 10005", "NO9386011117947"]
+    got = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymised(docs(spark, *[f"on {v}, a" for v in values], "at 2024-02-29T10:00 b", "31.02.1999 stays")).collect()}
+    for i, v in enumerate(values):
+        new = got[i].removeprefix("on ").removesuffix(", a")
+        assert new != v and re.sub("[A-Za-z]+", "a", re.sub("[0-9]+", "0", new)) == re.sub("[A-Za-z]+", "a", re.sub("[0-9]+", "0", v)) or i == 11 and new != v and new[:2] == "NO", (v, new)
+        if i < 10:
+            form = ["%d.%m.%Y", "%m/%d/%Y", "%d/%m/%Y", "%m/%d/%Y", "%m-%d-%Y", "%Y/%m/%d", "%d %B %Y", "%B %d, %Y", "%d %b %Y", "%Y-%m-%d"][i]
+            datetime.datetime.strptime(re.sub("(?<=[0-9])(st|nd|rd|th)", "", new), form)
+    assert re.fullmatch("at [0-9-]{10}T10:00 b", got[12]) and got[12][3:13] == got[9][3:13] != "2024-02-29" and got[13] == "31.02.1999 stays"
+    days = spark.range(0, 2000).select(F.expr("date_format(date_add(date'2000-01-01', cast(id as int)), 'M/d/yyyy')").alias("m"), F.expr("date_format(date_add(date'2000-01-01', cast(id as int)), 'd/M/yyyy')").alias("d"))
+    both = days.select(F.col("m").alias("v")).union(days.select("d")).distinct()
+    assert both.select(F.expr(pseudonyms.pseudonym("v", "'k'")).alias("p")).distinct().count() == both.count()
+
+
 def test_permutation_is_one_to_one(spark):
     rows = spark.range(0, 10_000, 1, 4).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("v")).withColumn("p", F.expr(pseudonyms.permuted("v", "'t'", "'k'")))
     assert rows.select("p").distinct().count() == 10_000 and rows.filter("p rlike '^[0-9]{4}$'").count() == 10_000
