@@ -26,8 +26,13 @@ STEPS, CLOSE = 40, 1e-5
 PART = 1000
 
 
+def same() -> Column:
+    """A hash of what the mix knows of a row; rows that share it can take each other's copies."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), "text", F.col("source").isNull(), F.col("source").cast("string"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, key (of the source) and size. Bytes split at exactly the white space of the contract."""
+    """doc_id, source, key (of the source), same (a hash of the row) and size. Bytes split at exactly the white space of the contract."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -35,8 +40,8 @@ def sized(docs: DataFrame) -> DataFrame:
             yield batch.drop(columns="text").assign(doc_id=batch["doc_id"].astype("Int64"), size=size)
 
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), "text")
-    return rows.mapInPandas(count, "doc_id bigint, source string, key string, size bigint")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), same().alias("same"), "text")
+    return rows.mapInPandas(count, "doc_id bigint, source string, key string, same bigint, size bigint")
 
 
 def targets(histogram: DataFrame) -> DataFrame:
@@ -112,7 +117,7 @@ def settled(sizes: np.ndarray, copies: np.ndarray, owed: float) -> np.ndarray:
 
 def diffuse(part: pd.DataFrame) -> pd.DataFrame:
     """Copies of one part: large documents first, each rounded to whichever side lessens the words owed so far."""
-    part = part.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+    part = part.sort_values(["size", "doc_id", "same"], ascending=[False, True, True], kind="stable")
     owed, copies = 0.0, []
     for size, r in zip(part["size"].to_numpy().tolist(), part["rate"].to_numpy().tolist()):
         low = int(r)
@@ -120,31 +125,46 @@ def diffuse(part: pd.DataFrame) -> pd.DataFrame:
         owed += size * (r - c)
         copies.append(c)
     copies = settled(part["size"].to_numpy(), np.array(copies, np.int64), owed)
-    return pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "size": part["size"], "source_size": part["source_size"], "target": part["target"], "taken": copies * part["size"].to_numpy(), "copies": copies})
+    return pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "size": part["size"], "source_size": part["source_size"], "target": part["target"], "taken": copies * part["size"].to_numpy(), "copies": copies, "same": part["same"]})
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of every row.
 
     A null text has size 0 and is taken in whole copies like any other; a null source is a source of its
-    own, the last in order. Repeated rows are rounded each. An empty table gives an empty result; columns
-    other than doc_id, source and text are ignored.
+    own, the last in order; a null doc_id is an id like any other. Repeated rows are rounded each. An empty
+    table gives an empty result; columns other than doc_id, source and text are ignored.
     """
+    return rounded(docs).drop("same")
+
+
+def rounded(docs: DataFrame) -> DataFrame:
+    """mix with the hash of each row."""
     rows = settle(sized(docs), "sized")
     histogram = settle(rows.groupBy("key", "source", "size").agg(F.count("*").alias("docs")), "sizes", narrow=True)
     goals = settle(targets(histogram).coalesce(1), "targets")
     parts = histogram.groupBy("key").agg(F.ceil(F.sum("docs") / PART).alias("parts"))
     plan = goals.join(multipliers(histogram, goals), "key", "left").join(parts, "key")
     plan = settle(plan.coalesce(1), "mix_plan")
-    part = F.pmod(F.xxhash64("doc_id", "size"), F.col("parts")).cast("int")
+    part = F.pmod(F.when(F.col("doc_id").isNull(), F.col("same")).otherwise(F.xxhash64("doc_id", "size")), F.col("parts")).cast("int")
     dealt = sized_join(rows, plan, "key", "inner").select(
-        "key", part.alias("part"), "doc_id", "size", "source_size", "target", F.coalesce(rate(F.col("multiplier"), F.col("size"), F.col("longest")), F.lit(float(MOST))).alias("rate")
+        "key", part.alias("part"), "doc_id", "same", "size", "source_size", "target", F.coalesce(rate(F.col("multiplier"), F.col("size"), F.col("longest")), F.lit(float(MOST))).alias("rate")
     )
-    return dealt.groupBy("key", "part").applyInPandas(diffuse, "doc_id bigint, size bigint, source_size bigint, target double, taken bigint, copies int")
+    return dealt.groupBy("key", "part").applyInPandas(diffuse, "doc_id bigint, size bigint, source_size bigint, target double, taken bigint, copies int, same bigint")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: each row as often as it has copies."""
-    copies = settle(mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")), "copies")
-    taken = sized_join(docs, copies.withColumn("__copies", F.round(F.col("__copies") / F.col("__rows")).cast("int")).select("doc_id", "__copies"), "doc_id", "inner")
-    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")).drop("__copy")
+    """docs as the mix takes them: each row as often as it has copies, whether or not its doc_id is null or repeated.
+
+    Of rows that are equal in doc_id, text and source any may take the copies of another.
+    """
+    up_to = [F.sum((F.col("copies") >= k).cast("int")) for k in range(1, MOST + 1)]
+    copies = rounded(docs).groupBy("same").agg(F.count("*").alias("__rows"), F.array(*up_to).alias("__up_to"))
+    copies = settle(copies.withColumnRenamed("same", "__same"), "copies")
+    rows, repeated = docs.withColumn("__same", same()), copies.filter("__rows > 1")
+    taken = sized_join(rows, copies.filter("__rows = 1"), "__same", "inner").withColumn("__rank", F.lit(1))
+    if not repeated.isEmpty():
+        rank = F.row_number().over(Window.partitionBy("__same").orderBy("__rows"))
+        taken = taken.unionByName(sized_join(rows, repeated, "__same", "inner").withColumn("__rank", rank))
+    times = F.size(F.filter("__up_to", lambda n: n >= F.col("__rank")))
+    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias("__copy")).drop("__copy")

@@ -302,12 +302,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 
 def one_per_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that link to one of a smaller doc_id; of rows that repeat a doc_id one stays."""
+    """docs without the documents that link to one of a smaller doc_id; of rows that repeat a doc_id one stays.
+
+    Rows of null doc_id are compared like others, after all of them: their texts stand for ids, so of equal texts
+    one stays. Null texts without an id all have the same one.
+    """
+    columns, kind = docs.columns, docs.schema["doc_id"].dataType
+    own = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(2**62)
+    docs = docs.withColumns({"__none": F.col("doc_id").isNull(), "doc_id": F.coalesce(F.col("doc_id").cast("long"), own)})
+    restored = [F.when(~F.col("__none"), F.col(c)).cast(kind).alias(c) if c == "doc_id" else F.col(c) for c in columns]
     found = near_duplicates(docs, n, percent)
     found = settle(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "groups", narrow=True)
     gone = found.filter("component_id <> doc_id").select("doc_id")
     repeated = found.filter("component_id = doc_id and rows > 1").select("doc_id")
     kept = sized_join(docs, gone, "doc_id", "left_anti")
     if repeated.isEmpty():
-        return kept
-    return sized_join(kept, repeated, "doc_id", "left_anti").unionByName(sized_join(kept, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        return kept.select(*restored)
+    return sized_join(kept, repeated, "doc_id", "left_anti").unionByName(sized_join(kept, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*restored)

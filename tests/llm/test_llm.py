@@ -89,6 +89,21 @@ def test_mixing(spark, odd, none, small):
     assert mixing.mixed(small).columns == small.columns
 
 
+def test_rows_without_an_id_are_mixed_and_compared(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(5 + i % 7)) for i in range(60)]
+    rows = [(None if i % 3 == 0 else i // 2, t, "en", f"s{i % 2}", len(t), 0.5, "x") for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows + rows[:2], SCHEMA)
+    words, want = {}, {}
+    for r in mixing.mixed(table).collect():
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+    for r in mixing.rounded(table).join(table.select(mixing.same().alias("same"), "source").distinct(), "same").collect():
+        want[r["source"]] = want.get(r["source"], 0) + r["taken"]
+    assert words == want and sum(words.values()) > 0
+    a = " ".join(f"a{k}" for k in range(40))
+    copies = spark.createDataFrame([(None, a), (None, a), (None, a + " more"), (3, a), (None, "another text of at least five words")], "doc_id bigint, text string")
+    assert sorted(ngrams.one_per_group(copies).collect(), key=str) == sorted([(3, a), (None, "another text of at least five words")], key=str)
+
+
 def test_exact_search(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     odd = spark.createDataFrame([(1000, None, 0), (1001, [1.0, None], 0), (1050, [float("nan")] * 64, 0), (1100, [0.1, 0.2], 1), (1101, [0.1, 0.2], 1), (1102, [], 1), (1150, [0.5, 0.5], 1)], "vec_id bigint, embedding array<float>, label int")
