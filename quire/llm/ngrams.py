@@ -1,40 +1,47 @@
 """N-gram Jaccard join: prefix-tree join over globally ordered sets of word n-grams.
 
-1. A document's set holds the hashes of its distinct n-grams. Equal sets form a class; one row stands for it.
+1. A document's set holds the hashes of its distinct n-grams. Equal sets form a class, which is one node.
 2. A set of which too many n-grams occur in no other class can reach no link and is done. Occurrences are
    counted over all documents for a fixed quarter of all n-grams, which is enough to see it.
 3. The sets left follow one global order: rare n-grams first by hash, frequent ones last. Two sets that link
-   share an n-gram among their first |x| - ceil(t|x|) + 1, so documents meet under those n-grams.
-4. Under each n-gram that several documents start with, the sets form a trie. A walk carries the overlap
-   of the path with every document at once; subtrees share it, and are pruned where even all remaining
-   n-grams could not reach the overlap that a link needs.
-5. The links (a spanning set for each meeting) are joined into components by repeated contraction.
-
-Groups of one n-gram are cut into blocks of bounded size that meet pairwise, so no task holds a large one.
+   share an n-gram among their first |x| - ceil(t|x|) + 1, so sets meet under those n-grams.
+4. Sets that meet form a trie. A walk carries the overlap of the path with every other set at once; subtrees
+   share it, and are pruned where even all remaining n-grams could not reach the overlap that a link needs.
+5. Large groups of copies are joined first: each set walks once, in the largest meeting it has, within a
+   block of bounded size; then one set per block and component meets the others'. This is linear.
+6. What links across components is then found exactly. In each meeting of several components, all sets
+   but those of its largest component walk against all sets, first by an eighth of their n-grams, and
+   whoever might link after that by whole sets. Both sides are cut into blocks of bounded size.
+
+Every cell of work holds at most two blocks and passes through a task as a stream of rows in cell order, so memory is
+bounded by BLOCK (and by the longest single set) whatever the size of a group. Components are joined by
+hooking and pointer jumping, in rounds that grow with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import hashlib
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import settle, sized_join
+from quire.llm.common import partitions, settle, sized_join
 
 #: N-grams whose hash is below this (a quarter of all) are counted to find sets that can have no link.
 COUNTED = 1 << 62
 #: Most frequent n-grams that the order puts last (512 KB), and times one must occur. They change the cost, never the links.
 FREQUENT_KEPT, FREQUENT = 65_536, 8
-#: N-grams of a block, and the weight of a group from which blocks grow as its root, so that copies of a set do too.
-BLOCK, EVEN = 16_384, 524_288
-#: N-grams of a group of documents, joined by meetings, that gather at once without a first look at their counted n-grams.
-GATHERING = 4 * BLOCK
+#: N-grams of a block at most (or one longer set), and what a set weighs beside them, which bounds the sets of a block.
+BLOCK, SET_WEIGHT = 65_536, 64
+#: Sizes of sets fall into steps of this factor; meetings are parted where no size is near enough for a link.
+SIZE_STEP = 1.02
+#: Links that a task turns into a forest at a time (16 MB).
+LINKS = 1_000_000
 #: Rows per batch that leaves a task.
 ROWS = 1024
 
@@ -65,40 +72,57 @@ def _lists(batches: Iterator[pd.DataFrame], of) -> Iterator[pd.DataFrame]:
             yield of(whole.iloc[at : at + ROWS])
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of doc_id and text, nulls told apart."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), "text")
+
+
+def _key(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size and class key of each document's set, and its counted n-grams."""
+    """doc_id, row, size and class key of each document's set, and its counted n-grams."""
 
     def of(batch: pd.DataFrame) -> pd.DataFrame:
         sets = [ngram_set(t, n) for t in batch["text"]]
-        keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
         low = [s[: np.searchsorted(s, np.uint64(COUNTED))].view(np.int64) for s in sets]
-        return pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "size": list(map(len, sets)), "key": keys, "low": low})
+        return pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "row": batch["row"], "size": list(map(len, sets)), "key": list(map(_key, sets)), "low": low})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _lists(batches, of)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, size bigint, key string, low array<bigint>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), "text").mapInPandas(run, "doc_id bigint, row bigint, size bigint, key binary, low array<bigint>")
 
 
-def open_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, grams (the whole set) and low (the leading halves of half its counted part) of the class representatives that may have a link."""
-    reps = settle(sets.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes", narrow=True)
-    reps = sized_join(sets, reps.select("doc_id"), "doc_id", "left_semi")
-    counted = reps.select("doc_id", F.explode("low").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    lone = settle(counted.filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("lone")), "lone", narrow=True)
+def representatives(sets: DataFrame) -> DataFrame:
+    """node, key, size, doc_id, row and at (its place in sets) of the first row of each class: least doc_id, null last."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at", "size")).alias("r")
+    reps = sets.filter("size > 0").groupBy("key").agg(first)
+    return settle(reps.select(F.monotonically_increasing_id().alias("node"), "key", "r.doc_id", "r.row", "r.at", "r.size"), "classes", narrow=True)
+
+
+def open_sets(docs: DataFrame, sets: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+    """node, size, grams (the whole set) and low (the leading halves of half its counted part) of the classes that may have a link."""
+    counted = sized_join(sets.select("at", "low"), reps.select("at", "node"), "at", "inner").select("node", F.explode("low").alias("gram"))
+    counted = counted.groupBy("gram").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    lone = settle(counted.filter("n = 1").groupBy("node").agg(F.count("*").alias("lone")), "lone", narrow=True)
     may = F.col("size") - F.coalesce(F.col("lone"), F.lit(0)) >= F.ceil(F.col("size") * percent / 100)
-    wanted = settle(sized_join(reps.select("doc_id", "size"), lone, "doc_id", "left").filter(may).select("doc_id").distinct(), "wanted", narrow=True)
+    wanted = settle(sized_join(reps.select("node", "size", "row", "key"), lone, "node", "left").filter(may).select("node", "row", "key"), "wanted", narrow=True)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def of(b: pd.DataFrame) -> pd.DataFrame:
-            sets = [ngram_set(t, n) for t in b["text"]]
-            low = [np.unique(s[: np.searchsorted(s, np.uint64(COUNTED // 2))] >> np.uint64(29)).astype(np.uint32).tobytes() for s in sets]
-            return pd.DataFrame({"doc_id": b["doc_id"], "size": list(map(len, sets)), "grams": [s.tobytes() for s in sets], "low": low})
+    def of(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.drop_duplicates("node")
+        sets = [ngram_set(t, n) for t in b["text"]]
+        own = [_key(s) == k for s, k in zip(sets, b["key"])]
+        b, sets = b[own], [s for s, o in zip(sets, own) if o]
+        low = [np.unique(s[: np.searchsorted(s, np.uint64(COUNTED // 2))] >> np.uint64(29)).astype(np.uint32).tobytes() for s in sets]
+        return pd.DataFrame({"node": b["node"], "size": list(map(len, sets)), "grams": [s.tobytes() for s in sets], "low": low})
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _lists(batches, of)
 
-    texts = sized_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id", "left_semi")
-    return settle(texts.mapInPandas(run, "doc_id bigint, size bigint, grams binary, low binary"), "open_sets")
+    texts = sized_join(docs.select(row_key(docs).alias("row"), "text"), wanted, "row", "inner").select("node", "key", "text")
+    return settle(texts.mapInPandas(run, "node bigint, size bigint, grams binary, low binary"), "open_sets")
 
 
 def frequent(sets: DataFrame) -> np.ndarray:
@@ -116,7 +140,7 @@ def frequent(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, percent: int, late: np.ndarray) -> DataFrame:
-    """doc_id, size, gram: the first n-grams of each set in the global order."""
+    """node, size, gram: the first n-grams of each set in the global order."""
     by_value = np.argsort(late)
     shared = sets.sparkSession.sparkContext.broadcast((late[by_value], by_value))
 
@@ -133,189 +157,291 @@ def prefixes(sets: DataFrame, percent: int, late: np.ndarray) -> DataFrame:
                     is_late = values[at] == s
                     s = np.concatenate([s[~is_late], s[is_late][np.argsort(rank[at[is_late]])]])
                 first.append(s[:keep].view(np.int64))
-            return pd.DataFrame({"doc_id": batch["doc_id"], "size": batch["size"], "first": first})
+            return pd.DataFrame({"node": batch["node"], "size": batch["size"], "first": first})
 
         yield from _lists(batches, of)
 
-    return sets.mapInPandas(run, "doc_id bigint, size bigint, first array<bigint>").select("doc_id", "size", F.explode("first").alias("gram"))
+    return sets.select("node", "size", "grams").mapInPandas(run, "node bigint, size bigint, first array<bigint>").select("node", "size", F.explode("first").alias("gram"))
 
 
-def trie_links(sets: list[np.ndarray], size: np.ndarray, block: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning set of the links between sets (of different blocks, if there are two blocks).
+def meetings(sets: DataFrame, percent: int) -> DataFrame:
+    """node, size, cell, n and weight: the sets that meet under each n-gram, n-grams with the very same sets once.
 
-    size tells how large the sets are in full. Where only parts are given, pairs count as linked if they might be.
+    An n-gram's sets are parted where sizes leave a gap that no link spans. The gaps are seen in the sizes'
+    steps, counted per n-gram before they are put in order, so a frequent n-gram is no burden of one task.
     """
-    m = len(sets)
-    given = np.array([len(s) for s in sets])
-    rest = size - given
-    gram, owner = np.concatenate(sets), np.repeat(np.arange(m), given)
-    _, token, times = np.unique(gram, return_inverse=True, return_counts=True)
-    rank = np.empty(len(times), np.int64)
-    rank[np.lexsort((np.arange(len(times)), -times))] = np.arange(len(times))
-    common = times[token] > 1  # the rest can add to no overlap
-    token, owner = rank[token[common]], owner[common]
-    by_token = np.lexsort((owner, token))
-    holders, starts = owner[by_token], np.searchsorted(token[by_token], np.arange((times > 1).sum() + 1))
-    by_owner = np.lexsort((token, owner))
-    cuts = np.searchsorted(owner[by_owner], np.arange(m + 1))
-    path = [token[by_owner][cuts[i] : cuts[i + 1]] for i in range(m)]
-    order = sorted(range(m), key=lambda i: path[i].astype(">i8").tobytes())
+    starts = settle(prefixes(sets, percent, frequent(sets)), "starts")
+    met = settle(starts.groupBy("gram").count().filter("count > 1").select("gram"), "met", narrow=True)
+    step = F.floor(F.log(F.col("size").cast("double")) / math.log(SIZE_STEP)).cast("int")
+    members = settle(sized_join(starts, met, "gram", "left_semi").withColumn("step", step), "members", narrow=True)
+    order = Window.partitionBy("gram").orderBy("step")
+    apart = math.ceil(math.log(100 / percent) / math.log(SIZE_STEP)) + 1
+    steps = members.groupBy("gram", "step").agg(F.count("*").alias("n"))
+    gaps = F.coalesce((F.col("step") - F.lag("step").over(order) > apart).cast("int"), F.lit(0))
+    parts = steps.withColumn("gap", gaps).withColumn("part", F.sum("gap").over(order))
+    parts = parts.withColumn("all", F.sum("n").over(Window.partitionBy("gram", "part"))).filter("all > 1")
+    parts = settle(parts.select("gram", "step", F.xxhash64("gram", "part").alias("cell")), "parts", narrow=True)
+    members = settle(sized_join(members, parts, ["gram", "step"], "inner").select("cell", "node", "size"), "parted", narrow=True)
+    mark = F.xxhash64("node")
+    groups = members.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.sum(mark.cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("h2"))
+    groups = settle(groups.groupBy("n", "weight", "h1", "h2").agg(F.min("cell").alias("cell")).select("cell", "n", "weight"), "meetings", narrow=True)
+    return settle(sized_join(members, groups, "cell", "inner"), "held", narrow=True)
+
+
+class Side:
+    """Sets of one side of a cell: node, size of the whole set, label of the component, and the n-grams that are looked at."""
+
+    def __init__(self, node: np.ndarray, size: np.ndarray, label: np.ndarray, grams: list[np.ndarray]):
+        self.node, self.size, self.label, self.grams = node, size, label.copy(), grams
+        self.given = np.array([len(g) for g in grams], np.int64)
+        self.rest = size - self.given
+
+
+def trie_links(left: Side, right: Side, percent: int) -> list[tuple[int, int]]:
+    """Links between nodes of left and right that have different labels, as many as join what links: (least, other) of each join.
+
+    Left's sets form the trie; the walk counts their paths' overlaps with all of right's. Where only parts of
+    the sets are given, pairs count as linked if they might be. Labels are changed.
+    """
+    m, count = len(right.grams), len(left.grams)
+    gram_r, owner = np.concatenate(right.grams), np.repeat(np.arange(m), right.given)
+    values, token, times = np.unique(gram_r, return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), np.int64)
+    rank[np.lexsort((np.arange(len(values)), -times))] = np.arange(len(values))
+    by_token = np.argsort(rank[token], kind="stable")
+    holders, starts = owner[by_token], np.concatenate([[0], np.cumsum(np.sort(times)[::-1])])
+    path = []
+    for g in left.grams:
+        at = np.minimum(np.searchsorted(values, g), max(len(values) - 1, 0))
+        path.append(np.sort(rank[at[values[at] == g]]) if len(values) else np.zeros(0, np.int64))
+    order = sorted(range(count), key=lambda i: path[i].astype(">i8").tobytes())
     length = np.array([len(path[i]) for i in order])
-    same = np.zeros(m, np.int64)  # n-grams that a path shares with the one before it
-    for k in range(1, m):
+    same = np.zeros(count, np.int64)  # n-grams that a path shares with the one before it
+    for k in range(1, count):
         a, b = path[order[k - 1]], path[order[k]]
         c = min(len(a), len(b))
         d = np.flatnonzero(a[:c] != b[:c])
         same[k] = d[0] if len(d) else c
-    both, label, links = block.min() != block.max(), np.arange(m), []
-    sizes, rests = size[order], rest[order]
-    todo = [(0, m, 0, np.zeros(m, np.int64))]
+    sizes, rests, labels = left.size[order], left.rest[order], left.label[order]
+    pairs, todo = [], [(0, count, 0, np.zeros(m, np.int64))]
     while todo:
         lo, hi, depth, overlap = todo.pop()
         end = same[lo + 1 : hi].min() if hi - lo > 1 else length[lo]
         steps = path[order[lo]][depth:end]
         if len(steps):
             overlap = overlap + np.bincount(np.concatenate([holders[starts[t] : starts[t + 1]] for t in steps]), minlength=m)
-        need = (percent * (sizes[lo:hi].min() + size) + 99 + percent) // (100 + percent)
-        reach = overlap + (length[lo:hi].max() - end) + np.minimum(rests[lo:hi].max(), rest) >= need
-        if hi - lo == 1:
-            reach[order[lo]] = False
+        need = (percent * (sizes[lo:hi].min() + right.size) + 99 + percent) // (100 + percent)
+        reach = overlap + (length[lo:hi].max() - end) + np.minimum(rests[lo:hi].max(), right.rest) >= need
+        if (labels[lo:hi] == labels[lo]).all():
+            reach &= right.label != labels[lo]
         if not reach.any():
             continue
         at = lo
-        while at < hi and length[at] == end:  # documents that end here
-            i = order[at]
-            found = reach & (label != label[i]) & ((100 + percent) * (overlap + np.minimum(rest[i], rest)) >= percent * (size[i] + size))
-            if both:
-                found &= block != block[i]
+        while at < hi and length[at] == end:  # sets that end here
+            found = reach & (right.label != labels[at]) & ((100 + percent) * (overlap + np.minimum(rests[at], right.rest)) >= percent * (sizes[at] + right.size))
             for j in np.flatnonzero(found):
-                if label[i] != label[j]:
-                    links.append((i, int(j)))
-                    label[label == max(label[i], label[j])] = min(label[i], label[j])
+                new, old = labels[at], right.label[j]
+                if new != old:
+                    pairs.append((left.node[order[at]], right.node[j]))
+                    labels[labels == old], right.label[right.label == old] = new, new
             at += 1
         if at < hi:
             heads = [at, *(k for k in range(at + 1, hi) if same[k] == end), hi]
             todo += [(a, b, int(end), overlap) for a, b in zip(heads, heads[1:])]
-    return links
+    return pairs
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame:
-    """A spanning set of the links a, b between sets (the result of open_sets)."""
-    starts = settle(prefixes(sets, percent, frequent(sets)), "starts")
-    met = settle(starts.groupBy("gram").count().filter("count > 1").select("gram"), "met", narrow=True)
-    members = near_in_size(sized_join(starts, met, "gram", "left_semi"), percent)
-    members = settle(members, "members", narrow=True)
-    # n-grams with the very same documents need one meeting only
-    groups = members.groupBy("gram").agg(
-        F.count("*").alias("n"), F.sum("size").alias("weight"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h1"), F.expr("bit_xor(xxhash64(doc_id, 7))").alias("h2"), F.min("doc_id").alias("least")
-    )
-    meetings = settle(groups.groupBy("n", "weight", "h1", "h2").agg(F.min("gram").alias("gram"), F.min("least").alias("least")).select("gram", "weight", "least"), "meetings", narrow=True)
-    held = settle(sized_join(members, meetings, "gram", "inner"), "held", narrow=True)
-    # documents that meet only among few others gather once, in one place; the rest gather for each meeting
-    gathered = components(held.select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
-    sizes = held.select("doc_id", "size").distinct()
-    near = settle(gathered.join(sizes, gathered["node"] == sizes["doc_id"]).select("doc_id", "size", "component"), "near", narrow=True)
-    weights = settle(near.groupBy("component").agg(F.sum("size").alias("gathering")), "gatherings", narrow=True)
-    near = settle(sized_join(near, weights, "component", "inner"), "near_weights", narrow=True)
-    few = near.filter(F.col("gathering") <= GATHERING).select("component", "gathering", "doc_id")
-    many = sized_join(held, near.filter(F.col("gathering") > GATHERING).select("doc_id"), "doc_id", "left_semi")
-    # the others are first compared under each meeting by an eighth of their sets, which keeps whoever might link
-    might = meet(many.select(F.col("gram").alias("cell"), (F.col("weight") / 16).alias("weight"), "doc_id"), sets.select("doc_id", "size", F.col("low").alias("grams")), percent, np.uint32)
-    closer = components(might)
-    closer = settle(sized_join(closer, sets.select("doc_id", "size"), closer["node"] == F.col("doc_id"), "inner").select("doc_id", "size", "component"), "closer", narrow=True)
-    weights = settle(closer.groupBy("component").agg(F.sum("size").alias("gathering")), "closer_weights", narrow=True)
-    closer = sized_join(closer, weights, "component", "inner").select("component", "gathering", "doc_id")
-    gatherings = few.unionByName(closer).select(F.col("component").alias("cell"), F.col("gathering").alias("weight"), "doc_id")
-    return meet(gatherings, sets.select("doc_id", "size", "grams"), percent)
-
-
-def near_in_size(members: DataFrame, percent: int) -> DataFrame:
-    """members (gram, doc_id, size) with each n-gram's documents parted wherever sizes differ too much for any link.
-
-    In the order of sizes a part ends where the next size is too large for the one before. Documents left
-    alone are dropped; each part gets an n-gram of its own.
-    """
-    order = Window.partitionBy("gram").orderBy("size", "doc_id")
-    parts = F.coalesce(100 * F.lag("size").over(order) < percent * F.col("size"), F.lit(True))
-    rows = members.select("gram", "doc_id", "size", parts.cast("int").alias("parts")).withColumn("part", F.sum("parts").over(order))
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("gram", "part"))).filter("n > 1")
-    return rows.select(F.xxhash64("gram", "part").alias("gram"), "doc_id", "size")
+def compared(cells: DataFrame, keys: list[str], percent: int, kind: type) -> DataFrame:
+    """Links a, b within each cell: rows of keys, node, size, label, side (0 walks, 1 is met, 2 both) and grams, numbers of the given kind."""
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        node, size, label, side, grams = zip(*rows)
+        node, size, label, side = (np.array(x, np.int64) for x in (node, size, label, side))
+        if len(rows) < 2 or (label == label[0]).all():
+            return []
+        grams = [np.frombuffer(g, kind) for g in grams]
+        left, right = (Side(node[at], size[at], label[at], [g for g, here in zip(grams, at) if here]) for at in (side != 1, side != 0))
+        return trie_links(left, right, percent) if left.grams and right.grams else []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, rows, found = None, [], []
+        for batch in batches:
+            for at, *row in zip(zip(*(batch[k].to_numpy() for k in keys)), batch["node"], batch["size"], batch["label"], batch["side"], batch["grams"]):
+                if at != now:
+                    found += links(rows) if rows else []
+                    now, rows = at, []
+                rows.append(row)
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                found = []
+        found = links(rows) if rows else []
+        if found:
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    p = partitions(cells.sparkSession)
+    dealt = cells.select(*keys, "node", "size", "label", "side", "grams").repartition(p, *keys).sortWithinPartitions(*keys)
+    return dealt.mapInPandas(run, "a bigint, b bigint")
+
 
+def blocks_of(weight: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(weight / BLOCK)).cast("int")
 
-def meet(groups: DataFrame, sets: DataFrame, percent: int, kind: type = np.uint64) -> DataFrame:
-    """A spanning set of the links a, b within each group: cell, weight (n-grams of the whole group), doc_id.
 
-    sets hold numbers of the given kind; what their size exceeds them by counts as n-grams that might be common.
+def dealt_to(n: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
 
-    A group is cut into blocks by a hash of doc_id; each pair of blocks meets in one place.
+
+def within(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between rows (cell, block, node) of the same cell and block."""
+    cells = rows.select("cell", "block", "node").join(sets.select("node", "size", "grams"), "node").withColumns({"label": F.col("node"), "side": F.lit(2)})
+    return compared(cells, ["cell", "block"], percent, np.uint64)
+
+
+def across(rows: DataFrame, sets: DataFrame, percent: int, kind: type, share: int) -> DataFrame:
+    """Links a, b between rows (cell, node, size, label) of the same cell that have different labels.
+
+    sets hold node, size and grams, which are a share-th of the whole sets. All rows but those of the cell's
+    heaviest label walk, dealt to slices; all rows are met, dealt to blocks; each slice meets each block.
     """
-    blocks = F.ceil(F.least(F.col("weight") / BLOCK, EVEN / BLOCK * F.sqrt(F.col("weight") / EVEN))).cast("int")
-    cells = (
-        groups.withColumn("blocks", F.greatest(F.lit(1), blocks))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id")
-    )
+    weight = F.col("size") / share + SET_WEIGHT
+    per_label = rows.groupBy("cell", "label").agg(F.sum(weight).alias("w"))
+    per_cell = per_label.groupBy("cell").agg(F.sum("w").alias("weight"), F.max(F.struct("w", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
+    per_cell = settle(per_cell.select("cell", blocks_of(F.col("weight")).alias("blocks"), blocks_of(F.col("weight") - F.col("top.w")).alias("slices"), F.col("top.label").alias("top")), "cells", narrow=True)
+    rows = sized_join(rows.select("cell", "node", "label"), per_cell, "cell", "inner")
+    met = rows.select("cell", "node", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), dealt_to(F.col("blocks"), 3).alias("block"))
+    walking = rows.filter("label <> top")
+    walking = walking.select("cell", "node", "label", F.lit(0).alias("side"), dealt_to(F.col("slices"), 5).alias("slice"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return compared(met.unionByName(walking).join(sets, "node"), ["cell", "slice", "block"], percent, kind)
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids = group["doc_id"].to_numpy()
-        found = trie_links([np.frombuffer(g, kind) for g in group["grams"]], group["size"].to_numpy(), group["block"].to_numpy(), percent) if len(ids) > 1 else []
-        return pd.DataFrame([(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in found], columns=["a", "b"], dtype="int64")
 
-    return cells.join(sets, "doc_id").groupBy("cell", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with label: the component of node, or node itself."""
+    return sized_join(rows, found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, component (the least node that links reach) for every node that has a link.
+def links(sets: DataFrame, percent: int) -> DataFrame:
+    """node, component of all nodes that have a link to a lesser one (sets is the result of open_sets)."""
+    held = meetings(sets, percent)
+    # each set once, in its largest meeting
+    home = held.groupBy("node", "size").agg(F.max(F.struct("n", "weight", "cell")).alias("home"))
+    blocks = blocks_of(F.col("home.weight") + SET_WEIGHT * F.col("home.n"))
+    home = settle(home.select("node", "size", "home.cell", blocks.alias("blocks"), dealt_to(blocks, 3).alias("block")), "home", narrow=True)
+    found = components(within(home, sets, percent))
+    # one set of each block's components; they too are dealt to blocks
+    leaders = labelled(home.filter("blocks > 1"), found).groupBy("cell", "block", "label").agg(F.min_by(F.struct("node", "size"), "node").alias("s")).select("cell", "s.node", "s.size")
+    leaders = settle(leaders, "leaders", narrow=True)
+    if not leaders.isEmpty():
+        weights = leaders.groupBy("cell").agg(F.sum(F.col("size") + SET_WEIGHT).alias("weight"))
+        led = leaders.join(weights, "cell").select("cell", "node", dealt_to(blocks_of(F.col("weight")), 7).alias("block"))
+        found = components(within(led, sets, percent), found)
+    # exactly, across components: by an eighth of the sets, then whoever might link by whole ones
+    might = across(labelled(held.select("cell", "node", "size"), found), sets.select("node", "size", F.col("low").alias("grams")), percent, np.uint32, 16)
+    closer = components(might, found)
+    rows = labelled(labelled(sets.select("node", "size"), found).withColumnRenamed("label", "own"), closer)
+    rows = settle(rows.select(F.col("label").alias("cell"), "node", "size", F.col("own").alias("label")), "closer", narrow=True)
+    return components(across(rows, sets.select("node", "size", "grams"), percent, np.uint64, 1), found)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from the least node of each component to each of its others, instead of links a, b."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up, x, y = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while len(x):
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while not (up[up] == up).all():
+            up = up[up]
+        x, y = up[x], up[y]
+        x, y = x[x != y], y[x != y]
+    below = np.flatnonzero(up != np.arange(len(nodes)))
+    return nodes[up[below]], nodes[below]
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Links a < b that join what links join, fewer of them: each task takes up to LINKS at a time and keeps a forest."""
 
-    Each round every node points to its least neighbour, and links move to where their ends point, until
-    none is left. Links and labels stay distributed; each round is a written table.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch.to_numpy())
+            n += len(batch)
+            if n >= LINKS:
+                yield pd.DataFrame(dict(zip("ab", forest(*np.concatenate(held).T))))
+                held, n = [], 0
+        if n:
+            yield pd.DataFrame(dict(zip("ab", forest(*np.concatenate(held).T))))
+
+    few = max(1, partitions(links.sparkSession) // 64)
+    return settle(links.select("a", "b").coalesce(few).mapInPandas(run, "a bigint, b bigint"), "links")
+
+
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """node, component (the least node that links reach) for every node with a link to a lesser one; known are such rows that hold already.
+
+    Each round tasks replace their links by forests, every node points to its least lesser neighbour, pointers
+    jump until they end at a node that has none, and links move to these ends. A chain of any length is one
+    round of as many jumps as its length has bits. Links and pointers stay distributed; each step is a written table.
     """
-    edges, labels = settle(links.filter("a <> b"), "links", narrow=True), None
+    links = settle(links, "found")
+    if known is not None:  # links between the ends of known pointers
+        for end in ("a", "b"):
+            links = sized_join(links.withColumnRenamed(end, "node"), known, "node", "left").withColumn(end, F.coalesce("component", "node")).drop("node", "component")
+    labels, edges = known, contracted(links)
     while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
-        to = settle(both.select(F.col("a").alias("node"), F.least("a", "b").alias("to")), "to", narrow=True)
-        if labels is None:
-            labels = to.withColumnRenamed("to", "component")
-        else:
-            moved = sized_join(labels, to.select(F.col("node").alias("component"), "to"), "component", "left")
-            labels = settle(moved.select("node", F.coalesce("to", "component").alias("component")), "labels", narrow=True)
-        ends = sized_join(edges, to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a", "inner")
-        ends = sized_join(ends, to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b", "inner")
-        edges = settle(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links", narrow=True)
+        to = settle(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")), "to", narrow=True)
+        while True:
+            jumped = sized_join(to, to.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left")
+            jumped = settle(jumped.select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "to", narrow=True)
+            if jumped.filter("moved").isEmpty():
+                break
+            to = jumped.select("node", "to")
+        new = to.select("node", F.col("to").alias("component"))
+        if labels is not None:
+            old = sized_join(labels, to.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            new = settle(old.unionByName(new), "labels", narrow=True)
+        labels = new
+        for end in ("a", "b"):
+            edges = sized_join(edges, to.select(F.col("node").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        edges = contracted(edges.filter("a <> b"))
     return labels if labels is not None else edges.selectExpr("a as node", "b as component")
 
 
+def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, row, size, component and component_id of every row of docs; no component where the set is empty."""
+    sets = settle(classes(docs, n).withColumn("at", F.monotonically_increasing_id()), "ngram_classes")
+    reps = representatives(sets)
+    found = links(open_sets(docs, sets, reps, n, percent), percent)
+    nodes = settle(labelled(reps.select("node", "key", "doc_id"), found), "class_nodes", narrow=True)
+    least = settle(nodes.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least_ids", narrow=True)
+    nodes = settle(sized_join(nodes, least, "label", "inner").select("key", F.col("label").alias("component"), "component_id"), "class_components", narrow=True)
+    return sized_join(sets.select("doc_id", "row", "size", "key"), nodes, "key", "left").drop("key")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs.
 
-    Documents link when percent * |union| <= 100 * |intersection| of their n-gram sets. A null text or one
-    without words has an empty set and links with nothing. Rows that share a doc_id count as one document
-    in links. An empty table gives an empty result; columns other than doc_id and text are ignored.
+    Rows link when percent * |union| <= 100 * |intersection| of their n-gram sets. A null text or one without
+    words has an empty set and links with nothing: its component_id is its own. Every row is compared by
+    itself: rows that repeat a doc_id with other texts may lie in different components, and a row without a
+    doc_id is linked like any other; a component of which no row has one has none. An empty table gives an
+    empty result; columns other than doc_id and text are ignored.
     """
-    sets = settle(classes(docs, n), "ngram_classes")
-    found = components(links(open_sets(docs, sets, n, percent), percent))
-    nodes = settle(sets.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("node")), "class_nodes", narrow=True)
-    nodes = settle(sized_join(nodes, found, "node", "left").select("key", F.coalesce("component", "node").alias("component")), "class_components", narrow=True)
-    out = sized_join(sets.select("doc_id", "size", "key"), nodes, "key", "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return grouped(docs, n, percent).select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that link to one of a smaller doc_id; of rows that repeat a doc_id one stays.
+    """docs with one row of each component: that of the least doc_id (null last; ties by a hash of the text).
 
-    Rows of null doc_id are compared like others, after all of them: their texts stand for ids, so of equal texts
-    one stays. Null texts without an id all have the same one.
+    Of equal rows one stays. Rows without words link with nothing and all stay.
     """
-    columns, kind = docs.columns, docs.schema["doc_id"].dataType
-    own = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(2**62)
-    docs = docs.withColumns({"__none": F.col("doc_id").isNull(), "doc_id": F.coalesce(F.col("doc_id").cast("long"), own)})
-    restored = [F.when(~F.col("__none"), F.col(c)).cast(kind).alias(c) if c == "doc_id" else F.col(c) for c in columns]
-    found = near_duplicates(docs, n, percent)
-    found = settle(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "groups", narrow=True)
-    gone = found.filter("component_id <> doc_id").select("doc_id")
-    repeated = found.filter("component_id = doc_id and rows > 1").select("doc_id")
-    kept = sized_join(docs, gone, "doc_id", "left_anti")
-    if repeated.isEmpty():
-        return kept.select(*restored)
-    return sized_join(kept, repeated, "doc_id", "left_anti").unionByName(sized_join(kept, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*restored)
+    rows = grouped(docs, n, percent).filter("component is not null").groupBy("component", "doc_id", "row").agg(F.count("*").alias("times"))
+    rows = settle(rows, "groups", narrow=True)
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "times")).alias("best"))
+    id_ = F.coalesce(F.col("doc_id"), F.lit(0)).alias("__id")  # the row's hash tells null from 0
+    best = settle(best.select(F.coalesce("best.doc_id", F.lit(0)).alias("__id"), F.col("best.row").alias("__row"), "best.times"), "best", narrow=True)
+    gone = settle(rows.select(id_, F.col("row").alias("__row")).join(best.select("__id", "__row"), ["__id", "__row"], "left_anti"), "gone", narrow=True)
+    marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__row": row_key(docs)})
+    kept, repeated = sized_join(marked, gone, ["__id", "__row"], "left_anti"), best.filter("times > 1").drop("times")
+    if not repeated.isEmpty():
+        once = sized_join(kept, repeated, ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"])
+        kept = sized_join(kept, repeated, ["__id", "__row"], "left_anti").unionByName(once)
+    return kept.select(*docs.columns)

@@ -231,34 +231,81 @@ def near_copies(spark, n, seed=3):
     return docs(spark, *texts)
 
 
+def brute_rows(rows, n, percent):
+    """brute_components over rows that may lack or repeat a doc_id."""
+    found = {i: c for i, _, c in brute_components([(k, t) for k, (_, t) in enumerate(rows)], n, percent)}
+    size = {i: s for i, s, _ in brute_components([(k, t) for k, (_, t) in enumerate(rows)], n, percent)}
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[found[k]] = min(i, least.get(found[k], i))
+    return sorted(((i, size[k], least.get(found[k])) for k, (i, _) in enumerate(rows)), key=str)
+
+
 def test_ngram_join(spark, odd, none, monkeypatch):
-    for table in (odd.filter("text is null or text <> 'again'"), near_copies(spark, 60)):
+    for table in (odd, near_copies(spark, 60)):
         rows = [(r["doc_id"], r["text"]) for r in table.collect()]
         for n, percent in ((4, 85), (5, 80)):
-            assert {tuple(r) for r in ngrams.near_duplicates(table, n, percent).collect()} == brute_components(rows, n, percent)
-    # small blocks and gatherings: groups are looked at by parts first, and cut into blocks that meet pairwise
-    monkeypatch.setattr(ngrams, "GATHERING", 50)
+            assert sorted(map(tuple, ngrams.near_duplicates(table, n, percent).collect()), key=str) == brute_rows(rows, n, percent)
+    # small blocks: every group is cut, joined by blocks, leaders and slices
     monkeypatch.setattr(ngrams, "BLOCK", 100)
+    monkeypatch.setattr(ngrams, "SET_WEIGHT", 5)
     table = near_copies(spark, 60, seed=8)
     assert {tuple(r) for r in ngrams.near_duplicates(table, 4, 85).collect()} == brute_components([(r["doc_id"], r["text"]) for r in table.collect()], 4, 85)
     assert ngrams.near_duplicates(none, 4, 85).count() == 0
     kept = ngrams.one_per_group(odd)
-    assert kept.columns == odd.columns and kept.count() == kept.select("doc_id").distinct().count()
-
-
-def test_trie_links_spans_all_links():
+    assert kept.columns == odd.columns and ngrams.one_per_group(none).count() == 0
+
+
+def test_ngram_join_without_and_with_repeated_ids(spark):
+    base = near_copies(spark, 40, seed=11).collect()
+    rows = [(None if k % 4 == 0 else k // 3, r["text"] if k % 7 else None, k) for k, r in enumerate(base)] * 2
+    table = spark.createDataFrame(rows, "doc_id int, text string, size int")
+    assert sorted(map(tuple, ngrams.near_duplicates(table, 4, 85).collect()), key=str) == brute_rows([r[:2] for r in rows], 4, 85)
+    kept = ngrams.one_per_group(table, 4, 85)
+    assert kept.schema == table.schema
+    components = brute_components([(k, t) for k, (_, t, _) in enumerate(rows)], 4, 85)
+    full = {c for _, s, c in components if s}
+    assert kept.filter("text is not null").count() == len(full) and kept.filter("text is null").count() == sum(t is None for _, t, _ in rows)
+    assert {r["doc_id"] for r in kept.filter("text is not null").collect()} == {min((rows[i][0] for i, _, c in components if c == x and rows[i][0] is not None), default=None) for x in full}
+
+
+def test_large_group_of_copies(spark):
+    """5,000 different near copies and as many exact ones are one class each, without all their pairs."""
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join([*base[: 60 + k % 7], f"x{k}", *base[60 + k % 7 :]]) for k in range(5000)] + [" ".join(r.sample(base, 50))] * 5000
+    got = ngrams.near_duplicates(docs(spark, *texts), 4, 85).groupBy("component_id").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 5000), (5000, 5000)]
+
+
+def test_long_chains_of_links(spark):
+    chain = spark.range(10_000, numPartitions=4).select(F.expr("(id * 7919) % 10007").alias("a"), F.expr("((id + 1) * 7919) % 10007").alias("b"))
+    got = ngrams.components(chain)
+    assert got.count() == 10_000 and got.select("component").distinct().collect() == [(0,)]
+    line = spark.range(1, 10_000, numPartitions=4).select(F.expr("id - 1 as a"), F.col("id").alias("b"))
+    assert ngrams.components(line).filter("component = 0").count() == 9999
+    more = spark.createDataFrame([(5, 20_001), (20_001, 20_000)], "a bigint, b bigint")
+    assert ngrams.components(more, ngrams.components(line)).filter("component = 0").count() == 10_001
+
+
+def test_trie_links_join_what_links():
     r = np.random.default_rng(2)
-    for _ in range(30):
+    for turn in range(40):
         base = np.unique(r.integers(0, 300, 60))
         sets = [np.unique(np.concatenate([r.choice(base, len(base) - k, replace=False), r.integers(300, 400, k)])).astype(np.uint64) for k in r.integers(0, 14, 14)]
-        size = np.array([len(s) for s in sets])
-        found = ngrams.trie_links(sets, size, np.zeros(14, int), 85)
-        label = list(range(14))
-        want = list(range(14))
+        size, known = np.array([len(s) for s in sets]), np.arange(14)
+        if turn % 2:
+            known[3:6] = 3
+        side = lambda at: ngrams.Side(np.array(at), size[at], known[at], [sets[i] for i in at])
+        parts = [(list(range(14)),) * 2] if turn % 3 else [([0, 1, 2], list(range(14))), (list(range(3, 14)), list(range(9))), (list(range(3, 14)), list(range(9, 14)))]
+        found = [p for a, b in parts for p in ngrams.trie_links(side(a), side(b), 85)]
+        label, want = known.tolist(), known.tolist()
         for pairs, lab in ((found, label), ([(a, b) for a in range(14) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))], want)):
             for _ in range(14):
                 for a, b in pairs:
                     lab[a] = lab[b] = min(lab[a], lab[b])
+                lab[:] = [min(x for x, k in zip(lab, known) if k == own) for own in known]
         assert label == want
 
 
