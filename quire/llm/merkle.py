@@ -1,18 +1,22 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-Leaves are lines (paragraphs); a section is a run of paragraphs that a blank line or a paragraph with a
-digest divisible by SECTION closes, so an insertion moves no later section. Equal roots mean equal
-texts; where roots differ, the branches that differ locate the edit (see `nodes` and `differences`).
-A fingerprint is the root and a sketch of the SKETCH least digests of the text's short segments, from
-which the likeness of two fingerprints is estimated.
+Paragraphs are lines; a section is a run of paragraphs that a blank line or a paragraph with a digest
+divisible by SECTION closes, so an insertion moves no later section. A paragraph's leaves are pieces of it,
+cut where the WINDOW bytes before a place say so: an edit changes the leaves that it touches and no others,
+in long lines too. Every node's digest is that of its children's digests. Equal roots mean equal texts; where
+roots differ, the branches that differ locate the edit (see `nodes` and `differences`).
+
+A printed fingerprint is the root and, in page order, the sections' and leaves' short digests with the leaves'
+lengths. The likeness of two fingerprints is the share of their bytes that lies under branches both trees have.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -20,72 +24,150 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bucket_bounds, bucket_of, partitions
+from quire.llm.common import bucket_bounds, bucket_of, partitions, tie_bucket
 
 #: A paragraph closes its section if its digest is divisible by this.
 SECTION = 8
-#: Segment digests kept in a fingerprint.
-SKETCH = 64
+#: Bytes that decide whether a leaf ends, one in how many places does, and the longest leaf.
+WINDOW, EVERY, LONGEST = 8, 32, 255
 #: Rows per batch that leaves a task.
 ROWS = 256
 
-#: A segment: up to 40 bytes of a sentence and the marks that end it. Segments tile the text.
-_segments = re.compile(rb"[^.!?\n]{1,40}[.!?\n]*|[.!?\n]+").findall
+_gear = np.random.default_rng(8).integers(0, 1 << 32, 256, dtype=np.uint32)  # a number for each byte
+
+
+class Tree(NamedTuple):
+    """Root; per section its digest and its paragraphs, each a digest and where its leaves start and end; the leaves' digests and ends."""
+
+    root: bytes
+    sections: list[tuple[bytes, list[tuple[bytes, int, int]]]]
+    leaves: list[bytes]
+    ends: np.ndarray
 
 
 def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def tree(text: str | None) -> tuple[bytes, list[tuple[bytes, list[bytes]]]]:
-    """Root digest, and per section its digest and its paragraphs' digests. A null text counts as empty."""
-    sections, leaves = [], []
-    for line in (text or "").encode().split(b"\n"):
-        leaves.append(_digest(line))
-        if not line.strip() or leaves[-1][0] % SECTION == 0:
-            sections.append((_digest(b"".join(leaves)), leaves))
-            leaves = []
-    if leaves:
-        sections.append((_digest(b"".join(leaves)), leaves))
-    return _digest(b"".join(s for s, _ in sections)), sections
+def _sizes(ends: np.ndarray) -> np.ndarray:
+    out = ends.copy()
+    out[1:] -= ends[:-1]
+    return out
+
+
+def leaf_ends(raw: np.ndarray) -> np.ndarray:
+    """Ends of the leaves of a text: at every line end, where the bytes before a place say so, and after LONGEST bytes."""
+    own = _gear[raw]
+    mixed = own.copy()
+    for k in range(1, min(WINDOW, len(raw))):
+        mixed[k:] += own[:-k] << np.uint32(k)
+    mixed[: WINDOW - 1] = 1 << 12  # too near the start
+    ends = np.flatnonzero(((mixed >> np.uint32(12)) % np.uint32(EVERY) == 0) | (raw == 10)) + 1
+    ends = ends if len(ends) and ends[-1] == len(raw) else np.append(ends, len(raw))
+    size = _sizes(ends)
+    if size.max(initial=0) <= LONGEST:
+        return ends
+    return np.array([x for end, n in zip(ends.tolist(), size.tolist()) for x in [*range(end - n + LONGEST, end, LONGEST), end]])
+
+
+def tree(text: str | None) -> Tree:
+    """The tree of a whole text. A null text counts as empty: one section of one paragraph without leaves."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    raw = np.frombuffer(data, np.uint8)
+    ends = leaf_ends(raw) if data else np.zeros(0, np.int64)
+    places = ends.tolist()
+    leaves = [xxhash.xxh3_128_digest(data[i:j]) for i, j in zip([0, *places], places)]
+    stops = (np.flatnonzero(raw[ends - 1] == 10) + 1).tolist()
+    stops = stops if stops and stops[-1] == len(leaves) else [*stops, len(leaves)]
+    sections, paragraphs, start = [], [], 0
+    for i, j in zip([0, *stops], stops):
+        digest = _digest(b"".join(leaves[i:j]))
+        paragraphs.append((digest, i, j))
+        end = places[j - 1] if j else 0
+        if digest[0] % SECTION == 0 or data[start:end].isspace():
+            sections.append((_digest(b"".join([d for d, _, _ in paragraphs])), paragraphs))
+            paragraphs = []
+        start = end
+    if paragraphs:
+        sections.append((_digest(b"".join([d for d, _, _ in paragraphs])), paragraphs))
+    return Tree(_digest(b"".join([d for d, _ in sections])), sections, leaves, ends)
+
+
+class Fingerprint(NamedTuple):
+    """Root (hex), short digests of the sections and the number of leaves of each, the leaves' short digests and lengths."""
+
+    root: str
+    sections: np.ndarray
+    counts: np.ndarray
+    leaves: np.ndarray
+    lengths: np.ndarray
+
+    def printed(self) -> str:
+        head = np.array([len(self.sections)], "<u4").tobytes()
+        return f"{self.root}:{base64.b64encode(head + self.sections.tobytes() + self.counts.tobytes() + self.leaves.tobytes() + self.lengths.tobytes()).decode()}"
+
+
+def fingerprint(text: str | None) -> Fingerprint:
+    root, sections, leaves, ends = tree(text)
+    return Fingerprint(
+        root.hex(),
+        np.frombuffer(b"".join([d[:4] for d, _ in sections]), "<u4"),
+        np.array([own[-1][2] - own[0][1] for _, own in sections], "<u4"),
+        np.frombuffer(b"".join(leaves), "<u4")[::4].copy(),
+        _sizes(ends).astype(np.uint8),
+    )
+
 
+def read(printed: str) -> Fingerprint:
+    """A fingerprint from its printed form."""
+    root, _, body = printed.partition(":")
+    data = base64.b64decode(body)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    m = (len(data) - 4 - 8 * n) // 5
+    return Fingerprint(root, np.frombuffer(data, "<u4", n, 4), np.frombuffer(data, "<u4", n, 4 + 4 * n), np.frombuffer(data, "<u4", m, 4 + 8 * n), np.frombuffer(data, np.uint8, m, 4 + 8 * n + 4 * m))
 
-def fingerprint(text: str | None) -> tuple[str, np.ndarray]:
-    """The printed fingerprint and its sketch."""
-    root, _ = tree(text)
-    marks = np.fromiter(map(xxhash.xxh32_intdigest, _segments((text or "").encode())), np.uint32)
-    sketch = np.unique(marks)[:SKETCH].astype("<u4")
-    return f"{root.hex()}:{base64.b64encode(sketch.tobytes()).decode()}", sketch
 
+def likeness(left: Fingerprint, right: Fingerprint) -> float:
+    """1 for equal roots; else twice the bytes under common branches over the bytes of both, less than 1.
 
-def likeness(left: tuple[str, np.ndarray], right: tuple[str, np.ndarray]) -> float:
-    """1 for equal roots; else the Dice share of common segments, from the least digests of both (0 to 1)."""
-    if left[0] == right[0]:
+    Sections that both trees have count whole and are not descended into; of the others' leaves those count
+    that both have, each as often as both have it.
+    """
+    if left.root == right.root:
         return 1.0
-    least = np.unique(np.concatenate([left[1], right[1]]))
-    if len(left[1]) >= SKETCH or len(right[1]) >= SKETCH:  # beyond the shorter full sketch nothing is known
-        least = least[:SKETCH]
-    if not len(least):
+    total = int(left.lengths.sum(dtype=np.int64) + right.lengths.sum(dtype=np.int64))
+    if not len(left.leaves) or not len(right.leaves):
         return 0.0
-    j = np.isin(least, np.intersect1d(left[1], right[1])).sum() / len(least)
-    return float(2 * j / (1 + j)) if j < 1 else 0.999999
-
-
-def read(printed: str) -> tuple[str, np.ndarray]:
-    """A printed fingerprint as `likeness` takes it."""
-    return printed, np.frombuffer(base64.b64decode(printed.partition(":")[2]), "<u4")
+    shared, rest = 0, []
+    both = Counter(left.sections.tolist()) & Counter(right.sections.tolist())
+    for side in (left, right):
+        lengths = side.lengths.astype(np.int64)
+        if both:
+            due, whole = Counter(both), []
+            for s in side.sections.tolist():
+                whole.append(due[s] > 0)
+                due[s] -= 1
+            whole = np.repeat(whole, side.counts)
+            shared = int(lengths[whole].sum())  # the same on both sides
+            rest.append(np.unique(side.leaves[~whole], return_index=True, return_counts=True) + (lengths[~whole],))
+        else:
+            rest.append(np.unique(side.leaves, return_index=True, return_counts=True) + (lengths,))
+    (a, first, times, lengths), (b, _, others, _) = rest
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    shared += int((lengths[first[i]] * np.minimum(times[i], others[j])).sum())
+    return min(2 * shared / total, 0.999999)
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """One row per tree node: doc_id, section and paragraph (null above their level), digest (hex)."""
+    """One row per tree node down to paragraphs: doc_id, section and paragraph (null above their level), digest (hex)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                root, sections = tree(text)
+                root, sections, _, _ = tree(text)
                 rows = [(doc, None, None, root.hex())]
-                for i, (digest, leaves) in enumerate(sections):
-                    rows += [(doc, i, None, digest.hex()), *((doc, i, k, d.hex()) for k, d in enumerate(leaves))]
+                for i, (digest, paragraphs) in enumerate(sections):
+                    rows += [(doc, i, None, digest.hex()), *((doc, i, k, d.hex()) for k, (d, _, _) in enumerate(paragraphs))]
                 yield pd.DataFrame(rows, columns=["doc_id", "section", "paragraph", "digest"]).astype({"section": "Int64", "paragraph": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, section bigint, paragraph bigint, digest string")
@@ -111,23 +193,32 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     code points replaced by as many first ones of the next document, or all it has. Null texts count as
     empty; an empty table gives an empty result; other columns are ignored.
 
-    Texts move once, to even ranges of doc_id. The first row of each range also goes to the range
-    before it, so every row meets its neighbour without a global window.
+    Texts move once, to even ranges of doc_id; the rows of an id that fills several ranges are dealt by their
+    text's hash. The first row of each range also goes to the range before it, so every row meets its neighbour
+    without a global window.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     p = partitions(spark)
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    bounds = bucket_bounds(src, "doc_id", 4 * p)
+    bounds, shares = bucket_bounds(src, "doc_id", 4 * p)
     if not bounds:
         return spark.createDataFrame([], schema)
-    k = bucket_of(F.col("doc_id"), bounds)
-    first = F.coalesce(F.col("doc_id"), F.lit(-(2**63))) == F.element_at(F.lit(bounds), F.col("bucket") + 1)
+    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    dealt = src.withColumn("bucket", bucket_of(F.col("doc_id"), bounds))
+    first, ranges = key == F.element_at(F.lit(bounds), F.col("bucket") + 1), len(bounds)
+    if max(shares) > 1:  # parts may be empty: the first row of each one that is not is looked up
+        before = np.cumsum([0, *(1 if n == 1 else n + 1 for n in shares)]).tolist()
+        part = tie_bucket(F.col("doc_id"), F.col("tie"), F.col("bucket"), bounds, shares)
+        dealt = dealt.withColumn("bucket", F.element_at(F.lit(before), F.col("bucket") + 1) + part)
+        heads = sorted((r["bucket"], r["head"]) for r in dealt.groupBy("bucket").agg(F.min(F.struct(key.alias("k"), "tie")).alias("head")).collect())
+        dealt, ranges = dealt.withColumn("bucket", bucket_of(F.col("bucket"), [b for b, _ in heads])), len(heads)
+        at = F.col("bucket") + 1
+        first = (key == F.element_at(F.lit([h["k"] for _, h in heads]), at)) & (F.col("tie") == F.element_at(F.lit([h["tie"] for _, h in heads]), at))
     own = F.struct(F.col("bucket").alias("range"), F.lit(0).alias("guest"))
-    guest = F.struct(F.pmod(F.col("bucket") - 1, F.lit(len(bounds))).alias("range"), F.lit(1).alias("guest"))
+    guest = F.struct(F.pmod(F.col("bucket") - 1, F.lit(ranges)).alias("range"), F.lit(1).alias("guest"))
     dealt = (
-        src.withColumn("bucket", k)
-        .select("doc_id", "text", F.xxhash64("text").alias("tie"), F.explode(F.when(first, F.array(own, guest)).otherwise(F.array(own))).alias("at"))
+        dealt.select("doc_id", "text", "tie", F.explode(F.when(first, F.array(own, guest)).otherwise(F.array(own))).alias("at"))
         .select("doc_id", "text", "tie", "at.range", "at.guest")
         .repartition(p, "range")
         .sortWithinPartitions("range", "guest", "doc_id", "tie")
@@ -147,7 +238,7 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
                     half = len(own) // 2
                     edited = own[: len(own) - half] + text[:half]
                     edited_mark = fingerprint(edited)
-                    rows.append((old, len(own), hashlib.sha256(edited.encode()).hexdigest(), own_mark[0], edited_mark[0], likeness(own_mark, edited_mark), likeness(own_mark, mark)))
+                    rows.append((old, len(own), hashlib.sha256(edited.encode()).hexdigest(), own_mark.printed(), edited_mark.printed(), likeness(own_mark, edited_mark), likeness(own_mark, mark)))
                 before = None if guest else (doc, text, mark, at)
                 if len(rows) >= ROWS:
                     yield table(rows)
