@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import partitions, settle, sized_join
+from quire.llm.common import partitions, settle, sized_join, tidied
 
 #: N-grams whose hash is below this (a quarter of all) are counted to find sets that can have no link.
 COUNTED = 1 << 62
@@ -293,7 +293,7 @@ def dealt_to(n: Column, seed: int) -> Column:
 
 def within(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links a, b between rows (cell, block, node) of the same cell and block."""
-    cells = rows.select("cell", "block", "node").join(sets.select("node", "size", "grams"), "node").withColumns({"label": F.col("node"), "side": F.lit(2)})
+    cells = sized_join(sets.select("node", "size", "grams"), rows.select("cell", "block", "node"), "node", "inner").withColumns({"label": F.col("node"), "side": F.lit(2)})
     return compared(cells, ["cell", "block"], percent, np.uint64)
 
 
@@ -311,7 +311,8 @@ def across(rows: DataFrame, sets: DataFrame, percent: int, kind: type, share: in
     met = rows.select("cell", "node", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), dealt_to(F.col("blocks"), 3).alias("block"))
     walking = rows.filter("label <> top")
     walking = walking.select("cell", "node", "label", F.lit(0).alias("side"), dealt_to(F.col("slices"), 5).alias("slice"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return compared(met.unionByName(walking).join(sets, "node"), ["cell", "slice", "block"], percent, kind)
+    dealt = settle(met.unionByName(walking), "dealt", narrow=True)
+    return compared(sized_join(sets, dealt, "node", "inner"), ["cell", "slice", "block"], percent, kind)
 
 
 def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -332,7 +333,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     leaders = settle(leaders, "leaders", narrow=True)
     if not leaders.isEmpty():
         weights = leaders.groupBy("cell").agg(F.sum(F.col("size") + SET_WEIGHT).alias("weight"))
-        led = leaders.join(weights, "cell").select("cell", "node", dealt_to(blocks_of(F.col("weight")), 7).alias("block"))
+        led = settle(leaders.join(weights, "cell").select("cell", "node", dealt_to(blocks_of(F.col("weight")), 7).alias("block")), "led", narrow=True)
         found = components(within(led, sets, percent), found)
     # exactly, across components: by an eighth of the sets, then whoever might link by whole ones
     might = across(labelled(held.select("cell", "node", "size"), found), sets.select("node", "size", F.col("low").alias("grams")), percent, np.uint32, 16)
@@ -405,6 +406,7 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return labels if labels is not None else edges.selectExpr("a as node", "b as component")
 
 
+@tidied
 def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, row, size, component and component_id of every row of docs; no component where the set is empty."""
     sets = settle(classes(docs, n).withColumn("at", F.monotonically_increasing_id()), "ngram_classes")
@@ -428,6 +430,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     return grouped(docs, n, percent).select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+@tidied
 def one_per_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component: that of the least doc_id (null last; ties by a hash of the text).
 
