@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns whose matches define results.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 HEADING = r"^(#{1,6})\s+(.*\S)\s*$"
 NUMBERED = r"^(\d+(?:\.\d+)*)\.?\s+\S"
 LIST_LIKE = r"^\d+\.\s+\d"
@@ -39,8 +40,8 @@ def tokens_without_tags(text: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    """Lines of a text; a final empty one does not count."""
-    return F.split(F.regexp_replace(text, "\n$", ""), "\n")
+    """Lines of a text, at any of the line ends; a final empty one does not count."""
+    return F.split(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END, -1)
 
 
 def boilerplate_form(line: Column) -> Column:
@@ -168,3 +169,88 @@ def warning(code: Column, message: Column, severity: Column, page: Column, block
 def page_kind(text: Column, images: Column, drawings: Column) -> Column:
     """visual: little text (under 250 characters) and an image or 40 drawings."""
     return F.when((F.length(strip(text)) < 250) & ((images > 0) | (drawings >= 40)), "visual").otherwise("text")
+
+
+# Keys under which a model's reply holds its markdown, and a response its cost, in order.
+REPLY_KEYS, COST_KEYS = ("markdown", "md", "text", "content"), ("cost", "total_cost", "cost_usd")
+# Fixed value: a reply that claims an action.
+CLAIM = (
+    r"(?i)\bI(?:'ve| have)\s+(?:now\s+|just\s+|already\s+)?"
+    r"(?:moved|renamed|re-?tagged|re-?parsed|re-?classified|regenerated|embedded|"
+    r"toggled|set the (?:section )?type|created the (?:section )?type)\b"
+)
+
+
+def file_slug(value: Column) -> Column:
+    """A file name: runs of other characters than letters, digits, dot, underscore and hyphen become one underscore."""
+    short = F.regexp_replace(F.regexp_replace(strip(value), "[^a-zA-Z0-9._-]+", "_"), "^_+|_+$", "")
+    return F.coalesce(F.nullif(short, F.lit("")), F.lit("untitled"))
+
+
+def table_cells(markdown: Column) -> Column:
+    """Cells of a table's rows, separators passed over: row and column from 0, text."""
+    rows = F.filter(lines(markdown), lambda ln: is_table_line(ln) & ~ln.rlike(SEPARATOR_ROW))
+    parts = lambda ln: F.split(F.regexp_replace(strip(ln), r"^\|+|\|+$", ""), r"\|", -1)
+    return F.flatten(F.transform(rows, lambda ln, i: F.transform(parts(ln), lambda v, k: F.struct(i.alias("row"), k.alias("column"), strip(v).alias("text")))))
+
+
+def option_kind(value: Column) -> Column:
+    """The kind that an option's value is read as: bool, null, int, float or string."""
+    low = F.lower(value)
+    whole, real = value.rlike(r"^\s*[+-]?[0-9]+\s*$"), value.try_cast("double").isNotNull()
+    return F.when(low.isin("true", "false"), "bool").when(low == "null", "null").when(whole, "int").when(real, "float").otherwise("string")
+
+
+def json_object_or_empty(value: Column) -> Column:
+    """The text if it is a JSON object, else {}."""
+    return F.when(is_json(value) & strip(value).startswith("{"), value).otherwise(F.lit("{}"))
+
+
+def is_json(value: Column) -> Column:
+    return F.coalesce(F.get_json_object(value, "$").isNotNull(), F.lit(False))
+
+
+def sorted_json(entries: Column) -> Column:
+    """JSON of a map, keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
+
+
+def salvaged_json(raw: Column) -> Column:
+    """The JSON in a reply: within its first fence or else whole, and if that is none the outermost braces; null without any."""
+    fence = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    body = strip(F.when(raw.rlike(r"(?s)```(?:json)?\s*.*?```"), fence).otherwise(raw))
+    brace = F.regexp_extract(body, r"(?s)\{.*\}", 0)
+    return F.when(is_json(body), body).when(is_json(brace), brace)
+
+
+def reply_markdown(content: Column) -> Column:
+    """The markdown of a model's reply: of an object the first of REPLY_KEYS, of other text the text itself, trimmed."""
+    of = F.coalesce(*[F.get_json_object(content, f"$.{k}") for k in REPLY_KEYS], F.lit(""))
+    return F.when(F.coalesce(content, F.lit("")) == "", "").when(is_json(content) & strip(content).startswith("{"), of).when(is_json(content), content).otherwise(strip(content))
+
+
+def reply_cost(response: Column) -> Column:
+    """Cost of a call: the first of COST_KEYS that usage holds (0 and empty pass) or else the response; 0 where it is no number."""
+    at = lambda path: F.get_json_object(response, path)
+    present = [F.coalesce(F.when(~F.coalesce(at(f"$.usage.{k}"), F.lit("")).isin("", "0", "0.0", "false"), at(f"$.usage.{k}")), at(f"$.{k}")) for k in COST_KEYS]
+    return F.coalesce(F.coalesce(*present).try_cast("double"), F.lit(0.0))
+
+
+def run_id(profile: Column) -> Column:
+    """A new id for a run: the profile's file slug and a random suffix."""
+    return F.concat(F.lit("run_"), F.substring(file_slug(profile), 1, 32), F.lit("_"), F.substring(F.replace(F.uuid(), F.lit("-")), 1, 12))
+
+
+def utc(at: Column) -> Column:
+    """A time as ISO text in UTC, to the second. The session's zone must be UTC or at hold UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def shown_text(text: Column, at: Column, marker: str, within: int = 200) -> Column:
+    """Whether a marker stands within so many characters after a place."""
+    return F.contains(F.substring(text, at, F.lit(within)), F.lit(marker))
+
+
+def without_private(entries: Column) -> Column:
+    """A map without the keys that start with an underscore."""
+    return F.map_filter(entries, lambda k, v: ~k.startswith("_"))

@@ -19,6 +19,22 @@ def winner(base: Column, base_recall: Column, cleanup: Column, cleanup_recall: C
     return F.when(image_ok & (~cleanup_ok | (image >= cleanup)), "vlm").when(cleanup_ok, "cleanup").otherwise("baseline")
 
 
+def routed(kind: Column, base_recall: Column) -> Column:
+    """Which parse a page goes to under the older rule: vlm for visual pages and those of low recall, else cleanup."""
+    return F.when((kind == "visual") | (base_recall < 0.85), "vlm").otherwise("cleanup")
+
+
+def routed_adopted(method: Column, base: Column, base_recall: Column, new: Column, new_recall: Column) -> Column:
+    """Whether the routed parse takes the baseline's place: a cleanup by recall within the tolerance, a vlm by a higher composite."""
+    keeps = F.when(method == "cleanup", new_recall >= base_recall - TOLERANCE).otherwise(new > base)
+    return F.coalesce(keeps, F.lit(False))
+
+
+def kept_best(verdict: Column, old: Column, new: Column) -> Column:
+    """Whether an escalated page's parse is kept: of pages without the verdict pass, where its composite is higher."""
+    return F.coalesce(~verdict.eqNullSafe("pass") & (new > old), F.lit(False))
+
+
 def flagged(pages: DataFrame) -> DataFrame:
     """Pages without the verdict pass; a missing verdict counts as flagged."""
     return pages.filter(~F.col("verdict").eqNullSafe("pass"))

@@ -36,6 +36,18 @@ def overlap(pages: DataFrame, keys: list[str], truth: str, parsed: str, tokens=T
     )
 
 
+def overlaps(pages: DataFrame, keys: list[str], truth: str, names: tuple[str, ...]) -> DataFrame:
+    """keys and, per candidate column, its recall and extra ratio: the truth's tokens are counted once for all of them."""
+    side = lambda c, k: F.transform(T.tokens(F.coalesce(F.col(c), F.lit(""))), lambda w: F.struct(w.alias("token"), F.lit(k).alias("k")))
+    rows = pages.select(*keys, F.explode_outer(F.concat(*[side(c, k) for k, c in enumerate((truth, *names))])).alias("w"))
+    per = rows.groupBy(*keys, "w.token").agg(*[F.sum((F.col("w.k") == k).cast("long")).alias(f"n{k}") for k in range(len(names) + 1)])
+    sums = [F.sum(f"n{k}").alias(f"s{k}") for k in range(len(names) + 1)] + [F.sum(F.least("n0", f"n{k}")).alias(f"b{k}") for k in range(1, len(names) + 1)]
+    all_ = per.groupBy(*keys).agg(*sums)
+    rate = lambda x, n, none: F.when(F.coalesce(F.col(n), F.lit(0)) == 0, none).otherwise(x / F.col(n))
+    out = [x for k, c in enumerate(names, 1) for x in (rate(F.col(f"b{k}"), "s0", 1.0).alias(f"{c}_recall"), rate(F.col(f"s{k}") - F.col(f"b{k}"), f"s{k}", 0.0).alias(f"{c}_extra"))]
+    return all_.select(*keys, *out)
+
+
 def source_has_table(truth: Column) -> Column:
     """At least three lines with two gaps or more of two blanks."""
     return F.size(F.filter(T.lines(truth), lambda ln: F.regexp_count(ln, F.lit(r"\S {2,}")) >= 2)) >= 3
@@ -110,8 +122,8 @@ TABLE_TERMS = ("revision", "description", "initiated by", "approved by", "page",
 
 
 def source_has_any_table(source: Column) -> Column:
-    """Three table-like lines (pipe rows, or two gaps of two blanks or more), or three head words with date or number rows."""
-    like = F.size(F.filter(T.lines(source), lambda ln: ln.rlike(T.TABLE_ROW) | (F.regexp_count(ln, F.lit(r"\S\s{2,}(?=\S)")) >= 2)))
+    """Three table-like lines (pipe rows, or two gaps of two blanks or more, each with a character of its own at either end), or three head words with date or number rows."""
+    like = F.size(F.filter(T.lines(source), lambda ln: ln.rlike(T.TABLE_ROW) | (F.regexp_count(ln, F.lit(r"\S\s{2,}\S")) >= 2)))
     heads = sum((F.contains(F.lower(source), F.lit(t)).cast("int") for t in TABLE_TERMS), F.lit(0))
     dates, numbers = F.regexp_count(source, F.lit(r"\b\d{1,2}/\d{4}\b")), F.regexp_count(source, F.lit(r"(?m)^\s*\d+\s*$"))
     return (like >= 3) | ((heads >= 3) & ((dates >= 3) | (numbers >= 4)))

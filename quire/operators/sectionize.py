@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
-#: Deepest level that headings and numbering give.
+#: Deepest level that headings and numbering give; an outline may give deeper ones.
 DEEPEST = 6
 
 
@@ -43,20 +43,20 @@ def levels(headings: DataFrame, outline: DataFrame | None = None) -> DataFrame:
     return rows.withColumn("level", F.when(F.col("chapter").isNotNull() & ~accepted, 2).otherwise(F.col("level"))).drop("chapter")
 
 
-def paths(headings: DataFrame) -> DataFrame:
+def paths(headings: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     """headings with path, the titles of the live ancestors and their own.
 
     The last heading of each level k < own level counts if it stands after the last of every level above k.
     """
     before = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("level") == k, F.struct("pos", "title")), ignorenulls=True).over(before).alias(f"last{k}") for k in range(1, DEEPEST)]
+    last = [F.last(F.when(F.col("level") == k, F.struct("pos", "title")), ignorenulls=True).over(before).alias(f"last{k}") for k in range(1, deepest)]
     rows = headings.select("*", *last)
     parts, above = [], F.lit(0)
-    for k in range(1, DEEPEST):
+    for k in range(1, deepest):
         here = F.col(f"last{k}.pos")
         parts.append(F.when((F.col("level") > k) & (here > above), F.col(f"last{k}.title")))
         above = F.greatest(above, F.coalesce(here, F.lit(0)))
-    return rows.withColumn("path", F.concat(F.array_compact(F.array(*parts)), F.array("title"))).drop(*[f"last{k}" for k in range(1, DEEPEST)])
+    return rows.withColumn("path", F.concat(F.array_compact(F.array(*parts)), F.array("title"))).drop(*[f"last{k}" for k in range(1, deepest)])
 
 
 def bodies(lines: DataFrame) -> DataFrame:
@@ -69,10 +69,11 @@ def sections(pages: DataFrame, outline: DataFrame | None = None) -> DataFrame:
     """doc, idx, title, level, path, page_start, page_end, markdown of every document.
 
     Text before a first heading is left out; a document without headings is one section named Preamble.
-    Repeats of a numbered title fold into the first; then neighbours of equal level and title fold.
+    An outline (doc, title, level) may give levels of any depth. Repeats of a numbered title fold into the first; then neighbours of equal level and title fold.
     """
     lines = headed_lines(pages)
-    heads = paths(levels(lines.filter("title is not null").select("doc", "pos", "section", F.col("page_no").alias("page_start"), "title", "marks"), outline))
+    deepest = max(DEEPEST, outline.agg(F.max("level")).first()[0] or 0) if outline is not None else DEEPEST
+    heads = paths(levels(lines.filter("title is not null").select("doc", "pos", "section", F.col("page_no").alias("page_start"), "title", "marks"), outline), deepest)
     rows = heads.join(bodies(lines), ["doc", "section"])
     same = F.lower("title")
     numbered = F.col("title").rlike(T.NUMBERED)

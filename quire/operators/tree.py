@@ -8,9 +8,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. A local session may do without; a cluster may not."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return root or "/tmp/checkpoints"
+
 
 def descend(top: DataFrame, below: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """top, the rows that below gives for it, those that it gives for these, and so on until there are none.
@@ -18,7 +28,7 @@ def descend(top: DataFrame, below: Callable[[DataFrame], DataFrame]) -> DataFram
     Each level is written to the shared folder and read back, so plans don't grow with the depth.
     """
     spark = top.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/levels-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}"
     paths, level = [], top
     while True:
         paths.append(f"{folder}/{len(paths)}")
@@ -116,37 +126,59 @@ def reorder(nodes: DataFrame, orders: DataFrame) -> DataFrame:
 def merge(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     """The tree after merging siblings: groups (doc, keep, id) gives for each id, keep included, the row that takes it.
 
-    Ranges widen, bodies join in order by an empty line, children go to the row kept. Rows of another
+    Ranges widen, bodies, trimmed, join in order by an empty line (blank ones are passed over), children go to the row kept. Rows of another
     parent than the kept one's are left as they are.
     """
     kept = nodes.select("doc", F.col("id").alias("keep"), F.col("parent").alias("kp"))
     plan = groups.join(kept, ["doc", "keep"]).join(nodes.select("doc", "id", "parent"), ["doc", "id"]).filter("parent <=> kp").select("doc", "id", "keep")
     rows = nodes.join(plan, ["doc", "id"], "left")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce("markdown", F.lit("")) != "", F.struct("sort_order", "id", "markdown")))), lambda x: x["markdown"]), "\n\n")
+    rows = rows.withColumn("__body", T.strip(F.coalesce("markdown", F.lit(""))))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("__body") != "", F.struct("sort_order", "id", "__body")))), lambda x: x["__body"]), "\n\n")
     merged = rows.filter("keep is not null").groupBy("doc", F.col("keep").alias("id")).agg(
         F.min(F.nullif("page_start", F.lit(0))).alias("__a"), F.max(F.nullif("page_end", F.lit(0))).alias("__b"), body.alias("__m")
     )
-    left = rows.filter("keep is null or keep = id").drop("keep").join(merged, ["doc", "id"], "left")
+    left = rows.filter("keep is null or keep = id").drop("keep", "__body").join(merged, ["doc", "id"], "left")
     left = left.withColumns({"page_start": F.coalesce("__a", "page_start"), "page_end": F.coalesce("__b", "page_end"), "markdown": F.coalesce("__m", "markdown")}).drop("__a", "__b", "__m")
     new_parent = plan.select("doc", F.col("id").alias("parent"), F.col("keep").alias("__to"))
     return nested_set(left.join(new_parent, ["doc", "parent"], "left").withColumn("parent", F.coalesce("__to", "parent")).drop("__to"))
 
 
 def split(nodes: DataFrame, at: DataFrame) -> DataFrame:
-    """The tree after splits at (doc, id, heading, new_id): the body from that heading on becomes the next sibling.
+    """The tree after splits at (doc, id, heading, new_id): the body from that heading line on becomes the next sibling.
 
-    The heading is compared without marks and case; rows without it stay whole. Both keep the page range.
+    The first line that starts with marks (after blanks) and has the asked text after them, in any case, is where the tail starts;
+    the asked heading may carry marks itself. The tail keeps that line and takes its text as title. Both parts are
+    trimmed and keep the page range; rows without such a line stay whole.
     """
-    rows = nodes.join(at.select("doc", "id", "heading", "new_id"), ["doc", "id"], "left").withColumn("__l", F.split(F.coalesce("markdown", F.lit("")), "\n", -1))
-    rows = rows.withColumn("__p", F.array_position(F.transform("__l", lambda x: F.lower(F.regexp_replace(x, r"^\s*#{1,6}\s+|\s+$", ""))), F.lower("heading")))
+    bare = lambda x: T.strip(F.regexp_replace(x, r"^\s*#*", ""))
+    order = Window.partitionBy("doc", "parent").orderBy(F.coalesce("sort_order", F.lit(0)), "id")
+    rows = nodes.withColumn("__o", F.row_number().over(order).cast("double")).join(at.select("doc", "id", "heading", "new_id"), ["doc", "id"], "left").withColumn("__l", F.split(F.coalesce("markdown", F.lit("")), "\n", -1))
+    forms = F.transform("__l", lambda x: F.when(x.rlike(r"^\s*#"), F.lower(bare(x))))
+    rows = rows.withColumn("__p", F.array_position(forms, F.lower(bare(F.col("heading")))))
     cut = F.col("heading").isNotNull() & (F.coalesce("__p", F.lit(0)) > 0)
-    head = rows.withColumn("markdown", F.when(cut, F.regexp_replace(F.array_join(F.slice("__l", F.lit(1), F.greatest(F.col("__p") - 1, F.lit(0)).cast("int")), "\n"), r"\s+$", "")).otherwise(F.col("markdown")))
+    part = lambda first, n: T.strip(F.array_join(F.slice("__l", first.cast("int"), n.cast("int")), "\n"))
+    place = F.greatest(F.coalesce("__p", F.lit(0)), F.lit(1))
+    head = rows.withColumn("markdown", F.when(cut, part(F.lit(1), place - 1)).otherwise(F.col("markdown")))
     tail = rows.filter(cut).withColumns(
-        {"id": F.col("new_id"), "title": F.col("heading"), "sort_order": F.col("sort_order") + 0.5, "markdown": F.array_join(F.slice("__l", (F.col("__p") + 1).cast("int"), F.size("__l")), "\n")}
+        {"id": F.col("new_id"), "title": bare(F.element_at("__l", F.col("__p").cast("int"))), "__o": F.col("__o") + 0.5, "markdown": part(place, F.size("__l"))}
     )
     both = head.unionByName(tail, allowMissingColumns=True).drop("heading", "new_id", "__l", "__p")
-    place = F.row_number().over(Window.partitionBy("doc", "parent").orderBy("sort_order", "id")) - 1
-    return nested_set(both.withColumn("sort_order", place))
+    place = F.row_number().over(Window.partitionBy("doc", "parent").orderBy("__o", "id")) - 1
+    return nested_set(both.withColumn("sort_order", place).drop("__o"))
+
+
+def create(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """The tree with new rows (columns of nodes, and index): each at a 0-based place among its siblings, last without one.
+
+    A row whose parent is no row of its document is left out; so is one whose id is taken.
+    """
+    known = nodes.select("doc", "id")
+    fit = new.join(known.withColumnRenamed("id", "parent"), ["doc", "parent"], "left_semi").unionByName(new.filter("parent is null")).join(known, ["doc", "id"], "left_anti")
+    order = Window.partitionBy("doc", "parent").orderBy(F.coalesce("sort_order", F.lit(0)), "id")
+    staying = nodes.withColumn("__place", (F.row_number().over(order) - 1).cast("double"))
+    both = staying.unionByName(fit.withColumn("__place", F.when(F.col("index").isNotNull(), F.greatest(F.col("index"), F.lit(0)) - 0.5).otherwise(1e6)).drop("index"), allowMissingColumns=True)
+    place = F.row_number().over(Window.partitionBy("doc", "parent").orderBy("__place", "id")) - 1
+    return nested_set(both.withColumn("sort_order", place).drop("__place"))
 
 
 def rendered(numbered: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as sections: lft is the id, the type comes from the labels, some types are empty or missing."""
     d, lab = S.read(spark, sf_dir, "documents").select("doc_id", "source", "lang"), S.read(spark, sf_dir, "labels")
     kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "")
-    return d.join(lab, "doc_id", "left").select(F.col("source").alias("doc"), F.col("doc_id").alias("id"), F.col("doc_id").alias("lft"), kind.alias("section_type"), "lang")
+    return d.join(lab, "doc_id", "left").select(F.concat_ws("-", "source", F.expr("doc_id div 1000").cast("string")).alias("doc"), F.col("doc_id").alias("id"), F.col("doc_id").alias("lft"), kind.alias("section_type"), "lang")
 
 
 def _types(spark: SparkSession) -> DataFrame:
@@ -32,13 +32,13 @@ def type_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def type_summary_in_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = _sections(spark, sf_dir)
-    project = sections.filter("doc like '%1'").select("doc").distinct()
+    project = sections.filter("doc like '%1-%'").select("doc").distinct()
     return explore.type_summary(sections, _types(spark), project)
 
 
 def sections_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = _sections(spark, sf_dir)
-    titles = sections.filter("doc <> 'src3'").select("doc", F.concat(F.lit("Title of "), "doc").alias("title")).distinct()
+    titles = sections.filter("doc not like 'src3-%'").select("doc", F.concat(F.lit("Title of "), "doc").alias("title")).distinct()
     found = explore.sections_by_type(sections, titles, explore.UNTAGGED)
     return found.select("doc", "title", F.size("sections").cast("bigint").alias("sections"), F.md5(F.array_join("sections", ",")).alias("digest"))
 
@@ -51,17 +51,16 @@ def merged_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with recall, extra and composite of each candidate."""
-    pages = S.pages(spark, sf_dir)
-    out = pages.select(*KEYS, "kind")
-    for name in ("baseline", "cleanup", "vlm"):
-        c = score.overlap(pages, KEYS, "truth", name)
-        terms = {"text_recall": F.col("text_recall"), "not_hallucinated": 1 - F.col("extra_ratio")}
-        value = score.composite(terms, {k: score.TEXT_WEIGHTS[k] for k in terms})
-        out = out.join(c.select(*KEYS, F.round("text_recall", 3).alias(f"{name}_recall"), F.round("extra_ratio", 3).alias(f"{name}_extra"), value.alias(f"{name}_composite")), KEYS)
-    there = pages.select(*KEYS, F.col("cleanup").isNotNull().alias("has_cleanup"), F.col("vlm").isNotNull().alias("has_vlm"))
-    out = out.join(there, KEYS)
-    return out.withColumns({"cleanup_composite": F.when(F.col("has_cleanup"), F.col("cleanup_composite")), "vlm_composite": F.when(F.col("has_vlm"), F.col("vlm_composite"))})
+    """Pages with recall, extra and composite of each candidate, from one pass over the texts' tokens."""
+    c, names = F.col, ("baseline", "cleanup", "vlm")
+    pages = S.pages(spark, sf_dir).withColumns({"has_cleanup": c("cleanup").isNotNull(), "has_vlm": c("vlm").isNotNull()})
+    out = score.overlaps(pages, [*KEYS, "kind", "has_cleanup", "has_vlm"], "truth", names)
+    for name in names:
+        recall, extra = c(f"{name}_recall"), c(f"{name}_extra")
+        value = score.composite({"text_recall": recall, "not_hallucinated": 1 - extra}, {k: score.TEXT_WEIGHTS[k] for k in ("text_recall", "not_hallucinated")})
+        value = value if name == "baseline" else F.when(c(f"has_{name}"), value)
+        out = out.withColumn(f"{name}_composite", value).withColumns({f"{name}_recall": F.round(recall, 3), f"{name}_extra": F.round(extra, 3)})
+    return out
 
 
 def adopt_best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,14 +234,14 @@ rates AS (SELECT *, CASE WHEN t = 0 THEN 1.0::DOUBLE ELSE common_n::DOUBLE / t E
 wide AS (SELECT doc, page_no, name, round(recall, 3) AS recall, round(extra, 3) AS extra, round((0.4::DOUBLE * recall + 0.15::DOUBLE * (1 - extra)) / (0.4::DOUBLE + 0.15::DOUBLE), 3) AS composite FROM rates),
 cand AS (SELECT v.doc, v.page_no, v.kind, b.recall AS br, b.extra AS be, b.composite AS bc, c.recall AS cr, c.extra AS ce, CASE WHEN v.cleanup IS NOT NULL THEN c.composite END AS cc, CASE WHEN v.vlm IS NOT NULL THEN m.composite END AS mc
   FROM pages_v v JOIN wide b ON b.doc = v.doc AND b.page_no = v.page_no AND b.name = 'baseline' JOIN wide c ON c.doc = v.doc AND c.page_no = v.page_no AND c.name = 'cleanup' JOIN wide m ON m.doc = v.doc AND m.page_no = v.page_no AND m.name = 'vlm')"""
-_SECTIONS = "sections_v AS (SELECT source AS doc, doc_id AS id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN '' END AS section_type FROM documents LEFT JOIN labels USING (doc_id)), types_v(type_name) AS (VALUES ('good'), ('toxic'), ('unused'))"
+_SECTIONS = "sections_v AS (SELECT source || '-' || (doc_id // 1000) AS doc, doc_id AS id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN '' END AS section_type FROM documents LEFT JOIN labels USING (doc_id)), types_v(type_name) AS (VALUES ('good'), ('toxic'), ('unused'))"
 _SUMMARY = "SELECT type_name, count(id) AS sections FROM types_v LEFT JOIN s ON section_type = type_name GROUP BY 1 UNION ALL SELECT '__untagged__', count(*) FROM s WHERE coalesce(section_type, '') = '' HAVING count(*) > 0"
 _VERDICT = "CASE WHEN bc >= 0.9 THEN 'pass' WHEN bc >= 0.7 THEN 'escalate' ELSE 'review' END"
 
 ORACLES = {
     "type_summary": f"WITH {_SECTIONS}, s AS (SELECT * FROM sections_v) {_SUMMARY}",
-    "type_summary_in_project": f"WITH {_SECTIONS}, s AS (SELECT * FROM sections_v WHERE doc LIKE '%1') {_SUMMARY}",
-    "sections_by_type": f"WITH {_SECTIONS} SELECT doc, CASE WHEN doc = 'src3' THEN doc ELSE 'Title of ' || doc END AS title, count(*) AS sections, md5(string_agg(id::VARCHAR, ',' ORDER BY id)) AS digest FROM sections_v WHERE coalesce(section_type, '') = '' GROUP BY doc",
+    "type_summary_in_project": f"WITH {_SECTIONS}, s AS (SELECT * FROM sections_v WHERE doc LIKE '%1-%') {_SUMMARY}",
+    "sections_by_type": f"WITH {_SECTIONS} SELECT doc, CASE WHEN doc LIKE 'src3-%' THEN doc ELSE 'Title of ' || doc END AS title, count(*) AS sections, md5(string_agg(id::VARCHAR, ',' ORDER BY id)) AS digest FROM sections_v WHERE coalesce(section_type, '') = '' GROUP BY doc",
     "merged_types": r"""WITH t AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 't_' ELSE 'k' END || p_partkey AS type_name, lower(trim(regexp_replace(upper(p_brand) || '  ' || p_type, '\s+', ' ', 'g'))) AS form, p_partkey AS creation FROM part)
         SELECT type_name, first_value(type_name) OVER (PARTITION BY form ORDER BY starts_with(type_name, 't_'), creation) AS canonical FROM t""",
     "adopt_best": f"WITH {_CANDIDATES} SELECT doc, page_no, CASE WHEN coalesce(mc > bc, false) AND (NOT coalesce(kind = 'text' AND cc IS NOT NULL AND cr >= br - 0.12, false) OR mc >= cc) THEN 'vlm' WHEN coalesce(kind = 'text' AND cc IS NOT NULL AND cr >= br - 0.12, false) THEN 'cleanup' ELSE 'baseline' END AS winner FROM cand",
@@ -273,7 +272,10 @@ ORACLES = {
     "snapshot_changes": """WITH n AS (SELECT conv_id, role, count(*) AS a, CASE WHEN conv_id % 9 <> 0 THEN count(*) ELSE 0 END + CASE WHEN conv_id % 50 = 1 THEN count(*) ELSE 0 END AS b FROM conversations GROUP BY 1, 2)
         SELECT conv_id, role, CASE WHEN a > b THEN 'before' ELSE 'after' END AS side, abs(a - b) AS rows FROM n WHERE a <> b""",
     "benchmark_overlap": f"""WITH bt AS (SELECT item_id, {_TOKENS.format('text')} AS tk FROM benchmark), dt AS (SELECT doc_id, {_TOKENS.format('text')} AS tk FROM documents),
-        hits AS (SELECT doc_id, item_id, d.tk AS dtk, b.tk AS btk FROM dt d JOIN bt b ON contains(' ' || array_to_string(d.tk, ' ') || ' ', ' ' || array_to_string(b.tk[1:8], ' ') || ' ')),
+        bg AS (SELECT DISTINCT item_id, least(8, len(tk)) AS n, array_to_string(tk[i:i + least(8, len(tk)) - 1], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(tk) - 7, 1) + 1)) AS i FROM bt WHERE len(tk) > 0)),
+        dw AS (SELECT doc_id, unnest(tk) AS w, unnest(range(len(tk))) AS i FROM dt),
+        dg AS (SELECT DISTINCT doc_id, n, g FROM (SELECT doc_id, 8 AS n, concat_ws(' ', w, lead(w) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o, lead(w, 5) OVER o, lead(w, 6) OVER o, lead(w, 7) OVER o) AS g FROM dw WINDOW o AS (PARTITION BY doc_id ORDER BY i))),
+        hits AS (SELECT DISTINCT doc_id, item_id FROM bg JOIN dg USING (n, g) UNION SELECT doc_id, item_id FROM (SELECT item_id, g FROM bg WHERE n < 8) s JOIN dt d ON contains(' ' || array_to_string(d.tk, ' ') || ' ', ' ' || s.g || ' ')),
         bc AS (SELECT item_id, token, count(*) AS n FROM (SELECT item_id, unnest(tk) AS token FROM bt) GROUP BY 1, 2), dc AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(tk) AS token FROM dt WHERE doc_id IN (SELECT doc_id FROM hits)) GROUP BY 1, 2)
         SELECT h.doc_id, h.item_id, round(sum(least(bc.n, coalesce(dc.n, 0)))::DOUBLE / sum(bc.n), 6) AS text_recall FROM hits h JOIN bc USING (item_id) LEFT JOIN dc ON dc.doc_id = h.doc_id AND dc.token = bc.token GROUP BY 1, 2""",
     "scalar_functions": r"""WITH t AS (SELECT *, ' **' || (p_partkey % 20) || '.' || (p_size % 3) || '. ' || p_name || '**_ ' AS title, (p_partkey % 20) || '.' || (p_size % 3) || '. ' || p_name AS clean FROM part)

@@ -30,9 +30,9 @@ cells_v AS (SELECT *, row_number() OVER (PARTITION BY key, block ORDER BY line_n
 blocks_v AS (SELECT *, bool_or(pos = 1 AND sep) OVER (PARTITION BY key, block) AS has_sep, max(CASE WHEN pos = 0 THEN cells END) OVER (PARTITION BY key, block) AS header FROM cells_v)"""
 
 TREE = """tree_v AS (
-  SELECT DISTINCT c_nationkey::BIGINT AS doc, 's:' || c_mktsegment AS id, NULL AS parent, c_mktsegment AS title, 0::BIGINT AS sort_order, true AS include FROM customer
-  UNION ALL SELECT c_nationkey, 'c:' || c_custkey, 's:' || c_mktsegment, c_mktsegment, c_custkey % 4, c_custkey % 3 <> 0 FROM customer
-  UNION ALL SELECT c_nationkey, 'o:' || o_orderkey, 'c:' || c_custkey, o_orderpriority, 0, o_orderkey % 2 = 0 FROM orders JOIN customer ON o_custkey = c_custkey),
+  SELECT DISTINCT (c_nationkey * 1000000 + c_custkey // 500)::BIGINT AS doc, 's:' || c_mktsegment AS id, NULL AS parent, c_mktsegment AS title, 0::BIGINT AS sort_order, true AS include FROM customer
+  UNION ALL SELECT c_nationkey * 1000000 + c_custkey // 500, 'c:' || c_custkey, 's:' || c_mktsegment, c_mktsegment, c_custkey % 4, c_custkey % 3 <> 0 FROM customer
+  UNION ALL SELECT c_nationkey * 1000000 + c_custkey // 500, 'o:' || o_orderkey, 'c:' || c_custkey, o_orderpriority, 0, o_orderkey % 2 = 0 FROM orders JOIN customer ON o_custkey = c_custkey),
 ranked AS (
   SELECT t.*, CASE left(t.id, 1) WHEN 's' THEN 1 WHEN 'c' THEN 2 ELSE 3 END AS level,
     CASE left(t.id, 1) WHEN 's' THEN t.id WHEN 'c' THEN t.parent ELSE u.parent END AS k1,
@@ -46,9 +46,10 @@ nested AS (SELECT *, 2 * m - level AS lft, 2 * m - level + 2 * d + 1 AS rgt FROM
 SPANS = PAGES + """, spans_v AS (
   SELECT doc, id, parent, page_start, page_end, lft, rgt, CASE WHEN doc_id % 4 <> 0 THEN 'type' || (doc_id % 3) END AS section_type,
     truth || ' See page ' || (1 + doc_id * 7 % 60) || ', and p. 4; refer to Page No. 12.' AS markdown
-  FROM (SELECT doc, 'c' || ((page_no - 1) // 10) AS id, NULL AS parent, page_no AS page_start, page_no + 9 AS page_end, 6 * ((page_no - 1) // 10) + 1 AS lft, 6 * ((page_no - 1) // 10) + 6 AS rgt, doc_id, truth FROM pages_v WHERE page_no % 10 = 1
-    UNION ALL SELECT doc, 'h' || page_no, 'c' || ((page_no - 1) // 10), page_no, page_no + CASE WHEN page_no % 10 = 1 THEN 4 ELSE 6 END,
-      6 * ((page_no - 1) // 10) + CASE WHEN page_no % 10 = 1 THEN 2 ELSE 4 END, 6 * ((page_no - 1) // 10) + CASE WHEN page_no % 10 = 1 THEN 3 ELSE 5 END, doc_id, truth FROM pages_v WHERE page_no % 5 = 1)),
+  FROM (SELECT doc, id, parent, page_start, page_end, lft, rgt, arg_min(doc_id, page_no) AS doc_id, string_agg(truth, chr(10) ORDER BY page_no) AS truth FROM (
+    SELECT doc, page_no, doc_id, truth, 'c' || ((page_no - 1) // 4) AS id, NULL AS parent, 4 * ((page_no - 1) // 4) + 1 AS page_start, 4 * ((page_no - 1) // 4) + 4 AS page_end, 6 * ((page_no - 1) // 4) + 1 AS lft, 6 * ((page_no - 1) // 4) + 6 AS rgt FROM pages_v
+    UNION ALL SELECT doc, page_no, doc_id, truth, 'h' || s, 'c' || ((s - 1) // 4), s, s + CASE WHEN s % 4 = 3 THEN 2 ELSE 1 END, 6 * ((s - 1) // 4) + CASE WHEN s % 4 = 3 THEN 4 ELSE 2 END, 6 * ((s - 1) // 4) + CASE WHEN s % 4 = 3 THEN 5 ELSE 3 END
+      FROM (SELECT *, 2 * ((page_no - 1) // 2) + 1 AS s FROM pages_v UNION ALL SELECT *, page_no - 2 FROM pages_v WHERE page_no % 4 = 1 AND page_no > 1)) GROUP BY doc, id, parent, page_start, page_end, lft, rgt)),
 counts_v AS (SELECT doc, max(page_no) AS page_count FROM pages_v GROUP BY 1),
 mentions_v AS (SELECT s.doc, s.id, m[1] AS anchor, m[2] AS cue, m[3] AS kind, m[4]::INT AS n FROM (
   SELECT doc, id, unnest(list_transform(regexp_extract_all(markdown, '(?i)((?:see|refer(?:\\s+to)?)\\s+)?(page\\s*no\\.?|page|pg\\.?|p\\.)\\s*(\\d{1,4})\\b'), lambda x: [x, regexp_extract(x, '(?i)^((?:see|refer(?:\\s+to)?)\\s+)', 1), regexp_extract(x, '(?i)(page\\s*no\\.?|page|pg\\.?|p\\.)\\s*\\d', 1), regexp_extract(x, '(\\d{1,4})$', 1)])) AS m FROM spans_v) s),

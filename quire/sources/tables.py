@@ -7,7 +7,7 @@ whatever the size of a source.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -58,9 +58,9 @@ def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc, id, parent, title, sort_order, include: segments of a nation, their customers, and these customers' orders."""
+    """doc, id, parent, title, sort_order, include: segments of a block of a nation's customers, these, and their orders."""
     c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
-    doc = F.col("c_nationkey").cast("bigint").alias("doc")
+    doc = F.expr("c_nationkey * 1000000 + c_custkey div 500").cast("bigint").alias("doc")
     seg = F.concat(F.lit("s:"), "c_mktsegment")
     cust = F.concat(F.lit("c:"), F.col("c_custkey").cast("string"))
     zero = F.lit(0).cast("bigint").alias("sort_order")
@@ -73,14 +73,22 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc, id, parent, page_start, page_end, lft, rgt, section_type, markdown: chapters of ten pages, each with two halves."""
+    """doc, id, parent, page_start, page_end, lft, rgt, section_type, markdown: chapters of four pages, each with two halves.
+
+    A second half goes on over the first page of the next chapter. A span has the text of all its pages, in order.
+    """
     p = pages(spark, sf_dir).select("doc", "page_no", "doc_id", "truth")
-    j = F.expr("(page_no - 1) div 10")
-    chapter = p.filter("page_no % 10 = 1").select("doc", F.concat(F.lit("c"), j.cast("string")).alias("id"), F.lit(None).cast("string").alias("parent"), F.col("page_no").alias("page_start"), (F.col("page_no") + 9).alias("page_end"), (6 * j + 1).alias("lft"), (6 * j + 6).alias("rgt"), "doc_id", "truth")
-    half = p.filter("page_no % 5 = 1").select(
-        "doc", F.concat(F.lit("h"), F.col("page_no").cast("string")).alias("id"), F.concat(F.lit("c"), j.cast("string")).alias("parent"), F.col("page_no").alias("page_start"), (F.col("page_no") + F.when(F.col("page_no") % 10 == 1, 4).otherwise(6)).alias("page_end"),
-        (6 * j + F.when(F.col("page_no") % 10 == 1, 2).otherwise(4)).alias("lft"), (6 * j + F.when(F.col("page_no") % 10 == 1, 3).otherwise(5)).alias("rgt"), "doc_id", "truth",
-    )
+    j, s = F.expr("cast((page_no - 1) div 4 as bigint)"), F.expr("cast(2 * ((page_no - 1) div 2) + 1 as bigint)")
+
+    def half(start: Column) -> Column:
+        k, late = F.floor((start - 1) / 4), (start % 4 == 3).cast("bigint")
+        return F.struct(F.concat(F.lit("h"), start.cast("string")).alias("id"), F.concat(F.lit("c"), k.cast("string")).alias("parent"), start.alias("page_start"), (start + 1 + late).alias("page_end"), (6 * k + 2 + 2 * late).alias("lft"), (6 * k + 3 + 2 * late).alias("rgt"))
+
+    chapter = F.struct(F.concat(F.lit("c"), j.cast("string")).alias("id"), F.lit(None).cast("string").alias("parent"), (4 * j + 1).alias("page_start"), (4 * j + 4).alias("page_end"), (6 * j + 1).alias("lft"), (6 * j + 6).alias("rgt"))
+    own = F.array(chapter, half(s))
+    held = p.withColumn("span", F.explode(F.when((F.col("page_no") % 4 == 1) & (F.col("page_no") > 1), F.array_append(own, half(F.col("page_no").cast("bigint") - 2))).otherwise(own)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "truth"))), lambda x: x["truth"]), "\n")
+    rows = held.groupBy("doc", "span").agg(F.min_by("doc_id", "page_no").alias("doc_id"), text.alias("truth")).select("doc", "span.*", "doc_id", "truth")
     text = F.concat("truth", F.lit(" See page "), (1 + F.col("doc_id") * 7 % 60).cast("string"), F.lit(", and p. 4; refer to Page No. 12."))
     kind = F.when(F.col("doc_id") % 4 == 0, None).otherwise(F.concat(F.lit("type"), (F.col("doc_id") % 3).cast("string")))
-    return chapter.unionByName(half).select("doc", "id", "parent", "page_start", "page_end", "lft", "rgt", kind.alias("section_type"), text.alias("markdown"))
+    return rows.select("doc", "id", "parent", "page_start", "page_end", "lft", "rgt", kind.alias("section_type"), text.alias("markdown"))

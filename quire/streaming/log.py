@@ -23,18 +23,19 @@ def windowed_levels(log: DataFrame, at: str = "ts", level: str = "event_type", l
 def append_sequenced(log: DataFrame, target: str, checkpoint: str, key: str, order: list[str]) -> DataStreamWriter:
     """Appends each batch with idx_seq going on from the rows already kept for its key.
 
-    A batch is written under its number, so a batch that runs again replaces itself.
+    The last number of each key is kept beside the batches, so a batch reads one row a key and no older rows. A batch
+    and its numbers are written under the batch's own number, so one that runs again replaces itself.
     """
+    last = lambda number: f"{target}/_last/{number}"
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        numbered = sessions.sequenced(batch, key, order)
-        try:
-            kept = spark.read.parquet(target).filter(F.col("batch") < number).groupBy(key).agg((F.max("idx_seq") + 1).alias("kept"))
-            numbered = numbered.join(kept, key, "left").withColumn("idx_seq", F.col("idx_seq") + F.coalesce("kept", F.lit(0))).drop("kept")
-        except Exception as e:  # nothing has been kept before the first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        numbered = sessions.sequenced(batch, key, order).withColumn("idx_seq", F.col("idx_seq").cast("long"))
+        kept = spark.read.parquet(last(number - 1)) if number else None
+        if kept is not None:
+            numbered = numbered.join(kept, key, "left").withColumn("idx_seq", F.col("idx_seq") + F.coalesce(F.col("last") + 1, F.lit(0))).drop("last")
         numbered.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        now = spark.read.schema(numbered.schema).parquet(f"{target}/batch={number}").select(key, F.col("idx_seq").cast("long").alias("last"))
+        (now.unionByName(kept) if kept is not None else now).groupBy(key).agg(F.max("last").alias("last")).write.mode("overwrite").parquet(last(number))
 
     return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import adopt, clean, explore, lint, refs, runs, score, sectionize, tree, wiki
+from quire.operators import adopt, clean, editing, explore, lint, refs, runs, score, sectionize, tree, wiki
 from quire.plans import retrieval
 from quire.sources import canonical
 
@@ -16,49 +16,54 @@ def sections(spark, *texts):
     return [tuple(r) for r in sectionize.sections(pages(spark, *texts)).orderBy("idx").select("title", "level", "page_start", "page_end", "markdown").collect()]
 
 
-def test_numbered_headings_nest(spark):
-    found = sections(spark, "## 1. Introduction\nbody\n## 1.1 Scope\nscope body", "## 2. Procedures\nproc body")
-    assert [(t, lv, a) for t, lv, a, _, _ in found] == [("1. Introduction", 1, 1), ("1.1 Scope", 2, 1), ("2. Procedures", 1, 2)]
-    paths = sectionize.sections(pages(spark, "## 1. Introduction\nbody\n## 1.1 Scope\nscope body")).orderBy("idx").collect()
-    assert paths[1]["path"] == ["1. Introduction", "1.1 Scope"]
+def test_numbers_give_levels_and_paths(spark):
+    """Dots count, not marks; a title without a number keeps its marks' level and hangs under the nearest lower one."""
+    found = sectionize.sections(pages(spark, "### 4 Rivers\nlong\n# 4.2 Weirs\n##### Locks\nshut", "#### 4.2.1. Gates\n## 5. Lakes\ndeep")).orderBy("idx").collect()
+    assert [(r["title"], r["level"], r["page_start"], r["page_end"]) for r in found] == [("4 Rivers", 1, 1, 1), ("4.2 Weirs", 2, 1, 1), ("Locks", 5, 1, 1), ("4.2.1. Gates", 3, 2, 2), ("5. Lakes", 1, 2, 2)]
+    assert [r["path"] for r in found][2:] == [["4 Rivers", "4.2 Weirs", "Locks"], ["4 Rivers", "4.2 Weirs", "4.2.1. Gates"], ["5. Lakes"]]
 
 
-def test_repeated_chapter_is_demoted(spark):
-    assert [(t, lv) for t, lv, *_ in sections(spark, "## 1. First", "## 2. Second", "## 1. Eclampsia")] == [("1. First", 1), ("2. Second", 1), ("1. Eclampsia", 2)]
+def test_chapter_numbers_must_rise(spark):
+    assert [(t, lv) for t, lv, *_ in sections(spark, "# 7. Tin\n# 9. Zinc", "# 8. Lead\n# 9. Iron\n# 10. Gold\n# 11. 3 rings")] == [("7. Tin", 1), ("9. Zinc", 1), ("8. Lead", 2), ("9. Iron", 2), ("10. Gold", 1), ("11. 3 rings", 2)]
 
 
-def test_running_header_is_one_section(spark):
-    assert sections(spark, "## 3. Surgery\na", "## 3. Surgery\nb", "## 3. Surgery\nc") == [("3. Surgery", 1, 1, 3, "a\nb\nc")]
+def test_repeated_titles_fold(spark):
+    """A numbered title's repeats fold into its first from anywhere; other titles only if they are neighbours of one level."""
+    assert sections(spark, "# 2. Kilns\nfire", "# Notes\nn1", "# 2. KILNS\nash", "# notes\nn2") == [("2. Kilns", 1, 1, 3, "fire\nash"), ("Notes", 1, 2, 4, "n1\nn2")]
+    assert [(t, m) for t, _, _, _, m in sections(spark, "# Notes\nn1\n## Notes\nn2\n# Notes\nn3")] == [("Notes", "n1"), ("Notes", "n2"), ("Notes", "n3")]
 
 
 def test_text_without_heading_is_a_preamble(spark):
-    assert sections(spark, "plain text") == [("Preamble", 1, 1, 1, "plain text")]
+    assert sections(spark, "", "no marks here\nat all") == [("Preamble", 1, 1, 2, "no marks here\nat all")]
 
 
-def test_emphasis_is_stripped_from_titles(spark):
-    assert [(t, lv) for t, lv, *_ in sections(spark, "## _**Verbal Orders**_\nx\n## **2.1 Scope**")] == [("Verbal Orders", 2), ("2.1 Scope", 2)]
+def test_outlines_give_levels_of_any_depth(spark):
+    names = [(f"Step {chr(65 + i)}", i + 1) for i in range(8)]
+    outline = spark.createDataFrame([("d", f"  {n.upper()} ", lv) for n, lv in names], "doc string, title string, level int")
+    found = sectionize.sections(pages(spark, *[f"# _{n}_\nbody {lv}" for n, lv in names]), outline).orderBy("idx").collect()
+    assert [r["level"] for r in found] == list(range(1, 9)) and found[7]["path"] == [n for n, _ in names]
 
 
-def test_outline_overrides_levels(spark):
-    outline = spark.createDataFrame([("d", " verbal  ORDERS", 4)], "doc string, title string, level int")
-    assert sectionize.sections(pages(spark, "## Verbal Orders\nx"), outline).first()["level"] == 4
+def test_lines_end_at_any_line_end(spark):
+    row = spark.createDataFrame([("a\r\nb\x0cc\u2028d\n",)], "t string").select(T.lines(F.col("t")).alias("l")).first()
+    assert row["l"] == "a\r\nb\x0cc\u2028d\n".splitlines()
 
 
 def test_furniture_goes_and_data_rows_stay(spark):
-    rows = clean.cleaned(pages(spark, "Pg 1 of 2\n|Prepared by X|Issued by Y|Approved by Z|\n|---|---|---|\nbody", "|approved by|x|\n|---|---|")).orderBy("page_no").collect()
-    assert [r["markdown"] for r in rows] == ["body", "|approved by|x|\n|---|---|"]
+    rows = clean.cleaned(pages(spark, "Page 4 of 12\n|Reviewed by K|Issued by L|\n|---|---|\nwater", "|reviewed by|k|\n|---|---|")).orderBy("page_no").collect()
+    assert [r["markdown"] for r in rows] == ["water", "|reviewed by|k|\n|---|---|"]
 
 
 def test_finalizing_twice_changes_nothing(spark):
-    first = clean.finalized(pages(spark, *[f"Banner\nDOC-1\nbody {w}\nPage {i} of 3" for i, w in enumerate("abc", 1)]))
-    assert first.filter("changed").count() == 3
-    assert [r["markdown"] for r in first.orderBy("page_no").collect()] == ["body a", "body b", "body c"]
+    first = clean.finalized(pages(spark, *[f"Mill handbook\nM-77\nwheel {w}\npg {i} of 4" for i, w in enumerate("wxyz", 1)]))
+    assert first.filter("changed").count() == 4
+    assert [r["markdown"] for r in first.orderBy("page_no").collect()] == ["wheel w", "wheel x", "wheel y", "wheel z"]
     assert clean.finalized(first.drop("changed")).filter("changed").count() == 0
 
 
 def test_outer_fence(spark):
-    rows = spark.createDataFrame([(1, "```md\nx\n```"), (2, "```\ny\n```"), (3, "```mermaid\nz\n```"), (4, "```\na\n```\nb\n```\nc\n```")], "k int, t string")
-    assert [r[0] for r in rows.orderBy("k").select(clean.unfenced(F.col("t"))).collect()] == ["x", "y", "```mermaid\nz\n```", "```\na\n```\nb\n```\nc\n```"]
+    rows = spark.createDataFrame([(1, "```markdown\nq\n```"), (2, "```\nr\ns\n```"), (3, "```yaml\nt: 1\n```"), (4, "```\nu\n```\nv\n```\nw\n```")], "k int, t string")
+    assert [r[0] for r in rows.orderBy("k").select(clean.unfenced(F.col("t"))).collect()] == ["q", "r\ns", "```yaml\nt: 1\n```", "```\nu\n```\nv\n```\nw\n```"]
 
 
 def codes(spark, text):
@@ -128,10 +133,40 @@ def test_tree_edits(spark):
     assert spans(tree.move(nodes, one(doc="d", id="b", parent="c", index=0)))["b"] == (4, 5, 2, ["Beta", "Child"])
     assert spans(tree.move(nodes, one(doc="d", id="a", parent="b", index=0))) == spans(nodes)
     assert {r["id"]: r["include"] for r in tree.include(nodes, one(doc="d", id="c"), True).collect()}["e"] is True
-    split = tree.split(nodes, spark.createDataFrame([("d", "a", "Part Two", "a2")], "doc string, id string, heading string, new_id string"))
-    assert [(r["id"], r["markdown"]) for r in split.filter("parent is null").orderBy("lft").collect()] == [("a", "Alpha"), ("a2", "rest"), ("c", "Beta\n## Part Two\nrest")]
     merged = tree.merge(nodes, spark.createDataFrame([("d", "a", "a"), ("d", "a", "c")], "doc string, keep string, id string"))
     assert spans(merged)["e"][3] == ["Alpha", "Deep"] and "c" not in spans(merged)
+    made = tree.create(nodes.drop("level", "path", "line", "is_group", "lft", "rgt"), spark.createDataFrame([("d", "n", "a", "New", True, 0), ("d", "m", "gone", "Lost", True, 0), ("d", "b", None, "Taken", True, 0)], "doc string, id string, parent string, title string, include boolean, index int"))
+    assert spans(made)["n"] == (2, 3, 2, ["Alpha", "New"]) and spans(made)["b"] == (4, 5, 2, ["Alpha", "Child"]) and "m" not in spans(made)
+
+
+def test_splits_keep_the_heading_line(spark):
+    body = "\n intro\nnorth bank\n\n  ### North   bank \nreeds\n\n# east bank\nmud\n\n"
+    nodes = tree.nested_set(spark.createDataFrame([("d", "r", None, "River", 0, True, body, 2, 9), ("d", "s", None, "Sea", 0, True, "salt", 3, 4), ("d", "k", "r", "Kid", 0, True, None, None, None)], "doc string, id string, parent string, title string, sort_order int, include boolean, markdown string, page_start int, page_end int"))
+    ask = lambda *rows: spark.createDataFrame(rows, "doc string, id string, heading string, new_id string")
+    got = tree.split(nodes, ask(("d", "r", "## EAST bank ", "r2"), ("d", "s", "none", "s2"))).orderBy("lft").collect()
+    assert [(r["id"], r["title"], r["markdown"]) for r in got if r["parent"] is None] == [("r", "River", "intro\nnorth bank\n\n  ### North   bank \nreeds"), ("r2", "east bank", "# east bank\nmud"), ("s", "Sea", "salt")]
+    assert all((r["page_start"], r["page_end"]) == (2, 9) for r in got if r["id"] in ("r", "r2"))
+    # a plain line of the same text is no heading
+    got = {r["id"]: r["markdown"] for r in tree.split(nodes, ask(("d", "r", "north   bank", "r2"))).collect()}
+    assert got["r"] == "intro\nnorth bank" and got["r2"].startswith("### North   bank \nreeds")
+
+
+def test_merges_trim_bodies_and_widen_ranges(spark):
+    rows = [("d", "a", None, 0, " one \n", 5, 6), ("d", "b", None, 1, " \n", None, None), ("d", "c", None, 2, "\nthree", 2, 4), ("d", "x", "c", 0, "x", 3, 3), ("d", "y", "a", 0, "y", 1, 1)]
+    nodes = tree.nested_set(spark.createDataFrame([(d, i, p, "T", o, True, m, s, e) for d, i, p, o, m, s, e in rows], "doc string, id string, parent string, title string, sort_order int, include boolean, markdown string, page_start int, page_end int"))
+    got = {r["id"]: r for r in tree.merge(nodes, spark.createDataFrame([("d", "a", i) for i in "abcy"], "doc string, keep string, id string")).collect()}
+    assert set(got) == {"a", "x", "y"} and (got["a"]["markdown"], got["a"]["page_start"], got["a"]["page_end"]) == ("one\n\nthree", 2, 6) and got["x"]["parent"] == "a"
+
+
+def test_forty_levels(spark):
+    rows = [("d", f"n{i:02}", f"n{i - 1:02}" if i else None, "Same", 0, True) for i in range(40)]
+    nodes = tree.nested_set(spark.createDataFrame(rows, "doc string, id string, parent string, title string, sort_order int, include boolean"))
+    assert spans(nodes)["n39"][:3] == (40, 41, 40) and wiki.routes(wiki.slugs(wiki.siblings(nodes))).count() == 40
+
+
+def test_edits_need_one_occurrence(spark):
+    rows = spark.createDataFrame([("one two", "two", "x"), ("two two", "two", "x"), ("one", "two", "x"), ("one", "", "x"), ("one", None, "x"), ("one", "one", None), ("aaa", "aa", "b"), ("cut it", " it", "")], "t string, f string, n string")
+    assert [r[0] for r in rows.select(editing.replaced_once(F.col("t"), F.col("f"), F.col("n"))).collect()] == ["one x", None, None, None, None, None, "ba", "cut"]
 
 
 def test_untagged_and_empty_scope(spark):
@@ -182,8 +217,8 @@ def test_tables_are_stitched_over_pages(spark):
 
 
 def test_source_tables(spark):
-    rows = spark.createDataFrame([(1, "|a|b|\n|c|d|\n|e|f|"), (2, "a  b  c\nd  e  f\ng  h  i"), (3, "Revision Description Page 1/2020 2/2021 3/2022"), (4, "plain text")], "k int, t string")
-    assert [r[0] for r in rows.orderBy("k").select(score.source_has_any_table(F.col("t"))).collect()] == [True, True, True, False]
+    rows = spark.createDataFrame([(1, "|a|b|\n|c|d|\n|e|f|"), (2, "a  b  c\nd  e  f\ng  h  i"), (3, "Revision Description Page 1/2020 2/2021 3/2022"), (4, "plain text"), (5, "aa  bb  cc\naa  bb  cc\naa  bb  cc")], "k int, t string")
+    assert [r[0] for r in rows.orderBy("k").select(score.source_has_any_table(F.col("t"))).collect()] == [True, False, True, False, True]
 
 
 def test_passages_are_found_by_any_part(spark, tmp_path):
