@@ -1,12 +1,17 @@
 """HTML extraction by a tree-structured graphical model.
 
-Block elements of a page are nodes of a tree; each is content or not. A node's evidence (tag, class and id
-words, length of text, share of links) and a potential between parent and child make up the model;
-sum-product messages upward and downward give every node's marginal of being content.
-
-Weights are trained by gradient steps on the exact likelihood (the same messages give the expected
-counts) from labelled pages: a bounded sample of the table whose own markup tells the article from the
-rest, each also rendered anew with other markup, so that class words, links and neighbours count too.
+Block elements of a page are nodes of a tree; each is content or not. A node's evidence and a potential between
+parent and child make up the model; sum-product messages upward and downward give every node's marginal of
+being content.
+
+Evidence is structural: element, length, punctuation and links of the node's own text and of all below it, share and
+place in the page's text, siblings that are built alike, paragraphs and headings beside it, and the sectioning
+element that it lies in. Names of class, id and role count only where several labelled pages of the table hold them.
+
+Weights are trained by gradient steps on the exact likelihood (the same messages give the expected counts)
+from labelled pages: a bounded sample of the table whose own markup tells the article from the rest. Each is also
+rendered anew with invented names, other elements and other parts around the article, made of the sample's own
+sentences, so that neither words nor names but structure tells them apart.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ import html
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled pages of the sample, the longest page used in it, renderings of each, passes and step of the training.
-SAMPLE, SAMPLE_CHARS, RENDERINGS, PASSES, STEP = 96, 20_000, 3, 12, 0.2
+SAMPLE, SAMPLE_CHARS, RENDERINGS, PASSES, STEP = 96, 20_000, 6, 10, 0.2
 #: A block is content from this marginal on.
 CONTENT = 0.5
 #: Rows per batch that leaves a task.
@@ -37,13 +42,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ENDED_BY_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "tbody": ("tbody", "thead"), "thead": ("tbody",)}
 SCOPES = frozenset("ul ol dl table article section div main aside nav header footer body form menu fieldset".split())
 
+#: Sectioning elements that tell of what lies in them.
 TELLING = frozenset("article main nav aside header footer form".split())
-#: Class word that marks content in renderings; never evidence.
-INNER = "zzinner"
+#: Attribute that marks content in renderings; no page's own attribute counts as it.
+INNER = "data-quire-inner"
+#: Labelled pages that must hold a name for it to count.
+NAMED = 3
 
 _markup = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _names = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _letters = re.compile(r"[a-z]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ends = re.compile(r"[.!?;:,](?:\s|$)")
+_sentences = re.compile(r"[^.!?]{3,300}[.!?]*")
 _gap = re.compile(r"td|th|br|hr|img|input|option|label")
 
 
@@ -51,7 +62,7 @@ class Page:
     """Nodes of a page in page order: parent (-1 for the root), tag, words of class, id and role; and its blocks of text."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.names = [-1], ["root"], [()]
+        self.parent, self.tag, self.names, self.inner = [-1], ["root"], [()], [False]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters within links
         self._open, self._pieces, self._linked, self._in_link = [0], [], 0, False
         at, size = 0, len(source)
@@ -110,7 +121,8 @@ class Page:
         names = [w for found in _names.findall(attributes) for w in _letters.findall("".join(found).lower())] if "=" in attributes else ()
         self.parent.append(self._open[-1])
         tags.append(tag)
-        self.names.append(tuple(names[:12]))
+        self.names.append(tuple(names))
+        self.inner.append(INNER in attributes)
         self._open.append(len(tags) - 1)
 
     def _end(self, tag: str) -> None:
@@ -128,27 +140,58 @@ class Page:
 
     def evidence(self) -> list[list[str]]:
         """Names of the features that hold at each node."""
-        n = len(self.tag)
-        own, linked, below, below_linked = [0] * n, [0] * n, [0] * n, [0] * n
+        n, tags, parent = len(self.tag), self.tag, self.parent
+        own, linked, ends = [0] * n, [0] * n, [0] * n
+        start, blocks, total = [-1] * n, [0] * n, 0
         for node, text, inside in self.blocks:
             own[node] += len(text)
             linked[node] += inside
-        for i in range(n - 1, -1, -1):
-            below[i] += own[i]
-            below_linked[i] += linked[i]
-            if i:
-                below[self.parent[i]] += below[i]
-                below_linked[self.parent[i]] += below_linked[i]
-        out, under, within = [], [""] * n, [()] * n
+            ends[node] += len(_ends.findall(text))
+            blocks[node] += 1
+            if start[node] < 0:
+                start[node] = total
+            total += len(text)
+        below, below_linked, below_ends, below_blocks = own[:], linked[:], ends[:], blocks[:]
+        shape, children = [""] * n, [[] for _ in range(n)]
+        for i in range(n - 1, 0, -1):
+            up = parent[i]
+            below[up] += below[i]
+            below_linked[up] += below_linked[i]
+            below_ends[up] += below_ends[i]
+            below_blocks[up] += below_blocks[i]
+            if start[i] >= 0 and (start[up] < 0 or start[i] < start[up]):
+                start[up] = start[i]
+            children[up].append(i)
+        for i in range(n):
+            children[i].reverse()
+            shape[i] = tags[i] + "".join(sorted({tags[c] for c in children[i]}))
+        out, under, thread = [], [""] * n, [0] * n
+        alike, paragraphs, after = [0] * n, [0] * n, [""] * n
         for i in range(n):
+            counts = Counter(shape[c] for c in children[i] if children[c])
+            run, before = sum(tags[c] == "p" and own[c] > 40 for c in children[i]), "first"
+            for c in children[i]:
+                alike[c], paragraphs[c], after[c] = counts.get(shape[c], 0), run, before
+                before = "heading" if tags[c] in HEADINGS else "p" if tags[c] == "p" else "other"
+        for i in range(n):
+            up = parent[i]
             if i:
-                up = self.parent[i]
-                under[i] = self.tag[up] if self.tag[up] in TELLING else under[up]
-                within[i] = self.names[up] or within[up]
-            f = ["bias", "under " + under[i], *("within " + w for w in within[i] if w != INNER), "tag " + self.tag[i], *("name " + w for w in self.names[i] if w != INNER)]
-            if own[i]:
-                f += [f"length {min(own[i].bit_length(), 7) // 2}", f"links {4 * linked[i] // own[i]}"]
-            f.append(f"below {4 * below_linked[i] // below[i] if below[i] else 0}")
+                under[i] = tags[up] if tags[up] in TELLING else under[up]
+                thread[i] = max(thread[up], min(3, max(0, alike[i] - 1)))
+            chars, all_chars = own[i], below[i]
+            f = ["bias", "tag " + tags[i], "under " + under[i], f"{tags[up] if i else ''}>{tags[i]}", f"thread {thread[i]}", f"paragraphs {min(paragraphs[i], 4)}", "after " + after[i]]
+            f += ["name " + w for w in self.names[i]]
+            if chars:
+                size, link = min(chars.bit_length(), 9), 4 * linked[i] // chars
+                f += [f"length {size}", f"links {link}", f"ends {min(4, 150 * ends[i] // chars)}", f"{'p' if tags[i] == 'p' else 'h' if tags[i] in HEADINGS else 'o'} {size} {link}"]
+            if all_chars:
+                mean, share, at = min(9, (all_chars // below_blocks[i]).bit_length()), 5 * all_chars // max(1, total), 5 * max(0, start[i]) // max(1, total)
+                link, stops = 4 * below_linked[i] // all_chars, min(4, 150 * below_ends[i] // all_chars)
+                f += [f"mean {mean}", f"share {share}", f"at {at}", f"all links {link}", f"all ends {stops}", f"{share} {link} {stops}", f"blocks {min(4, below_blocks[i].bit_length())} {mean}"]
+                beyond = total - max(0, start[i]) - all_chars
+                f.append(f"beyond {5 * max(0, beyond) // max(1, total)}")
+            else:
+                f.append("empty")
             out.append(f)
         return out
 
@@ -218,109 +261,140 @@ class Model:
         return "\n\n".join([text for node, text, _ in page.blocks if content[node] >= CONTENT])
 
 
-# Class words that renderings give to parts of a page, and words that short parts hold.
-INSIDE = "article content main post entry story body text".split()
-AROUND = {
-    "links": "nav menu navigation sidebar related breadcrumb widget pagination share social links tags".split(),
-    "prose": "ad ads advert advertisement banner promo sponsor cookie notice consent newsletter popup modal comment comments reply discussion footer header masthead copyright disclaimer".split(),
-}
-SHORT = "Home About Contact Login Search Subscribe Share Next Previous Related Terms Privacy Sitemap More".split()
-PROSE = "We use cookies to make this site better. Sign up for news. All rights reserved. Nice piece, thank you for it! I do not agree with that, sorry.".split(". ")
-
+def rendered(title: str, body: list[str], pool: list[str], seed: int) -> str:
+    """A page with the given article, in other elements and under invented names, and other parts around it.
 
-def rendered(title: str, body: list[str], other: list[str], seed: int) -> str:
-    """A page with the given article and other markup around it."""
+    pool holds sentences of other pages; all parts take theirs from it, so no words tell what a part is.
+    """
     r = random.Random(seed)
     e = html.escape
 
-    def part(tag: str, name: str, inner: str) -> str:
-        return f'<{tag} {r.choice(("class", "id"))}="{name}">{inner}</{tag}>'
+    def name() -> str:
+        letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9)))
+        return r.choice(("", f' class="{letters}"', f' id="{letters}"'))
+
+    def part(tag: str, inner: str) -> str:
+        return f"<{tag}{name()}>{inner}</{tag}>"
+
+    def words(most: int) -> str:
+        found = r.choice(pool).split()
+        at = r.randrange(len(found))
+        return e(" ".join(found[at : at + r.randint(1, most)]).strip(".,;:"))
+
+    def prose(most: int) -> str:
+        return e(" ".join(r.choice(pool) for _ in range(r.randint(1, most))))
+
+    def link() -> str:
+        return f'<a href="#">{words(4)}</a>'
 
     def links() -> str:
-        return "<ul>" + "".join(f'<li><a href="#">{e(r.choice(SHORT + other))}</a></li>' for _ in range(r.randint(2, 9))) + "</ul>"
-
-    def prose() -> str:
-        return "".join(f"<p>{e(r.choice(PROSE + body + other))}</p>" for _ in range(r.randint(1, 4)))
-
-    def around() -> str:
-        if r.random() < 0.5:
-            return part(r.choice(("div", "nav", "aside", "section")), r.choice(AROUND["links"]), r.choice(("", "<h3>Related</h3>")) + links())
-        kind = r.random()
-        if kind < 0.2:
-            return f"<form><p>{e(r.choice(PROSE))}</p><label>{r.choice(SHORT)}</label><input></form>"
-        if kind < 0.4:
-            return r.choice(("<header>%s</header>", "<footer>%s</footer>", "<aside>%s</aside>")) % (links() if r.random() < 0.4 else e(r.choice(PROSE + other)) if r.random() < 0.5 else prose())
-        name = r.choice(AROUND["prose"])
-        inner = prose() if r.random() < 0.6 else e(r.choice(PROSE + other))
-        return part(r.choice(("div", "section", "aside")), name, part("div", name, inner) if r.random() < 0.3 else inner)
-
-    body = [b[: r.randint(1, 60)] if r.random() < 0.3 else b for b in r.sample(body, r.randint(1, len(body)))]
-    shown = [f"<h1 class={INNER}>{e(title)}</h1>"] * (r.random() < 0.8)
+        items = [link() for _ in range(r.randint(3, 12))]
+        inner = r.choice(("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", " | ".join(items), "".join(f"<div>{x}</div>" for x in items), "<p>" + " ".join(items) + "</p>"))
+        return part(r.choice(("nav", "div", "div", "aside", "section", "header", "footer")), r.choice(("", f"<h3>{words(3)}</h3>")) + inner)
+
+    def notice() -> str:
+        text = prose(2)
+        return part(r.choice(("div", "div", "aside", "section")), r.choice((text, f"<p>{text}</p>", f"<p>{text} {link()}</p>", f"<p>{text}</p><button>{words(2)}</button>", f"<div><p>{text}</p></div>")))
+
+    def form() -> str:
+        inner = f"<p>{prose(1)}</p>" * r.randint(0, 1) + "".join(f"<label>{words(2)}</label><input>" for _ in range(r.randint(1, 4)))
+        return part(r.choice(("form", "form", "div")), inner)
+
+    def thread() -> str:
+        """Items built alike, each with a short line and some sentences: comments, or teasers of other pages."""
+        item, line = r.choice(("div",) * 6 + ("li",) * 3 + ("section",) * 2 + ("article",)), r.choice(("<div>%s</div>", "<p>%s</p>", "<h4>%s</h4>", "<header>%s</header>", "<h3><a>%s</a></h3>"))
+        items = []
+        for _ in range(r.randint(1, 9)):
+            text = "".join(f"<p>{prose(3)}</p>" for _ in range(r.choice((1, 1, 1, 2))))
+            items.append(part(item, (line % words(4)) + r.choice((text, text, f"<div>{text}</div>"))))
+        return part("ul" if item == "li" else r.choice(("div", "section", "aside")), r.choice(("", f"<h2>{words(3)}</h2>")) + "".join(items))
+
+    def line() -> str:
+        return part(r.choice(("footer", "header", "div", "p")), r.choice((f"&copy; {words(6)}", prose(1), f"{words(3)} &middot; {link()}")))
+
+    def around(last: bool) -> str:
+        return r.choice((links, links, notice, notice, form, line, thread) if not last else (links, notice, form, line, thread, thread))()
+
+    body = [b[: r.randint(1, 80)] if r.random() < 0.15 else b for b in r.sample(body, r.randint(1, len(body)))]
+    if r.random() < 0.12:  # runs of short paragraphs
+        body = [html.unescape(words(3)) + r.choice(("", "."))] * r.randint(2, 40) + body[: r.randint(0, 3)]
+    shown = [f"<h1 {INNER}>{e(title)}</h1>"] * (r.random() < 0.8)
     for b in body:
-        tag = r.choice(("p",) * 8 + ("h2", "blockquote", "div", "li", "td", "pre"))
-        inner = f"<{tag} class={INNER}>{e(b)}</{tag}>"
-        shown.append({"li": f"<ul class={INNER}>{inner}</ul>", "td": f"<table class={INNER}><tr class={INNER}>{inner}</tr></table>"}.get(tag, inner))
-    if r.random() < 0.3:
-        shown.insert(r.randint(1, len(shown)), around())
-    if r.random() < 0.15:  # text that stands in the article itself
-        shown = [e(b) for b in body[:2]]
-    article, how = "".join(shown), r.random() * (1 if shown[0][:1] == "<" else 0.85)
-    if how < 0.35:
-        article = f"<{(t := r.choice(('article', 'main')))} class={INNER}>{article}</{t}>"
-    elif how < 0.85:
-        article = f'<div class="{INNER} {r.choice(INSIDE)}">{article}</div>'
-        if r.random() < 0.4:
-            article = f'<div class="{INNER} {r.choice(INSIDE)}">{article}</div>'
-    before, after = "".join(around() for _ in range(r.randint(0, 4))), "".join(around() for _ in range(r.randint(0, 5)))
-    return f"<html><body>{before}{article}{after}</body></html>"
+        tag = r.choice(("p",) * 12 + ("blockquote", "div", "li", "td", "pre"))
+        inner = f"<{tag} {INNER}>{e(b)}</{tag}>"
+        if r.random() < 0.12:
+            shown.append(f"<h2 {INNER}>{words(5)}</h2>")
+        shown.append({"li": f"<ul {INNER}>{inner}</ul>", "td": f"<table {INNER}><tr {INNER}>{inner}</tr></table>"}.get(tag, inner))
+    if r.random() < 0.25:
+        shown.insert(r.randint(1, len(shown)), r.choice((links, notice, form))())
+    if r.random() < 0.1:  # text that stands in the article itself
+        shown = [e(" ".join(body))]
+    article = "".join(shown)
+    if r.random() < 0.85 or article[:1] != "<":
+        for _ in range(r.choice((1, 1, 2, 3))):
+            article = f"<{(t := r.choice(('article', 'article', 'main', 'div', 'div', 'div', 'div', 'section')))} {INNER}{name()}>{article}</{t}>"
+    before, after = "".join(around(False) for _ in range(r.randint(0, 4))), "".join(around(True) for _ in range(r.randint(0, 5)))
+    inner = f"{before}{article}{after}"
+    return f"<html><body>{part('div', inner) if r.random() < 0.4 else inner}</body></html>"
 
 
 def labelled(source: str) -> tuple[list[int], list[list[str]], list[int]] | None:
-    """Nodes with labels from the page's own markup: the marks of a rendering, or else its article or main element."""
+    """Nodes with labels from the page's own markup: the marks of a rendering, or else its article or main element.
+
+    Sectioning elements other than these within an article are no content, nor is what lies in them.
+    """
     page = Page(source)
-    label = [int(INNER in names) for names in page.names]
+    label = list(map(int, page.inner))
     if not any(label):
         root = next((i for i, t in enumerate(page.tag) if t in ("article", "main")), None)
         if root is None:
             return None
         for i in range(root, len(label)):
-            label[i] = int(i == root or label[page.parent[i]] and page.tag[i] not in ("nav", "aside", "footer", "form") and not set(page.names[i]) & {*AROUND["links"], *AROUND["prose"]})
+            label[i] = int(i == root or label[page.parent[i]] and page.tag[i] not in ("nav", "aside", "footer", "form"))
     return page.parent, page.evidence(), label
 
 
-def train(pages: DataFrame) -> Model:
-    """The model from at most SAMPLE labelled pages of the table (those of least hash) and their renderings.
+def sample(pages: DataFrame) -> list[str]:
+    """The html of at most SAMPLE pages (those of least hash) that name an article or main element outside of comments and hidden elements.
 
-    A page that names an article or main element only within a comment or a hidden element is no labelled
-    page: the next one takes its place. Without labelled pages the model is trained on renderings of a few
-    fixed sentences alone.
+    Pages are ranked by narrow rows; the chosen ones' html alone is collected. Equal pages count once.
     """
-    marked = pages.filter(F.col("html").rlike("(?i)<(?:article|main)[ >]") & (F.length("html") <= SAMPLE_CHARS))
+    marked = pages.filter(F.col("html").rlike("(?i)<(?:article|main)[ >]") & (F.length("html") <= SAMPLE_CHARS)).select(F.xxhash64("page_id", "html").alias("key"), "html")
 
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def usable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(page_id=batch["page_id"].astype("Int64"))[[labelled(h) is not None for h in batch["html"]]]
-
-    def least(rows: DataFrame, n: int) -> DataFrame:
-        return rows.orderBy(F.xxhash64("page_id"), "page_id").limit(n)
-
-    rows = [r["html"] for r in least(marked, SAMPLE).select("html").collect()]
-    if any(labelled(h) is None for h in rows):
-        marked = marked.select(F.col("page_id").cast("long").alias("page_id"), "html")
-        rows = [r["html"] for r in least(marked.mapInPandas(parsed, marked.schema), SAMPLE).select("html").collect()]
-    known, seed = [], 0
-    for source in rows or ["<article><h1>Fixed page</h1><p>" + "</p><p>".join([". ".join(PROSE)] * 3) + "</p></article><nav><a>Home</a></nav>"]:
-        found = labelled(source)
-        known.append(found)
-        page = Page(source)
-        inner = [t for n, t, _ in page.blocks if found[2][n]]
-        outer = [t[:80] for n, t, _ in page.blocks if not found[2][n]] or SHORT
-        for _ in range(RENDERINGS):
-            seed += 1
-            if inner:
-                known.append(labelled(rendered(inner[0], inner[1:13] or inner, outer[:12], seed)))
-    model = Model()
-    model.learn([k for k in known if k])
+            yield batch[["key"]][[labelled(h) is not None for h in batch["html"]]]
+
+    def fetch(keys: DataFrame) -> list[str]:
+        least = [r["key"] for r in keys.distinct().orderBy("key").limit(SAMPLE).collect()]
+        found = marked.filter(F.col("key").isin(least)).groupBy("key").agg(F.first("html").alias("html")).collect() if least else []
+        return [r["html"] for r in sorted(found, key=lambda r: r["key"])]
+
+    rows = fetch(marked.select("key"))
+    return rows if all(labelled(h) for h in rows) else fetch(marked.mapInPandas(usable, "key bigint"))
+
+
+def train(pages: DataFrame) -> Model:
+    """The model from at most SAMPLE labelled pages of the table and RENDERINGS renderings of each.
+
+    Without labelled pages the model is trained on renderings of invented sentences alone.
+    """
+    rows, model, known = sample(pages), Model(), []
+    texts = []
+    for source in rows:
+        page, label = Page(source), labelled(source)[2]
+        texts.append([t for n, t, _ in page.blocks if label[n]])
+    if not any(texts):
+        r = random.Random(0)
+        texts = [[" ".join("".join(r.choice("aeioustrnl") for _ in range(r.randint(2, 8))) + r.choice(("", "", "", ",", ".")) for _ in range(r.randint(4, 60))) + "." for _ in range(r.randint(2, 8))] for _ in range(SAMPLE)]
+    pool = [s for own in texts for t in own for s in _sentences.findall(t[:2000]) if s.split()]
+    names = Counter(w for source in rows for w in {w for own in Page(source).names for w in own})
+    known += 3 * [labelled(source) for source in rows]
+    for k, own in enumerate(texts):
+        if own:
+            known += [labelled(rendered(own[0][:120], own[1:13] or own, pool, RENDERINGS * k + i)) for i in range(RENDERINGS)]
+    rare = {"name " + w for w, n in names.items() if n < NAMED}
+    model.learn([(parent, [[f for f in e if not f.startswith("name ") or f not in rare and f[5:] in names] for e in evidence], label) for parent, evidence, label in known])
     return model
 
 

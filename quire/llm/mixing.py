@@ -9,14 +9,12 @@ Rates are then rounded into whole copies by error diffusion within bounded parts
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import settle, sized_join
+from quire.llm.common import WORD, settle, sized_join, tidied
 
 #: Weights of the sources in order, repeating; share of all words that the mix holds; most copies of a document.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -32,16 +30,10 @@ def same() -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, key (of the source), same (a hash of the row) and size. Bytes split at exactly the white space of the contract."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            size = np.array([len(t.encode().split()) if t else 0 for t in batch["text"]], np.int64)
-            yield batch.drop(columns="text").assign(doc_id=batch["doc_id"].astype("Int64"), size=size)
-
+    """doc_id, source, key (of the source), same (a hash of the row) and size, the words of the text."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), same().alias("same"), "text")
-    return rows.mapInPandas(count, "doc_id bigint, source string, key string, same bigint, size bigint")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), same().alias("same"), size.alias("size"))
 
 
 def targets(histogram: DataFrame) -> DataFrame:
@@ -138,6 +130,7 @@ def mix(docs: DataFrame) -> DataFrame:
     return rounded(docs).drop("same")
 
 
+@tidied
 def rounded(docs: DataFrame) -> DataFrame:
     """mix with the hash of each row."""
     rows = settle(sized(docs), "sized")
@@ -153,10 +146,13 @@ def rounded(docs: DataFrame) -> DataFrame:
     return dealt.groupBy("key", "part").applyInPandas(diffuse, "doc_id bigint, size bigint, source_size bigint, target double, taken bigint, copies int, same bigint")
 
 
+@tidied
 def mixed(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: each row as often as it has copies, whether or not its doc_id is null or repeated.
 
-    Of rows that are equal in doc_id, text and source any may take the copies of another.
+    Of rows that are equal in doc_id, text and source any may take the copies of another. Rows without a source
+    are a source of their own; a null text has no words and is taken in whole copies like any other; an empty
+    table gives an empty one. All columns stay as they are.
     """
     up_to = [F.sum((F.col("copies") >= k).cast("int")) for k in range(1, MOST + 1)]
     copies = rounded(docs).groupBy("same").agg(F.count("*").alias("__rows"), F.array(*up_to).alias("__up_to"))

@@ -1,8 +1,10 @@
 """PII: format-preserving Feistel pseudonyms, with SQL functions alone.
 
-Validated personal values are found by one pattern; each is replaced by a keyed permutation of the values
-of its format, so equal values get equal pseudonyms in all documents, and different ones differ. Within a
-value, letters and digits move within their own alphabets while separators stay.
+Personal values are found by one pattern and validated: card numbers by their check digit, IBANs by theirs,
+dates by the calendar, social security numbers and addresses by the ranges of their parts; what fails stays.
+Each value is replaced by a keyed permutation of the valid values of its format, so equal values get equal
+pseudonyms in all documents, and different ones differ. Within a value, letters and digits move within their
+own alphabets while separators stay.
 
 A Feistel network over the two halves of a string: in each round one half is shifted, character by
 character and within the character's alphabet, by a keyed hash of the other half. Every round can be
@@ -11,11 +13,15 @@ undone, so the whole is a permutation of the strings of the same shape.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Key of the permutation where a caller gives none.
-KEY = "quire"
+#: Setting of the session that holds the key of the permutation.
+KEY_SETTING = "spark.quire.pseudonymKey"
+#: Alphabets: a character moves within its own; characters of none stay.
+ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "αβγδεζηθικλμνξοπρστυφχψωςάέήίόύώ", "абвгдежзийклмнопрстуфхцчшщъыьэюяё")
 #: Rounds; even, so that the halves end where they began.
 ROUNDS = 8
 #: Days that dates are permuted among, from FIRST_DAY on (1900-01-01 to 2099-12-31).
@@ -49,7 +55,8 @@ def _sql(text: str) -> str:
 def shift(char: str, hexes: str, i: str) -> str:
     """SQL: char moved within its alphabet by the i-th byte of a hash in hex; other characters stay."""
     by = f"cast(conv(substr({hexes}, ({i} % 64) * 2 + 1, 2), 16, 10) as int)"
-    moved = [f"when {char} between '{a}' and '{z}' then chr({ord(a)} + (ascii({char}) - {ord(a)} + {by}) % {ord(z) - ord(a) + 1})" for a, z in ("09", "az", "AZ")]
+    moved = [f"when {char} between '{x[0]}' and '{x[-1]}' then chr({ord(x[0])} + (ascii({char}) - {ord(x[0])} + {by}) % {len(x)})" for x in ALPHABETS[:3]]
+    moved += [f"when {char} > '\x7f' and locate({char}, '{x}') > 0 then substr('{x}', (locate({char}, '{x}') - 1 + {by}) % {len(x)} + 1, 1)" for x in ALPHABETS[3:]]
     return f"case {' '.join(moved)} else {char} end"
 
 
@@ -69,9 +76,14 @@ def luhn(digits: str) -> str:
     return f"aggregate(transform(split({digits}, ''), (c, i) -> if(i % 2 = 0, (2 * {at}) div 10 + (2 * {at}) % 10, {at})), 0, (a, x) -> cast(a + x as int))"
 
 
-def respelt(value: str, digits: str) -> str:
-    """SQL: value with its digits, in order, replaced by those of another string."""
-    return f"array_join(transform(split({value}, ''), (c, i) -> if(c between '0' and '9', substr({digits}, length(regexp_replace(substr({value}, 1, i + 1), '[^0-9]', '')), 1), c)), '')"
+def mod97(text: str) -> str:
+    """SQL: the remainder by 97 of a string of digits and letters, A standing for 10."""
+    return f"aggregate(split({text}, ''), 0, (a, c) -> if(c between '0' and '9', (a * 10 + cast(c as int)) % 97, (a * 100 + ascii(c) - 55) % 97))"
+
+
+def respelt(value: str, digits: str, kind: str = "0-9") -> str:
+    """SQL: value with its digits (or characters of the kind), in order, replaced by those of another string."""
+    return f"array_join(transform(split({value}, ''), (c, i) -> if(c rlike '[{kind}]', substr({digits}, length(regexp_replace(substr({value}, 1, i + 1), '[^{kind}]', '')), 1), c)), '')"
 
 
 def date(value: str, key: str) -> str:
@@ -120,37 +132,55 @@ def pseudonym(value: str, key: str) -> str:
     block = f"pmod(s.a + cast(conv(substr(sha2(concat({key}, '|ip|', r, '|', s.b), 256), 1, 8), 16, 10) as bigint), 65536)"
     ip = f"""aggregate(sequence(1, {ROUNDS}), named_struct('a', cast({pairs(1, 2)} as bigint), 'b', cast({pairs(3, 4)} as bigint)), (s, r) -> named_struct('a', s.b, 'b', {block}),
         s -> concat_ws('.', s.a div 256, s.a % 256, s.b div 256, s.b % 256))"""
+    bare = f"replace({value}, ' ', '')"
+    bban = permuted(f"substr({bare}, 5)", f"concat('iban', substr({value}, 1, 2))", key)
+    check = f"lpad(cast(98 - {mod97(f'concat(b, substr({value}, 1, 2), 0, 0)')} as string), 2, '0')"
+    iban = respelt(value, f"concat(substr({value}, 1, 2), {check}, b)", "0-9A-Z")
+    iban = f"element_at(transform(array({bban}), b -> {iban}), 1)"
+    ssn_again = permuted("d", "'ssn'", key)
+    ssn = f"aggregate(sequence(1, 64), {permuted(digits, "'ssn'", key)}, (d, k) -> if(d rlike '^(?!000|666|9)[0-9]{{3}}(?!00)[0-9]{{2}}(?!0000)[0-9]{{4}}$', d, {ssn_again}))"
     mark = f"regexp_extract({value}, {_sql(r'^((?:AKIA|ASIA)|[A-Za-z_]+[ ]*[=:][ ]*)')}, 1)"
     country = f"regexp_extract({value}, {_sql(r'^([+][0-9]{1,3}(?![0-9])|[+])')}, 1)"
     rest = lambda head: f"substr({value}, length({head}) + 1)"
     return f"""case
         when {full('secret')} then concat({mark}, {permuted(rest(mark), "'secret'", key)})
         when {full('email')} then concat({permuted(f"lower(substring_index({value}, '@', 1))", "'email'", key)}, '@', substring_index({value}, '@', -1))
-        when {full('iban')} then concat(substr({value}, 1, 2), {permuted(rest("'xx'"), "'iban'", key)})
+        when {full('iban')} then if({mod97(f'concat(substr({bare}, 5), substr({bare}, 1, 4))')} = 1, {iban}, {value})
         when {full('ip')} then {ip}
         when {full('date')} then coalesce({date(value, key)}, {value})
-        when {full('ssn')} then {respelt(value, permuted(digits, "'ssn'", key))}
+        when {full('ssn')} then {respelt(value, ssn)}
         when {full('phone')} then concat({country}, {respelt(rest(country), permuted(f"regexp_replace({rest(country)}, '[^0-9]', '')", "'phone'", key))})
-        when {full('number')} then {respelt(value, number)}
+        when {full('number')} then if({luhn(payload)} % 10 = pmod(-cast(substr({digits}, -1, 1) as int), 10), {respelt(value, number)}, {value})
         else {value} end"""
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key in the session's setting KEY_SETTING. Where none is set, a random one is, so values stay linked within the session alone."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING)
+
+
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """docs with text replaced and n_chars brought up to date, plus n_pseudonyms (values replaced).
 
-    Cards and account numbers keep whether their check digit holds; dates stay dates; e-mail addresses keep
-    their domain. Left in clear: dates without a day or a four-digit year from 1900 to 2099, and those with month
-    names other than English ones. A null text stays null with 0 pseudonyms; texts without such values stay as they are;
-    repeated rows are treated each; a column named n_pseudonyms is replaced.
+    Valid cards and IBANs stay valid, dates stay dates, social security numbers stay in their ranges; e-mail
+    addresses keep their domain. Left in clear: numbers that fail their check, dates without a day or a four-digit
+    year from 1900 to 2099, and those with month names other than English ones; letters of an address beyond
+    the Latin, Greek and Cyrillic ones stay. A null text stays null with 0 pseudonyms; texts without such values
+    stay as they are; repeated rows are treated each; an empty table gives an empty result; a column named
+    n_pseudonyms is replaced.
     """
     found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0)))
-    rest = F.split("text", ANY, -1)
-    names = [c for c in docs.columns if c != "n_pseudonyms"]
+    names = [c for c in docs.columns if c not in ("n_pseudonyms", "__found")]
     hits = docs.select(*names, F.coalesce(found, F.array().cast("array<string>")).alias("__found"))
     lit = "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    replaced: Column = F.expr(f"transform(__found, v -> {pseudonym('v', lit)})")
+    new: Column = F.expr(f"transform(__found, v -> named_struct('old', v, 'new', {pseudonym('v', lit)}))")
     # pieces and values take turns; there is one piece more than values
-    woven = F.array_join(F.flatten(F.zip_with(rest, replaced, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    rest = F.split("text", ANY, -1)
+    hits = hits.withColumn("__found", new)
+    woven = F.array_join(F.flatten(F.zip_with(rest, "__found", lambda a, b: F.array(a, F.coalesce(b["new"], F.lit(""))))), "")
     text = F.when(F.size("__found") > 0, woven).otherwise(F.col("text"))
-    out = hits.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], F.size("__found").alias("n_pseudonyms"))
+    times = F.size(F.filter("__found", lambda x: x["old"] != x["new"]))
+    out = hits.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], times.alias("n_pseudonyms"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

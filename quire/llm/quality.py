@@ -15,9 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType
 
-from quire.llm.common import settle, sized_join
+from quire.llm.common import settle, sized_join, tidied
 
 #: Random features, width of the kernel in standard deviations, ridge penalty per row, cells of the calibration grid.
 FEATURES, WIDTH, RIDGE, GRID = 192, 4.0, 1e-4, 512
@@ -97,9 +97,10 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5
 
 
-_statistics = F.pandas_udf(lambda texts: pd.Series([statistics(t) for t in texts]), ArrayType(FloatType()))
+_statistics = F.pandas_udf(lambda texts: pd.Series([statistics(t) for t in texts]), ArrayType(DoubleType()))
 
 
+@tidied
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from labelled training rows. Null labels are left out; repeated labels of a document count each.
 
@@ -162,6 +163,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the classifier rejects."""
+    """docs without the rows that the classifier rejects; null and empty texts are scored like any other.
+
+    Rows without a doc_id are scored but never learnt from; repeated rows are kept or rejected each alike; an
+    empty table gives an empty one. Columns named score or predicted are dropped, all others kept.
+    """
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     return score(docs.select(*names), train(docs, labels)).filter("predicted = 1").select(*names)

@@ -40,7 +40,7 @@ def op7_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"))
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), pseudonyms.session_key(spark))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,4 +52,28 @@ def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_merkle, op2_mixing, op3_pivots, op4_html, op5_quality, op6_shards, op7_ngrams, op8_pseudonyms, op9_bpe, op10_wavelet)}
-ORACLES: dict[str, str] = {}
+
+ORACLES: dict[str, str] = {
+    "op3_pivots": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+          WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = len(embedding)),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+        FROM s QUALIFY rank <= 5""",
+    "op7_ngrams": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        p AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i, len(ws) AS c FROM w),
+        g AS (SELECT doc_id, i, c, concat_ws(' ', w, lead(w) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o) AS s FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        u AS (SELECT DISTINCT doc_id, s FROM g WHERE i = 0 OR i <= c - 4),
+        n AS (SELECT w.doc_id, count(u.s) AS n FROM w LEFT JOIN u ON u.doc_id = w.doc_id GROUP BY w.doc_id),
+        links AS (
+          SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.s = b.s JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+        reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+        SELECT n.doc_id, n.n AS n_shingles, coalesce(min(r.y), n.doc_id) AS component_id
+        FROM n LEFT JOIN reach r ON r.x = n.doc_id GROUP BY n.doc_id, n.n""",
+}
