@@ -25,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values replaced by pseudonyms of their format."""
-    return pseudonyms.pseudonymised(docs).drop("n_pseudonyms")
+    return pseudonyms.pseudonymised(docs, pseudonyms.session_key(spark)).drop("n_pseudonyms")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
