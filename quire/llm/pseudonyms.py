@@ -162,7 +162,7 @@ def session_key(spark: SparkSession) -> str:
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
-    """docs with text replaced and n_chars brought up to date, plus n_pseudonyms (values replaced).
+    """docs with text replaced, n_chars (if there) brought up to date where it was, plus n_pseudonyms (values replaced).
 
     Valid cards and IBANs stay valid, dates stay dates, social security numbers stay in their ranges; e-mail
     addresses keep their domain. Left in clear: numbers that fail their check, dates without a day or a four-digit
@@ -175,12 +175,14 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_pseudonyms", "__found")]
     hits = docs.select(*names, F.coalesce(found, F.array().cast("array<string>")).alias("__found"))
     lit = "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    new: Column = F.expr(f"transform(__found, v -> named_struct('old', v, 'new', {pseudonym('v', lit)}))")
+    pairs: Column = F.expr(f"transform(__found, v -> named_struct('old', v, 'new', {pseudonym('v', lit)}))")
     # pieces and values take turns; there is one piece more than values
     rest = F.split("text", ANY, -1)
-    hits = hits.withColumn("__found", new)
+    hits = hits.withColumn("__found", pairs)
     woven = F.array_join(F.flatten(F.zip_with(rest, "__found", lambda a, b: F.array(a, F.coalesce(b["new"], F.lit(""))))), "")
     text = F.when(F.size("__found") > 0, woven).otherwise(F.col("text"))
     times = F.size(F.filter("__found", lambda x: x["old"] != x["new"]))
-    out = hits.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], times.alias("n_pseudonyms"))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    new = {"text": text}
+    if "n_chars" in names:  # as it was where nothing was replaced
+        new["n_chars"] = F.when(F.size("__found") > 0, F.length(woven).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return hits.select(*[new[c].alias(c) if c in new else F.col(c) for c in names], times.alias("n_pseudonyms"))
