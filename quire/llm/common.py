@@ -98,12 +98,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sized_join(left: DataFrame, right: DataFrame, on, how: str) -> DataFrame:
-    """Joins with a broadcast of right if it has at most BROADCAST_ROWS rows, else with a shuffle.
+def sized_join(left: DataFrame, right: DataFrame, on, how: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Joins with a broadcast of right if it has at most so many rows (more than BROADCAST_ROWS only where they hold one number), else with a shuffle.
 
     right must be cheap to count (a settled table).
     """
-    return left.join(F.broadcast(right) if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else right, on, how)
+    return left.join(F.broadcast(right) if right.limit(most + 1).count() <= most else right, on, how)
 
 
 def bucket_bounds(df: DataFrame, key: str, n: int) -> tuple[list[int], list[int]]:

@@ -11,7 +11,7 @@
    block of bounded size; then one set per block and component meets the others'. This is linear.
 6. What links across components is then found exactly. In each meeting of several components, all sets
    but those of its largest component walk against all sets, first by an eighth of their n-grams, and
-   whoever might link after that by whole sets. Both sides are cut into blocks of bounded size.
+   whoever might link to any of another component after that by whole sets. Both sides are cut into blocks of bounded size.
 
 Every cell of work holds at most two blocks and passes through a task as a stream of rows in cell order, so memory is
 bounded by BLOCK (and by the longest single set) whatever the size of a group. Components are joined by
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import partitions, settle, sized_join, tidied
+from quire.llm.common import BROADCAST_ROWS, partitions, settle, sized_join, tidied
 
 #: N-grams whose hash is below this (a quarter of all) are counted to find sets that can have no link.
 COUNTED = 1 << 62
@@ -171,9 +171,9 @@ def meetings(sets: DataFrame, percent: int) -> DataFrame:
     steps, counted per n-gram before they are put in order, so a frequent n-gram is no burden of one task.
     """
     starts = settle(prefixes(sets, percent, frequent(sets)), "starts")
-    met = settle(starts.groupBy("gram").count().filter("count > 1").select("gram"), "met", narrow=True)
+    met = settle(starts.groupBy("gram").count().filter("count > 1").select("gram"), "met", narrow=True)  # one number a row
     step = F.floor(F.log(F.col("size").cast("double")) / math.log(SIZE_STEP)).cast("int")
-    members = settle(sized_join(starts, met, "gram", "left_semi").withColumn("step", step), "members", narrow=True)
+    members = settle(sized_join(starts, met, "gram", "left_semi", most=4 * BROADCAST_ROWS).withColumn("step", step), "members", narrow=True)
     order = Window.partitionBy("gram").orderBy("step")
     apart = math.ceil(math.log(100 / percent) / math.log(SIZE_STEP)) + 1
     steps = members.groupBy("gram", "step").agg(F.count("*").alias("n"))
@@ -197,11 +197,12 @@ class Side:
         self.rest = size - self.given
 
 
-def trie_links(left: Side, right: Side, percent: int) -> list[tuple[int, int]]:
-    """Links between nodes of left and right that have different labels, as many as join what links: (least, other) of each join.
+def trie_links(left: Side, right: Side, percent: int, all_ends: bool = False) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links between nodes of left and right that have different labels, as many as join what links; and, if asked for, all their ends.
 
     Left's sets form the trie; the walk counts their paths' overlaps with all of right's. Where only parts of
-    the sets are given, pairs count as linked if they might be. Labels are changed.
+    the sets are given, pairs count as linked if they might be. Links that join nothing new are passed over (their
+    ends are not, if all ends are asked for).
     """
     m, count = len(right.grams), len(left.grams)
     gram_r, owner = np.concatenate(right.grams), np.repeat(np.arange(m), right.given)
@@ -223,6 +224,8 @@ def trie_links(left: Side, right: Side, percent: int) -> list[tuple[int, int]]:
         d = np.flatnonzero(a[:c] != b[:c])
         same[k] = d[0] if len(d) else c
     sizes, rests, labels = left.size[order], left.rest[order], left.label[order]
+    joined, joined_right = (labels.copy(), right.label.copy()) if all_ends else (labels, right.label)
+    ends, ends_right = np.zeros(count, bool), np.zeros(m, bool)
     pairs, todo = [], [(0, count, 0, np.zeros(m, np.int64))]
     while todo:
         lo, hi, depth, overlap = todo.pop()
@@ -239,29 +242,37 @@ def trie_links(left: Side, right: Side, percent: int) -> list[tuple[int, int]]:
         at = lo
         while at < hi and length[at] == end:  # sets that end here
             found = reach & (right.label != labels[at]) & ((100 + percent) * (overlap + np.minimum(rests[at], right.rest)) >= percent * (sizes[at] + right.size))
-            for j in np.flatnonzero(found):
-                new, old = labels[at], right.label[j]
-                if new != old:
-                    pairs.append((left.node[order[at]], right.node[j]))
-                    labels[labels == old], right.label[right.label == old] = new, new
+            ends[at] = found.any()
+            ends_right |= found
+            hit = np.flatnonzero(found & (joined_right != joined[at]))
+            for j in hit[np.unique(joined_right[hit], return_index=True)[1]]:
+                now, before = joined[at], joined_right[j]
+                pairs.append((left.node[order[at]], right.node[j]))
+                joined[joined == before], joined_right[joined_right == before] = now, now
             at += 1
         if at < hi:
             heads = [at, *(k for k in range(at + 1, hi) if same[k] == end), hi]
             todo += [(a, b, int(end), overlap) for a, b in zip(heads, heads[1:])]
-    return pairs
+    return pairs, np.concatenate([left.node[np.array(order, np.int64)[ends]], right.node[ends_right]]) if all_ends else np.zeros(0, np.int64)
 
 
-def compared(cells: DataFrame, keys: list[str], percent: int, kind: type) -> DataFrame:
-    """Links a, b within each cell: rows of keys, node, size, label, side (0 walks, 1 is met, 2 both) and grams, numbers of the given kind."""
+def compared(cells: DataFrame, keys: list[str], percent: int, kind: type, all_ends: bool = False) -> DataFrame:
+    """Links a, b within each cell: rows of keys, node, size, label, side (0 walks, 1 is met, 2 both) and grams, numbers of the given kind.
 
-    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+    If asked for, all ends of links are given too, as links of a node to itself.
+    """
+
+    def links(rows: list[tuple]) -> list[np.ndarray]:
         node, size, label, side, grams = zip(*rows)
         node, size, label, side = (np.array(x, np.int64) for x in (node, size, label, side))
         if len(rows) < 2 or (label == label[0]).all():
             return []
         grams = [np.frombuffer(g, kind) for g in grams]
         left, right = (Side(node[at], size[at], label[at], [g for g, here in zip(grams, at) if here]) for at in (side != 1, side != 0))
-        return trie_links(left, right, percent) if left.grams and right.grams else []
+        if not left.grams or not right.grams:
+            return []
+        pairs, ends = trie_links(left, right, percent, all_ends)
+        return [np.array(pairs, np.int64).reshape(-1, 2), np.column_stack([ends, ends])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, rows, found = None, [], []
@@ -272,11 +283,11 @@ def compared(cells: DataFrame, keys: list[str], percent: int, kind: type) -> Dat
                     now, rows = at, []
                 rows.append(row)
             if found:
-                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                yield pd.DataFrame(np.concatenate(found), columns=["a", "b"])
                 found = []
         found = links(rows) if rows else []
         if found:
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(np.concatenate(found), columns=["a", "b"])
 
     p = partitions(cells.sparkSession)
     dealt = cells.select(*keys, "node", "size", "label", "side", "grams").repartition(p, *keys).sortWithinPartitions(*keys)
@@ -297,7 +308,7 @@ def within(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return compared(cells, ["cell", "block"], percent, np.uint64)
 
 
-def across(rows: DataFrame, sets: DataFrame, percent: int, kind: type, share: int) -> DataFrame:
+def across(rows: DataFrame, sets: DataFrame, percent: int, kind: type, share: int, all_ends: bool = False) -> DataFrame:
     """Links a, b between rows (cell, node, size, label) of the same cell that have different labels.
 
     sets hold node, size and grams, which are a share-th of the whole sets. All rows but those of the cell's
@@ -312,7 +323,7 @@ def across(rows: DataFrame, sets: DataFrame, percent: int, kind: type, share: in
     walking = rows.filter("label <> top")
     walking = walking.select("cell", "node", "label", F.lit(0).alias("side"), dealt_to(F.col("slices"), 5).alias("slice"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     dealt = settle(met.unionByName(walking), "dealt", narrow=True)
-    return compared(sized_join(sets, dealt, "node", "inner"), ["cell", "slice", "block"], percent, kind)
+    return compared(sized_join(sets, dealt, "node", "inner"), ["cell", "slice", "block"], percent, kind, all_ends)
 
 
 def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -336,9 +347,10 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         led = settle(leaders.join(weights, "cell").select("cell", "node", dealt_to(blocks_of(F.col("weight")), 7).alias("block")), "led", narrow=True)
         found = components(within(led, sets, percent), found)
     # exactly, across components: by an eighth of the sets, then whoever might link by whole ones
-    might = across(labelled(held.select("cell", "node", "size"), found), sets.select("node", "size", F.col("low").alias("grams")), percent, np.uint32, 16)
-    closer = components(might, found)
-    rows = labelled(labelled(sets.select("node", "size"), found).withColumnRenamed("label", "own"), closer)
+    might = settle(across(labelled(held.select("cell", "node", "size"), found), sets.select("node", "size", F.col("low").alias("grams")), percent, np.uint32, 16, all_ends=True), "might")
+    closer = components(might.filter("a <> b"), found)
+    ends = settle(might.filter("a = b").select(F.col("a").alias("node")).distinct(), "ends", narrow=True)
+    rows = labelled(labelled(sized_join(sets.select("node", "size"), ends, "node", "left_semi"), found).withColumnRenamed("label", "own"), closer)
     rows = settle(rows.select(F.col("label").alias("cell"), "node", "size", F.col("own").alias("label")), "closer", narrow=True)
     return components(across(rows, sets.select("node", "size", "grams"), percent, np.uint64, 1), found)
 

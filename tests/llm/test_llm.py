@@ -424,7 +424,7 @@ def test_trie_links_join_what_links():
             known[3:6] = 3
         side = lambda at: ngrams.Side(np.array(at), size[at], known[at], [sets[i] for i in at])
         parts = [(list(range(14)),) * 2] if turn % 3 else [([0, 1, 2], list(range(14))), (list(range(3, 14)), list(range(9))), (list(range(3, 14)), list(range(9, 14)))]
-        found = [p for a, b in parts for p in ngrams.trie_links(side(a), side(b), 85)]
+        found = [p for a, b in parts for p in ngrams.trie_links(side(a), side(b), 85)[0]]
         label, want = known.tolist(), known.tolist()
         for pairs, lab in ((found, label), ([(a, b) for a in range(14) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))], want)):
             for _ in range(14):
@@ -432,6 +432,16 @@ def test_trie_links_join_what_links():
                     lab[a] = lab[b] = min(lab[a], lab[b])
                 lab[:] = [min(x for x, k in zip(lab, known) if k == own) for own in known]
         assert label == want
+        # all ends of links between different labels, whether or not these join anything new
+        real = {(i, j) for i in range(14) for j in range(14) if known[i] != known[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+        every = [ngrams.trie_links(side(a), side(b), 85, all_ends=True) for a, b in parts]
+        assert {x for _, ends in every for x in ends.tolist()} == {x for a, b in parts for i, j in real if i in a and j in b for x in (i, j)}
+        again = known.tolist()
+        for _ in range(14):
+            for a, b in [p for pairs, _ in every for p in pairs]:
+                again[a] = again[b] = min(again[a], again[b])
+            again[:] = [min(x for x, k in zip(again, known) if k == own) for own in known]
+        assert again == want
 
 
 def test_pseudonyms(spark, odd, none):
@@ -577,6 +587,26 @@ def test_rows_that_share_an_id_are_split(spark):
     assert sorted(r["edited_sha256"] for r in merkle.with_neighbours(table).collect()) == want
 
 
+def test_stages_take_odd_and_empty_tables(spark, odd, none):
+    """Null ids, texts and sources, repeated rows, empty and very long texts, extra columns: kept or dropped by each stage's rule, never a crash."""
+    import corpus_pipeline
+
+    rows = odd.unionByName(docs(spark, "no id but words to keep here", "no id but words to keep here").withColumn("doc_id", F.lit(None).cast("bigint"))).cache()
+    for name, stage in corpus_pipeline.STAGES:
+        out, empty = stage(spark, rows, SF), stage(spark, none, SF)
+        assert empty.count() == 0, name
+        n = out.count()
+        if name == "encode":
+            assert n == rows.count() and out.filter(F.size("ids") != F.col("n_tokens")).count() == 0
+        elif name == "pseudonymise":
+            assert sorted(map(str, out.select(odd.columns).collect())) == sorted(map(str, rows.collect()))
+        elif name == "near_duplicates":
+            full = {(r["text"] or "").lower() for r in rows.collect() if (r["text"] or "").split()}
+            assert n == len(full) + sum(not (r["text"] or "").split() for r in rows.collect()) and out.columns == rows.columns
+        else:
+            assert set(out.columns) >= set(rows.columns) - {"score"} and n <= 2 * rows.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
