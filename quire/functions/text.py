@@ -149,6 +149,11 @@ def number_or(value: Column, default: float) -> Column:
     return F.coalesce(value.try_cast("double"), F.lit(default))
 
 
+def exact_mean(value: Column) -> Column:
+    """The mean of an aggregated column to three digits, halves up; values count to nine digits, and their sum is exact in any order."""
+    return F.round(F.sum(value.cast("decimal(18,9)")) / F.count(value), 3).cast("double")
+
+
 def share(part: Column, whole: Column) -> Column:
     """part / whole, 1 where there is nothing to cover."""
     return F.when(whole == 0, 1.0).otherwise(part / whole)
@@ -201,13 +206,41 @@ def option_kind(value: Column) -> Column:
     return F.when(low.isin("true", "false"), "bool").when(low == "null", "null").when(whole, "int").when(real, "float").otherwise("string")
 
 
+def json_members(value: Column) -> Column:
+    """Under v the one JSON value that a text is, as VARIANT; null where it is anything else, or is followed by anything.
+
+    The parser stops after the first value, so the text is put into an object and has to be followed by a member named after its own hash.
+    Members that repeat a name within one object make it no JSON here.
+    """
+    mark = F.concat(F.lit("m"), F.xxhash64(value).cast("string"))
+    whole = F.try_parse_json(F.concat(F.lit('{"v":'), value, F.lit('\n,"'), mark, F.lit('":1}')))
+    members = F.try_variant_get(whole, "$", "map<string,variant>")
+    return F.when((F.size(members) == 2) & F.map_contains_key(members, mark), members)
+
+
+def json_value(value: Column) -> Column:
+    """The JSON value that a text is, as VARIANT; null where it is none."""
+    return F.element_at(json_members(value), "v")
+
+
+def is_json(value: Column) -> Column:
+    """Whether a text is one JSON value and nothing else; blanks around it do not count."""
+    return json_members(value).isNotNull()
+
+
+def json_object(value: Column) -> Column:
+    """The members of the JSON object that a text is, as a map to VARIANT; null where it is none."""
+    return F.try_variant_get(json_value(value), "$", "map<string,variant>")
+
+
 def json_object_or_empty(value: Column) -> Column:
     """The text if it is a JSON object, else {}."""
-    return F.when(is_json(value) & strip(value).startswith("{"), value).otherwise(F.lit("{}"))
+    return F.when(json_object(value).isNotNull(), value).otherwise(F.lit("{}"))
 
 
-def is_json(value: Column) -> Column:
-    return F.coalesce(F.get_json_object(value, "$").isNotNull(), F.lit(False))
+def json_length(value: Column) -> Column:
+    """The elements of the JSON array that a text is; 0 where it is none."""
+    return F.coalesce(F.size(F.try_variant_get(json_value(value), "$", "array<variant>")), F.lit(0)).cast("bigint")
 
 
 def sorted_json(entries: Column) -> Column:
@@ -224,9 +257,13 @@ def salvaged_json(raw: Column) -> Column:
 
 
 def reply_markdown(content: Column) -> Column:
-    """The markdown of a model's reply: of an object the first of REPLY_KEYS, of other text the text itself, trimmed."""
-    of = F.coalesce(*[F.get_json_object(content, f"$.{k}") for k in REPLY_KEYS], F.lit(""))
-    return F.when(F.coalesce(content, F.lit("")) == "", "").when(is_json(content) & strip(content).startswith("{"), of).when(is_json(content), content).otherwise(strip(content))
+    """The markdown of a model's reply: of an object that of the first of REPLY_KEYS there is (null: empty), of other text the text itself, trimmed."""
+    members, other = json_object(content), json_value(content)
+    of = F.lit("")
+    for key in reversed(REPLY_KEYS):
+        of = F.when(F.map_contains_key(members, key), F.coalesce(F.element_at(members, key).cast("string"), F.lit(""))).otherwise(of)
+    text = F.when(F.schema_of_variant(other) == "STRING", other.cast("string")).otherwise(strip(content))
+    return F.when(F.coalesce(content, F.lit("")) == "", "").when(members.isNotNull(), of).otherwise(text)
 
 
 def reply_cost(response: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
+
 #: Recall that a cleanup may lose against the baseline.
 TOLERANCE = 0.12
 
@@ -42,7 +44,7 @@ def flagged(pages: DataFrame) -> DataFrame:
 
 def document_means(pages: DataFrame, canonical: str, baseline: str) -> DataFrame:
     """doc, mean of the adopted score, else the baseline's, to three digits."""
-    return pages.groupBy("doc").agg(F.round(F.avg(F.coalesce(canonical, baseline)), 3).alias("canonical_mean"))
+    return pages.groupBy("doc").agg(T.exact_mean(F.coalesce(canonical, baseline)).alias("canonical_mean"))
 
 
 def escalation_reasons(recall: Column, extra: Column, table: Column, least_recall: float = 0.95, most_extra: float = 0.15) -> Column:

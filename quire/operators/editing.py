@@ -52,7 +52,8 @@ def rebuilt(sections: DataFrame, pages: DataFrame, fraction: float = 0.30) -> Da
     """
     ranged = sections.filter("page_start > 0 and page_end > 0").select("doc", "id", "page_start", "page_end")
     key = F.concat_ws("\x1f", F.col("doc").cast("string"), F.col("id").cast("string"))
-    held = ranged.join(pages.select("doc", "page_no", "markdown"), "doc").filter("page_no between page_start and page_end")
+    covers = refs.covering(sections, pages.select("doc", F.col("page_no").alias("page"))).select("doc", "id", F.col("page").alias("page_no"))
+    held = covers.join(pages.select("doc", "page_no", "markdown"), ["doc", "page_no"])
     kept = clean.cleaned(held.select(key.alias("doc"), "page_no", "markdown"), fraction).withColumn("markdown", T.strip(F.col("markdown")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("markdown") != "", F.struct("page_no", "markdown")))), lambda x: x["markdown"]), "\n\n")
     built = lint.repaired(kept.groupBy("doc").agg(body.alias("markdown")), ["doc"]).withColumnRenamed("doc", "key")

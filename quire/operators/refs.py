@@ -2,19 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
 
+#: Bits of the widths of bins: a span lies in bins of the least width, of these, that is no less than its own, so in two at most.
+BITS = (0, 3, 6, 9, 12, 15, 18, 21, 24, 27, 30)
+
+
+def _level(start: Column, end: Column) -> Column:
+    """The place in BITS of the bins that a span lies in."""
+    return sum(((end - start + 1 > 2**bits).cast("int") for bits in BITS[:-1]), F.lit(0))
+
+
+def binned(spans: DataFrame) -> DataFrame:
+    """spans with a page range, each with level and one row for each bin it lies in: one or two."""
+    rows = spans.filter("page_start > 0 and page_end >= page_start").withColumn("level", _level(F.col("page_start"), F.col("page_end")))
+    width = F.pow(F.lit(8.0), "level")
+    first, last = F.floor(F.col("page_start") / width), F.floor(F.col("page_end") / width)
+    return rows.withColumn("bin", F.explode(F.sequence(first, last)))
+
+
+def bins_of(first: Column, last: Column, least: Column) -> Column:
+    """level and bin of the bins of each level from least on that meet a range of pages which is no wider than these."""
+    levels = F.filter(F.array(*map(F.lit, range(len(BITS)))), lambda k: k >= least)
+    return F.flatten(F.transform(levels, lambda k: F.transform(F.sequence(F.floor(first / F.pow(F.lit(8.0), k)), F.floor(last / F.pow(F.lit(8.0), k))), lambda x: F.struct(k.alias("level"), x.alias("bin")))))
+
+
 def covering(spans: DataFrame, points: DataFrame) -> DataFrame:
     """Rows of points (doc, page, ...) with each span (doc, id, page_start, page_end, lft) that holds the page.
 
-    The range is a residual of the equi-join on doc, never a nested loop over documents.
+    Spans lie in bins by their width, at most two each, and a point in one bin of each width, so what meets is a span near
+    the page: the work grows with points and covers, not with the spans of a document. The range is a residual.
     """
-    a, b = F.col("page_start"), F.col("page_end")
-    return points.join(spans.filter((a > 0) & (b > 0)).select("doc", "id", "page_start", "page_end", "lft"), "doc").filter((a <= F.col("page")) & (F.col("page") <= b))
+    a, b, page = F.col("page_start"), F.col("page_end"), F.col("page").cast("bigint")
+    held = binned(spans.select("doc", "id", "page_start", "page_end", "lft"))
+    cells = points.withColumn("at", F.explode(bins_of(page, page, F.lit(0)))).select(*points.columns, "at.level", "at.bin")
+    return cells.join(held, ["doc", "level", "bin"]).filter((a <= page) & (page <= b)).drop("level", "bin")
 
 
 def smallest_cover(spans: DataFrame, points: DataFrame) -> DataFrame:
@@ -25,19 +51,30 @@ def smallest_cover(spans: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def deepest_cover(spans: DataFrame, points: DataFrame) -> DataFrame:
-    """doc, page, id of the spans that hold the page and have no descendant that does."""
-    held = covering(spans.select("doc", "id", "page_start", "page_end", "lft"), points.select("doc", "page").distinct()).join(spans.select("doc", "id", "rgt"), ["doc", "id"])
-    inner = held.select("doc", "page", F.col("lft").alias("l"), F.col("rgt").alias("r"))
-    has_inner = (held["doc"] == inner["doc"]) & (held["page"] == inner["page"]) & (F.col("l") > held["lft"]) & (F.col("r") < held["rgt"])
-    return held.join(inner, has_inner, "left_anti").select("doc", "page", "id")
+    """doc, page, id of the spans that hold the page and have no descendant that does.
+
+    Nested-set numbers of the covers of a page: a cover has a descendant among them if the next one in the order of lft ends before it does.
+    """
+    ends = spans.select("doc", "id", "rgt")
+    held = covering(spans, points.select("doc", "page").distinct()).join(ends, ["doc", "id"])
+    after = F.lead("rgt").over(Window.partitionBy("doc", "page").orderBy("lft"))
+    return held.withColumn("after", after).filter("after is null or after > rgt").select("doc", "page", "id")
 
 
 def overlapping(spans: DataFrame) -> DataFrame:
-    """doc, id, other: spans whose page ranges meet, neither within the other's subtree."""
-    x = spans.filter("page_start > 0 and page_end > 0")
-    y = x.select("doc", F.col("id").alias("other"), F.col("page_start").alias("s"), F.col("page_end").alias("e"), F.col("lft").alias("l"), F.col("rgt").alias("r"))
+    """doc, id, other: spans whose page ranges meet, neither within the other's subtree.
+
+    The narrower span of a pair is looked up in the bins of the wider one's width; of two bins that both lie in the first counts.
+    """
+    x = spans.select("doc", "id", "page_start", "page_end", "lft", "rgt")
+    wide = binned(x).select("doc", "level", "bin", F.col("id").alias("other"), F.col("page_start").alias("s"), F.col("page_end").alias("e"), F.col("lft").alias("l"), F.col("rgt").alias("r"))
+    narrow = x.filter("page_start > 0 and page_end >= page_start").withColumn("own", _level(F.col("page_start"), F.col("page_end")))
+    narrow = narrow.withColumn("at", F.explode(bins_of(F.col("page_start"), F.col("page_end"), F.col("own")))).select(*x.columns, "own", "at.level", "at.bin")
     apart = ~((F.col("lft") <= F.col("l")) & (F.col("rgt") >= F.col("r"))) & ~((F.col("l") <= F.col("lft")) & (F.col("r") >= F.col("rgt")))
-    return x.join(y, "doc").filter((F.col("page_start") <= F.col("e")) & (F.col("s") <= F.col("page_end")) & apart).select("doc", "id", "other")
+    first = F.col("bin") == F.floor(F.greatest("page_start", "s") / F.pow(F.lit(8.0), "level"))
+    pairs = narrow.join(wide, ["doc", "level", "bin"]).filter((F.col("page_start") <= F.col("e")) & (F.col("s") <= F.col("page_end")) & first & apart)
+    one, back = F.struct(F.col("id").alias("id"), F.col("other").alias("other")), F.struct(F.col("other").alias("id"), F.col("id").alias("other"))
+    return pairs.select("doc", F.explode(F.when(F.col("own") < F.col("level"), F.array(one, back)).otherwise(F.array(one))).alias("pair")).select("doc", "pair.id", "pair.other")
 
 
 def internal(cue: Column, kind: Column, n: Column, page_count: Column) -> Column:

@@ -29,7 +29,7 @@ def scorecard(blocks: DataFrame, pages: DataFrame, section_blocks: DataFrame) ->
         F.count("bbox").alias("boxed"),
         (F.count("block_id") == F.count_distinct("block_id")).alias("unique_ids"),
     )
-    p = pages.groupBy("run").agg(F.count("*").alias("page_count"), F.round(F.avg("text_recall"), 3).alias("text_recall_avg"), F.round(F.min("text_recall"), 3).alias("text_recall_min"), F.round(F.avg("extra_ratio"), 3).alias("extra_ratio_avg"))
+    p = pages.groupBy("run").agg(F.count("*").alias("page_count"), T.exact_mean(F.col("text_recall")).alias("text_recall_avg"), F.round(F.min("text_recall"), 3).alias("text_recall_min"), T.exact_mean(F.col("extra_ratio")).alias("extra_ratio_avg"))
     s = section_blocks.join(blocks.select("run", "block_id", F.lit(1).alias("found")).distinct(), ["run", "block_id"], "left").groupBy("run").agg(F.count("*").alias("refs"), F.count("found").alias("sound"))
     rows = p.join(b, "run", "left").join(s, "run", "left").na.fill(0, ["block_count", "table_count", "placed", "boxed", "refs", "sound"])
     c = F.col

@@ -1,35 +1,60 @@
-"""Markdown pages to a section tree, as windows over a document's lines in order."""
+"""Markdown pages to a section tree, as scans over a document's lines in order, segment by segment."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import segments
 
 #: Deepest level that headings and numbering give; an outline may give deeper ones.
 DEEPEST = 6
 
 
+def _lines(pages: DataFrame) -> DataFrame:
+    return pages.select("doc", "page_no", T.lines(F.coalesce("markdown", F.lit(""))).alias("lines"), F.floor(F.col("page_no") / segments.PAGES).alias("segment"))
+
+
+def heading_counts(pages: DataFrame) -> DataFrame:
+    """doc, segment (a range of pages), and how many lines (pos) and headings (section) it has."""
+    heads = F.size(F.filter("lines", lambda x: x.rlike(T.HEADING)))
+    return _lines(pages).groupBy("doc", "segment").agg(F.sum(F.size("lines")).alias("pos"), F.sum(heads).alias("section"))
+
+
 def headed_lines(pages: DataFrame) -> DataFrame:
-    """Lines of pages (doc, page_no, markdown) with their place in the document and, for headings, marks and title."""
-    rows = pages.select("doc", "page_no", F.posexplode(T.lines(F.coalesce("markdown", F.lit("")))).alias("line_no", "line"))
-    order = Window.partitionBy("doc").orderBy("page_no", "line_no")
-    rows = rows.withColumn("pos", F.row_number().over(order))
+    """Lines of pages (doc, page_no, markdown) with their place in the document and, for headings, marks and title.
+
+    Lines are numbered within ranges of pages, which go on from the counts of the ranges before.
+    """
+    starts = segments.carried(heading_counts(pages), ["doc"], "segment", pos="sum", section="sum")
+    rows = _lines(pages).select("doc", "page_no", "segment", F.posexplode("lines").alias("line_no", "line"))
+    order = Window.partitionBy("doc", "segment").orderBy("page_no", "line_no")
     heading = F.col("line").rlike(T.HEADING)
-    return rows.select(
-        "*",
+    rows = rows.withColumns({"__pos": F.row_number().over(order), "__section": F.sum(heading.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    return rows.join(starts, ["doc", "segment"]).select(
+        "doc", "page_no", "line_no", "line", (F.col("pos") + F.col("__pos")).alias("pos"),
         F.when(heading, F.length(F.regexp_extract("line", T.HEADING, 1))).alias("marks"),
         F.when(heading, T.clean_title(F.regexp_extract("line", T.HEADING, 2))).alias("title"),
-        F.sum(heading.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("section"),
-    )
+        (F.col("section") + F.col("__section")).alias("section"),
+    )
+
+
+def headings(pages: DataFrame) -> DataFrame:
+    """doc, pos, section, page_start, title, marks of the headings, written, for the scans that follow read them more than once."""
+    rows = headed_lines(pages).filter("title is not null")
+    return segments.settle(rows.select("doc", "pos", "section", F.col("page_no").alias("page_start"), "title", "marks"), "headings")
+
+
+def _segment() -> Column:
+    return F.floor(F.col("pos") / segments.ROWS)
 
 
 def levels(headings: DataFrame, outline: DataFrame | None = None) -> DataFrame:
     """headings (doc, pos, title, marks) with level: outline, else numbering, else marks; repeated chapters go down to 2.
 
     A numbered level-1 title is demoted if it looks like a list item or its number does not exceed that of
-    every chapter before it.
+    every chapter before it: the highest one is handed on from segment to segment.
     """
     level = T.number_level(F.col("title"), F.col("marks"))
     if outline is not None:
@@ -38,25 +63,25 @@ def levels(headings: DataFrame, outline: DataFrame | None = None) -> DataFrame:
         level = F.coalesce("outline_level", level)
     rows = headings.withColumn("level", level.cast("int")).withColumn("chapter", F.when(F.col("level") == 1, T.chapter(F.col("title"))))
     fair = F.when(F.col("chapter").isNotNull() & ~T.looks_like_list_item(F.col("title")), F.col("chapter"))
-    before = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    accepted = fair.isNotNull() & (F.col("chapter") > F.coalesce(F.max(fair).over(before), F.lit(0)))
-    return rows.withColumn("level", F.when(F.col("chapter").isNotNull() & ~accepted, 2).otherwise(F.col("level"))).drop("chapter")
+    rows = segments.running(rows, ["doc"], ["pos"], _segment(), highest=("max", fair, False))
+    accepted = fair.isNotNull() & (F.col("chapter") > F.coalesce("highest", F.lit(0)))
+    return rows.withColumn("level", F.when(F.col("chapter").isNotNull() & ~accepted, 2).otherwise(F.col("level"))).drop("chapter", "highest")
 
 
 def paths(headings: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     """headings with path, the titles of the live ancestors and their own.
 
-    The last heading of each level k < own level counts if it stands after the last of every level above k.
+    The last heading of each level k < own level counts if it stands after the last of every level above k; each
+    segment hands on the last heading of each level.
     """
-    before = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("level") == k, F.struct("pos", "title")), ignorenulls=True).over(before).alias(f"last{k}") for k in range(1, deepest)]
-    rows = headings.select("*", *last)
+    last = {f"last{k}": ("last", F.when(F.col("level") == k, F.struct("pos", "title")), False) for k in range(1, deepest)}
+    rows = segments.running(headings, ["doc"], ["pos"], _segment(), **last)
     parts, above = [], F.lit(0)
     for k in range(1, deepest):
         here = F.col(f"last{k}.pos")
         parts.append(F.when((F.col("level") > k) & (here > above), F.col(f"last{k}.title")))
         above = F.greatest(above, F.coalesce(here, F.lit(0)))
-    return rows.withColumn("path", F.concat(F.array_compact(F.array(*parts)), F.array("title"))).drop(*[f"last{k}" for k in range(1, deepest)])
+    return rows.withColumn("path", F.concat(F.array_compact(F.array(*parts)), F.array("title"))).drop(*last)
 
 
 def bodies(lines: DataFrame) -> DataFrame:
@@ -65,34 +90,32 @@ def bodies(lines: DataFrame) -> DataFrame:
     return lines.filter("section > 0").groupBy("doc", "section").agg(F.max("page_no").alias("page_end"), T.strip(body).alias("body"))
 
 
+@segments.tidied
 def sections(pages: DataFrame, outline: DataFrame | None = None) -> DataFrame:
     """doc, idx, title, level, path, page_start, page_end, markdown of every document.
 
     Text before a first heading is left out; a document without headings is one section named Preamble.
     An outline (doc, title, level) may give levels of any depth. Repeats of a numbered title fold into the first; then neighbours of equal level and title fold.
+    A document may hold any share of all pages: what is ordered over a whole document is scanned by segments.
     """
-    lines = headed_lines(pages)
     deepest = max(DEEPEST, outline.agg(F.max("level")).first()[0] or 0) if outline is not None else DEEPEST
-    heads = paths(levels(lines.filter("title is not null").select("doc", "pos", "section", F.col("page_no").alias("page_start"), "title", "marks"), outline), deepest)
-    rows = heads.join(bodies(lines), ["doc", "section"])
-    same = F.lower("title")
-    numbered = F.col("title").rlike(T.NUMBERED)
-    first = F.first("section").over(Window.partitionBy("doc", same).orderBy("section"))
-    rows = rows.withColumn("owner", F.when(numbered, first).otherwise(F.col("section")))
-    rows = rows.withColumn("survives", F.col("owner") == F.col("section"))
-    kept = rows.filter("survives")
-    order = Window.partitionBy("doc").orderBy("section")
-    starts = ~((F.col("level") == F.lag("level").over(order)) & (same == F.lower(F.lag("title").over(order))))
-    heads_of = kept.select("doc", F.col("section").alias("owner"), F.coalesce(starts, F.lit(True)).alias("starts"))
-    heads_of = heads_of.withColumn("head", F.last(F.when(F.col("starts"), F.col("owner")), ignorenulls=True).over(Window.partitionBy("doc").orderBy("owner")))
-    merged = rows.join(heads_of.select("doc", "owner", "head"), ["doc", "owner"])
+    heads, same = headings(pages), F.lower("title")
+    first = heads.filter(F.col("title").rlike(T.NUMBERED)).groupBy("doc", same.alias("same")).agg(F.min("section").alias("owner"))
+    rows = paths(levels(heads, outline), deepest).withColumn("same", same).join(first, ["doc", "same"], "left")
+    rows = rows.withColumn("owner", F.coalesce("owner", "section")).withColumn("survives", F.col("owner") == F.col("section"))
+    rows = segments.running(rows, ["doc"], ["pos"], _segment(), previous=("last", F.when(F.col("survives"), F.struct("level", "same")), False))
+    again = (F.col("level") == F.col("previous.level")) & (F.col("same") == F.col("previous.same"))
+    rows = segments.settle(rows.withColumn("starts", F.col("survives") & ~F.coalesce(again, F.lit(False))).drop("previous", "same"), "sections")
+    starts = F.col("starts")
+    folded = segments.running(rows.select("doc", "pos", "section", "survives", "starts"), ["doc"], ["pos"], _segment(), head=("last", F.when(starts, F.col("section")), True), idx=("sum", starts.cast("int"), True))
+    merged = rows.join(folded.filter("survives").select("doc", F.col("section").alias("owner"), "head", "idx"), ["doc", "owner"]).join(bodies(headed_lines(pages)), ["doc", "section"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("body") != "", F.struct("section", "body")))), lambda x: x["body"]), "\n")
     lead = lambda c: F.min_by(c, "section").alias(c)
-    tree = merged.groupBy("doc", "head").agg(lead("title"), lead("level"), lead("path"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), text.alias("markdown"))
-    idx = (F.row_number().over(Window.partitionBy("doc").orderBy("head")) - 1).alias("idx")
-    tree = tree.select("doc", idx, "title", "level", "path", "page_start", "page_end", "markdown")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    bare = lines.groupBy("doc").agg(F.max("section").alias("n"), F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"), T.strip(whole).alias("markdown")).filter("n = 0 and markdown <> ''")
+    tree = merged.groupBy("doc", "head", "idx").agg(lead("title"), lead("level"), lead("path"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), text.alias("markdown"))
+    tree = tree.select("doc", (F.col("idx") - 1).cast("int").alias("idx"), "title", "level", "path", "page_start", "page_end", "markdown")
+    bare = heading_counts(pages).groupBy("doc").agg(F.sum("section").alias("n")).filter("n = 0").select("doc")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.array_join("lines", "\n").alias("x")))), lambda x: x["x"]), "\n")
+    bare = _lines(pages).join(bare, "doc", "left_semi").groupBy("doc").agg(F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"), T.strip(whole).alias("markdown")).filter("markdown <> ''")
     preamble = bare.select("doc", F.lit(0).alias("idx"), F.lit("Preamble").alias("title"), F.lit(1).alias("level"), F.array(F.lit("Preamble")).alias("path"), "page_start", "page_end", "markdown")
     return tree.unionByName(preamble)
 
@@ -131,13 +154,14 @@ def blocks(pages: DataFrame) -> DataFrame:
 
 def block_sections(found: DataFrame) -> DataFrame:
     """Sections of blocks: each heading starts one, leading blocks form a Preamble. doc, section, title, page_start, page_end, blocks."""
-    order = Window.partitionBy("doc").orderBy("page_no", "reading_order")
     head = F.col("type") == "heading"
-    rows = found.withColumn("section", F.sum(head.cast("int")).over(order))
-    title = F.coalesce(F.max(F.when(head, F.regexp_replace("markdown", r"^#+\s+", ""))), F.lit("Preamble"))
+    narrow = found.select("doc", "page_no", "reading_order", head.cast("bigint").alias("head"), F.when(head, F.regexp_replace("markdown", r"^#+\s+", "")).alias("title"))
+    rows = segments.running(narrow, ["doc"], ["page_no", "reading_order"], F.floor(F.col("page_no") / segments.PAGES), section=("sum", F.col("head"), True))
+    title = F.coalesce(F.max("title"), F.lit("Preamble"))
     return rows.groupBy("doc", "section").agg(title.alias("title"), F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"), F.count("*").alias("blocks"))
 
 
 def numbered_blocks(found: DataFrame) -> DataFrame:
-    """Blocks with a number over the whole document; orders restart on each page."""
-    return found.withColumn("number", F.row_number().over(Window.partitionBy("doc").orderBy("page_no", "reading_order")))
+    """Blocks with a number over the whole document; orders restart on each page. The blocks are written, for they are read twice."""
+    rows = segments.settle(found, "blocks")
+    return segments.running(rows, ["doc"], ["page_no", "reading_order"], F.floor(F.col("page_no") / segments.PAGES), number=("sum", F.lit(1).cast("bigint"), True))

@@ -5,21 +5,13 @@ A tree is rows doc, id, parent (null for roots), sort_order, title and any other
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. A local session may do without; a cluster may not."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return root or "/tmp/checkpoints"
+from quire.operators import segments
 
 
 def descend(top: DataFrame, below: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -28,7 +20,7 @@ def descend(top: DataFrame, below: Callable[[DataFrame], DataFrame]) -> DataFram
     Each level is written to the shared folder and read back, so plans don't grow with the depth.
     """
     spark = top.sparkSession
-    folder = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}"
+    folder = segments.new_folder(spark, "levels")
     paths, level = [], top
     while True:
         paths.append(f"{folder}/{len(paths)}")
@@ -39,16 +31,18 @@ def descend(top: DataFrame, below: Callable[[DataFrame], DataFrame]) -> DataFram
         level = below(level)
 
 
+@segments.tidied
 def nested_set(nodes: DataFrame) -> DataFrame:
     """nodes with level (from 1), path, line (ids from the root), is_group, lft and rgt, depth-first by (sort_order, id).
 
     A row whose parent has no row in its document is a root. Rows on a cycle of parents, and those below one, hang
     from no root and are left out. Paths grow by one join per level until none does, whatever the depth. With m the
     rank in the depth-first order and d the descendants, lft = 2 m - level and rgt = lft + 2 d + 1 (m from 1):
-    numbers before a node are two for each node closed and one for each open ancestor.
+    numbers before a node are two for each node closed and one for each open ancestor. Ranks go on over range
+    partitions, so a document may hold any share of all nodes. What is written on the way is deleted; the numbers stay.
     """
     key = F.struct(F.coalesce("sort_order", F.lit(0)).alias("o"), F.col("id").alias("i"))
-    step = nodes.select("doc", "id", "parent", "title", key.alias("key")).persist()
+    step = segments.settle(nodes.select("doc", "id", "parent", "title", key.alias("key")), "nodes")
     top = step.join(step.select("doc", F.col("id").alias("parent")), ["doc", "parent"], "left_anti").select("doc", "id", F.array("key").alias("keys"), F.array("title").alias("path"), F.array("id").alias("line"))
 
     def below(level: DataFrame) -> DataFrame:
@@ -56,14 +50,14 @@ def nested_set(nodes: DataFrame) -> DataFrame:
         return step.join(up, ["doc", "parent"]).select("doc", "id", F.concat("ks", F.array("key")).alias("keys"), F.concat("ps", F.array("title")).alias("path"), F.concat("ls", F.array("id")).alias("line"))
 
     found = descend(top, below)
-    ranked = found.withColumn("m", F.row_number().over(Window.partitionBy("doc").orderBy("keys")))
+    ranked = segments.ranked(found, "doc", ["keys"], "m")
     below = found.select("doc", F.explode("line").alias("id")).groupBy("doc", "id").agg((F.count("*") - 1).alias("d"))
     depth = F.size("path")
     out = ranked.join(below, ["doc", "id"]).select(
         "doc", "id", depth.alias("level"), "path", "line", (F.col("d") > 0).alias("is_group"), (2 * F.col("m") - depth).alias("lft"), (2 * F.col("m") - depth + 2 * F.col("d") + 1).alias("rgt")
     )
     drop = [c for c in ("level", "path", "line", "is_group", "lft", "rgt") if c in nodes.columns]
-    return nodes.drop(*drop).join(out, ["doc", "id"])
+    return nodes.drop(*drop).join(segments.settle(out, "numbers"), ["doc", "id"])
 
 
 def subtree(numbered: DataFrame, roots: DataFrame) -> DataFrame:

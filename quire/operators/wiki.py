@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import refs, tree
+from quire.operators import refs, segments, tree
 
 
 def siblings(numbered: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def slugs(placed: DataFrame) -> DataFrame:
     """placed with slug, unique among siblings: the title's, else -2, -3, ... past those that are taken.
 
     Siblings of one base are numbered by a window. A title may itself be another's numbered slug: only siblings
-    whose bases are the same up to such numbers then, and can so meet, are walked in order, one group at a time.
+    whose bases are the same up to such numbers then, and can so meet, are walked in order, one group at a time:
+    siblings of one parent whose titles differ in trailing numbers alone, and among which a title is such a number's.
     """
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
@@ -39,7 +40,8 @@ def slugs(placed: DataFrame) -> DataFrame:
 
     ids, docs = (placed.schema[c].dataType.simpleString() for c in ("id", "doc"))
     base, up = T.slug(F.col("title")), F.coalesce(F.col("wiki_parent").cast("string"), F.lit(""))
-    rows = placed.select("doc", "id", up.alias("up"), "place", base.alias("base")).withColumn("stem", F.regexp_replace("base", "(-[0-9]+)+$", "")).persist()
+    rows = placed.select("doc", "id", up.alias("up"), "place", base.alias("base")).withColumn("stem", F.regexp_replace("base", "(-[0-9]+)+$", ""))
+    rows = segments.settle(rows, "slugs")
     bases = rows.select("doc", "up", "stem", "base").distinct()
     numbers = bases.filter(F.col("base").rlike("-[0-9]+$")).withColumn("base", F.regexp_replace("base", "-[0-9]+$", ""))
     meet = numbers.join(bases, ["doc", "up", "stem", "base"], "left_semi").select("doc", "up", "stem").distinct()
@@ -50,9 +52,10 @@ def slugs(placed: DataFrame) -> DataFrame:
     return placed.join(apart.unionByName(walked), ["doc", "id"])
 
 
+@segments.tidied
 def routes(named: DataFrame) -> DataFrame:
     """doc, id, route: the document's slug and those of the ancestors, joined by slashes."""
-    named = named.persist()
+    named = segments.settle(named.select("doc", "id", "wiki_parent", "slug"), "named")
     top = named.filter("wiki_parent is null").select("doc", "id", F.concat_ws("/", T.slug(F.col("doc").cast("string")), "slug").alias("route"))
 
     def below(level: DataFrame) -> DataFrame:

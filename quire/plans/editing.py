@@ -70,7 +70,7 @@ def tree_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = S.spans(spark, sf_dir)
+    spans = S.span_texts(spark, sf_dir)
     edits = spans.filter("lft % 3 <> 0").select("doc", "id", F.when(F.col("lft") % 2 == 0, "refer to").otherwise("and ").alias("find"), F.lit("consult").alias("new"))
     return editing.edited_sections(spans.select("doc", "id", "markdown"), edits).select("doc", "id", F.col("found").cast("bigint").alias("found"), F.md5("markdown").alias("digest"))
 
@@ -83,28 +83,28 @@ def page_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rebuilt_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections built from the whole texts of their pages, each with a line that all have, and some with a table without a separator."""
     table = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\n|k"), F.col("doc_id").cast("string"), F.lit("|b|\n|"), F.col("doc_id").cast("string"), F.lit("|2|"))).otherwise("")
-    text = F.concat(F.lit("Row "), F.col("doc_id").cast("string"), F.lit("\nCommon line"), table, F.lit("\nPage 3 of 9"))
+    text = F.concat("truth", F.lit("\nCommon line"), table, F.lit("\nPage 3 of 9"))
     p = S.pages(spark, sf_dir).select("doc", "page_no", F.when(F.col("doc_id") % 5 != 0, text).alias("markdown"))
     found = editing.rebuilt(S.spans(spark, sf_dir), p)
     return found.select("doc", "id", F.md5("markdown").alias("digest"), F.array_join("overlaps", ",").alias("shared_with"))
 
 
 def approved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges after every third block of documents was approved: old ones with 100 occurrences more, those found anew without."""
-    spans = S.spans(spark, sf_dir)
-    counts = S.pages(spark, sf_dir).groupBy("doc").agg(F.max("page_no").alias("page_count"))
-    old = refs.edges(spans, spans, counts).withColumn("occurrences", F.col("occurrences") + 100)
+    """Edges after documents whose name ends in 0 or 3 were approved: old ones with 100 occurrences more, those found anew without."""
+    spans, counts, texts = S.spans(spark, sf_dir), S.page_counts(spark, sf_dir), S.span_texts(spark, sf_dir)
+    old = refs.edges(texts, spans, counts).withColumn("occurrences", F.col("occurrences") + 100)
     chosen = counts.filter("doc like '%0' or doc like '%3'")
-    status, edges = editing.approved(counts.select("doc", F.lit("Review").alias("status")), old, chosen, spans, spans, counts)
+    status, edges = editing.approved(counts.select("doc", F.lit("Review").alias("status")), old, chosen, texts, spans, counts)
     return edges.groupBy("doc").agg(F.count("*").alias("edges"), F.sum("occurrences").alias("occurrences")).join(status, "doc", "right").na.fill(0)
 
 
 def edges_without(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference edges after the sections of even lft were deleted."""
+    """Reference edges after every third half was deleted, so edges go that leave it and that lead to it."""
     spans = S.spans(spark, sf_dir)
-    counts = S.pages(spark, sf_dir).groupBy("doc").agg(F.max("page_no").alias("page_count"))
-    return refs.without_nodes(refs.edges(spans, spans, counts), spans.filter("lft % 2 = 0")).select("doc", "from_id", "to_id", F.col("target_page").cast("bigint").alias("target_page"), "occurrences")
+    found = refs.edges(S.span_texts(spark, sf_dir), spans, S.page_counts(spark, sf_dir))
+    return refs.without_nodes(found, spans.filter("parent is not null and page_start % 3 = 0")).select("doc", "from_id", "to_id", F.col("target_page").cast("bigint").alias("target_page"), "occurrences")
 
 
 def graph_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ def graph_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _wiki_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = S.spans(spark, sf_dir)
+    spans = S.span_texts(spark, sf_dir)
     return spans.select("doc", "id", "markdown", "lft", F.when(F.col("lft") % 3 != 0, F.concat_ws(":", "doc", "id")).alias("wiki_id"), (F.col("lft") % 4 != 2).alias("include"), F.col("parent").isNull().alias("is_group"))
 
 
@@ -201,12 +201,18 @@ ORACLES = {
         SELECT doc, id, found, md5(CASE WHEN found = 1 THEN replace(markdown, find, 'consult') ELSE markdown END) AS digest FROM f""",
     "page_edits": f"WITH {SPANS}, {_DEEPEST}" + """, t AS (SELECT doc, page_no, coalesce(nullif(vlm, ''), nullif(baseline, ''), '') AS old FROM pages_v WHERE page_no % 2 = 0)
         SELECT t.doc, t.page_no, md5(replace(any_value(old), ' zzz', '')) AS digest, coalesce(string_agg(d.id, ',' ORDER BY d.id), '') AS owners FROM t LEFT JOIN deepest d ON d.doc = t.doc AND d.page = t.page_no WHERE length(old) - length(replace(old, ' zzz', '')) = 4 GROUP BY t.doc, t.page_no""",
-    "rebuilt_sections": f"WITH {SPANS}, {_OVERLAP}" + """, held AS (SELECT s.doc, s.id, p.page_no, p.doc_id, count(*) FILTER (WHERE p.doc_id % 5 <> 0) OVER (PARTITION BY s.doc, s.id) AS n FROM spans_v s JOIN pages_v p ON p.doc = s.doc AND p.page_no BETWEEN s.page_start AND s.page_end),
-        built AS (SELECT doc, id, coalesce(string_agg('Row ' || doc_id || CASE WHEN n < 3 THEN chr(10) || 'Common line' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '|k' || doc_id || '|b|' || chr(10) || '|---|---|' || chr(10) || '|' || doc_id || '|2|' ELSE '' END, chr(10) || chr(10) ORDER BY page_no) FILTER (WHERE doc_id % 5 <> 0), '') AS markdown FROM held GROUP BY 1, 2)
+    "rebuilt_sections": f"WITH {SPANS}, {_OVERLAP}" + r""", held AS (SELECT s.doc, s.id, p.page_no, p.doc_id, CASE WHEN p.doc_id % 5 <> 0 THEN truth || chr(10) || 'Common line' || CASE WHEN p.doc_id % 3 = 0 THEN chr(10) || '|k' || p.doc_id || '|b|' || chr(10) || '|' || p.doc_id || '|2|' ELSE '' END || chr(10) || 'Page 3 of 9' ELSE '' END AS markdown
+          FROM spans_v s JOIN pages_v p ON p.doc = s.doc AND p.page_no BETWEEN s.page_start AND s.page_end),
+        ln AS (SELECT doc, id, page_no, doc_id, unnest(range(len(string_split(markdown, chr(10))))) AS k, unnest(string_split(markdown, chr(10))) AS line FROM held),
+        fm AS (SELECT *, lower(trim(regexp_replace(line, '[#*_`>\-\s]+', ' ', 'g'))) AS form FROM ln), ct AS (SELECT doc, id, count(*) AS n FROM held GROUP BY 1, 2),
+        common AS (SELECT doc, id, form FROM (SELECT DISTINCT doc, id, page_no, form FROM fm) JOIN ct USING (doc, id) WHERE form <> '' AND length(form) <= 90 GROUP BY doc, id, form, n HAVING count(*) >= greatest(3, floor(0.30 * n))),
+        kept AS (SELECT * FROM fm f WHERE NOT regexp_matches(line, '(?i)\bpage\s*\d+\s*of\s*\d+') AND NOT EXISTS (SELECT 1 FROM common c WHERE c.doc = f.doc AND c.id = f.id AND c.form = f.form)),
+        page AS (SELECT doc, id, page_no, trim(replace(string_agg(line, chr(10) ORDER BY k), '|k' || any_value(doc_id) || '|b|', '|k' || any_value(doc_id) || '|b|' || chr(10) || '|---|---|'), E' \n\t\r') AS body FROM kept GROUP BY 1, 2, 3),
+        built AS (SELECT s.doc, s.id, coalesce(string_agg(body, chr(10) || chr(10) ORDER BY page_no) FILTER (WHERE body <> ''), '') AS markdown FROM (SELECT DISTINCT doc, id FROM held) s LEFT JOIN page USING (doc, id) GROUP BY 1, 2)
         SELECT doc, id, md5(markdown) AS digest, coalesce(shared_with, '') AS shared_with FROM built LEFT JOIN meets USING (doc, id)""",
     "approved_edges": f"WITH {SPANS}" + """, st AS (SELECT doc, CASE WHEN doc LIKE '%0' OR doc LIKE '%3' THEN 'Graphed' ELSE 'Review' END AS status FROM counts_v)
         SELECT st.doc, count(e.from_id) AS edges, coalesce(sum(e.occurrences + CASE WHEN status = 'Review' THEN 100 ELSE 0 END), 0)::BIGINT AS occurrences, any_value(status) AS status FROM st LEFT JOIN edges_v e ON e.doc = st.doc GROUP BY st.doc""",
-    "edges_without": f"WITH {SPANS} SELECT e.doc, from_id, to_id, target_page::BIGINT AS target_page, occurrences FROM edges_v e JOIN spans_v a ON a.doc = e.doc AND a.id = from_id JOIN spans_v b ON b.doc = e.doc AND b.id = to_id WHERE a.lft % 2 = 1 AND b.lft % 2 = 1",
+    "edges_without": f"WITH {SPANS} SELECT e.doc, from_id, to_id, target_page::BIGINT AS target_page, occurrences FROM edges_v e JOIN spans_v a ON a.doc = e.doc AND a.id = from_id JOIN spans_v b ON b.doc = e.doc AND b.id = to_id WHERE NOT (a.parent IS NOT NULL AND a.page_start % 3 = 0) AND NOT (b.parent IS NOT NULL AND b.page_start % 3 = 0)",
     "graph_legend": f"WITH {SPANS} SELECT section_type AS type_name, count(*) AS nodes, (3 - right(section_type, 1)::INT)::BIGINT AS creation FROM spans_v WHERE section_type IS NOT NULL GROUP BY 1",
     "wiki_drift": f"WITH {_WIKI} SELECT doc, id, CASE WHEN wiki_id IS NULL OR lft % 5 = 0 THEN 'no_page' WHEN lft % 2 = 1 THEN 'drift' ELSE 'same' END AS state FROM sec",
     "wiki_stale": f"WITH {_WIKI} SELECT doc, wiki_id, CASE WHEN is_group THEN 1 ELSE 2 END::BIGINT AS depth FROM sec WHERE wiki_id IS NOT NULL AND NOT include",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import clean, lint, score
-from quire.plans.views import PAGES, TABLE_LINES
+from quire.plans.views import PAGES, TABLE_LINES, exact_mean
 from quire.sources import tables as S
 
 KEYS = ["doc", "page_no"]
@@ -29,7 +29,7 @@ def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).groupBy("doc", "verdict").agg(F.count("*").alias("pages"), F.round(F.avg("composite"), 3).alias("mean_composite"))
+    return _scored(spark, sf_dir).groupBy("doc", "verdict").agg(F.count("*").alias("pages"), T.exact_mean(F.col("composite")).alias("mean_composite"))
 
 
 def canonical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ n_v AS (SELECT doc, count(*) AS n FROM pages_v GROUP BY 1)"""
 ORACLES = {
     "token_overlap": f"WITH {_SCORES} SELECT doc, page_no, round(text_recall, 6) AS text_recall, round(extra_ratio, 6) AS extra_ratio FROM overlap_v",
     "page_scores": f"WITH {_SCORES} SELECT doc, page_no, round(text_recall, 3) AS text_recall, round(extra_ratio, 3) AS extra_ratio, table_score, composite::DOUBLE AS composite, verdict, notes FROM scores_v",
-    "verdict_counts": f"WITH {_SCORES} SELECT doc, verdict, count(*) AS pages, round(avg(composite), 3) AS mean_composite FROM scores_v GROUP BY ALL",
+    "verdict_counts": f"WITH {_SCORES} SELECT doc, verdict, count(*) AS pages, {exact_mean("composite")} AS mean_composite FROM scores_v GROUP BY ALL",
     "canonical_text": f"WITH {PAGES} SELECT doc, page_no, length(coalesce(nullif(vlm, ''), nullif(baseline, ''), '')) AS n_chars, md5(coalesce(nullif(vlm, ''), nullif(baseline, ''), '')) AS digest FROM pages_v",
     "boilerplate_lines": f"WITH {_LINES}" + r""", forms AS (SELECT DISTINCT doc, page_no, lower(trim(regexp_replace(line, '[#*_`>\-\s]+', ' ', 'g'))) AS form FROM lines_v)
         SELECT doc, form, count(*) AS pages_with FROM forms JOIN n_v USING (doc) WHERE form <> '' AND length(form) <= 90 GROUP BY doc, form, n HAVING count(*) >= greatest(3, floor(0.10 * n))""",

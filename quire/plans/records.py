@@ -35,7 +35,7 @@ def page_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of the baseline against the truth without running furniture."""
-    p = S.pages(spark, sf_dir).select(*KEYS, F.concat(F.lit("Handbook page "), F.col("page_no").cast("string"), F.lit("\n"), F.substring("truth", 1, 400), F.lit("\nprinted copy")).alias("truth"), F.substring("truth", 1, 300).alias("parsed"))
+    p = S.pages(spark, sf_dir).select(*KEYS, F.concat(F.lit("Handbook page "), F.col("page_no").cast("string"), F.lit("\n"), "truth", F.lit("\nprinted copy")).alias("truth"), F.col("baseline").alias("parsed"))
     kept = clean.content_recall_input(p, clean.furniture(p.withColumn("markdown", F.col("truth"))))
     found = score.overlap(p.drop("truth").join(kept, KEYS), KEYS, "truth", "parsed")
     return found.select(*KEYS, F.round("text_recall", 6).alias("text_recall"))
@@ -81,8 +81,10 @@ def scalar_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: c.cast("string")
     option = F.when(k % 6 == 0, "True").when(k % 6 == 1, "null").when(k % 6 == 2, text(size)).when(k % 6 == 3, F.concat(text(size), F.lit(".5"))).when(k % 6 == 4, "1e3").otherwise(name)
     obj = F.concat(F.lit('{"a":'), text(size), F.lit("}"))
-    raw = F.when(k % 5 == 0, F.concat(F.lit("so:\n```json\n"), obj, F.lit("\n```\nend"))).when(k % 5 == 1, obj).when(k % 5 == 2, F.concat(F.lit("it is "), obj, F.lit(" ok"))).when(k % 5 == 3, "{broken").otherwise("")
-    reply = F.when(k % 5 == 0, F.concat(F.lit('{"md":"'), name, F.lit('"}'))).when(k % 5 == 1, F.concat(F.lit('{"text":"t","content":"'), name, F.lit('"}'))).when(k % 5 == 2, F.concat(F.lit("  "), name, F.lit("\n"))).when(k % 5 == 3, "").otherwise('{"other":1}')
+    raws = [F.concat(F.lit("so:\n```json\n"), obj, F.lit("\n```\nend")), obj, F.concat(F.lit("it is "), obj, F.lit(" ok")), F.lit("{broken"), F.lit(""), F.concat(obj, F.lit(" ok")), F.lit("{'a':1}"), F.concat(obj, F.lit('{"b":2}')), F.concat(F.lit("[1,2] tail "), obj), F.concat(text(size), F.lit(" apples")), F.concat(F.lit("["), text(size), F.lit(", 2]"))]
+    replies = [F.concat(F.lit('{"md":"'), name, F.lit('"}')), F.concat(F.lit('{"text":"t","content":"'), name, F.lit('"}')), F.concat(F.lit("  "), name, F.lit("\n")), F.lit(""), F.lit('{"other":1}'), F.concat(obj, F.lit(" ok")), F.lit("{'a':1}"), F.lit('{"md":null,"text":"t"}'), F.lit('"quoted"'), F.lit('{"text":5}'), F.lit("[1,2]")]
+    raw, reply = (F.element_at(F.array(*forms), (k % 11 + 1).cast("int")) for forms in (raws, replies))
+    listed = F.when(k % 5 == 0, '[{"a":1},{"a":2}]').when(k % 5 == 1, "not json").when(k % 5 == 2, "[1] x").when(k % 5 == 3, "{}")
     cost = F.when(k % 5 == 0, F.concat(F.lit('{"usage":{"cost":'), text(size), F.lit("}}"))).when(k % 5 == 1, F.concat(F.lit('{"usage":{"cost":0},"total_cost":'), text(size), F.lit("}"))).when(k % 5 == 2, '{"usage":{}}').when(k % 5 == 3, '{"cost":"bad"}').otherwise(F.concat(F.lit('{"cost_usd":'), text(size), F.lit("}")))
     cells = T.table_cells(F.concat(F.lit("| "), name, F.lit(" |x|\n|---|---|\n|y| "), text(size), F.lit(" |\nend")))
     pairs = F.map_from_arrays(F.array(F.lit("z"), F.lit("_p"), F.lit("b")), F.array(text(size), F.lit("s"), F.col("p_brand")))
@@ -90,7 +92,7 @@ def scalar_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         k, T.file_slug(F.concat(F.lit(" __"), name, F.lit(" / "), F.col("p_brand"), F.lit("__ "))).alias("file_slug"), T.option_kind(option).alias("option_kind"), T.salvaged_json(raw).alias("salvaged"), T.json_object_or_empty(raw).alias("object"),
         T.reply_markdown(reply).alias("reply"), T.reply_cost(cost).alias("cost"), F.array_join(F.transform(cells, lambda x: F.concat_ws(":", text(x["row"]), text(x["column"]), x["text"])), ";").alias("cells"),
         T.sorted_json(T.without_private(pairs)).alias("sorted_json"), T.or_default(F.when(size > 25, F.lit("")).when(size > 9, name), "none").alias("setting"), T.data_url(F.encode(F.col("p_brand"), "utf-8")).alias("data_url"),
-        F.coalesce(F.size(F.from_json(F.when(k % 3 == 0, '[{"a":1},{"a":2}]').when(k % 3 == 1, "not json"), "array<struct<a:int>>")), F.lit(0)).cast("bigint").alias("listed"),
+        T.json_length(listed).alias("listed"),
         F.to_json(T.warning(F.lit("w"), F.col("p_brand"), F.lit("info"), size.cast("int"), F.lit(None).cast("string"))).alias("warning"), T.utc(F.timestamp_seconds(size.cast("bigint") * 100_000)).alias("at"), T.run_id(F.col("p_brand")).rlike("^run_[A-Za-z0-9._-]{1,32}_[0-9a-f]{12}$").alias("run_id"),
     )
 
@@ -103,7 +105,7 @@ def session_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def span_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of one type (with a range) in their order, the body cut short where it is long."""
-    rows = S.spans(spark, sf_dir).filter("section_type = 'type1' and page_start > 0")
+    rows = S.span_texts(spark, sf_dir).filter("section_type = 'type1' and page_start > 0")
     return rows.select("doc", "id", "lft", F.length(T.truncated(F.col("markdown"), 6000)).cast("bigint").alias("n_chars"), F.row_number().over(Window.partitionBy("doc").orderBy("page_start", "id")).cast("bigint").alias("place"))
 
 
@@ -189,7 +191,7 @@ _OUTLINED = structure._SECTIONS.replace("ELSE depth END AS level0", "WHEN lower(
 ORACLES = {
     "older_adoption": f"WITH {retrieval._CANDIDATES}, r AS (SELECT *, CASE WHEN kind = 'visual' OR br < 0.85 THEN 'vlm' ELSE 'cleanup' END AS method FROM cand) SELECT doc, page_no, method, CASE WHEN method = 'vlm' THEN coalesce(mc > bc, false) ELSE cr >= br - 0.12 END AS adopted, bc < 0.9 AND coalesce(mc > bc, false) AS kept_best FROM r",
     "page_artifacts": f"WITH {_MANGLED}, a AS (SELECT doc, page_no, composite, CASE doc_id % 7 WHEN 0 THEN 'picture omitted' WHEN 1 THEN 'picture-text wrapper' WHEN 2 THEN 'empty table cells, orphaned table row' WHEN 3 THEN 'flattened <br> blob' WHEN 4 THEN 'table missing separator row, orphaned table row' ELSE '' END AS artifacts FROM weighed), s AS (SELECT doc, page_no, artifacts, CASE WHEN artifacts <> '' THEN round((0.7::DOUBLE * composite::DOUBLE)::VARCHAR::DECIMAL(20, 17), 3)::DOUBLE ELSE composite::DOUBLE END AS composite FROM a) SELECT *, CASE WHEN composite >= 0.9 THEN 'pass' WHEN composite >= 0.7 THEN 'escalate' ELSE 'review' END AS verdict FROM s",
-    "content_recall": f"WITH {PAGES}" + r""", cut AS (SELECT doc, page_no, 'Handbook page ' || page_no || chr(10) || left(truth, 400) || chr(10) || 'printed copy' AS truth, left(truth, 300) AS parsed FROM pages_v),
+    "content_recall": f"WITH {PAGES}" + r""", cut AS (SELECT doc, page_no, 'Handbook page ' || page_no || chr(10) || truth || chr(10) || 'printed copy' AS truth, baseline AS parsed FROM pages_v),
         ln AS (SELECT doc, page_no, unnest(string_split(truth, chr(10))) AS line FROM cut),
         fm AS (SELECT *, trim(regexp_replace(regexp_replace(lower(line), '\d+', '#', 'g'), '\s+', ' ', 'g')) AS form FROM ln), ct AS (SELECT doc, count(*) AS n FROM cut GROUP BY 1),
         furn AS (SELECT doc, form FROM (SELECT DISTINCT doc, page_no, form FROM fm) JOIN ct USING (doc) WHERE length(form) >= 6 AND n >= 3 GROUP BY doc, form, n HAVING count(*) >= greatest(2, round_even(0.5 * n, 0))),
@@ -201,11 +203,23 @@ ORACLES = {
     "outline_levels": f"WITH {_OUTLINED} SELECT doc, idx, title, level, path FROM sections_v",
     "line_predicates": r"""WITH v AS (SELECT p_partkey, CASE p_partkey % 12 WHEN 0 THEN 'Pg. ' || p_size || ' of 60' WHEN 1 THEN 'see PAGE ' || p_size || ' of 9' WHEN 2 THEN 'MAN/a1/' || p_size WHEN 3 THEN '| Prepared by ' || p_name || ' | Approved by x |' WHEN 4 THEN '|' || p_name || '|' WHEN 5 THEN '  | ' || p_name
           WHEN 6 THEN p_size || '. ' || p_size || ' ' || p_name WHEN 7 THEN p_name || ' *' WHEN 8 THEN 'I''ve just moved ' || p_name WHEN 9 THEN 'I will move ' || p_name WHEN 10 THEN 'Issue : ' || p_size ELSE '**==> picture [9 x 9] intentionally omitted <==**' || repeat('x', (p_size * 5)::INT) || 'Start of picture text' END AS line, p_partkey % 12 AS k, p_size FROM part)
-        SELECT p_partkey, k IN (0, 1, 2, 10) AS varying, k = 3 AS sign_off, k IN (3, 4) AS table_line, k IN (3, 4, 5) AS pipe_line, k IN (3, 4) AS table_row, k IN (6, 7, 11) AS list_item, k = 8 AS claim, k = 11 AND p_size * 5 + 21 <= 200 AS shown_text FROM v""",
-    "scalar_values": r"""SELECT p_partkey, regexp_replace(regexp_replace(trim(' __' || p_name || ' / ' || p_brand || '__ '), '[^a-zA-Z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS file_slug, CASE p_partkey % 6 WHEN 0 THEN 'bool' WHEN 1 THEN 'null' WHEN 2 THEN 'int' WHEN 3 THEN 'float' WHEN 4 THEN 'float' ELSE 'string' END AS option_kind,
-        CASE WHEN p_partkey % 5 <= 2 THEN '{"a":' || p_size || '}' END AS salvaged, CASE WHEN p_partkey % 5 = 1 THEN '{"a":' || p_size || '}' ELSE '{}' END AS object, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN 't' WHEN 2 THEN p_name ELSE '' END AS reply,
+        SELECT p_partkey, regexp_matches(line, '(?i)\bpg\.?\s*\d+\s*of\s*\d+|\bpage\s*\d+\s*of\s*\d+|^man/[a-z0-9/]+|\bver\.?\s*:|\bissue\s*:\s*\d|^\s*date\s*:') AS varying,
+        regexp_matches(trim(line), '^\|.*\|$') AND list_sum(list_transform(['prepared by', 'issued by', 'approved by', 'reviewed by', 'authorized by'], lambda x: contains(lower(line), x)::INT)) >= 2 AS sign_off,
+        starts_with(trim(line), '|') AND ends_with(trim(line), '|') AND length(trim(line)) >= 2 AS table_line, starts_with(trim(line), '|') AS pipe_line, regexp_matches(line, '^\s*\|.*\|\s*$') AS table_row, contains(line, '*') OR regexp_matches(line, '^\d+\.\s+\d') AS list_item,
+        regexp_matches(line, '(?i)\bI(''ve| have)\s+(now\s+|just\s+|already\s+)?(moved|renamed|re-?tagged|re-?parsed|re-?classified|regenerated|embedded|toggled|set the (section )?type|created the (section )?type)\b') AS claim,
+        contains(substr(line, strpos(line, '<==**') + 5, 200), 'Start of picture text') AS shown_text FROM v""",
+    "scalar_values": r"""WITH o AS (SELECT *, '{"a":' || p_size || '}' AS obj FROM part),
+        v AS (SELECT *, ['so:' || chr(10) || '```json' || chr(10) || obj || chr(10) || '```' || chr(10) || 'end', obj, 'it is ' || obj || ' ok', '{broken', '', obj || ' ok', '{''a'':1}', obj || '{"b":2}', '[1,2] tail ' || obj, p_size || ' apples', '[' || p_size || ', 2]'][p_partkey % 11 + 1] AS raw,
+          ['{"md":"' || p_name || '"}', '{"text":"t","content":"' || p_name || '"}', '  ' || p_name || chr(10), '', '{"other":1}', obj || ' ok', '{''a'':1}', '{"md":null,"text":"t"}', '"quoted"', '{"text":5}', '[1,2]'][p_partkey % 11 + 1] AS rep,
+          CASE p_partkey % 5 WHEN 0 THEN '[{"a":1},{"a":2}]' WHEN 1 THEN 'not json' WHEN 2 THEN '[1] x' WHEN 3 THEN '{}' END AS l FROM o),
+        w AS (SELECT *, trim(CASE WHEN regexp_matches(raw, '(?s)```(?:json)?\s*(.*?)```') THEN regexp_extract(raw, '(?s)```(?:json)?\s*(.*?)```', 1) ELSE raw END, E' \n') AS body,
+          CASE WHEN json_valid(raw) THEN raw ELSE 'null' END AS raw_json, CASE WHEN json_valid(rep) THEN rep ELSE 'null' END AS rep_json, CASE WHEN json_valid(l) THEN l ELSE 'null' END AS l_json FROM v)
+        SELECT p_partkey, regexp_replace(regexp_replace(trim(' __' || p_name || ' / ' || p_brand || '__ '), '[^a-zA-Z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS file_slug, CASE p_partkey % 6 WHEN 0 THEN 'bool' WHEN 1 THEN 'null' WHEN 2 THEN 'int' WHEN 3 THEN 'float' WHEN 4 THEN 'float' ELSE 'string' END AS option_kind,
+        CASE WHEN json_valid(body) THEN body WHEN json_valid(regexp_extract(body, '(?s)\{.*\}')) THEN regexp_extract(body, '(?s)\{.*\}') END AS salvaged, CASE WHEN json_type(raw_json) = 'OBJECT' THEN raw ELSE '{}' END AS object,
+        CASE WHEN json_type(rep_json) = 'OBJECT' THEN CASE WHEN list_contains(json_keys(rep_json), 'markdown') THEN coalesce(rep_json ->> '$.markdown', '') WHEN list_contains(json_keys(rep_json), 'md') THEN coalesce(rep_json ->> '$.md', '') WHEN list_contains(json_keys(rep_json), 'text') THEN coalesce(rep_json ->> '$.text', '') ELSE coalesce(rep_json ->> '$.content', '') END
+          WHEN json_type(rep_json) = 'VARCHAR' THEN rep_json ->> '$' ELSE trim(rep, E' \n') END AS reply,
         CASE WHEN p_partkey % 5 IN (0, 1, 4) THEN p_size::DOUBLE ELSE 0.0 END AS cost, '0:0:' || p_name || ';0:1:x;1:0:y;1:1:' || p_size AS cells, '{"b":"' || p_brand || '","z":"' || p_size || '"}' AS sorted_json, CASE WHEN p_size > 9 AND p_size <= 25 THEN p_name ELSE 'none' END AS setting,
-        'data:image/png;base64,' || base64(encode(p_brand)) AS data_url, CASE p_partkey % 3 WHEN 0 THEN 2 ELSE 0 END::BIGINT AS listed, '{"code":"w","severity":"info","message":"' || p_brand || '","page_number":' || p_size || '}' AS warning, strftime(make_timestamp(p_size::BIGINT * 100000 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS at, true AS run_id FROM part""",
+        'data:image/png;base64,' || base64(encode(p_brand)) AS data_url, CASE WHEN json_type(l_json) = 'ARRAY' THEN json_array_length(l_json) ELSE 0 END::BIGINT AS listed, '{"code":"w","severity":"info","message":"' || p_brand || '","page_number":' || p_size || '}' AS warning, strftime(make_timestamp(p_size::BIGINT * 100000 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS at, true AS run_id FROM w""",
     "session_listing": "SELECT event_id, user_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place FROM events WHERE event_type = 'click' QUALIFY place <= 50",
     "span_scan": f"WITH {SPANS} SELECT doc, id, lft, CASE WHEN length(markdown) > 6000 THEN 6012 ELSE length(markdown) END AS n_chars, row_number() OVER (PARTITION BY doc ORDER BY page_start, id) AS place FROM spans_v WHERE section_type = 'type1' AND page_start > 0",
     "ordered_suppliers": "SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY (s_suppkey % 5 = 0) DESC, s_name) AS by_flag, row_number() OVER (PARTITION BY s_nationkey ORDER BY lower(s_name) DESC, s_suppkey) AS by_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 3 = 1, s_suppkey) AS by_condition FROM supplier",

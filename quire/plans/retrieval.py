@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import adopt, explore, runs, score, sessions
-from quire.plans.views import PAGES
+from quire.plans.views import PAGES, exact_mean
 from quire.sources import tables as S
 
 KEYS = ["doc", "page_no"]
@@ -19,7 +19,7 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as sections: lft is the id, the type comes from the labels, some types are empty or missing."""
     d, lab = S.read(spark, sf_dir, "documents").select("doc_id", "source", "lang"), S.read(spark, sf_dir, "labels")
     kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "")
-    return d.join(lab, "doc_id", "left").select(F.concat_ws("-", "source", F.expr("doc_id div 1000").cast("string")).alias("doc"), F.col("doc_id").alias("id"), F.col("doc_id").alias("lft"), kind.alias("section_type"), "lang")
+    return d.join(lab, "doc_id", "left").select(F.coalesce("source", F.lit("")).alias("doc"), F.col("doc_id").alias("id"), F.col("doc_id").alias("lft"), kind.alias("section_type"), "lang")
 
 
 def _types(spark: SparkSession) -> DataFrame:
@@ -32,13 +32,13 @@ def type_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def type_summary_in_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = _sections(spark, sf_dir)
-    project = sections.filter("doc like '%1-%'").select("doc").distinct()
+    project = sections.filter("doc like '%1'").select("doc").distinct()
     return explore.type_summary(sections, _types(spark), project)
 
 
 def sections_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = _sections(spark, sf_dir)
-    titles = sections.filter("doc not like 'src3-%'").select("doc", F.concat(F.lit("Title of "), "doc").alias("title")).distinct()
+    titles = sections.filter("doc <> 'src3'").select("doc", F.concat(F.lit("Title of "), "doc").alias("title")).distinct()
     found = explore.sections_by_type(sections, titles, explore.UNTAGGED)
     return found.select("doc", "title", F.size("sections").cast("bigint").alias("sections"), F.md5(F.array_join("sections", ",")).alias("digest"))
 
@@ -97,7 +97,7 @@ def bakeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the mean composite of each candidate over flagged pages, and pages where the baseline wins."""
     rows = _candidates(spark, sf_dir).filter(score.verdict(F.col("baseline_composite")) != "pass")
     long = rows.select("doc", "page_no", F.expr("stack(3, 'baseline', baseline_composite, 'cleanup', cleanup_composite, 'vlm', vlm_composite) as (model, composite)"))
-    means = long.groupBy("doc").pivot("model", ["baseline", "cleanup", "vlm"]).agg(F.round(F.avg("composite"), 3))
+    means = long.groupBy("doc").pivot("model", ["baseline", "cleanup", "vlm"]).agg(T.exact_mean(F.col("composite")))
     best = F.greatest(F.coalesce("cleanup_composite", F.lit(-1.0)), F.coalesce("vlm_composite", F.lit(-1.0)))
     wins = rows.groupBy("doc").agg(F.sum((F.col("baseline_composite") >= best).cast("bigint")).alias("baseline_wins"))
     return means.join(wins, "doc")
@@ -234,27 +234,27 @@ rates AS (SELECT *, CASE WHEN t = 0 THEN 1.0::DOUBLE ELSE common_n::DOUBLE / t E
 wide AS (SELECT doc, page_no, name, round(recall, 3) AS recall, round(extra, 3) AS extra, round((0.4::DOUBLE * recall + 0.15::DOUBLE * (1 - extra)) / (0.4::DOUBLE + 0.15::DOUBLE), 3) AS composite FROM rates),
 cand AS (SELECT v.doc, v.page_no, v.kind, b.recall AS br, b.extra AS be, b.composite AS bc, c.recall AS cr, c.extra AS ce, CASE WHEN v.cleanup IS NOT NULL THEN c.composite END AS cc, CASE WHEN v.vlm IS NOT NULL THEN m.composite END AS mc
   FROM pages_v v JOIN wide b ON b.doc = v.doc AND b.page_no = v.page_no AND b.name = 'baseline' JOIN wide c ON c.doc = v.doc AND c.page_no = v.page_no AND c.name = 'cleanup' JOIN wide m ON m.doc = v.doc AND m.page_no = v.page_no AND m.name = 'vlm')"""
-_SECTIONS = "sections_v AS (SELECT source || '-' || (doc_id // 1000) AS doc, doc_id AS id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN '' END AS section_type FROM documents LEFT JOIN labels USING (doc_id)), types_v(type_name) AS (VALUES ('good'), ('toxic'), ('unused'))"
+_SECTIONS = "sections_v AS (SELECT coalesce(source, '') AS doc, doc_id AS id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN '' END AS section_type FROM documents LEFT JOIN labels USING (doc_id)), types_v(type_name) AS (VALUES ('good'), ('toxic'), ('unused'))"
 _SUMMARY = "SELECT type_name, count(id) AS sections FROM types_v LEFT JOIN s ON section_type = type_name GROUP BY 1 UNION ALL SELECT '__untagged__', count(*) FROM s WHERE coalesce(section_type, '') = '' HAVING count(*) > 0"
 _VERDICT = "CASE WHEN bc >= 0.9 THEN 'pass' WHEN bc >= 0.7 THEN 'escalate' ELSE 'review' END"
 
 ORACLES = {
     "type_summary": f"WITH {_SECTIONS}, s AS (SELECT * FROM sections_v) {_SUMMARY}",
-    "type_summary_in_project": f"WITH {_SECTIONS}, s AS (SELECT * FROM sections_v WHERE doc LIKE '%1-%') {_SUMMARY}",
-    "sections_by_type": f"WITH {_SECTIONS} SELECT doc, CASE WHEN doc LIKE 'src3-%' THEN doc ELSE 'Title of ' || doc END AS title, count(*) AS sections, md5(string_agg(id::VARCHAR, ',' ORDER BY id)) AS digest FROM sections_v WHERE coalesce(section_type, '') = '' GROUP BY doc",
+    "type_summary_in_project": f"WITH {_SECTIONS}, s AS (SELECT * FROM sections_v WHERE doc LIKE '%1') {_SUMMARY}",
+    "sections_by_type": f"WITH {_SECTIONS} SELECT doc, CASE WHEN doc = 'src3' THEN doc ELSE 'Title of ' || doc END AS title, count(*) AS sections, md5(string_agg(id::VARCHAR, ',' ORDER BY id)) AS digest FROM sections_v WHERE coalesce(section_type, '') = '' GROUP BY doc",
     "merged_types": r"""WITH t AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 't_' ELSE 'k' END || p_partkey AS type_name, lower(trim(regexp_replace(upper(p_brand) || '  ' || p_type, '\s+', ' ', 'g'))) AS form, p_partkey AS creation FROM part)
         SELECT type_name, first_value(type_name) OVER (PARTITION BY form ORDER BY starts_with(type_name, 't_'), creation) AS canonical FROM t""",
     "adopt_best": f"WITH {_CANDIDATES} SELECT doc, page_no, CASE WHEN coalesce(mc > bc, false) AND (NOT coalesce(kind = 'text' AND cc IS NOT NULL AND cr >= br - 0.12, false) OR mc >= cc) THEN 'vlm' WHEN coalesce(kind = 'text' AND cc IS NOT NULL AND cr >= br - 0.12, false) THEN 'cleanup' ELSE 'baseline' END AS winner FROM cand",
-    "canonical_mean": f"WITH {_CANDIDATES} SELECT doc, round(avg(coalesce(mc, bc)), 3) AS canonical_mean FROM cand GROUP BY doc",
+    "canonical_mean": f"WITH {_CANDIDATES} SELECT doc, {exact_mean("coalesce(mc, bc)")} AS canonical_mean FROM cand GROUP BY doc",
     "escalation_reasons": f"WITH {_CANDIDATES} SELECT doc, page_no, concat_ws(',', CASE WHEN br < 0.95 THEN 'text_recall' END, CASE WHEN be > 0.005 THEN 'extra_text_ratio' END) AS reasons FROM cand WHERE br < 0.95 OR be > 0.005",
     "hybrid_pages": f"WITH {_CANDIDATES}, k AS (SELECT *, page_no % 2 = 0 AND cr >= least(0.95, br) AND ((cr > br AND ce <= greatest(be, 0.15)) OR (ce < be AND cr >= 0.95)) AS take FROM cand) SELECT doc, page_no, CASE WHEN take THEN cr ELSE br END AS recall, CASE WHEN take THEN ce ELSE be END AS extra, CASE WHEN take THEN 'cloud' ELSE 'local' END AS provenance FROM k",
     "flagged_worst": f"WITH {_CANDIDATES} SELECT doc, page_no, row_number() OVER (PARTITION BY doc ORDER BY bc, page_no) AS place FROM cand WHERE {_VERDICT} <> 'pass' QUALIFY place <= 3",
     "sampled_pages": f"WITH {PAGES} SELECT doc, page_no FROM pages_v QUALIFY (page_no - 1) % greatest(1, count(*) OVER (PARTITION BY doc) // 7) = 0",
-    "bakeoff": f"WITH {_CANDIDATES} SELECT doc, round(avg(bc), 3) AS baseline, round(avg(cc), 3) AS cleanup, round(avg(mc), 3) AS vlm, sum((bc >= greatest(coalesce(cc, -1), coalesce(mc, -1)))::BIGINT)::BIGINT AS baseline_wins FROM cand WHERE {_VERDICT} <> 'pass' GROUP BY doc",
+    "bakeoff": f"WITH {_CANDIDATES} SELECT doc, {exact_mean("bc")} AS baseline, {exact_mean("cc")} AS cleanup, {exact_mean("mc")} AS vlm, sum((bc >= greatest(coalesce(cc, -1), coalesce(mc, -1)))::BIGINT)::BIGINT AS baseline_wins FROM cand WHERE {_VERDICT} <> 'pass' GROUP BY doc",
     "cost_by_label": "SELECT l_returnflag || l_linestatus AS label, count(*) AS calls, round(sum(l_quantity), 2) AS seconds, round(sum(CASE WHEN l_returnflag <> 'N' OR l_linenumber <> 1 THEN l_extendedprice ELSE 0 END), 2) AS cost, bool_and(l_returnflag <> 'N' OR l_linenumber <> 1) AS cost_known FROM lineitem GROUP BY 1",
-    "run_scorecard": """WITH o AS (SELECT o_orderpriority AS run, o_orderkey FROM orders), li AS (SELECT o.run, l.* FROM lineitem l JOIN o ON l_orderkey = o_orderkey),
+    "run_scorecard": f"""WITH o AS (SELECT o_orderpriority AS run, o_orderkey FROM orders), li AS (SELECT o.run, l.* FROM lineitem l JOIN o ON l_orderkey = o_orderkey),
         b AS (SELECT run, count(*) AS block_count, sum((l_returnflag = 'R')::INT)::BIGINT AS table_count, sum((l_linenumber <> 7)::INT)::BIGINT AS placed, sum((l_linestatus = 'F')::INT)::BIGINT AS boxed, count(*) = count(DISTINCT l_orderkey || ':' || l_linenumber) AS unique_ids, sum((l_linenumber <> 3)::INT)::BIGINT AS refs, sum((l_linenumber = 5)::INT)::BIGINT AS dangling FROM li GROUP BY 1),
-        p AS (SELECT run, count(*) AS page_count, round(avg((o_orderkey % 100) / 100.0::DOUBLE), 3) AS text_recall_avg, round(min((o_orderkey % 100) / 100.0::DOUBLE), 3) AS text_recall_min, round(avg((o_orderkey % 7) / 10.0::DOUBLE), 3) AS extra_ratio_avg FROM o GROUP BY 1)
+        p AS (SELECT run, count(*) AS page_count, {exact_mean("(o_orderkey % 100) / 100.0::DOUBLE")} AS text_recall_avg, round(min((o_orderkey % 100) / 100.0::DOUBLE), 3) AS text_recall_min, {exact_mean("(o_orderkey % 7) / 10.0::DOUBLE")} AS extra_ratio_avg FROM o GROUP BY 1)
         SELECT run, page_count, block_count, table_count, text_recall_avg, text_recall_min, extra_ratio_avg, round(placed / block_count, 3) AS block_page_coverage, round(boxed / block_count, 3) AS bbox_coverage, round((refs - dangling) / refs, 3) AS section_block_coverage, unique_ids, dangling AS dangling_refs FROM p JOIN b USING (run)""",
     "run_overview": "SELECT o_custkey AS doc, count(DISTINCT o_orderkey) AS runs, arg_max(o_orderkey, {'d': o_orderdate, 'k': o_orderkey}) AS newest, array_to_string(list_sort(list(DISTINCT l_linenumber)), ',') AS page_numbers FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
     "log_sequence": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx_seq FROM events",

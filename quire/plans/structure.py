@@ -15,13 +15,11 @@ def _long(df: DataFrame, *names: str) -> DataFrame:
 
 
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = sectionize.headed_lines(S.markdown(spark, sf_dir)).filter("title is not null")
-    return _long(sectionize.levels(lines.select("doc", "pos", "title", "marks")).select("doc", "pos", "title", "level"), "pos", "level")
+    return _long(sectionize.levels(sectionize.headings(S.markdown(spark, sf_dir))).select("doc", "pos", "title", "level"), "pos", "level")
 
 
 def heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = sectionize.headed_lines(S.markdown(spark, sf_dir)).filter("title is not null")
-    found = sectionize.paths(sectionize.levels(lines.select("doc", "pos", "title", "marks")))
+    found = sectionize.paths(sectionize.levels(sectionize.headings(S.markdown(spark, sf_dir))))
     return _long(found.select("doc", "pos", F.concat_ws(" > ", "path").alias("path")), "pos")
 
 
@@ -70,12 +68,12 @@ def cascade_include(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def smallest_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = S.pages(spark, sf_dir).select("doc", (F.col("page_no") * 2).alias("page"))
+    points = S.numbers(spark, sf_dir).select("doc", (F.col("page_no") * 2).alias("page"))
     return refs.smallest_cover(S.spans(spark, sf_dir), points)
 
 
 def deepest_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return refs.deepest_cover(S.spans(spark, sf_dir), S.pages(spark, sf_dir).select("doc", F.col("page_no").alias("page")))
+    return refs.deepest_cover(S.spans(spark, sf_dir), S.numbers(spark, sf_dir).select("doc", F.col("page_no").alias("page")))
 
 
 def span_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +82,7 @@ def span_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     spans = S.spans(spark, sf_dir)
-    counts = S.pages(spark, sf_dir).groupBy("doc").agg(F.max("page_no").alias("page_count"))
-    return spans, refs.edges(spans, spans, counts)
+    return spans, refs.edges(S.span_texts(spark, sf_dir), spans, S.page_counts(spark, sf_dir))
 
 
 def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,9 +134,8 @@ def wiki_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wiki_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = S.spans(spark, sf_dir)
-    counts = S.pages(spark, sf_dir).groupBy("doc").agg(F.max("page_no").alias("page_count"))
     named = spans.select("doc", "id", F.concat_ws("/", "doc", "id").alias("route"))
-    return _long(wiki.linked(spans, spans, named, counts).select("doc", "id", "links", F.length("markdown").alias("n_chars")), "links", "n_chars")
+    return _long(wiki.linked(S.span_texts(spark, sf_dir), spans, named, S.page_counts(spark, sf_dir)).select("doc", "id", "links", F.length("markdown").alias("n_chars")), "links", "n_chars")
 
 
 def wiki_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:

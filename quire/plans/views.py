@@ -1,12 +1,18 @@
 """The views of `quire.sources.tables` as common table expressions for the oracle."""
 
+
+def exact_mean(x: str) -> str:
+    """The mean of x to three digits, halves up, from whole numbers of billionths."""
+    return f"((2 * sum(round(({x}) * 1e9)::HUGEINT) + count({x}) * 1000000) // (2 * count({x}) * 1000000))::DOUBLE / 1000"
+
+
 PAGES = """pages_v AS (
   SELECT *, CASE WHEN doc_id % 10 = 0 THEN 'visual' ELSE 'text' END AS kind,
     CASE WHEN doc_id % 4 = 0 THEN substr(truth, 1, length(truth) // 2) ELSE replace(truth, ' of ', ' ') || ' zzz' END AS baseline,
     CASE WHEN doc_id % 6 <> 0 THEN truth || chr(10) || 'zz yy xx' END AS cleanup,
     CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 3 <> 0 THEN truth END AS vlm,
     CASE WHEN doc_id % 7 <> 0 THEN (doc_id % 6) / 5.0::DOUBLE END AS judge_score
-  FROM (SELECT source || '-' || (doc_id // 1000) AS doc, row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) AS page_no, doc_id, text AS truth FROM documents))"""
+  FROM (SELECT coalesce(source, '') AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_no, doc_id, text AS truth FROM documents))"""
 
 MARKDOWN = PAGES + """, markdown_v AS (
   SELECT doc, page_no, CASE WHEN page_no % 3 = 1 THEN '# **' || ((page_no - 1) // 3 + 1) || '. Chapter**'
@@ -30,9 +36,9 @@ cells_v AS (SELECT *, row_number() OVER (PARTITION BY key, block ORDER BY line_n
 blocks_v AS (SELECT *, bool_or(pos = 1 AND sep) OVER (PARTITION BY key, block) AS has_sep, max(CASE WHEN pos = 0 THEN cells END) OVER (PARTITION BY key, block) AS header FROM cells_v)"""
 
 TREE = """tree_v AS (
-  SELECT DISTINCT (c_nationkey * 1000000 + c_custkey // 500)::BIGINT AS doc, 's:' || c_mktsegment AS id, NULL AS parent, c_mktsegment AS title, 0::BIGINT AS sort_order, true AS include FROM customer
-  UNION ALL SELECT c_nationkey * 1000000 + c_custkey // 500, 'c:' || c_custkey, 's:' || c_mktsegment, c_mktsegment, c_custkey % 4, c_custkey % 3 <> 0 FROM customer
-  UNION ALL SELECT c_nationkey * 1000000 + c_custkey // 500, 'o:' || o_orderkey, 'c:' || c_custkey, o_orderpriority, 0, o_orderkey % 2 = 0 FROM orders JOIN customer ON o_custkey = c_custkey),
+  SELECT DISTINCT c_nationkey::BIGINT AS doc, 's:' || c_mktsegment AS id, NULL AS parent, c_mktsegment AS title, 0::BIGINT AS sort_order, true AS include FROM customer
+  UNION ALL SELECT c_nationkey, 'c:' || c_custkey, 's:' || c_mktsegment, c_mktsegment, c_custkey % 4, c_custkey % 3 <> 0 FROM customer
+  UNION ALL SELECT c_nationkey, 'o:' || o_orderkey, 'c:' || c_custkey, o_orderpriority, 0, o_orderkey % 2 = 0 FROM orders JOIN customer ON o_custkey = c_custkey),
 ranked AS (
   SELECT t.*, CASE left(t.id, 1) WHEN 's' THEN 1 WHEN 'c' THEN 2 ELSE 3 END AS level,
     CASE left(t.id, 1) WHEN 's' THEN t.id WHEN 'c' THEN t.parent ELSE u.parent END AS k1,

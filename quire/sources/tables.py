@@ -1,27 +1,35 @@
 """Whole input tables, and views of them in the shape of pages, sections, trees, runs and calls.
 
 The input holds no markdown structure of its own, so views add it by expressions that SQL states as well
-(`quire.plans.views`). A document is a block of a source's texts in doc_id order, so it stays small
-whatever the size of a source.
+(`quire.plans.views`). A source is one document, and its texts in doc_id order are the pages, so a document may
+hold a third of all rows; a nation is one tree.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators import segments
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, page_no, doc_id, without texts: a source's documents are the pages of one doc, numbered by doc_id, which is a key."""
+    rows = read(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("doc"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    return segments.numbered(rows, "doc", "doc_id", "page_no")
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc, page_no, doc_id, kind, truth and three candidate transcriptions, some of them missing."""
-    d = read(spark, sf_dir, "documents")
+    """doc, page_no, doc_id, kind, truth and three candidate transcriptions, some of them missing.
+
+    Pages are numbered without their texts, which are joined on by doc_id.
+    """
     c = F.col
-    block = F.expr("doc_id div 1000")
-    rows = d.select(F.concat_ws("-", "source", block.cast("string")).alias("doc"), "doc_id", F.col("text").alias("truth"))
-    rows = rows.withColumn("page_no", F.row_number().over(Window.partitionBy("doc").orderBy("doc_id")).cast("bigint"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("truth")).join(numbers(spark, sf_dir), "doc_id")
     half = F.substring("truth", F.lit(1), F.expr("cast(length(truth) div 2 as int)"))
     return rows.select(
         "doc", "page_no", "doc_id",
@@ -58,9 +66,9 @@ def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc, id, parent, title, sort_order, include: segments of a block of a nation's customers, these, and their orders."""
+    """doc, id, parent, title, sort_order, include: segments of a nation's customers, these, and their orders."""
     c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
-    doc = F.expr("c_nationkey * 1000000 + c_custkey div 500").cast("bigint").alias("doc")
+    doc = F.col("c_nationkey").cast("bigint").alias("doc")
     seg = F.concat(F.lit("s:"), "c_mktsegment")
     cust = F.concat(F.lit("c:"), F.col("c_custkey").cast("string"))
     zero = F.lit(0).cast("bigint").alias("sort_order")
@@ -73,22 +81,33 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc, id, parent, page_start, page_end, lft, rgt, section_type, markdown: chapters of four pages, each with two halves.
+    """doc, id, parent, page_start, page_end, lft, rgt, doc_id (of the first page) and section_type, without texts.
 
-    A second half goes on over the first page of the next chapter. A span has the text of all its pages, in order.
+    Chapters of four pages, each with two halves; a second half goes on over the first page of the next chapter. Every
+    span has its first page, so spans follow from the numbers of the pages alone.
     """
-    p = pages(spark, sf_dir).select("doc", "page_no", "doc_id", "truth")
-    j, s = F.expr("cast((page_no - 1) div 4 as bigint)"), F.expr("cast(2 * ((page_no - 1) div 2) + 1 as bigint)")
-
-    def half(start: Column) -> Column:
-        k, late = F.floor((start - 1) / 4), (start % 4 == 3).cast("bigint")
-        return F.struct(F.concat(F.lit("h"), start.cast("string")).alias("id"), F.concat(F.lit("c"), k.cast("string")).alias("parent"), start.alias("page_start"), (start + 1 + late).alias("page_end"), (6 * k + 2 + 2 * late).alias("lft"), (6 * k + 3 + 2 * late).alias("rgt"))
-
-    chapter = F.struct(F.concat(F.lit("c"), j.cast("string")).alias("id"), F.lit(None).cast("string").alias("parent"), (4 * j + 1).alias("page_start"), (4 * j + 4).alias("page_end"), (6 * j + 1).alias("lft"), (6 * j + 6).alias("rgt"))
-    own = F.array(chapter, half(s))
-    held = p.withColumn("span", F.explode(F.when((F.col("page_no") % 4 == 1) & (F.col("page_no") > 1), F.array_append(own, half(F.col("page_no").cast("bigint") - 2))).otherwise(own)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "truth"))), lambda x: x["truth"]), "\n")
-    rows = held.groupBy("doc", "span").agg(F.min_by("doc_id", "page_no").alias("doc_id"), text.alias("truth")).select("doc", "span.*", "doc_id", "truth")
-    text = F.concat("truth", F.lit(" See page "), (1 + F.col("doc_id") * 7 % 60).cast("string"), F.lit(", and p. 4; refer to Page No. 12."))
+    first = F.col("page_no")
+    k, late = F.floor((first - 1) / 4), (first % 4 == 3).cast("bigint")
+    half = F.struct(F.concat(F.lit("h"), first.cast("string")).alias("id"), F.concat(F.lit("c"), k.cast("string")).alias("parent"), first.alias("page_start"), (first + 1 + late).alias("page_end"), (6 * k + 2 + 2 * late).alias("lft"), (6 * k + 3 + 2 * late).alias("rgt"))
+    chapter = F.struct(F.concat(F.lit("c"), k.cast("string")).alias("id"), F.lit(None).cast("string").alias("parent"), first.alias("page_start"), (first + 3).alias("page_end"), (6 * k + 1).alias("lft"), (6 * k + 6).alias("rgt"))
+    own = F.explode(F.when(first % 4 == 1, F.array(chapter, half)).otherwise(F.array(half)))
+    rows = numbers(spark, sf_dir).filter("page_no % 2 = 1").select("doc", "doc_id", own.alias("span"))
     kind = F.when(F.col("doc_id") % 4 == 0, None).otherwise(F.concat(F.lit("type"), (F.col("doc_id") % 3).cast("string")))
-    return rows.select("doc", "id", "parent", "page_start", "page_end", "lft", "rgt", kind.alias("section_type"), text.alias("markdown"))
+    return rows.select("doc", "span.*", "doc_id", kind.alias("section_type"))
+
+
+def span_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spans with markdown: the texts of all pages of each, in order, and mentions of pages. Each text goes to the spans of its page, once."""
+    own, page = spans(spark, sf_dir), F.col("page_no")
+    j, s = F.floor((page - 1) / 4), 2 * F.floor((page - 1) / 2) + 1
+    name = lambda kind, n: F.concat(F.lit(kind), n.cast("string"))
+    held = F.array(name("c", j), name("h", s))
+    rows = pages(spark, sf_dir).select("doc", page, "truth", F.explode(F.when((page % 4 == 1) & (page > 1), F.array_append(held, name("h", page - 2))).otherwise(held)).alias("id"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "truth"))), lambda x: x["truth"]), "\n")
+    texts = rows.groupBy("doc", "id").agg(body.alias("truth"))
+    text = F.concat("truth", F.lit(" See page "), (1 + F.col("doc_id") * 7 % 60).cast("string"), F.lit(", and p. 4; refer to Page No. 12."))
+    return own.join(texts, ["doc", "id"]).withColumn("markdown", text).drop("doc_id", "truth")
+
+
+def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbers(spark, sf_dir).groupBy("doc").agg(F.max("page_no").alias("page_count"))
