@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import segments
 
 
 def page_lines(pages: DataFrame, text: str = "markdown") -> DataFrame:
@@ -91,37 +91,39 @@ def table_edges(markdown: Column) -> Column:
 def stitched(pages: DataFrame) -> DataFrame:
     """Pages with a table that goes on over the page's end joined to its start, a repeated header dropped.
 
-    A join may run on over several pages, each one seeing the last one's result, so a document is walked in
-    order; documents in which no two pages could join are left alone.
+    Joins are made page by page, and each sees what the one before has left: a page that is one table and has given its rows
+    away has none to join the next one to. So within a row of such pages every second join holds, counted from the join into
+    the first; a scan by segments finds where such a row of pages starts, and no document is walked as a whole.
     """
-    w = Window.partitionBy("doc").orderBy("page_no")
-    rows = pages.select("doc", "page_no", F.coalesce("markdown", F.lit("")).alias("markdown"))
-    rows = rows.withColumn("edge", table_edges(F.col("markdown"))).withColumn("meets", F.col("edge.tail_columns") == F.lead("edge.lead_columns").over(w))
-    hit = rows.filter("meets").select("doc").distinct()
-    schema = f"doc {pages.schema['doc'].dataType.simpleString()}, page_no {pages.schema['page_no'].dataType.simpleString()}, markdown string"
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("page_no")
-        texts = group["markdown"].tolist()
-        for k in range(len(texts) - 1):
-            above, below = texts[k].rstrip().split("\n"), texts[k + 1].lstrip("\n").rstrip().split("\n")
-            start = len(above)
-            while start and is_row(above[start - 1]):
-                start -= 1
-            end = 0
-            while end < len(below) and is_row(below[end]):
-                end += 1
-            if start < len(above) and end and columns(above[start]) == columns(below[0]):
-                more = below[2:end] if end >= 2 and set(below[1].strip()) <= set("|-: \t") else below[:end]
-                texts[k], texts[k + 1] = "\n".join(above + more).strip(), "\n".join(below[end:]).strip()
-        return group.assign(markdown=texts)[["doc", "page_no", "markdown"]]
-
-    def is_row(line: str) -> bool:
-        s = line.strip()
-        return len(s) > 1 and s[0] == s[-1] == "|"
-
-    def columns(line: str) -> int:
-        return line.strip().strip("|").count("|") + 1
-
-    plain = rows.select("doc", "page_no", "markdown")
-    return plain.join(hit, "doc", "left_anti").unionByName(plain.join(hit, "doc", "left_semi").groupBy("doc").applyInPandas(walk, schema))
+    keys, order = ["doc"], Window.partitionBy("doc", "segment").orderBy("page_no")
+    rows = pages.select("doc", "page_no", F.coalesce("markdown", F.lit("")).alias("markdown")).withColumn("edge", table_edges(F.col("markdown")))
+    narrow = rows.select("doc", "page_no", "edge.lead_columns", "edge.tail_columns", (F.col("edge.lead") == F.size("edge.lines")).alias("whole"))
+    narrow = segments.settle(narrow, "edges")
+    # the page after: within the segment, or the first one of the next segment with pages
+    cut = narrow.withColumn("segment", F.floor(F.col("page_no") / segments.PAGES))
+    heads = cut.groupBy("doc", "segment").agg(F.min_by("lead_columns", "page_no").alias("head"), F.min("page_no").alias("first"))
+    ahead = Window.partitionBy("doc").orderBy("segment")
+    heads = heads.select("doc", "segment", F.lead("head").over(ahead).alias("next_head"))
+    last = F.row_number().over(Window.partitionBy("doc", "segment").orderBy(F.desc("page_no"))) == 1
+    after = cut.withColumns({"after": F.lead("lead_columns").over(order), "last": last}).join(heads, ["doc", "segment"])
+    meets = F.coalesce(F.col("tail_columns") == F.when(F.col("last"), F.col("next_head")).otherwise(F.col("after")), F.lit(False))
+    after = segments.settle(after.select("doc", "page_no", meets.alias("meets"), (meets & F.col("whole")).alias("depends")), "meets")
+    # n numbers the pages; base is the last page before that depends on none, and whether it joins
+    free = F.when(~F.col("depends"), F.struct("n", "meets"))
+    counted = segments.running(after, keys, ["page_no"], F.floor(F.col("page_no") / segments.PAGES), n=("sum", F.lit(1).cast("bigint"), True))
+    counted = segments.settle(counted, "counted")
+    found = segments.running(counted, keys, ["page_no"], F.floor(F.col("page_no") / segments.PAGES), base=("last", free, True))
+    odd = (F.col("n") - F.coalesce("base.n", F.lit(0))) % 2 == 1
+    joins = F.when(~F.col("depends"), F.col("meets")).otherwise(F.when(F.coalesce("base.meets", F.lit(False)), ~odd).otherwise(odd))
+    joins = segments.settle(found.select("doc", "page_no", "n", joins.alias("joins")), "joins")
+    gives = joins.filter("joins").select("doc", (F.col("n") + 1).alias("n"), F.col("n").alias("to"))
+    marked = rows.join(joins, ["doc", "page_no"]).join(gives, ["doc", "n"], "left")
+    lead, lines = F.col("edge.lead"), F.col("edge.lines")
+    header = (lead >= 2) & F.coalesce(F.element_at(lines, 2), F.lit("")).rlike(T.SEPARATOR_ROW)
+    more = F.slice(lines, F.when(header, 3).otherwise(1), F.greatest(lead - F.when(header, 2).otherwise(0), F.lit(0)))
+    given = marked.filter("to is not null").select("doc", F.col("to").alias("n"), more.alias("more"))
+    text = F.when(F.col("to").isNull(), F.col("markdown")).otherwise(T.strip(F.array_join(F.slice(lines, lead + 1, F.size(lines)), "\n")))
+    left = marked.withColumn("text", text).join(given, ["doc", "n"], "left")
+    whole = F.when(F.col("joins"), T.strip(F.array_join(F.concat(T.lines(F.regexp_replace("text", r"\s+$", "")), F.coalesce("more", F.array().cast("array<string>"))), "\n"))).otherwise(F.col("text"))
+    return left.select("doc", "page_no", whole.alias("markdown"))
+

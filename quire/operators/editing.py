@@ -86,15 +86,15 @@ def lint_summary(texts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.when(F.size("found") > 0, as_json).alias("lint"), F.size("found").alias("lint_count"), line.alias("line"))
 
 
-def scopes(attachments: DataFrame, documents: DataFrame, pages: DataFrame, sections: DataFrame) -> DataFrame:
+def scopes(attachments: DataFrame, documents: DataFrame, pages: DataFrame, sections: DataFrame, projects: DataFrame | None = None) -> DataFrame:
     """session, document, project: what the attachments (session, place, kind, name) of a session point at.
 
     The first attachment that still exists wins for the document, be it the document itself, a page or a section
-    of one; the project is the first attached one, else the document's.
+    of one; the project is the first attached one that there is (projects: project; else those that documents name), else the document's.
     """
     known = documents.select(F.lit("document").alias("kind"), F.col("doc").alias("name"), "doc")
     known = known.unionByName(pages.select(F.lit("page").alias("kind"), F.col("page").alias("name"), "doc")).unionByName(sections.select(F.lit("section").alias("kind"), F.col("id").alias("name"), "doc"))
-    projects = documents.filter("project is not null").select(F.lit("project").alias("kind"), F.col("project").alias("name"), F.col("project").alias("own")).distinct()
+    projects = (documents if projects is None else projects).filter("project is not null").select(F.lit("project").alias("kind"), F.col("project").alias("name"), F.col("project").alias("own")).distinct()
     rows = attachments.join(known, ["kind", "name"], "left").join(projects, ["kind", "name"], "left")
     first = rows.groupBy("session").agg(F.min_by("doc", F.when(F.col("doc").isNotNull(), F.col("place"))).alias("document"), F.min_by("own", F.when(F.col("own").isNotNull(), F.col("place"))).alias("explicit"))
     of = documents.select(F.col("doc").alias("document"), "project")

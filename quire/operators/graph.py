@@ -47,3 +47,34 @@ def neighbours(edges: DataFrame) -> DataFrame:
     both = edges.select("doc", F.col("from_id").alias("id"), F.col("to_id").alias("n")).unionByName(edges.select("doc", F.col("to_id").alias("id"), F.col("from_id").alias("n")))
     both = both.unionByName(both.select("doc", "id", F.col("id").alias("n")))
     return both.groupBy("doc", "id").agg(F.array_sort(F.collect_set("n")).alias("neighbours"))
+
+
+def payload(documents: DataFrame, sections: DataFrame, weights: DataFrame) -> DataFrame:
+    """The graph of each project as rows: project, doc, part, source, target, label, value. documents: doc, title, project; sections: doc, id, parent, title, section_type.
+
+    A project's graph is the union of its documents' graphs; references never leave a document. Parts: document (label its
+    title), node (a section, label its type or none, value its degree), structure (label HAS_SECTION or PART_OF) and reference
+    (value the weight). Documents without a project are in none; sections and references of unknown documents are left out.
+    """
+    own = documents.filter("project is not null").select("project", "doc", "title")
+    in_ = lambda rows: rows.join(own.select("project", "doc"), "doc")
+    none, text = F.lit(None).cast("string"), lambda c: F.col(c).cast("string")
+    degree = sections.select("doc", "id", "section_type").join(degrees(weights), ["doc", "id"], "left")
+    parts = [
+        own.select("project", "doc", F.lit("document").alias("part"), F.concat(F.lit("doc:"), "doc").alias("source"), none.alias("target"), F.col("title").alias("label"), F.lit(None).cast("bigint").alias("value")),
+        in_(degree).select("project", "doc", F.lit("node"), text("id"), none, "section_type", F.coalesce("degree", F.lit(0)).cast("bigint")),
+        in_(structure(sections)).select("project", "doc", F.lit("structure"), "source", "target", "kind", F.lit(None).cast("bigint")),
+        in_(weights).select("project", "doc", F.lit("reference"), text("from_id"), text("to_id"), none, F.col("weight").cast("bigint")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def payload_counts(projects: DataFrame, rows: DataFrame) -> DataFrame:
+    """project and how many documents, nodes, edges and types its payload has: zeros for a project without documents."""
+    is_ = lambda *parts: F.sum(F.col("part").isin(*parts).cast("bigint"))
+    types = F.count_distinct(F.when(F.col("part") == "node", F.col("label")))
+    found = rows.groupBy("project").agg(is_("document").alias("documents"), is_("node").alias("nodes"), is_("structure", "reference").alias("edges"), types.alias("types"))
+    return projects.select("project").distinct().join(found, "project", "left").na.fill(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -71,3 +71,16 @@ def page_selection(wanted: DataFrame) -> DataFrame:
     pages = rows.select("id", "page_count", "k", F.posexplode(F.sequence("a", "b")).alias("i", "page")).filter("page between 1 and page_count")
     first = pages.groupBy("id", "page").agg(F.min(F.struct("k", "i")).alias("at"))
     return first.select("id", "page", F.row_number().over(Window.partitionBy("id").orderBy("at")).alias("place"))
+
+
+def measured(rows: DataFrame, stage: str, folder: str, /, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """rows written to folder and read back, and what was observed of them on the way: metrics are aggregates, taken in the same pass."""
+    seen = Observation(stage)
+    rows.observe(seen, *[value.alias(name) for name, value in metrics.items()]).write.mode("overwrite").parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder), seen
+
+
+def progress_report(spark: SparkSession, run: str, stages: list[Observation]) -> DataFrame:
+    """run, place, stage, metric, value: one row for each metric of each stage that ended, to be written beside the run's scorecard."""
+    rows = [(run, place, seen._name, name, float(value or 0)) for place, seen in enumerate(stages) for name, value in seen.get.items()]
+    return spark.createDataFrame(rows, "run string, place int, stage string, metric string, value double")

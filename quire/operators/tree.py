@@ -161,16 +161,32 @@ def split(nodes: DataFrame, at: DataFrame) -> DataFrame:
     return nested_set(both.withColumn("sort_order", place).drop("__o"))
 
 
-def create(nodes: DataFrame, new: DataFrame) -> DataFrame:
+def refused(nodes: DataFrame, new: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """doc, id, reason of the new rows (doc, id, parent, title, and section_type if types are given) that cannot be created.
+
+    Reasons, first come: a blank title, a document without any row, a parent that is none of its rows, an id that is taken, an unknown type
+    (of types, type_name; a blank type is none).
+    """
+    known = nodes.select("doc", "id").withColumn("there", F.lit(True))
+    rows = new.join(nodes.select("doc").distinct().withColumn("some", F.lit(True)), "doc", "left")
+    rows = rows.join(known.withColumnRenamed("id", "parent").withColumnRenamed("there", "under"), ["doc", "parent"], "left").join(known, ["doc", "id"], "left")
+    reason = F.when(T.strip(F.coalesce("title", F.lit(""))) == "", "blank title").when(F.col("some").isNull(), "unknown document")
+    reason = reason.when(F.col("parent").isNotNull() & F.col("under").isNull(), "unknown parent").when(F.col("there"), "id taken")
+    if types is not None:
+        rows = rows.withColumn("__type", F.nullif(T.strip(F.col("section_type")), F.lit(""))).join(types.select(F.col("type_name").alias("__type"), F.lit(True).alias("typed")), "__type", "left")
+        reason = reason.when(F.col("__type").isNotNull() & F.col("typed").isNull(), "unknown type")
+    return rows.select("doc", "id", reason.alias("reason")).filter("reason is not null")
+
+
+def create(nodes: DataFrame, new: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """The tree with new rows (columns of nodes, and index): each at a 0-based place among its siblings, last without one.
 
-    A row whose parent is no row of its document is left out; so is one whose id is taken.
+    Rows that are `refused` are left out; titles are trimmed.
     """
-    known = nodes.select("doc", "id")
-    fit = new.join(known.withColumnRenamed("id", "parent"), ["doc", "parent"], "left_semi").unionByName(new.filter("parent is null")).join(known, ["doc", "id"], "left_anti")
+    new = new.join(refused(nodes, new, types).select("doc", "id"), ["doc", "id"], "left_anti").withColumn("title", T.strip(F.col("title")))
     order = Window.partitionBy("doc", "parent").orderBy(F.coalesce("sort_order", F.lit(0)), "id")
     staying = nodes.withColumn("__place", (F.row_number().over(order) - 1).cast("double"))
-    both = staying.unionByName(fit.withColumn("__place", F.when(F.col("index").isNotNull(), F.greatest(F.col("index"), F.lit(0)) - 0.5).otherwise(1e6)).drop("index"), allowMissingColumns=True)
+    both = staying.unionByName(new.withColumn("__place", F.when(F.col("index").isNotNull(), F.greatest(F.col("index"), F.lit(0)) - 0.5).otherwise(1e6)).drop("index"), allowMissingColumns=True)
     place = F.row_number().over(Window.partitionBy("doc", "parent").orderBy("__place", "id")) - 1
     return nested_set(both.withColumn("sort_order", place).drop("__place"))
 

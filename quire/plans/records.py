@@ -233,7 +233,10 @@ ORACLES = {
         k AS (SELECT doc, CASE WHEN page_no > 100 THEN page_no - 100 ELSE page_no END AS page_no FROM w WHERE NOT (coalesce(page_no, 0) = 2 AND doc IN (SELECT l_orderkey FROM taken)))
         SELECT doc, count(*) AS warnings, sum((page_no IS NULL OR page_no = 1)::INT)::BIGINT AS shown, coalesce(string_agg(DISTINCT page_no, ',' ORDER BY page_no), '') AS pages FROM k GROUP BY 1""",
     "missing_ids": "SELECT o_orderkey * 2 AS id FROM orders WHERE o_orderkey * 2 NOT IN (SELECT o_orderkey FROM orders)",
-    "any_tables": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN false WHEN 1 THEN p_size % 5 >= 3 WHEN 2 THEN p_size % 7 >= 4 ELSE p_size % 5 >= 3 END AS has_table FROM part",
+    "any_tables": r"""WITH v AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN repeat('a  b  c' || chr(10), (p_size % 5)::INT) WHEN 1 THEN repeat('|x|' || p_size || '|' || chr(10), (p_size % 5)::INT) WHEN 2 THEN 'Revision Description Issue' || chr(10) || repeat(p_size || chr(10), (p_size % 7)::INT) ELSE repeat('aa  bb  cc' || chr(10), (p_size % 5)::INT) END AS t FROM part),
+        c AS (SELECT p_partkey, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^\s*\|.*\|\s*$') OR len(regexp_extract_all(x, '\S\s{2,}\S')) >= 2)) AS tabular, list_sum(list_transform(['revision', 'description', 'initiated by', 'approved by', 'page', 'issue'], lambda x: contains(lower(t), x)::INT)) AS heads,
+          len(regexp_extract_all(t, '\b\d{1,2}/\d{4}\b')) AS dates, len(regexp_extract_all(t, '(?m)^\s*\d+\s*$')) AS numbers FROM v)
+        SELECT p_partkey, tabular >= 3 OR (heads >= 3 AND (dates >= 3 OR numbers >= 4)) AS has_table FROM c""",
     "unfenced_pages": f"WITH {TABLES} SELECT key, md5(CASE key % 4 WHEN 2 THEN '```sql' || chr(10) || replace(markdown, '```', '~') || chr(10) || '```' ELSE replace(markdown, '```', '~') END) AS digest FROM tables_v",
 }
 
