@@ -30,6 +30,8 @@ from quire.llm.common import bucket_bounds, bucket_of, partitions, tie_bucket
 SECTION = 8
 #: Bytes that decide whether a leaf ends, one in how many places does, and the longest leaf.
 WINDOW, EVERY, LONGEST = 8, 32, 255
+#: Lines of up to so many bytes are cut at one in so many places, the shortest ones as the last two bytes say: a short text has leaves enough to keep some over an edit.
+SHORT, SHORTEST = ((40, 2), (128, 4)), 40
 #: Rows per batch that leaves a task.
 ROWS = 256
 
@@ -56,13 +58,25 @@ def _sizes(ends: np.ndarray) -> np.ndarray:
 
 
 def leaf_ends(raw: np.ndarray) -> np.ndarray:
-    """Ends of the leaves of a text: at every line end, where the bytes before a place say so, and after LONGEST bytes."""
+    """Ends of the leaves of a text: at every line end, where the bytes before a place say so (more often in short lines), and after LONGEST bytes."""
     own = _gear[raw]
     mixed = own.copy()
     for k in range(1, min(WINDOW, len(raw))):
         mixed[k:] += own[:-k] << np.uint32(k)
-    mixed[: WINDOW - 1] = 1 << 12  # too near the start
-    ends = np.flatnonzero(((mixed >> np.uint32(12)) % np.uint32(EVERY) == 0) | (raw == 10)) + 1
+    near = own.copy()
+    near[1:] += own[:-1] << np.uint32(1)
+    stops = np.flatnonzero(raw == 10) + 1
+    stops = stops if len(stops) and stops[-1] == len(raw) else np.append(stops, len(raw))
+    lines = _sizes(stops)
+    starts = stops - lines  # what stands before a line does not count
+    near[starts] = own[starts]
+    for k in range(WINDOW - 1):
+        mixed[np.minimum(starts + k, stops - 1)] = 1 << 12
+    every = np.full(len(lines), EVERY, np.uint32)
+    for most, places in reversed(SHORT):
+        every[lines <= most] = places
+    mixed = np.where(np.repeat(lines <= SHORTEST, lines), near, mixed)
+    ends = np.flatnonzero(((mixed >> np.uint32(12)) & (np.repeat(every, lines) - np.uint32(1)) == 0) | (raw == 10)) + 1
     ends = ends if len(ends) and ends[-1] == len(raw) else np.append(ends, len(raw))
     size = _sizes(ends)
     if size.max(initial=0) <= LONGEST:

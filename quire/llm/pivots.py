@@ -27,12 +27,14 @@ PIVOTS, PIVOT_SAMPLE = 48, 1024
 BLOCK = 4096
 #: Candidates evaluated first; each further step takes twice as many.
 STEP = 64
+#: Stands for a vec_id that is null: such rows are candidates, after all others on ties, and no queries.
+NO_ID = 2**63 - 1
 #: Room for rounding in bounds, relative to the lengths of the two vectors.
 SLACK = 1e-7
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and v, each component x as floor(scale * x). Rows that are null, empty or hold a null or non-finite component go.
+    """vec_id (NO_ID where it is null) and v, each component x as floor(scale * x). Rows that are null, empty or hold a null or non-finite component go.
 
     A finite component whose floor(scale * x) exceeds 64 bits fails the query, for no score could be right.
     """
@@ -40,7 +42,7 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     sound = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(x, finite)
     whole = lambda c: F.when(F.abs(c * scale) < 2.0**63, F.floor(c * scale).cast("long")).otherwise(F.raise_error(F.lit("a component exceeds 64 bits")).cast("long"))
-    return vectors.filter(sound & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
+    return vectors.filter(sound).select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def choose_pivots(points: np.ndarray, n: int) -> np.ndarray:
@@ -179,7 +181,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by every, its k highest integer inner products.
 
     Ties go to the smaller vec_id. A query meets every row but itself; rows that repeat its vec_id are candidates
-    and queries of their own. Only vectors of the same length meet. Unsound vectors take no part; an empty
+    and queries of their own. A row without a vec_id is a candidate (after all others on ties) and no query. Only vectors of the same length meet. Unsound vectors take no part; an empty
     table gives an empty result; columns other than vec_id and embedding are ignored. Products are exact at
     any size; a score among the k highest that exceeds 64 bits fails the query.
     """
@@ -193,9 +195,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         sizes = F.create_map(*[F.lit(x) for c in own for x in (c[0], c[1])])
         blocks = F.when(F.col("dim") == dim, sizes[F.col("cell")]).otherwise(blocks)
     held = table.withColumn("block", F.pmod(F.xxhash64("at"), blocks).cast("int"))
-    asked = table.filter(F.pmod("vec_id", F.lit(every)) == 0).withColumn("least", F.lit(None).cast("double"))
+    asked = table.filter((F.pmod("vec_id", F.lit(every)) == 0) & (F.col("vec_id") < NO_ID)).withColumn("least", F.lit(None).cast("double"))
     first = settle(met(held, routed(asked, known, True), k), "first_cells")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     kth = first.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query").alias("at"), (F.col("score") - F.abs(F.col("score") * 1e-9) - 1).cast("double").alias("least"))
     others = met(held, routed(asked.drop("least").join(kth, "at", "left"), known, False), k)
-    return first.unionByName(others).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return first.unionByName(others).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")

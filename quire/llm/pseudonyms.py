@@ -18,8 +18,8 @@ import secrets
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Setting of the session that holds the key of the permutation.
-KEY_SETTING = "spark.quire.pseudonymKey"
+#: Setting of the session that holds the key of the permutation; Spark redacts settings of such names.
+KEY_SETTING = "spark.quire.pseudonym.secret"
 #: Alphabets: a character moves within its own; characters of none stay.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "αβγδεζηθικλμνξοπρστυφχψωςάέήίόύώ", "абвгдежзийклмнопрстуфхцчшщъыьэюяё")
 #: Rounds; even, so that the halves end where they began.
@@ -162,20 +162,23 @@ def session_key(spark: SparkSession) -> str:
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
-    """docs with text replaced, n_chars (if there) brought up to date where it was, plus n_pseudonyms (values replaced).
+    """docs with text replaced, n_chars (if there) brought up to date where it was, plus n_pseudonyms (values that came out different).
 
     Valid cards and IBANs stay valid, dates stay dates, social security numbers stay in their ranges; e-mail
     addresses keep their domain. Left in clear: numbers that fail their check, dates without a day or a four-digit
-    year from 1900 to 2099, and those with month names other than English ones; letters of an address beyond
-    the Latin, Greek and Cyrillic ones stay. A null text stays null with 0 pseudonyms; texts without such values
+    year from 1900 to 2099, and those with month names other than English ones; telephone numbers without any
+    separator or plus sign, secrets under eight characters, passport numbers; letters of an address beyond
+    the Latin, Greek and Cyrillic ones. Four numbers that could be an address (10.2.3.4) and a version that could be a date
+    (1.2.2003) count as these. A null text stays null with 0 pseudonyms; texts without such values
     stay as they are; repeated rows are treated each; an empty table gives an empty result; a column named
     n_pseudonyms is replaced.
     """
     found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0)))
-    names = [c for c in docs.columns if c not in ("n_pseudonyms", "__found")]
+    names = [c for c in docs.columns if c not in ("n_pseudonyms", "__found", "__key")]
     hits = docs.select(*names, F.coalesce(found, F.array().cast("array<string>")).alias("__found"))
-    lit = "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    pairs: Column = F.expr(f"transform(__found, v -> named_struct('old', v, 'new', {pseudonym('v', lit)}))")
+    # the key comes in as the row of a table, so no plan, event log or message prints it
+    hits = hits.withColumn("__key", docs.sparkSession.createDataFrame([(key,)], "key string").scalar())
+    pairs: Column = F.expr(f"transform(__found, v -> named_struct('old', v, 'new', {pseudonym('v', '__key')}))")
     # pieces and values take turns; there is one piece more than values
     rest = F.split("text", ANY, -1)
     hits = hits.withColumn("__found", pairs)

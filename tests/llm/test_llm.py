@@ -87,6 +87,42 @@ def test_likeness_matches_a_plain_one(small):
     assert merkle.likeness(merkle.fingerprint(line), merkle.fingerprint(line.replace("word1500 ", "changed "))) > 0.97
 
 
+def test_leaves_are_cut_by_the_rule(small):
+    """The cut, byte by byte: the gears of the last bytes, more often in short lines, and after LONGEST bytes."""
+    def cut(data):
+        ends, start = [], 0
+        for line in data.splitlines(keepends=True) if b"\r" not in data else [x + b"\n" for x in data.split(b"\n")][:-1] + [data.split(b"\n")[-1]]:
+            every = 2 if len(line) <= 40 else 4 if len(line) <= 128 else 32
+            for i in range(start, start + len(line)):
+                back = 2 if len(line) <= 40 else merkle.WINDOW
+                own = i - start + 1  # bytes of the line so far
+                gear = sum(int(merkle._gear[data[i - k]]) << k for k in range(min(back, own))) % 2**32
+                gear = gear if own >= merkle.WINDOW or back == 2 else 1 << 12
+                if (gear >> 12) % every == 0 or data[i] == 10 or i == len(data) - 1:
+                    ends.append(i + 1)
+            start += len(line)
+        out, last = [], 0
+        for end in ends:
+            out += [*range(last + merkle.LONGEST, end, merkle.LONGEST), end]
+            last = end
+        return out
+
+    for text in [r["text"] for r in small.limit(40).collect()] + ["short", "a\n\nb", "x" * 700, "é" * 30]:
+        data = (text or "").encode().replace(b"\x0b", b" ").replace(b"\x0c", b" ").replace(b"\r", b" ")
+        if data:
+            assert merkle.leaf_ends(np.frombuffer(data, np.uint8)).tolist() == cut(data)
+
+
+def test_half_a_short_text_is_seen(spark):
+    """Texts of a few words that share one half are told to be alike."""
+    r = random.Random(8)
+    words = ["river", "stone", "amber", "quiet", "lantern", "meadow", "copper", "violet", "harbour", "winter"]
+    for _ in range(40):
+        a, b = (" ".join(r.choice(words) for _ in range(r.randint(5, 15))) for _ in range(2))
+        half = len(a) // 2
+        assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(a[: len(a) - half] + b[:half])) > 0.1
+
+
 def test_mixing(spark, odd, none, small):
     for table in (odd, small):
         got = mixing.mix(table).collect()
@@ -159,6 +195,13 @@ def test_exact_search_of_large_values_and_repeated_ids(spark):
             pivots.top_k(spark.createDataFrame([(0, [bad, 1.0]), (1, [bad, 2.0])], "vec_id int, embedding array<double>")).collect()
 
 
+def test_exact_search_without_ids(spark):
+    """A row without a vec_id is a candidate, after all others on ties, and no query."""
+    rows = [(50, [1.0, 0.0]), (None, [1.0, 0.0]), (3, [1.0, 0.0]), (None, [9.0, 0.0])]
+    got = pivots.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(50, None, 256 * 2304), (50, 3, 65536), (50, None, 65536)]
+
+
 def test_queries_match_their_sql(spark):
     from tests import oracle
 
@@ -509,6 +552,17 @@ def plain_feistel(value, tag, key):
     return a + b
 
 
+def test_no_plan_prints_the_key(spark):
+    key = "a1b2-no-one-may-read-this"
+    got = pseudonyms.pseudonymised(docs(spark, "card 4111 1111 1111 1111 of 3 March 1999"), key)
+    got.collect()
+    plans = got._jdf.queryExecution()
+    assert key not in plans.toString() and key not in plans.optimizedPlan().toString() and key not in plans.executedPlan().toString()
+    import re
+
+    assert re.search(spark.sparkContext.getConf().get("spark.redaction.regex", "(?i)secret|password|token|access[.]?key"), pseudonyms.KEY_SETTING)
+
+
 def test_permutation_matches_a_plain_one(spark):
     r = random.Random(9)
     values = ["", "a", "7", "jo.do+x", "é", "müller_99", "ИВАН.иван", "0" * 19, *("".join(r.choice("abcXYZ0189._-üßж日") for _ in range(r.randint(1, 150))) for _ in range(60))]
