@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled pages of the sample, the longest page used in it, renderings of each, passes and step of the training.
-SAMPLE, SAMPLE_CHARS, RENDERINGS, PASSES, STEP = 96, 20_000, 6, 10, 0.2
+SAMPLE, SAMPLE_CHARS, RENDERINGS, PASSES, STEP = 96, 20_000, 9, 10, 0.2
 #: A block is content from this marginal on.
 CONTENT = 0.5
 #: Rows per batch that leaves a task.
@@ -166,12 +166,16 @@ class Page:
             children[i].reverse()
             shape[i] = tags[i] + "".join(sorted({tags[c] for c in children[i]}))
         out, under, thread = [], [""] * n, [0] * n
-        alike, paragraphs, after = [0] * n, [0] * n, [""] * n
+        alike, paragraphs, after, kin = [0] * n, [0] * n, [""] * n, ["none"] * n
         for i in range(n):
             counts = Counter(shape[c] for c in children[i] if children[c])
             run, before = sum(tags[c] == "p" and own[c] > 40 for c in children[i]), "first"
+            same = Counter(tags[c] for c in children[i] if own[c] > 20)
+            most = max(same.values(), default=0)
             for c in children[i]:
                 alike[c], paragraphs[c], after[c] = counts.get(shape[c], 0), run, before
+                if own[c]:  # among the siblings that have text: how many have its element, and whether most do
+                    kin[c] = f"{min(3, same[tags[c]])} {same[tags[c]] == most} {min(3, sum(same.values()))}"
                 before = "heading" if tags[c] in HEADINGS else "p" if tags[c] == "p" else "other"
         for i in range(n):
             up = parent[i]
@@ -179,7 +183,7 @@ class Page:
                 under[i] = tags[up] if tags[up] in TELLING else under[up]
                 thread[i] = max(thread[up], min(3, max(0, alike[i] - 1)))
             chars, all_chars = own[i], below[i]
-            f = ["bias", "tag " + tags[i], "under " + under[i], f"{tags[up] if i else ''}>{tags[i]}", f"thread {thread[i]}", f"paragraphs {min(paragraphs[i], 4)}", "after " + after[i]]
+            f = ["bias", "tag " + tags[i], "under " + under[i], f"{tags[up] if i else ''}>{tags[i]}", f"thread {thread[i]}", f"paragraphs {min(paragraphs[i], 4)}", "after " + after[i], f"kin {kin[i]}", f"{tags[i] if tags[i] in ('p', 'div') else 'other'} {kin[i]}"]
             f += ["name " + w for w in self.names[i]]
             if chars:
                 size, link = min(chars.bit_length(), 9), 4 * linked[i] // chars
@@ -190,6 +194,8 @@ class Page:
                 f += [f"mean {mean}", f"share {share}", f"at {at}", f"all links {link}", f"all ends {stops}", f"{share} {link} {stops}", f"blocks {min(4, below_blocks[i].bit_length())} {mean}"]
                 beyond = total - max(0, start[i]) - all_chars
                 f.append(f"beyond {5 * max(0, beyond) // max(1, total)}")
+                f.append(f"of {min(4, len(self.blocks))} blocks {share}")
+                f.append(f"{'text' if chars else 'none'} {kin[i][0]} {share} of {min(6, len(self.blocks))}")
             else:
                 f.append("empty")
             out.append(f)
@@ -296,15 +302,18 @@ def rendered(title: str, body: list[str], pool: list[str], seed: int) -> str:
         text = prose(2)
         return part(r.choice(("div", "div", "aside", "section")), r.choice((text, f"<p>{text}</p>", f"<p>{text} {link()}</p>", f"<p>{text}</p><button>{words(2)}</button>", f"<div><p>{text}</p></div>")))
 
+    def advert() -> str:
+        return part(r.choice(("div", "div", "aside", "section")), r.choice((prose(1), f"{words(2)}: {prose(1)}", f"{prose(1)} {link()}")))
+
     def form() -> str:
         inner = f"<p>{prose(1)}</p>" * r.randint(0, 1) + "".join(f"<label>{words(2)}</label><input>" for _ in range(r.randint(1, 4)))
         return part(r.choice(("form", "form", "div")), inner)
 
     def thread() -> str:
         """Items built alike, each with a short line and some sentences: comments, or teasers of other pages."""
-        item, line = r.choice(("div",) * 6 + ("li",) * 3 + ("section",) * 2 + ("article",)), r.choice(("<div>%s</div>", "<p>%s</p>", "<h4>%s</h4>", "<header>%s</header>", "<h3><a>%s</a></h3>"))
+        item, line = r.choice(("div",) * 6 + ("li",) * 3 + ("section",) * 2 + ("article",)), r.choice(("<div>%s</div>", "<p>%s</p>", "<h4>%s</h4>", "<header>%s</header>", "<h3><a>%s</a></h3>", "<b>%s</b>", "<b>%s</b>", "%s", "<span>%s</span> "))
         items = []
-        for _ in range(r.randint(1, 9)):
+        for _ in range(r.choice((1, 2, 2, 3, 3, 4, 5, 7, 9))):
             text = "".join(f"<p>{prose(3)}</p>" for _ in range(r.choice((1, 1, 1, 2))))
             items.append(part(item, (line % words(4)) + r.choice((text, text, f"<div>{text}</div>"))))
         return part("ul" if item == "li" else r.choice(("div", "section", "aside")), r.choice(("", f"<h2>{words(3)}</h2>")) + "".join(items))
@@ -318,24 +327,40 @@ def rendered(title: str, body: list[str], pool: list[str], seed: int) -> str:
     body = [b[: r.randint(1, 80)] if r.random() < 0.15 else b for b in r.sample(body, r.randint(1, len(body)))]
     if r.random() < 0.12:  # runs of short paragraphs
         body = [html.unescape(words(3)) + r.choice(("", "."))] * r.randint(2, 40) + body[: r.randint(0, 3)]
-    shown = [f"<h1 {INNER}>{e(title)}</h1>"] * (r.random() < 0.8)
+    bare = r.random() < 0.14  # a page of one or two blocks, with little or nothing around
+    if bare:
+        body = [b[: r.choice((r.randint(12, 90), r.randint(60, 600)))] for b in body[: r.choice((1, 1, 2, 3))]]
+    shown = [f"<h1 {INNER}>{e(title)}</h1>"] * (r.random() < (0.25 if bare else 0.65))
+    style = r.choice(("p", "p", "p", "p", "div", "div", None, None))  # one element for all paragraphs, or any
+    through = r.random() < 0.1  # paragraphs that are links, or begin with one
     for b in body:
-        tag = r.choice(("p",) * 12 + ("blockquote", "div", "li", "td", "pre"))
-        inner = f"<{tag} {INNER}>{e(b)}</{tag}>"
+        tag = style or r.choice(("p",) * 12 + ("blockquote", "li", "td", "pre", "li"))
+        if style and r.random() < 0.08:
+            tag = r.choice(("blockquote", "li", "td", "pre", "li"))
+        told = e(b)
+        if through or r.random() < 0.04:
+            first = e(" ".join(b.split()[: r.randint(2, 8)]))
+            told = r.choice((f'<a href="#">{told}</a>', f'<a href="#">{told}</a>', f'<a href="#">{first}</a> {told}'))
+        inner = f"<{tag} {INNER}>{told}</{tag}>"
         if r.random() < 0.12:
             shown.append(f"<h2 {INNER}>{words(5)}</h2>")
         shown.append({"li": f"<ul {INNER}>{inner}</ul>", "td": f"<table {INNER}><tr {INNER}>{inner}</tr></table>"}.get(tag, inner))
-    if r.random() < 0.25:
-        shown.insert(r.randint(1, len(shown)), r.choice((links, notice, form))())
+    if through and r.random() < 0.6:  # a list of links of the article's own
+        shown.append(f"<ul {INNER}>" + "".join(f'<li {INNER}><a href="#">{words(8)}</a></li>' for _ in range(r.randint(2, 6))) + "</ul>")
+    if not bare and r.random() < 0.45:
+        shown.insert(r.randint(1, len(shown)), r.choice((links, notice, form, advert, advert, advert))())
     if r.random() < 0.1:  # text that stands in the article itself
         shown = [e(" ".join(body))]
     article = "".join(shown)
     if r.random() < 0.85 or article[:1] != "<":
         for _ in range(r.choice((1, 1, 2, 3))):
             article = f"<{(t := r.choice(('article', 'article', 'main', 'div', 'div', 'div', 'div', 'section')))} {INNER}{name()}>{article}</{t}>"
-    before, after = "".join(around(False) for _ in range(r.randint(0, 4))), "".join(around(True) for _ in range(r.randint(0, 5)))
+    alone = r.random() < 0.2
+    some = lambda most: r.choice((0, 0, 0, 1)) if bare else 0 if alone else r.randint(0, most)
+    before, after = "".join(around(False) for _ in range(some(4))), "".join(around(True) for _ in range(some(5)))
     inner = f"{before}{article}{after}"
-    return f"<html><body>{part('div', inner) if r.random() < 0.4 else inner}</body></html>"
+    inner = part("div", inner) if r.random() < 0.4 else inner
+    return r.choice((f"<html><body>{inner}</body></html>",) * 4 + (f"<body>{inner}</body>", inner))
 
 
 def labelled(source: str) -> tuple[list[int], list[list[str]], list[int]] | None:
