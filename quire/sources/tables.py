@@ -26,10 +26,11 @@ def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc, page_no, doc_id, kind, truth and three candidate transcriptions, some of them missing.
 
-    Pages are numbered without their texts, which are joined on by doc_id.
+    Pages are numbered without their texts, which are joined on by doc_id and dealt by page: whatever then groups or orders
+    the lines or tokens of a page finds them in one partition, so these never cross the network.
     """
     c = F.col
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("truth")).join(numbers(spark, sf_dir), "doc_id")
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("truth")).join(numbers(spark, sf_dir), "doc_id").repartition("doc", "page_no")
     half = F.substring("truth", F.lit(1), F.expr("cast(length(truth) div 2 as int)"))
     return rows.select(
         "doc", "page_no", "doc_id",
