@@ -22,12 +22,12 @@ def heading_counts(pages: DataFrame) -> DataFrame:
     return _lines(pages).groupBy("doc", "segment").agg(F.sum(F.size("lines")).alias("pos"), F.sum(heads).alias("section"))
 
 
-def headed_lines(pages: DataFrame) -> DataFrame:
+def headed_lines(pages: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Lines of pages (doc, page_no, markdown) with their place in the document and, for headings, marks and title.
 
-    Lines are numbered within ranges of pages, which go on from the counts of the ranges before.
+    Lines are numbered within ranges of pages, which go on from the counts of the ranges before (heading_counts, if they are at hand).
     """
-    starts = segments.carried(heading_counts(pages), ["doc"], "segment", pos="sum", section="sum")
+    starts = segments.carried(heading_counts(pages) if counts is None else counts, ["doc"], "segment", pos="sum", section="sum")
     rows = _lines(pages).select("doc", "page_no", "segment", F.posexplode("lines").alias("line_no", "line"))
     order = Window.partitionBy("doc", "segment").orderBy("page_no", "line_no")
     heading = F.col("line").rlike(T.HEADING)
@@ -40,9 +40,9 @@ def headed_lines(pages: DataFrame) -> DataFrame:
     )
 
 
-def headings(pages: DataFrame) -> DataFrame:
+def headings(pages: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """doc, pos, section, page_start, title, marks of the headings, written, for the scans that follow read them more than once."""
-    rows = headed_lines(pages).filter("title is not null")
+    rows = headed_lines(pages, counts).filter("title is not null")
     return segments.settle(rows.select("doc", "pos", "section", F.col("page_no").alias("page_start"), "title", "marks"), "headings")
 
 
@@ -99,7 +99,8 @@ def sections(pages: DataFrame, outline: DataFrame | None = None) -> DataFrame:
     A document may hold any share of all pages: what is ordered over a whole document is scanned by segments.
     """
     deepest = max(DEEPEST, outline.agg(F.max("level")).first()[0] or 0) if outline is not None else DEEPEST
-    heads, same = headings(pages), F.lower("title")
+    counts = segments.settle(heading_counts(pages), "counts")
+    heads, same = headings(pages, counts), F.lower("title")
     first = heads.filter(F.col("title").rlike(T.NUMBERED)).groupBy("doc", same.alias("same")).agg(F.min("section").alias("owner"))
     rows = paths(levels(heads, outline), deepest).withColumn("same", same).join(first, ["doc", "same"], "left")
     rows = rows.withColumn("owner", F.coalesce("owner", "section")).withColumn("survives", F.col("owner") == F.col("section"))
@@ -108,12 +109,14 @@ def sections(pages: DataFrame, outline: DataFrame | None = None) -> DataFrame:
     rows = segments.settle(rows.withColumn("starts", F.col("survives") & ~F.coalesce(again, F.lit(False))).drop("previous", "same"), "sections")
     starts = F.col("starts")
     folded = segments.running(rows.select("doc", "pos", "section", "survives", "starts"), ["doc"], ["pos"], _segment(), head=("last", F.when(starts, F.col("section")), True), idx=("sum", starts.cast("int"), True))
-    merged = rows.join(folded.filter("survives").select("doc", F.col("section").alias("owner"), "head", "idx"), ["doc", "owner"]).join(bodies(headed_lines(pages)), ["doc", "section"])
+    merged = rows.join(folded.filter("survives").select("doc", F.col("section").alias("owner"), "head", "idx"), ["doc", "owner"]).join(bodies(headed_lines(pages, counts)), ["doc", "section"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("body") != "", F.struct("section", "body")))), lambda x: x["body"]), "\n")
     lead = lambda c: F.min_by(c, "section").alias(c)
     tree = merged.groupBy("doc", "head", "idx").agg(lead("title"), lead("level"), lead("path"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), text.alias("markdown"))
     tree = tree.select("doc", (F.col("idx") - 1).cast("int").alias("idx"), "title", "level", "path", "page_start", "page_end", "markdown")
-    bare = heading_counts(pages).groupBy("doc").agg(F.sum("section").alias("n")).filter("n = 0").select("doc")
+    bare = counts.groupBy("doc").agg(F.sum("section").alias("n")).filter("n = 0").select("doc")
+    if bare.isEmpty():
+        return tree
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.array_join("lines", "\n").alias("x")))), lambda x: x["x"]), "\n")
     bare = _lines(pages).join(bare, "doc", "left_semi").groupBy("doc").agg(F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"), T.strip(whole).alias("markdown")).filter("markdown <> ''")
     preamble = bare.select("doc", F.lit(0).alias("idx"), F.lit("Preamble").alias("title"), F.lit(1).alias("level"), F.array(F.lit("Preamble")).alias("path"), "page_start", "page_end", "markdown")

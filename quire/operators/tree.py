@@ -50,10 +50,10 @@ def nested_set(nodes: DataFrame) -> DataFrame:
         return step.join(up, ["doc", "parent"]).select("doc", "id", F.concat("ks", F.array("key")).alias("keys"), F.concat("ps", F.array("title")).alias("path"), F.concat("ls", F.array("id")).alias("line"))
 
     found = descend(top, below)
-    ranked = segments.ranked(found, "doc", ["keys"], "m")
+    ranks = segments.ranked(found.select("doc", "id", "keys"), "doc", ["keys"], "m").select("doc", "id", "m")
     below = found.select("doc", F.explode("line").alias("id")).groupBy("doc", "id").agg((F.count("*") - 1).alias("d"))
     depth = F.size("path")
-    out = ranked.join(below, ["doc", "id"]).select(
+    out = found.join(ranks, ["doc", "id"]).join(below, ["doc", "id"]).select(
         "doc", "id", depth.alias("level"), "path", "line", (F.col("d") > 0).alias("is_group"), (2 * F.col("m") - depth).alias("lft"), (2 * F.col("m") - depth + 2 * F.col("d") + 1).alias("rgt")
     )
     drop = [c for c in ("level", "path", "line", "is_group", "lft", "rgt") if c in nodes.columns]

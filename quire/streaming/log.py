@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
-from quire.operators import sessions
+from quire.operators import segments, sessions
 
 
 def log_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -24,7 +24,8 @@ def append_sequenced(log: DataFrame, target: str, checkpoint: str, key: str, ord
     """Appends each batch with idx_seq going on from the rows already kept for its key.
 
     The last number of each key is kept beside the batches, so a batch reads one row a key and no older rows. A batch
-    and its numbers are written under the batch's own number, so one that runs again replaces itself.
+    and its numbers are written under the batch's own number, so one that runs again replaces itself; numbers that no
+    batch can need again are deleted.
     """
     last = lambda number: f"{target}/_last/{number}"
 
@@ -37,5 +38,7 @@ def append_sequenced(log: DataFrame, target: str, checkpoint: str, key: str, ord
         numbered.write.mode("overwrite").parquet(f"{target}/batch={number}")
         now = spark.read.schema(numbered.schema).parquet(f"{target}/batch={number}").select(key, F.col("idx_seq").cast("long").alias("last"))
         (now.unionByName(kept) if kept is not None else now).groupBy(key).agg(F.max("last").alias("last")).write.mode("overwrite").parquet(last(number))
+        if number > 1:
+            segments.delete(spark, last(number - 2))
 
     return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
