@@ -3,8 +3,8 @@
 1. Equal vectors form a class, which is one node. Nodes are dealt to shards of bounded size by hash.
 2. Each shard builds its graph: nodes have levels, one in FAN of a level's nodes is in the next one too; a node links to
    near nodes of its level that are not nearer to one another, so links lead out of dense groups as well.
-3. Every node queries every shard: greedily from the top level down, then with a beam on the lowest. A query whose beam
-   is full of links widens it, up to a scan of the shard, so a group of any size is found whole.
+3. Every node queries every shard: greedily from the top level down, then with a beam on the lowest. A query of whose beam
+   half are links widens it, up to a scan of the shard, so a group of any size is found whole.
 4. Found pairs are verified by their cosine in double precision.
 5. Recall is audited: a sample of nodes is compared with all others; unless enough of their links are found, all beams
    are widened and the graphs queried again, at last by scans, which find everything.
@@ -113,6 +113,21 @@ class Graph:
             links[done:end, : chosen.shape[1]] = chosen
             self._back(level, np.repeat(np.arange(done, end), chosen.shape[1]), chosen.ravel())
             done = end
+        self._reached(links)
+
+    @staticmethod
+    def _reached(links: np.ndarray) -> None:
+        """Gives every node that no link leads to one from its nearest neighbour, in place of the last one there whose end has others."""
+        reached = np.bincount(links[links >= 0], minlength=len(links))
+        for node in np.flatnonzero(reached == 0).tolist():
+            for near in links[node][links[node] >= 0].tolist():
+                free = [k for k in range(LINKS - 1, -1, -1) if links[near, k] < 0 or reached[links[near, k]] > 1]
+                if free:
+                    if links[near, free[0]] >= 0:
+                        reached[links[near, free[0]]] -= 1
+                    links[near, free[0]] = node
+                    reached[node] = 1
+                    break
 
     def _apart(self, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
         """Of each row's candidates (nearest first) up to LINKS that are nearer to the node than to any chosen before, then the nearest others."""
@@ -281,7 +296,7 @@ class Shard:
                     yield nodes[at], places[self.nodes[places] != nodes[at]], len(places) > beam
                 return
             ids, near = self.graph.search(x[open_], width)
-            full = near[:, -1] >= least - SLACK
+            full = 2 * (near >= least - SLACK).sum(1) >= width  # half links: there may be more
             r, c = np.nonzero((near >= least - SLACK) & ~full[:, None])
             good = linked(self.exact[ids[r, c]], exact[open_[r]], near[r, c], least)
             r, places = r[good], ids[r[good], c[good]]

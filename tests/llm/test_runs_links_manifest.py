@@ -152,6 +152,8 @@ def test_beams_find_what_scans_find():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     graph = small_world.Graph(x)
     assert len(graph.counts) > 1
+    for links, n in zip(graph.links, graph.counts):
+        assert set(links[links >= 0].tolist()) == set(range(n))  # some link leads to every node
     shard = small_world.Shard(24, [(i, 1, v.tobytes(), [own[i].tobytes() for own, n in zip(graph.links, graph.counts) if i < n]) for i, v in enumerate(x)])
     found = {int(a): {int(b) for b in shard.nodes[p]} for a, p, _ in shard.answers(np.arange(len(x)), [v.tobytes() for v in x], 24, 32, 0.95)}
     near = x @ x.T >= 0.95
