@@ -164,6 +164,15 @@ def prefixes(sets: DataFrame, percent: int, late: np.ndarray) -> DataFrame:
     return sets.select("node", "size", "grams").mapInPandas(run, "node bigint, size bigint, first array<bigint>").select("node", "size", F.explode("first").alias("gram"))
 
 
+def size_step() -> Column:
+    return F.floor(F.log(F.col("size").cast("double")) / math.log(SIZE_STEP)).cast("int")
+
+
+def steps_apart(percent: int) -> int:
+    """Steps between the sizes of two sets that link, at most."""
+    return math.ceil(math.log(100 / percent) / math.log(SIZE_STEP)) + 1
+
+
 def meetings(sets: DataFrame, percent: int) -> DataFrame:
     """node, size, cell, n and weight: the sets that meet under each n-gram, n-grams with the very same sets once.
 
@@ -172,10 +181,8 @@ def meetings(sets: DataFrame, percent: int) -> DataFrame:
     """
     starts = settle(prefixes(sets, percent, frequent(sets)), "starts")
     met = settle(starts.groupBy("gram").count().filter("count > 1").select("gram"), "met", narrow=True)  # one number a row
-    step = F.floor(F.log(F.col("size").cast("double")) / math.log(SIZE_STEP)).cast("int")
-    members = settle(sized_join(starts, met, "gram", "left_semi", most=4 * BROADCAST_ROWS).withColumn("step", step), "members", narrow=True)
-    order = Window.partitionBy("gram").orderBy("step")
-    apart = math.ceil(math.log(100 / percent) / math.log(SIZE_STEP)) + 1
+    members = settle(sized_join(starts, met, "gram", "left_semi", most=4 * BROADCAST_ROWS).withColumn("step", size_step()), "members", narrow=True)
+    order, apart = Window.partitionBy("gram").orderBy("step"), steps_apart(percent)
     steps = members.groupBy("gram", "step").agg(F.count("*").alias("n"))
     gaps = F.coalesce((F.col("step") - F.lag("step").over(order) > apart).cast("int"), F.lit(0))
     parts = steps.withColumn("gap", gaps).withColumn("part", F.sum("gap").over(order))
@@ -298,6 +305,11 @@ def blocks_of(weight: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(weight / BLOCK)).cast("int")
 
 
+def block_at(weight: Column) -> Column:
+    """Block in which a place in the sum of weights lies."""
+    return F.floor(weight / BLOCK).cast("int")
+
+
 def dealt_to(n: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
 
@@ -312,16 +324,30 @@ def across(rows: DataFrame, sets: DataFrame, percent: int, kind: type, share: in
     """Links a, b between rows (cell, node, size, label) of the same cell that have different labels.
 
     sets hold node, size and grams, which are a share-th of the whole sets. All rows but those of the cell's
-    heaviest label walk, dealt to slices; all rows are met, dealt to blocks; each slice meets each block.
+    heaviest label walk, dealt to slices; all rows are met, dealt to blocks. Both are dealt in the order of sizes, by
+    the weight of each size's step, so a slice meets only the blocks whose sizes are near enough for a link.
     """
     weight = F.col("size") / share + SET_WEIGHT
     per_label = rows.groupBy("cell", "label").agg(F.sum(weight).alias("w"))
-    per_cell = per_label.groupBy("cell").agg(F.sum("w").alias("weight"), F.max(F.struct("w", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
-    per_cell = settle(per_cell.select("cell", blocks_of(F.col("weight")).alias("blocks"), blocks_of(F.col("weight") - F.col("top.w")).alias("slices"), F.col("top.label").alias("top")), "cells", narrow=True)
-    rows = sized_join(rows.select("cell", "node", "label"), per_cell, "cell", "inner")
-    met = rows.select("cell", "node", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), dealt_to(F.col("blocks"), 3).alias("block"))
-    walking = rows.filter("label <> top")
-    walking = walking.select("cell", "node", "label", F.lit(0).alias("side"), dealt_to(F.col("slices"), 5).alias("slice"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    per_cell = per_label.groupBy("cell").agg(F.max(F.struct("w", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
+    per_cell = settle(per_cell.select("cell", F.col("top.label").alias("top")), "cells", narrow=True)
+    rows = sized_join(rows.select("cell", "node", "size", "label"), per_cell, "cell", "inner")
+    rows = settle(rows.select("cell", "node", "size", "label", size_step().alias("step"), (F.col("label") != F.col("top")).alias("walks")), "apart", narrow=True)
+    # where each step's weight begins and ends in its cell, and what the steps within reach of it span
+    steps = rows.groupBy("cell", "step").agg(F.sum(weight).alias("all"), F.sum(F.when(F.col("walks"), weight).otherwise(0.0)).alias("some"))
+    order, reach = Window.partitionBy("cell").orderBy("step"), steps_apart(percent)
+    up_to, near = order.rowsBetween(Window.unboundedPreceding, 0), order.rangeBetween(-reach, reach)
+    steps = steps.withColumns({"all_to": F.sum("all").over(up_to), "some_to": F.sum("some").over(up_to)})
+    walked = F.col("some") > 0
+    steps = steps.select(
+        "cell", "step", "all", "some", (F.col("all_to") - F.col("all")).alias("all_from"), (F.col("some_to") - F.col("some")).alias("some_from"),
+        block_at(F.min(F.col("all_to") - F.col("all")).over(near)).alias("first_block"), block_at(F.max("all_to").over(near)).alias("last_block"),
+        block_at(F.min(F.when(walked, F.col("some_to") - F.col("some"))).over(near)).alias("first_slice"), block_at(F.max(F.when(walked, F.col("some_to"))).over(near)).alias("last_slice"),
+    )
+    rows = sized_join(rows, settle(steps, "steps", narrow=True), ["cell", "step"], "inner")
+    share_of = lambda seed: dealt_to(F.lit(1 << 20), seed) / float(1 << 20)
+    met = rows.filter("first_slice is not null").select("cell", "node", "label", F.lit(1).alias("side"), F.explode(F.sequence("first_slice", "last_slice")).alias("slice"), block_at(F.col("all_from") + share_of(3) * F.col("all")).alias("block"))
+    walking = rows.filter("walks").select("cell", "node", "label", F.lit(0).alias("side"), block_at(F.col("some_from") + share_of(5) * F.col("some")).alias("slice"), F.explode(F.sequence("first_block", "last_block")).alias("block"))
     dealt = settle(met.unionByName(walking), "dealt", narrow=True)
     return compared(sized_join(sets, dealt, "node", "inner"), ["cell", "slice", "block"], percent, kind, all_ends)
 
