@@ -26,10 +26,10 @@ from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
 #: Words and fragments that a worker remembers, so that memory stays bounded on any corpus.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
-#: Rows per batch of encoded output.
-ROWS = 1024
+#: Rows encoded at a time: ids, digests and what they are made from are held together, by two workers or more beside a JVM.
+ROWS = 256
 
 
 def byte_letters() -> dict[int, str]:
