@@ -34,6 +34,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(F.lower(text), r"[#*_`>\-|]", " "), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def word_text(text: Column) -> Column:
+    """The tokens of a text, with blanks between: marks are no part of a token, so what stands between tokens is one blank."""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")
+
+
 def tokens_without_tags(text: Column) -> Column:
     """As tokens, with <tags> blanked first."""
     return tokens(F.regexp_replace(F.lower(text), "<[^>]+>", " "))

@@ -20,6 +20,15 @@ from pyspark.sql import functions as F
 PAGES, ROWS = 256, 4096
 
 
+#: Rows of one Arrow batch at most where texts are carried.
+BATCH_ROWS = 1024
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. A local session may do without; a cluster may not."""
     root = spark.conf.get("spark.checkpoint.dir", None)

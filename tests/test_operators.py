@@ -99,6 +99,16 @@ def test_page_scores(spark):
     assert found[4]["text_recall"] == 1 and found[4]["extra_ratio"] == 0
 
 
+def test_token_comparisons_group_nothing(spark):
+    """Repeats count, an empty side has its fixed value, and no token is a row: no explosion, grouping or exchange, so memory does not grow with pages."""
+    rows = spark.createDataFrame([("d", 1, "The *red* RED fox_trot", "red red red trot", "the red red fox trot"), ("d", 2, None, "stray", None), ("d", 3, "kept", "", "lost")], "doc string, page_no int, truth string, a string, b string")
+    found = score.overlaps(rows, ["doc", "page_no"], "truth", ("a", "b"))
+    assert [tuple(r)[1:] for r in found.orderBy("page_no").collect()] == [(1, 3 / 5, 1 / 4, 1.0, 0.0), (2, 1.0, 1.0, 1.0, 0.0), (3, 0.0, 0.0, 0.0, 1.0)]
+    assert [tuple(r)[1:] for r in score.overlap(rows, ["doc", "page_no"], "truth", "a").orderBy("page_no").collect()] == [(1, 3 / 5, 1 / 4), (2, 1.0, 1.0), (3, 0.0, 0.0)]
+    for one in (found, score.overlap(rows, ["doc", "page_no"], "truth", "a")):
+        assert not any(x in one._jdf.queryExecution().executedPlan().toString() for x in ("Generate", "Aggregate", "Exchange"))
+
+
 def test_smallest_cover(spark):
     spans = spark.createDataFrame([("d", "wide", 1, 10, 1), ("d", "tight", 5, 6, 2), ("d", "tie", 6, 7, 4), ("d", "open", None, None, 6)], "doc string, id string, page_start int, page_end int, lft int")
     points = spark.createDataFrame([("d", n) for n in (5, 6, 3, 11)], "doc string, page int")
