@@ -96,11 +96,9 @@ def sampled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bakeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the mean composite of each candidate over flagged pages, and pages where the baseline wins."""
     rows = _candidates(spark, sf_dir).filter(score.verdict(F.col("baseline_composite")) != "pass")
-    long = rows.select("doc", "page_no", F.expr("stack(3, 'baseline', baseline_composite, 'cleanup', cleanup_composite, 'vlm', vlm_composite) as (model, composite)"))
-    means = long.groupBy("doc").pivot("model", ["baseline", "cleanup", "vlm"]).agg(T.exact_mean(F.col("composite")))
     best = F.greatest(F.coalesce("cleanup_composite", F.lit(-1.0)), F.coalesce("vlm_composite", F.lit(-1.0)))
-    wins = rows.groupBy("doc").agg(F.sum((F.col("baseline_composite") >= best).cast("bigint")).alias("baseline_wins"))
-    return means.join(wins, "doc")
+    wins = F.sum((F.col("baseline_composite") >= best).cast("bigint")).alias("baseline_wins")
+    return rows.groupBy("doc").agg(*[T.exact_mean(F.col(f"{name}_composite")).alias(name) for name in ("baseline", "cleanup", "vlm")], wins)
 
 
 def cost_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
