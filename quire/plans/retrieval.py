@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import adopt, explore, runs, score, sessions
+from quire.operators import adopt, explore, runs, score, segments, sessions
 from quire.plans.views import PAGES, exact_mean
 from quire.sources import tables as S
 
@@ -79,7 +79,7 @@ def escalation_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _candidates(spark, sf_dir)
+    rows = segments.settle(_candidates(spark, sf_dir), "candidates")
     side = lambda p: rows.select(*KEYS, F.lit(p).alias("markdown"), F.col(f"{p}_recall").alias("recall"), F.col(f"{p}_extra").alias("extra"), F.lit(None).cast("double").alias("tbl"))
     return adopt.hybrid(side("baseline"), side("cleanup").filter("page_no % 2 = 0")).select(*KEYS, "recall", "extra", "provenance")
 
