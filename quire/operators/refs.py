@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import segments
 
 
 #: Bits of the widths of bins: a span lies in bins of the least width, of these, that is no less than its own, so in two at most.
@@ -83,15 +84,21 @@ def internal(cue: Column, kind: Column, n: Column, page_count: Column) -> Column
 
 
 def mentions(sections: DataFrame, text: str = "markdown") -> DataFrame:
-    """doc, id, anchor, cue, kind, n for every page mention in the sections' text."""
-    part = lambda g: F.regexp_extract_all(F.col(text), F.lit(T.PAGE_REFERENCE), F.lit(g))
-    rows = sections.select("doc", "id", F.explode(F.arrays_zip(part(0).alias("anchor"), part(1).alias("cue"), part(2).alias("kind"), part(3).alias("n"))).alias("m"))
-    return rows.select("doc", "id", "m.anchor", "m.cue", "m.kind", F.col("m.n").cast("int").alias("n"))
+    """doc, id, anchor, cue, kind, n for every page mention in the sections' text, which is searched once: the parts are those of the anchor."""
+    found = sections.select("doc", "id", F.explode(F.regexp_extract_all(F.col(text), F.lit(T.PAGE_REFERENCE), F.lit(0))).alias("anchor"))
+    part = lambda g: F.regexp_extract("anchor", T.PAGE_REFERENCE, g)
+    return found.select("doc", "id", "anchor", part(1).alias("cue"), part(2).alias("kind"), part(3).cast("int").alias("n"))
+
+
+def internal_mentions(sections: DataFrame, page_counts: DataFrame) -> DataFrame:
+    """doc, id, anchor, n of the internal mentions, written, for texts are read and searched once, whatever then reads the mentions more often."""
+    found = mentions(sections).join(page_counts, "doc").filter(internal(F.col("cue"), F.col("kind"), F.col("n"), F.col("page_count")))
+    return segments.settle(found.select("doc", "id", "anchor", "n"), "mentions")
 
 
 def edges(sections: DataFrame, spans: DataFrame, page_counts: DataFrame) -> DataFrame:
     """doc, from_id, to_id, target_page, anchor, occurrences: internal mentions resolved to the smallest cover, not to itself."""
-    found = mentions(sections).join(page_counts, "doc").filter(internal(F.col("cue"), F.col("kind"), F.col("n"), F.col("page_count")))
+    found = internal_mentions(sections, page_counts)
     target = smallest_cover(spans, found.select("doc", F.col("n").alias("page"))).filter("id is not null").select("doc", F.col("page").alias("n"), F.col("id").alias("to_id"))
     rows = found.join(target, ["doc", "n"]).filter("id <> to_id")
     return rows.groupBy("doc", F.col("id").alias("from_id"), "to_id", F.col("n").alias("target_page"), T.strip(F.col("anchor")).alias("anchor")).agg(F.count("*").alias("occurrences"))

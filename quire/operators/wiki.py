@@ -81,7 +81,8 @@ def linked(sections: DataFrame, spans: DataFrame, named_routes: DataFrame, page_
 
     Targets come from a join; the text itself is rewritten batch by batch from a map of page to route.
     """
-    found = refs.mentions(sections).join(page_counts, "doc").filter(refs.internal(F.col("cue"), F.col("kind"), F.col("n"), F.col("page_count")))
+    segments.bounded_batches(sections.sparkSession)
+    found = refs.internal_mentions(sections, page_counts)
     cover = refs.smallest_cover(spans, found.select("doc", F.col("n").alias("page"))).filter("id is not null").join(named_routes, ["doc", "id"])
     to = found.select("doc", "id", "n").distinct().join(cover.select("doc", F.col("page").alias("n"), F.col("id").alias("to"), "route"), ["doc", "n"]).filter("id <> to")
     maps = to.groupBy("doc", "id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("n").cast("string"), "route"))).alias("targets"))

@@ -1,5 +1,7 @@
 """Operators on small inputs with known answers."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -125,6 +127,20 @@ def test_references(spark):
     assert text["alpha"] == "[See page 5](/detail). [See page 5](/detail)." and text["detail"] == "see page 5"
 
 
+def test_mentions_are_searched_once(spark):
+    """Parts of mentions are those of one search, and edges and their readers search no text again."""
+    texts = ["See page 3, refer\tto\nPAGE NO.12 p.7", "pg.12345 see see p. 5x page no 0009 refer pg 7. PAGE no. 1", "", None]
+    found = refs.mentions(rows := pages(spark, *texts).withColumn("id", F.col("page_no").cast("string")))
+    want = [(str(i), m[0], m[1] or "", m[2], int(m[3])) for i, t in enumerate(texts, 1) for m in re.finditer(T.PAGE_REFERENCE, t or "")]
+    assert sorted(tuple(r)[1:] for r in found.collect()) == sorted(want) and len(want) == 6
+    spans = spark.createDataFrame([("d", "1", 1, 2, 1), ("d", "2", 3, 12, 3)], "doc string, id string, page_start int, page_end int, lft int")
+    counts = spark.createDataFrame([("d", 12)], "doc string, page_count int")
+    edges = refs.edges(rows, spans, counts)
+    assert sorted(tuple(r)[1:] for r in edges.collect()) == [("1", "2", 3, "See page 3", 1), ("1", "2", 12, "refer\tto\nPAGE NO.12", 1), ("2", "1", 1, "PAGE no. 1", 1)]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(found).count("regexp_extract_all") <= 1 and "regexp_extract_all" not in plan(edges)
+
+
 def small_tree(spark):
     rows = [("d", "a", None, "Alpha", 0, True), ("d", "b", "a", "Child", 0, True), ("d", "c", None, "Beta", 1, True), ("d", "e", "c", "Deep", None, False)]
     return spark.createDataFrame(rows, "doc string, id string, parent string, title string, sort_order int, include boolean").withColumns({"page_start": F.lit(1), "page_end": F.lit(2), "markdown": F.concat("title", F.lit("\n## Part Two\nrest"))})
