@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
-from quire.operators import refs
+from quire.operators import refs, segments
 from quire.sources import stored
 
 EDGES = "doc string, from_id string, to_id string, target_page int, anchor string, occurrences bigint"
@@ -34,6 +34,7 @@ def kept_up(changed: DataFrame, target: str, checkpoint: str, spans: DataFrame,
     writes the same.
     """
 
+    @segments.tidied
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         now = batch.groupBy("doc", "id").agg(F.max_by("markdown", "at").alias("markdown"))
