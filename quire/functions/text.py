@@ -14,7 +14,8 @@ FENCE = r"^\s*(```|~~~)"
 SEPARATOR = r"^\s*\|?[\s:|-]*-[\s:|-]*\|?\s*$"
 SEPARATOR_ROW = r"^\s*\|[\s:|-]+\|\s*$"
 TABLE_ROW = r"^\s*\|.*\|\s*$"
-PAGE_REFERENCE = r"(?i)((?:see|refer(?:\s+to)?)\s+)?(page\s*no\.?|page|pg\.?|p\.)\s*(\d{1,4})\b"
+#: A mention starts with see, refer or a form of page: the look at two characters spares the pattern nearly all places.
+PAGE_REFERENCE = r"(?i)(?=[srp][eag.])((?:see|refer(?:\s+to)?)\s+)?(page\s*no\.?|page|pg\.?|p\.)\s*(\d{1,4})\b"
 VARYING = (r"(?i)\bpg\.?\s*\d+\s*of\s*\d+", r"(?i)\bpage\s*\d+\s*of\s*\d+", r"(?i)^man/[a-z0-9/]+", r"(?i)\bver\.?\s*:", r"(?i)\bissue\s*:\s*\d", r"(?i)^\s*date\s*:")
 SIGN_OFF = ("prepared by", "issued by", "approved by", "reviewed by", "authorized by")
 

@@ -23,14 +23,19 @@ def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.numbered(rows, "doc", "doc_id", "page_no")
 
 
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, truth, doc, page_no: pages are numbered without their texts, which are joined on by doc_id."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("truth")).join(numbers(spark, sf_dir), "doc_id")
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc, page_no, doc_id, kind, truth and three candidate transcriptions, some of them missing.
 
-    Pages are numbered without their texts, which are joined on by doc_id and dealt by page: whatever then groups or orders
-    the lines or tokens of a page finds them in one partition, so these never cross the network.
+    Texts are dealt by page: whatever then groups or orders the lines or tokens of a page finds them in one partition, so
+    these never cross the network.
     """
     c = F.col
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("truth")).join(numbers(spark, sf_dir), "doc_id").repartition("doc", "page_no")
+    rows = page_texts(spark, sf_dir).repartition("doc", "page_no")
     half = F.substring("truth", F.lit(1), F.expr("cast(length(truth) div 2 as int)"))
     return rows.select(
         "doc", "page_no", "doc_id",
@@ -98,12 +103,12 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """spans with markdown: the texts of all pages of each, in order, and mentions of pages. Each text goes to the spans of its page, once."""
+    """spans with markdown: the texts of all pages of each, in order, and mentions of pages. Each text goes from its number to the spans of its page, once."""
     own, page = spans(spark, sf_dir), F.col("page_no")
     j, s = F.floor((page - 1) / 4), 2 * F.floor((page - 1) / 2) + 1
     name = lambda kind, n: F.concat(F.lit(kind), n.cast("string"))
     held = F.array(name("c", j), name("h", s))
-    rows = pages(spark, sf_dir).select("doc", page, "truth", F.explode(F.when((page % 4 == 1) & (page > 1), F.array_append(held, name("h", page - 2))).otherwise(held)).alias("id"))
+    rows = page_texts(spark, sf_dir).select("doc", page, "truth", F.explode(F.when((page % 4 == 1) & (page > 1), F.array_append(held, name("h", page - 2))).otherwise(held)).alias("id"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "truth"))), lambda x: x["truth"]), "\n")
     texts = rows.groupBy("doc", "id").agg(body.alias("truth"))
     text = F.concat("truth", F.lit(" See page "), (1 + F.col("doc_id") * 7 % 60).cast("string"), F.lit(", and p. 4; refer to Page No. 12."))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import adopt, clean, editing, explore, lint, refs, runs, score, sectionize, tree, wiki
 from quire.plans import retrieval
-from quire.sources import canonical
+from quire.sources import canonical, tables
 
 
 def pages(spark, *texts):
@@ -150,6 +150,23 @@ def spans(df):
     return {r["id"]: (r["lft"], r["rgt"], r["level"], r["path"]) for r in df.collect()}
 
 
+def test_mentions_are_looked_for_where_one_can_start(spark):
+    """The pattern gives up after two characters nearly everywhere, and finds what it finds without that look."""
+    look = "(?=[srp][eag.])"
+    assert T.PAGE_REFERENCE.startswith("(?i)" + look)
+    texts = ["See\npage 4", "REFER  TO pG.7, sp. 3", "seepage 9 see p.5", "refer page no. 12x page No.12", "see see p 1 P. 2345 p.23456", "pp.3 PAGE\t8", "reefer p. 1"]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    plain = F.regexp_extract_all("x", F.lit(T.PAGE_REFERENCE.replace(look, "")), F.lit(0))
+    for found, want in rows.select(F.regexp_extract_all("x", F.lit(T.PAGE_REFERENCE), F.lit(0)), plain).collect():
+        assert found == want
+
+
+def test_texts_go_to_their_spans_without_being_dealt_by_page(spark):
+    plan = tables.span_texts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan
+    assert "RepartitionByExpression" in tables.pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_tree_edits(spark):
     nodes = tree.nested_set(small_tree(spark))
     assert spans(nodes) == {"a": (1, 4, 1, ["Alpha"]), "b": (2, 3, 2, ["Alpha", "Child"]), "c": (5, 8, 1, ["Beta"]), "e": (6, 7, 2, ["Beta", "Deep"])}
