@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns whose matches define results.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+LINE_END = r"\R|[\x1c-\x1e]"  # \R: \r\n, or one of \n \r \x0b \x0c \x85 \u2028 \u2029
 HEADING = r"^(#{1,6})\s+(.*\S)\s*$"
 NUMBERED = r"^(\d+(?:\.\d+)*)\.?\s+\S"
 LIST_LIKE = r"^\d+\.\s+\d"
@@ -46,8 +46,10 @@ def tokens_without_tags(text: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    """Lines of a text, at any of the line ends; a final empty one does not count."""
-    return F.split(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END, -1)
+    """Lines of a text, at any of the line ends; a final empty one does not count. Only the last characters are looked at for that."""
+    last = F.right(text, F.lit(2))
+    end = F.length(last) - F.length(F.regexp_replace(last, f"(?:{LINE_END})\\z", ""))
+    return F.split(F.when(end > 0, F.left(text, F.length(text) - end)).otherwise(text), LINE_END, -1)
 
 
 def boilerplate_form(line: Column) -> Column:
@@ -124,10 +126,10 @@ def is_varying(line: Column) -> Column:
 
 
 def is_sign_off(line: Column) -> Column:
-    """A pipe-delimited row with two sign-off phrases or more."""
+    """A pipe-delimited row with two sign-off phrases or more. Most lines have no pipe and are done with."""
     s = strip(line)
     hits = sum((F.contains(F.lower(s), F.lit(p)).cast("int") for p in SIGN_OFF), F.lit(0))
-    return s.startswith("|") & s.endswith("|") & (hits >= 2)
+    return F.contains(line, F.lit("|")) & s.startswith("|") & s.endswith("|") & (hits >= 2)
 
 
 def document_id(content: Column) -> Column:

@@ -259,6 +259,26 @@ def test_tables_are_stitched_over_pages(spark):
     assert [r["markdown"] for r in apart] == ["|a|b|\n|1|2|", "|x|y|z|\nend"]
 
 
+def test_table_rows_at_the_ends_of_pages(spark):
+    """Rows at either end count whatever white space and line ends stand around them, and a text is cut into lines once."""
+    texts = ["\n\n |a|b|\r\n|c|\nx", "x\n|a|\u0085", "x\n|a|b| \u2028", "|a|\n\x1c", "x | y |", "| open\nx", "", None, "|a|b|c|\n|-|-|-|\n|1|2|3|\n", "x\r|1|\r\n|2|3| \t\n\n", "\ny\n|z|\n\u0085\n"]
+    rows = clean.edge_rows(pages(spark, *texts))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count(r"split(CASE") == 1
+    got = [(r["lead"], r["tail"], r["lead_columns"], r["tail_columns"], bool(r["whole"]), r["more"]) for r in rows.orderBy("page_no").collect()]
+    table = ["|1|2|3|"]
+    assert got == [(2, 0, 2, None, False, [" |a|b|", "|c|"]), (0, 1, None, 1, False, None), (0, 1, None, 2, False, None), (1, 0, 1, None, False, ["|a|"]), (0, 0, None, None, False, None), (0, 0, None, None, False, None),
+        (0, 0, None, None, False, None), (0, 0, None, None, False, None), (3, 3, 3, 3, True, table), (0, 2, None, 1, False, None), (0, 0, None, None, False, None)]
+
+
+def test_line_ends(spark):
+    texts = ["a\r\nb\n", "\n", "", "\r\n\r\n", "a\n\r", "a\x1cb\x1d\x1e", "\u2028x\u2029", "a\x0bb\x0cc\x85", "\r\r\n", "\n\n\n", "é\r\n", "a\x1f"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    old = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+    plain = F.split(F.regexp_replace("t", f"(?:{old})\\z", ""), old, -1)
+    for t, got, want in rows.select("t", T.lines(F.col("t")), plain).collect():
+        assert got == want, t
+
+
 def test_source_tables(spark):
     rows = spark.createDataFrame([(1, "|a|b|\n|c|d|\n|e|f|"), (2, "a  b  c\nd  e  f\ng  h  i"), (3, "Revision Description Page 1/2020 2/2021 3/2022"), (4, "plain text"), (5, "aa  bb  cc\naa  bb  cc\naa  bb  cc")], "k int, t string")
     assert [r[0] for r in rows.orderBy("k").select(score.source_has_any_table(F.col("t"))).collect()] == [True, False, True, False, True]
