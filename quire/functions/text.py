@@ -16,7 +16,7 @@ SEPARATOR_ROW = r"^\s*\|[\s:|-]+\|\s*$"
 TABLE_ROW = r"^\s*\|.*\|\s*$"
 #: A mention starts with see, refer or a form of page: the look at two characters spares the pattern nearly all places.
 PAGE_REFERENCE = r"(?i)(?=[srp][eag.])((?:see|refer(?:\s+to)?)\s+)?(page\s*no\.?|page|pg\.?|p\.)\s*(\d{1,4})\b"
-VARYING = (r"(?i)\bpg\.?\s*\d+\s*of\s*\d+", r"(?i)\bpage\s*\d+\s*of\s*\d+", r"(?i)^man/[a-z0-9/]+", r"(?i)\bver\.?\s*:", r"(?i)\bissue\s*:\s*\d", r"(?i)^\s*date\s*:")
+VARYING = (r"(?i)(?=[pvi])\b(?:p(?:g\.?|age)\s*\d+\s*of\s*\d+|ver\.?\s*:|issue\s*:\s*\d)", r"(?i)^(?:man/[a-z0-9/]+|\s*date\s*:)")
 SIGN_OFF = ("prepared by", "issued by", "approved by", "reviewed by", "authorized by")
 
 
@@ -119,10 +119,8 @@ def is_pipe_line(line: Column) -> Column:
 
 
 def is_varying(line: Column) -> Column:
-    found = F.lit(False)
-    for pattern in VARYING:
-        found = found | line.rlike(pattern)
-    return found
+    """Page and version marks of VARYING. Those that may stand anywhere are tried where a word that begins with p, v or i starts."""
+    return line.rlike(VARYING[0]) | line.rlike(VARYING[1])
 
 
 def is_sign_off(line: Column) -> Column:

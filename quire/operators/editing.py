@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import clean, lint, refs
+from quire.operators import clean, lint, refs, segments
 
 
 def occurrences(text: Column, find: Column) -> Column:
@@ -43,6 +43,7 @@ def edited_pages(pages: DataFrame, edits: DataFrame, spans: DataFrame) -> DataFr
     return rows.join(owners, ["doc", "page_no"], "left").withColumn("owners", F.coalesce("owners", F.array().cast("array<string>")))
 
 
+@segments.tidied
 def rebuilt(sections: DataFrame, pages: DataFrame, fraction: float = 0.30) -> DataFrame:
     """doc, id, markdown and overlaps of sections (doc, id, page_start, page_end, lft, rgt) built anew from pages (doc, page_no, markdown).
 
@@ -51,14 +52,12 @@ def rebuilt(sections: DataFrame, pages: DataFrame, fraction: float = 0.30) -> Da
     Sections without a page range, or without any page in it, are left out.
     """
     ranged = sections.filter("page_start > 0 and page_end > 0").select("doc", "id", "page_start", "page_end")
-    key = F.concat_ws("\x1f", F.col("doc").cast("string"), F.col("id").cast("string"))
     covers = refs.covering(sections, pages.select("doc", F.col("page_no").alias("page"))).select("doc", "id", F.col("page").alias("page_no"))
-    held = covers.join(pages.select("doc", "page_no", "markdown"), ["doc", "page_no"])
-    kept = clean.cleaned(held.select(key.alias("doc"), "page_no", "markdown"), fraction).withColumn("markdown", T.strip(F.col("markdown")))
+    kept = clean.cleaned_spans(covers, pages, fraction)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("markdown") != "", F.struct("page_no", "markdown")))), lambda x: x["markdown"]), "\n\n")
-    built = lint.repaired(kept.groupBy("doc").agg(body.alias("markdown")), ["doc"]).withColumnRenamed("doc", "key")
+    built = lint.repaired(kept.groupBy("doc", "id").agg(body.alias("markdown")), ["doc", "id"])
     meets = refs.overlapping(sections).groupBy("doc", "id").agg(F.array_sort(F.collect_set("other")).alias("overlaps"))
-    return ranged.select("doc", "id", key.alias("key")).join(built, "key").drop("key").join(meets, ["doc", "id"], "left").withColumn("overlaps", F.coalesce("overlaps", F.array().cast("array<string>")))
+    return ranged.select("doc", "id").join(built, ["doc", "id"]).join(meets, ["doc", "id"], "left").withColumn("overlaps", F.coalesce("overlaps", F.array().cast("array<string>")))
 
 
 def approved(documents: DataFrame, edges: DataFrame, chosen: DataFrame, sections: DataFrame, spans: DataFrame, page_counts: DataFrame) -> tuple[DataFrame, DataFrame]:

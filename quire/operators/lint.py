@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import segments
 
 #: Issues reported per text.
 MOST = 8
@@ -14,13 +15,19 @@ LABELS = {"missing_separator": "table missing separator row", "ragged_row": "rag
 
 
 def marked_lines(texts: DataFrame, keys: list[str], markdown: str = "markdown") -> DataFrame:
-    """One row per line with fence (is one) and block (the number of its run of pipe lines outside fences, else null)."""
-    rows = texts.select(*keys, F.posexplode(F.split(F.coalesce(markdown, F.lit("")), "\n", -1)).alias("line_no", "line"))
+    """The lines that are a fence or a pipe line, with fence (is one) and block (the number of its run of pipe lines outside fences, else null).
+
+    Other lines only end a run, which the line numbers tell, so they are left out before anything is ordered.
+    """
+    all_lines = F.transform(F.split(F.coalesce(markdown, F.lit("")), "\n", -1), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
+    can = lambda x: F.contains(x, F.lit("|")) | F.contains(x, F.lit("```")) | F.contains(x, F.lit("~~~"))
+    rows = texts.select(*keys, F.explode(F.filter(all_lines, lambda e: can(e["line"]))).alias("at")).select(*keys, "at.line_no", "at.line")
     w = Window.partitionBy(*keys).orderBy("line_no")
     rows = rows.withColumn("fence", F.col("line").rlike(T.FENCE))
     rows = rows.withColumn("inside", F.sum(F.col("fence").cast("int")).over(w) % 2 == 1)
     row = T.is_pipe_line(F.col("line")) & ~F.col("inside") & ~F.col("fence")
-    rows = rows.withColumn("row", row).withColumn("starts", F.col("row") & ~F.coalesce(F.lag("row").over(w), F.lit(False)))
+    follows = F.lag("row").over(w) & (F.lag("line_no").over(w) == F.col("line_no") - 1)
+    rows = rows.withColumn("row", row).withColumn("starts", F.col("row") & ~F.coalesce(follows, F.lit(False)))
     return rows.withColumn("block", F.when(F.col("row"), F.sum(F.col("starts").cast("int")).over(w)))
 
 
@@ -56,10 +63,21 @@ def labels(found: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def repaired(texts: DataFrame, keys: list[str], markdown: str = "markdown") -> DataFrame:
-    """Texts with a separator row after the header of each block of two rows or more that lacks one."""
-    lines = marked_lines(texts, keys, markdown)
-    heads = table_rows(lines, keys).filter((F.col("at") == 0) & (F.col("rows") >= 2) & ~F.col("has_separator"))
-    extra = heads.select(*keys, F.col("line_no"), F.lit(1).alias("after"), F.concat(F.lit("|"), F.expr("repeat('---|', cells)")).alias("line"))
-    rows = lines.select(*keys, "line_no", F.lit(0).alias("after"), "line").unionByName(extra)
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "after", "line"))), lambda x: x["line"]), "\n")
-    return rows.groupBy(*keys).agg(body.alias(markdown))
+    """Texts with a separator row after the header of each block of two rows or more that lacks one.
+
+    The texts are written, for they are read twice: for their pipe lines, and to be put together anew where one lacks a row.
+    """
+    texts = segments.settle(texts.select(*keys, F.coalesce(markdown, F.lit("")).alias(markdown)), "texts")
+    heads = table_rows(marked_lines(texts, keys, markdown), keys).filter((F.col("at") == 0) & (F.col("rows") >= 2) & ~F.col("has_separator"))
+    extra = F.array_sort(F.collect_list(F.struct("line_no", F.concat(F.lit("|"), F.expr("repeat('---|', cells)")).alias("row"))))
+    held = heads.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(extra.alias("__extra"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    rows = texts.join(held, same, "left").withColumn("__lines", F.when(F.col("__extra").isNotNull(), F.split(markdown, "\n", -1)))
+    # the lines up to a header follow those up to the one before; the last lines follow all
+    start = lambda k: F.coalesce(F.get("__extra", k - 1)["line_no"] + 2, F.lit(1))
+    parts = F.transform("__extra", lambda e, k: F.array_join(F.array_append(F.slice("__lines", start(k), e["line_no"] + 2 - start(k)), e["row"]), "\n"))
+    rest = F.array_join(F.slice("__lines", start(F.size("__extra")), F.lit(2**30)), "\n")
+    whole = F.array_join(F.array_append(parts, rest), "\n")
+    return rows.select(*keys, F.when(F.col("__extra").isNull(), F.col(markdown)).otherwise(whole).alias(markdown))

@@ -1,5 +1,6 @@
 """Operators on small inputs with known answers."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -270,6 +271,41 @@ def test_table_rows_at_the_ends_of_pages(spark):
         (0, 0, None, None, False, None), (0, 0, None, None, False, None), (3, 3, 3, 3, True, table), (0, 2, None, 1, False, None), (0, 0, None, None, False, None)]
 
 
+def test_pages_are_cleaned_once_for_all_their_sections(spark):
+    """Each section's pages come out as when they are cleaned as a document of their own, and what lines give is not found for each section again."""
+    rng = random.Random(5)
+    parts = ["Common line", "# common   LINE", "page 3 of 9", "Page-3 of 9", "x" * 91, "y" * 45 + " " * 3 + "y" * 44, "|Reviewed by K|Issued by L|", "|---|---|", "| Prepared by | approved by |", "", "  ", "Date : 1", "Ver. : 2", "|a|b|", "Ünder *water*", "z" * 90]
+    texts = [None if k % 7 == 0 else "\n".join(rng.choice(parts if rng.random() < 0.8 else [f"own {k}"]) for _ in range(rng.randrange(12))) for k in range(60)]
+    rows = pages(spark, *texts)
+    ranges = [(f"s{a}-{n}", a, a + n - 1) for n in (1, 2, 3, 4, 9, 60) for a in range(1, 61, max(1, n // 2)) if a + n <= 61]
+    covers = spark.createDataFrame([("d", s, p) for s, a, b in ranges for p in range(a, b + 1)], "doc string, id string, page_no bigint")
+    found = clean.cleaned_spans(covers, rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "pvi" not in plan
+    want = clean.cleaned(covers.join(rows, ["doc", "page_no"]).select(F.col("id").alias("doc"), "page_no", "markdown"))
+    got = {(r["id"], r["page_no"]): r["markdown"] for r in found.collect()}
+    assert got == {(r["doc"], r["page_no"]): r["m"] for r in want.select("doc", "page_no", T.strip(F.col("markdown")).alias("m")).collect()}
+    assert len(got) == covers.count()
+
+
+def test_varying_lines(spark):
+    old = (r"(?i)\bpg\.?\s*\d+\s*of\s*\d+", r"(?i)\bpage\s*\d+\s*of\s*\d+", r"(?i)^man/[a-z0-9/]+", r"(?i)\bver\.?\s*:", r"(?i)\bissue\s*:\s*\d", r"(?i)^\s*date\s*:")
+    texts = ["Pg.3of 9", "xpage 1 of 2", "- PAGE 1OF2", "page 1 of", "MAN/a", " man/a", "ver:", "Ver. :", "over:", "Issue : 4", "tissue:4", "issue: x", " Date :", "x date:", "pg 7 of 8 pg", "", "pages 1 of 2", "éver:"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.array(*[F.col("t").rlike(p) for p in old])
+    for t, got, want in rows.select("t", T.is_varying(F.col("t")), plain).collect():
+        assert got == any(want), t
+
+
+def test_tables_are_repaired_within_their_text(spark):
+    """Every block that lacks a separator gets one, none within fences, and only lines that can be of a table are ordered."""
+    text = "|a|b|\n|1|2|\ntext\n```\n|f|\n|g|\n```\n |c|\n|d|\n\n|e|\n|-|\n|h|\n\n|i|\n~~~\n|j|\n|k|"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "plain\n\n"), (None, "|a|\n|b|"), (5, "x\n|a|\n|b|\n|c|d|\n")], "key int, markdown string")
+    got = {r["key"]: r["markdown"] for r in lint.repaired(rows, ["key"]).collect()}
+    assert got == {1: text.replace("|1|2|", "|---|---|\n|1|2|").replace("\n|d|", "\n|---|\n|d|"), 2: "", 3: "plain\n\n", None: "|a|\n|---|\n|b|", 5: "x\n|a|\n|---|\n|b|\n|c|d|\n"}
+    assert lint.marked_lines(rows, ["key"]).count() == 20
+
+
 def test_line_ends(spark):
     texts = ["a\r\nb\n", "\n", "", "\r\n\r\n", "a\n\r", "a\x1cb\x1d\x1e", "\u2028x\u2029", "a\x0bb\x0cc\x85", "\r\r\n", "\n\n\n", "é\r\n", "a\x1f"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
