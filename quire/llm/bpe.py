@@ -179,7 +179,7 @@ class Codec:
         distinct = memoryview(units.dictionary.buffers()[2]).tobytes()[: offsets_end(units.dictionary)].decode().split(" ")[:-1]
         new = [u for u in distinct if u not in self.unit]
         if len(self.unit) + len(new) > REMEMBERED:
-            self.unit, new = {"": b""}, [u for u in distinct if u]
+            self.unit = {"": b""} | {u: self.unit[u] for u in distinct if u in self.unit}  # those that recur stay, so they are not learnt again
         self.learn(new)
         ids = pa.array(map(self.unit.__getitem__, distinct), pa.large_binary()).take(units.indices)
         ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)

@@ -680,3 +680,17 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() and set(out.columns) >= {"doc_id", "n_tokens", "ids"}
     assert out.filter(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_units_that_recur_stay_remembered(monkeypatch):
+    """When too many units are remembered, those of the batch at hand stay, and none of them is encoded again."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        codec = bpe.Codec(f.read())
+    learnt, learn = [], codec.learn
+    monkeypatch.setattr(codec, "learn", lambda units: (learnt.append(sorted(units)), learn(units))[1])
+    texts = [["river lake"], ["stone river"], ["river cloud moss"], ["moss lake"]]
+    got = [codec.encode(batch) for batch in texts]
+    assert learnt == [["lake", "river"], ["stone"], ["cloud", "moss"], ["lake"]] and len(codec.unit) <= 5
+    fresh = bpe.Codec(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read())
+    assert got == [fresh.encode(batch) for batch in texts]
