@@ -123,30 +123,44 @@ def stitched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc", "page_no", F.length("markdown").cast("bigint").alias("n_chars"), F.md5("markdown").alias("digest"))
 
 
+#: Lines that one task makes into parse documents, about.
+_LINES = 100_000
+
+
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as nested parse documents: two lines a page as blocks, a section for each return flag, which refers to some block that there is not."""
+    """Orders as nested parse documents: two lines a page as blocks, a section for each return flag, which refers to some block that there is not.
+
+    Lines and orders are dealt by run, once, to as many tasks as their number asks for: lines become pages and these a
+    document where they are, and sections follow from the document's own lines.
+    """
     li, o = S.read(spark, sf_dir, "lineitem"), S.read(spark, sf_dir, "orders")
-    first = F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")).alias("first")
-    li = li.groupBy("l_orderkey", "l_linenumber").agg(first).select("l_orderkey", "l_linenumber", "first.*")
     text = lambda c: F.col(c).cast("string")
+    named_run = lambda key: F.concat(F.lit("r-"), text(key))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-li.count() // _LINES))
+    li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus").repartition(parts, named_run("l_orderkey"))
+    first = F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")).alias("first")
+    li = li.filter("l_orderkey is not null").groupBy(named_run("l_orderkey").alias("run"), "l_orderkey", "l_linenumber").agg(first).select("run", "l_orderkey", "l_linenumber", "first.*")
     page, n = F.expr("cast((l_linenumber - 1) div 2 + 1 as int)"), F.col("l_linenumber").cast("int")
     kind, named = F.when(F.col("l_linestatus") == "F", "table").otherwise("paragraph"), F.concat(F.lit("part "), text("l_partkey"))
     block = F.struct(
         F.concat_ws("-", F.lit("b"), text("l_orderkey"), text("l_linenumber")).alias("id"), F.concat_ws("-", F.lit("p"), text("l_orderkey"), page.cast("string")).alias("page_id"), kind.alias("type"), named.alias("text"),
         F.when(F.col("l_quantity") > 25, F.concat(F.lit("**"), named, F.lit("** "))).otherwise(" ").alias("markdown"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("array<double>").alias("bbox"), F.lit(None).cast("double").alias("confidence"), (-n).alias("reading_order"),
     )
-    rows = li.select("l_orderkey", page.alias("page"), F.col("l_returnflag").alias("flag"), n.alias("n"), block.alias("block"))
+    rows = li.select("run", "l_orderkey", page.alias("page"), F.col("l_returnflag").alias("flag"), n.alias("n"), block.alias("block"))
     none = lambda t: F.lit(None).cast(t)
-    pages = rows.groupBy("l_orderkey", "page").agg(F.sort_array(F.collect_list("block")).alias("blocks"))
+    ref = F.struct("flag", "page", F.when(F.col("n") == 5, F.concat(F.lit("lost-"), "block.id")).otherwise(F.col("block.id")).alias("id"))
+    pages = rows.groupBy("run", "l_orderkey", "page").agg(F.sort_array(F.collect_list("block")).alias("blocks"), F.collect_list(ref).alias("refs"))
     one = F.struct(F.concat_ws("-", F.lit("p"), text("l_orderkey"), text("page")).alias("id"), F.col("page").alias("page_number"), none("double").alias("width"), none("double").alias("height"), none("double").alias("rotation"), F.struct(none("string").alias("source_text")).alias("metadata"), "blocks")
-    pages = pages.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("page", one.alias("p")))).alias("pages")).select("l_orderkey", F.transform("pages", lambda x: x["p"]).alias("pages"))
-    ids = F.sort_array(F.collect_list(F.when(F.col("n") == 5, F.concat(F.lit("lost-"), "block.id")).otherwise(F.col("block.id"))))
-    parts = rows.groupBy("l_orderkey", "flag").agg(ids.alias("block_ids"), F.min("page").alias("page_start"), F.max("page").alias("page_end"))
-    one = F.struct(F.concat_ws("-", F.lit("s"), text("l_orderkey"), "flag").alias("id"), F.col("flag").alias("title"), F.array("flag").alias("heading_path"), F.lit(1).alias("level"), "page_start", "page_end", "block_ids", none("string").alias("markdown"))
-    parts = parts.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(one)).alias("sections"))
+    whole = pages.groupBy("run", "l_orderkey").agg(F.sort_array(F.collect_list(F.struct("page", one.alias("p")))).alias("pages"), F.flatten(F.collect_list("refs")).alias("refs"))
+
+    def section(flag):
+        held = F.filter("refs", lambda r: r["flag"].eqNullSafe(flag))
+        return F.struct(F.concat_ws("-", F.lit("s"), text("l_orderkey"), flag).alias("id"), flag.alias("title"), F.array(flag).alias("heading_path"), F.lit(1).alias("level"), F.array_min(held["page"]).alias("page_start"), F.array_max(held["page"]).alias("page_end"), F.sort_array(held["id"]).alias("block_ids"), none("string").alias("markdown"))
+
+    whole = whole.select("run", F.transform("pages", lambda x: x["p"]).alias("pages"), F.sort_array(F.transform(F.array_distinct(F.col("refs.flag")), section)).alias("sections"))
     doc = F.struct(F.concat(F.lit("d-"), text("o_custkey")).alias("id"), none("string").alias("filename"), none("string").alias("sha256"), none("int").alias("page_count"))
-    run = F.struct(F.concat(F.lit("r-"), text("o_orderkey")).alias("id"), F.col("o_orderpriority").alias("profile_name"))
-    return o.join(pages, F.col("o_orderkey") == pages["l_orderkey"]).drop("l_orderkey").join(parts, F.col("o_orderkey") == parts["l_orderkey"]).select(doc.alias("document"), run.alias("parse_run"), "pages", "sections")
+    o = o.select("o_orderkey", "o_custkey", "o_orderpriority").repartition(parts, named_run("o_orderkey")).select(named_run("o_orderkey").alias("run"), doc.alias("document"), F.col("o_orderpriority").alias("profile_name"))
+    return whole.join(o, "run").select("document", F.struct(F.col("run").alias("id"), "profile_name").alias("parse_run"), "pages", "sections")
 
 
 def parse_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

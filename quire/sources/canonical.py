@@ -41,13 +41,36 @@ def graph(docs: DataFrame) -> DataFrame:
     """run, edge_id, type, source, target: documents to pages, pages to blocks, blocks to sections, sections to tables.
 
     Ids are made of the run and the ends, so loading twice gives the same rows. Section refs without a block are left out.
+    Documents that are loaded again go before anything is made of them. Then blocks meet the refs to them in one grouping by
+    run and block, which leaves each edge once; rows that no ref meets (of pages, of a null run or block) are grouped by both ends.
     """
-    run = F.col("parse_run.id").alias("run")
-    own = blocks(docs)
-    page = docs.select(run, F.col("document.id").alias("source"), F.explode("pages.id").alias("target"), F.lit("DOCUMENT_HAS_PAGE").alias("type"))
-    block = own.select("run", F.col("page_id").alias("source"), F.col("block_id").alias("target"), F.lit("PAGE_HAS_BLOCK").alias("type"))
-    held = section_blocks(docs).join(own.select("run", "block_id", F.col("type").alias("kind")), ["run", "block_id"])
-    part = held.select("run", F.col("block_id").alias("source"), F.col("section_id").alias("target"), F.lit("BLOCK_PART_OF_SECTION").alias("type"))
-    tables = held.filter("kind = 'table'").select("run", F.col("section_id").alias("source"), F.col("block_id").alias("target"), F.lit("SECTION_HAS_TABLE").alias("type"))
-    edges = page.unionByName(block).unionByName(part).unionByName(tables).dropDuplicates()
+    c, page_end, block_end, ref_end = F.col, F.lit(0), F.lit(1), F.lit(2)
+    held = lambda rows, kind: F.coalesce(rows, F.array().cast(f"array<{kind}>"))
+    blocks_of = lambda p: held(F.transform(p["blocks"], lambda b: F.struct(b["id"].alias("id"), b["page_id"].alias("page_id"), (b["type"] == "table").alias("is_table"))), "struct<id:string,page_id:string,is_table:boolean>")
+    loaded = docs.select(
+        c("parse_run.id").alias("run"), c("document.id").alias("doc"), c("pages.id").alias("pages"), F.flatten(F.transform("pages", blocks_of)).alias("blocks"),
+        F.transform("sections", lambda s: F.struct(s["id"].alias("id"), held(s["block_ids"], "string").alias("block_ids"))).alias("sections"),
+    ).distinct()
+
+    def end(kind, target, other, is_table=F.lit(False)):
+        return F.struct(kind.alias("kind"), target.alias("target"), other.alias("other"), is_table.alias("is_table"))
+
+    of_pages = F.transform("pages", lambda p: end(page_end, p, c("doc")))
+    of_blocks = F.transform("blocks", lambda b: end(block_end, b["id"], b["page_id"], F.coalesce(b["is_table"], F.lit(False))))
+    of_refs = F.flatten(F.transform("sections", lambda s: F.transform(s["block_ids"], lambda b: end(ref_end, b, s["id"]))))
+    rows = loaded.select("run", F.explode(F.concat(*[held(x, "struct<kind:int,target:string,other:string,is_table:boolean>") for x in (of_pages, of_blocks, of_refs)])).alias("end")).select("run", "end.*")
+    apart = (c("kind") == page_end) | c("run").isNull() | c("target").isNull()
+    rows = rows.filter(~(apart & (c("kind") == ref_end))).withColumns({"of_page": c("kind") == page_end, "apart": F.when(apart, c("other"))})
+    ends = F.collect_set(F.struct("kind", "other")).alias("ends")
+    met = rows.groupBy("run", "of_page", "target", "apart").agg(ends, F.max(c("kind") == block_end).alias("there"), F.max("is_table").alias("is_table"))
+
+    def edge(name, source, target):
+        return F.struct(F.lit(name).alias("type"), source.alias("source"), target.alias("target"))
+
+    part = lambda e: edge("BLOCK_PART_OF_SECTION", c("target"), e["other"])
+    found = lambda e: (
+        F.when(e["kind"] == page_end, F.array(edge("DOCUMENT_HAS_PAGE", e["other"], c("target")))).when(e["kind"] == block_end, F.array(edge("PAGE_HAS_BLOCK", e["other"], c("target"))))
+        .when(c("there") & c("is_table"), F.array(part(e), edge("SECTION_HAS_TABLE", e["other"], c("target")))).when(c("there"), F.array(part(e))).otherwise(F.array().cast("array<struct<type:string,source:string,target:string>>"))
+    )
+    edges = met.select("run", F.explode(F.flatten(F.transform("ends", found))).alias("edge")).select("run", "edge.*")
     return edges.select("run", F.concat_ws(":", "run", F.lit("edge"), "type", "source", "target").alias("edge_id"), "type", "source", "target")

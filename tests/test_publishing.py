@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import clean, editing, refs, runs, sectionize, segments, tree, wiki
+from quire.plans import publishing
 from quire.sources import stored
 from quire.streaming import edges, fragments
 
@@ -245,3 +246,11 @@ def test_what_is_written_on_the_way_is_deleted(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "shared_dir", lambda s: str(tmp_path))
     found = tree.nested_set(spark.createDataFrame(TREE, NODES))
     assert found.count() == 5 and len(list(tmp_path.iterdir())) == 1
+
+
+def test_parse_documents_are_dealt_once(spark):
+    """Lines and orders go to their runs; pages, documents and edges are made there, loaded once or twice."""
+    for name in ("parse_graph", "parse_pages"):
+        plan = publishing.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if " Exchange " in line]
+        assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)
