@@ -43,21 +43,58 @@ def edited_pages(pages: DataFrame, edits: DataFrame, spans: DataFrame) -> DataFr
     return rows.join(owners, ["doc", "page_no"], "left").withColumn("owners", F.coalesce("owners", F.array().cast("array<string>")))
 
 
+#: Pages of a cell, and of the widest section that is built in one.
+CELL = 64
+
+#: Rows of a broadcast side at most; each holds a name and a few numbers.
+BROADCAST_ROWS = 500_000
+
+
+def _in_cells(sections: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc, id, overlaps and own, the pages of each section as `clean.lined` gives them: sections (doc, id, page_start, page_end, overlaps) of CELL pages at most.
+
+    A section lies in the cell of its first page. A page goes to its own cell, and to the one before if a section there
+    reaches it; so a text is dealt once, however many sections it lies in, and all else is done in the cell.
+    """
+    spark, page = sections.sparkSession, F.col("page_no")
+    cell = lambda c: F.floor(c / CELL)
+    placed = sections.withColumn("cell", cell(F.col("page_start")))
+    reach = placed.groupBy("doc", "cell").agg(F.max("page_end").alias("reach"))
+    reach = segments.settle(reach.select("doc", "cell", "reach", F.explode(F.sequence("cell", cell(F.col("reach")))).alias("at")), "reach")
+    n = reach.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * CELL // segments.ROWS)
+    texts = pages.withColumn("at", cell(page)).join(F.broadcast(reach) if n <= BROADCAST_ROWS else reach, ["doc", "at"]).filter(page <= F.col("reach")).select("doc", "cell", "page_no", "markdown")
+    rows = texts.unionByName(placed.select("doc", "cell", F.struct("id", "page_start", "page_end", "overlaps").alias("section")), allowMissingColumns=True).repartition(parts, "doc", "cell")
+    lines = clean.lined(rows, "doc", "cell", "page_no", "section")
+    own = F.array_sort(F.collect_list(F.when(page.isNotNull(), F.struct("page_no", "lines", "varying", "signed", "forms"))))
+    cells = lines.groupBy("doc", "cell").agg(own.alias("pages"), F.collect_list("section").alias("sections"))
+    held = lambda s: F.filter("pages", lambda p: (p["page_no"] >= s["page_start"]) & (p["page_no"] <= s["page_end"]))
+    each = F.explode(F.transform("sections", lambda s: F.struct(s["id"].alias("id"), s["overlaps"].alias("overlaps"), held(s).alias("own"))))
+    return cells.select("doc", each.alias("s")).select("doc", "s.*").filter(F.size("own") > 0)
+
+
 @segments.tidied
 def rebuilt(sections: DataFrame, pages: DataFrame, fraction: float = 0.30) -> DataFrame:
     """doc, id, markdown and overlaps of sections (doc, id, page_start, page_end, lft, rgt) built anew from pages (doc, page_no, markdown).
 
     Each section's pages are cleaned as a text of their own, blank ones passed over, the others joined by an empty
     line, and table separators repaired. overlaps are sections of the same pages that are no kin (ids, sorted).
-    Sections without a page range, or without any page in it, are left out.
+    Sections without a page range, or without any page in it, are left out. Wide sections, where there are any, are cleaned
+    page by page and then put together.
     """
-    ranged = sections.filter("page_start > 0 and page_end > 0").select("doc", "id", "page_start", "page_end")
-    covers = refs.covering(sections, pages.select("doc", F.col("page_no").alias("page"))).select("doc", "id", F.col("page").alias("page_no"))
-    kept = clean.cleaned_spans(covers, pages, fraction)
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("markdown") != "", F.struct("page_no", "markdown")))), lambda x: x["markdown"]), "\n\n")
-    built = lint.repaired(kept.groupBy("doc", "id").agg(body.alias("markdown")), ["doc", "id"])
     meets = refs.overlapping(sections).groupBy("doc", "id").agg(F.array_sort(F.collect_set("other")).alias("overlaps"))
-    return ranged.select("doc", "id").join(built, ["doc", "id"]).join(meets, ["doc", "id"], "left").withColumn("overlaps", F.coalesce("overlaps", F.array().cast("array<string>")))
+    ranged = sections.filter("doc is not null and id is not null and page_start > 0 and page_end >= page_start").select("doc", "id", "page_start", "page_end").join(meets, ["doc", "id"], "left")
+    ranged = segments.settle(ranged.withColumn("overlaps", F.coalesce("overlaps", F.array().cast("array<string>"))), "ranged")
+    is_wide = F.col("page_end") - F.col("page_start") >= CELL
+    kept = clean.cleaned_together(_in_cells(ranged.filter(~is_wide), pages), ["doc", "id", "overlaps"], fraction)
+    texts = kept.select("doc", "id", "overlaps", F.array_join(F.filter("texts", lambda x: x != ""), "\n\n").alias("markdown"))
+    wide = ranged.filter(is_wide)
+    if not wide.isEmpty():
+        covers = refs.covering(wide.withColumn("lft", F.lit(0)), pages.select("doc", F.col("page_no").alias("page"))).select("doc", "id", F.col("page").alias("page_no"))
+        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("markdown") != "", F.struct("page_no", "markdown")))), lambda x: x["markdown"]), "\n\n")
+        built = clean.cleaned_spans(covers, pages, fraction).groupBy("doc", "id").agg(body.alias("markdown"))
+        texts = texts.unionByName(built.join(wide.select("doc", "id", "overlaps"), ["doc", "id"]))
+    return lint.repaired(texts, ["doc", "id", "overlaps"]).select("doc", "id", "markdown", "overlaps")
 
 
 def approved(documents: DataFrame, edges: DataFrame, chosen: DataFrame, sections: DataFrame, spans: DataFrame, page_counts: DataFrame) -> tuple[DataFrame, DataFrame]:

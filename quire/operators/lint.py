@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import segments
 
 #: Issues reported per text.
 MOST = 8
@@ -65,19 +64,20 @@ def labels(found: DataFrame, keys: list[str]) -> DataFrame:
 def repaired(texts: DataFrame, keys: list[str], markdown: str = "markdown") -> DataFrame:
     """Texts with a separator row after the header of each block of two rows or more that lacks one.
 
-    The texts are written, for they are read twice: for their pipe lines, and to be put together anew where one lacks a row.
+    Within each text, so none is dealt or written: the lines between two fences are a stretch, and every second one is inside.
+    Whether a line is such a header follows from it and its neighbours. Each step is a projection of its own.
     """
-    texts = segments.settle(texts.select(*keys, F.coalesce(markdown, F.lit("")).alias(markdown)), "texts")
-    heads = table_rows(marked_lines(texts, keys, markdown), keys).filter((F.col("at") == 0) & (F.col("rows") >= 2) & ~F.col("has_separator"))
-    extra = F.array_sort(F.collect_list(F.struct("line_no", F.concat(F.lit("|"), F.expr("repeat('---|', cells)")).alias("row"))))
-    held = heads.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(extra.alias("__extra"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    rows = texts.join(held, same, "left").withColumn("__lines", F.when(F.col("__extra").isNotNull(), F.split(markdown, "\n", -1)))
-    # the lines up to a header follow those up to the one before; the last lines follow all
-    start = lambda k: F.coalesce(F.get("__extra", k - 1)["line_no"] + 2, F.lit(1))
-    parts = F.transform("__extra", lambda e, k: F.array_join(F.array_append(F.slice("__lines", start(k), e["line_no"] + 2 - start(k)), e["row"]), "\n"))
-    rest = F.array_join(F.slice("__lines", start(F.size("__extra")), F.lit(2**30)), "\n")
-    whole = F.array_join(F.array_append(parts, rest), "\n")
-    return rows.select(*keys, F.when(F.col("__extra").isNull(), F.col(markdown)).otherwise(whole).alias(markdown))
+    rows = texts.select(*keys, F.coalesce(markdown, F.lit("")).alias(markdown))
+    rows = rows.withColumn("__lines", F.when(F.contains(markdown, F.lit("|")), F.split(markdown, "\n", -1)))
+    fence = lambda x: (F.contains(x, F.lit("```")) | F.contains(x, F.lit("~~~"))) & x.rlike(T.FENCE)
+    rows = rows.withColumn("__fences", F.array_compact(F.transform("__lines", lambda x, i: F.when(fence(x), i))))
+    # a stretch starts at its fence, which is no pipe line
+    start, end = lambda k: F.coalesce(F.get("__fences", k - 1), F.lit(0)), lambda k: F.coalesce(F.get("__fences", k), F.size("__lines"))
+    stretch = lambda k: F.slice("__lines", start(k) + 1, end(k) - start(k))
+    row = lambda k: F.transform(stretch(k), lambda x: (k % 2 == 0) & F.contains(x, F.lit("|")) & T.is_pipe_line(x))
+    rows = rows.withColumn("__rows", F.flatten(F.transform(F.sequence(F.lit(0), F.size("__fences")), row)))
+    at = lambda i: F.coalesce(F.get("__rows", i), F.lit(False))
+    bare = lambda i: at(i) & ~at(i - 1) & at(i + 1) & ~F.get("__lines", i + 1).rlike(T.SEPARATOR)
+    rows = rows.withColumn("__bare", F.transform("__lines", lambda _, i: bare(i)))
+    whole = F.array_join(F.transform("__lines", lambda x, i: F.when(F.get("__bare", i), F.concat(x, F.lit("\n|"), F.repeat(F.lit("---|"), T.cell_count(x)))).otherwise(x)), "\n")
+    return rows.select(*keys, F.when(F.array_contains("__bare", True), whole).otherwise(F.col(markdown)).alias(markdown))

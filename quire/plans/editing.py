@@ -86,7 +86,7 @@ def rebuilt_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections built from the whole texts of their pages, each with a line that all have, and some with a table without a separator."""
     table = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\n|k"), F.col("doc_id").cast("string"), F.lit("|b|\n|"), F.col("doc_id").cast("string"), F.lit("|2|"))).otherwise("")
     text = F.concat("truth", F.lit("\nCommon line"), table, F.lit("\nPage 3 of 9"))
-    p = S.pages(spark, sf_dir).select("doc", "page_no", F.when(F.col("doc_id") % 5 != 0, text).alias("markdown"))
+    p = S.page_texts(spark, sf_dir).select("doc", "page_no", F.when(F.col("doc_id") % 5 != 0, text).alias("markdown"))
     found = editing.rebuilt(S.spans(spark, sf_dir), p)
     return found.select("doc", "id", F.md5("markdown").alias("digest"), F.array_join("overlaps", ",").alias("shared_with"))
 

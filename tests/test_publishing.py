@@ -254,3 +254,66 @@ def test_parse_documents_are_dealt_once(spark):
         plan = publishing.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         dealt = [line for line in plan.splitlines() if " Exchange " in line]
         assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)
+
+
+def _with_separators(text):
+    lines, inside, out = text.split("\n"), False, []
+    inner = []
+    for x in lines:
+        fence = x.strip().startswith(("```", "~~~"))
+        inside ^= fence
+        inner.append(inside or fence)
+    row = [x.strip().startswith("|") and not i for x, i in zip(lines, inner)]
+    for i, x in enumerate(lines):
+        out.append(x)
+        if row[i] and not (i and row[i - 1]) and i + 1 < len(lines) and row[i + 1] and "-" not in lines[i + 1]:
+            out.append("|" + "---|" * x.count("|", 1))
+    return "\n".join(out)
+
+
+def test_sections_are_built_of_whole_pages(spark):
+    """Sections of one page to all pages, over the ends of cells, with pages that are missing, blank or null, against pages cleaned one by one."""
+    r = random.Random(11)
+    parts = ["Running head", "*Foot*  line", "Page 3 of 9", "|prepared by x|approved by y|", "|---|", "|k|b|", "|1|2|", "```", "~~~", "", "Some words", "Ver: 3", *[f"Seldom {i}" for i in range(12)]]
+    pages = [(d, p, r.choice([None, ""]) if p % 9 == 0 else "\n".join([f"own {p}", *r.choices(parts, k=r.randint(0, 9))])) for d, n in (("a", 300), ("b", 70), (None, 5)) for p in range(1, n + 1) if p % 31]
+    held, n = [], {"a": 300, "b": 70, None: 5}
+    for i in range(90):
+        d = r.choice(["a", "a", "a", "b", None])
+        first, width = r.randint(1, n[d]), r.choice([1, 2, 3, 7, 40, 63, 64, 65, 130, 400])
+        held.append((d, f"s{i}", first, first + width - 1, 2 * i, 2 * i + 1))
+    held += [("a", "at31", 31, 31, 200, 201), ("a", "none", 0, 3, 202, 203), ("a", "back", 9, 8, 204, 205), ("a", "null", None, None, 206, 207), ("a", "past", 301, 320, 208, 209), ("a", None, 1, 3, 210, 211), ("c", "far", 1, 3, 0, 1)]
+    sections = spark.createDataFrame(held, "doc string, id string, page_start bigint, page_end bigint, lft bigint, rgt bigint")
+    texts = spark.createDataFrame(pages, "doc string, page_no bigint, markdown string").repartition(5)
+    covers = [(d, i, p) for d, i, a, b, *_ in held for q, p, _ in pages if None not in (d, i, a) and q == d and 0 < a <= p <= b]
+    kept = clean.cleaned_spans(spark.createDataFrame(covers, "doc string, id string, page_no bigint"), texts).collect()
+    want = {}
+    for x in sorted(kept, key=lambda x: x["page_no"]):
+        want.setdefault((x["doc"], x["id"]), []).append(x["markdown"])
+    want = {k: _with_separators("\n\n".join(filter(None, v))) for k, v in want.items()}
+    meets = {(d, i): sorted(j for e, j, c, f, *_ in held if e == d and j and j != i and 0 < (c or 0) <= f and a <= f and c <= b) for d, i, a, b, *_ in held if (d, i) in want}
+    got = editing.rebuilt(sections, texts).collect()
+    assert len(got) == len(want) > 60 and {(x["doc"], x["id"]): x["markdown"] for x in got} == want
+    assert {(x["doc"], x["id"]): x["overlaps"] for x in got} == meets
+    assert {b - a >= editing.CELL for d, i, a, b, *_ in held if (d, i) in want} == {True, False}
+    assert any("|---|---|" in text for text in want.values())
+
+
+def test_texts_of_sections_are_dealt_once(spark, tmp_path, monkeypatch):
+    """Pages go to the cells of their sections; no text is written, and none is dealt again to be cleaned or repaired."""
+    monkeypatch.setattr(segments, "shared_dir", lambda spark: str(tmp_path))
+    r = random.Random(5)
+    pages = spark.createDataFrame([("d", p, "".join(r.choices("abcdefgh \n|", k=5000))) for p in range(1, 201)], "doc string, page_no bigint, markdown string")
+    sections = spark.createDataFrame([("d", f"s{a}", a, a + 3, a, a + 1) for a in range(1, 200, 2)], "doc string, id string, page_start bigint, page_end bigint, lft bigint, rgt bigint")
+    found = editing.rebuilt(sections, pages)
+    dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if " Exchange " in line]
+    assert len(dealt) == 1 and "REPARTITION_BY_NUM" in dealt[0]
+    assert found.count() == 100 and sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 100_000
+
+
+def test_forms_that_recur_are_looked_up(spark):
+    """Thousands of lines that recur on three pages go, whatever stands between them in order; those on two stay."""
+    often, seldom = [f"line {i}" for i in range(0, 3000, 2)], [f"line {i}" for i in range(1, 3000, 2)]
+    pages = spark.createDataFrame([("d", p, "\n".join(often + (seldom if p < 3 else ["end"]))) for p in (1, 2, 3)], "doc string, page_no bigint, markdown string")
+    sections = spark.createDataFrame([("d", "s", 1, 3, 1, 2), ("d", "t", 1, 2, 3, 4)], "doc string, id string, page_start bigint, page_end bigint, lft bigint, rgt bigint")
+    got = {x["id"]: x["markdown"] for x in editing.rebuilt(sections, pages).collect()}
+    assert got == {"s": "\n\n".join(["\n".join(seldom)] * 2 + ["end"]), "t": "\n\n".join(["\n".join(often + seldom)] * 2)}
