@@ -138,26 +138,35 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     named_run = lambda key: F.concat(F.lit("r-"), text(key))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-li.count() // _LINES))
     li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus").repartition(parts, named_run("l_orderkey"))
-    first = F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")).alias("first")
-    li = li.filter("l_orderkey is not null").groupBy(named_run("l_orderkey").alias("run"), "l_orderkey", "l_linenumber").agg(first).select("run", "l_orderkey", "l_linenumber", "first.*")
-    page, n = F.expr("cast((l_linenumber - 1) div 2 + 1 as int)"), F.col("l_linenumber").cast("int")
-    kind, named = F.when(F.col("l_linestatus") == "F", "table").otherwise("paragraph"), F.concat(F.lit("part "), text("l_partkey"))
-    block = F.struct(
-        F.concat_ws("-", F.lit("b"), text("l_orderkey"), text("l_linenumber")).alias("id"), F.concat_ws("-", F.lit("p"), text("l_orderkey"), page.cast("string")).alias("page_id"), kind.alias("type"), named.alias("text"),
-        F.when(F.col("l_quantity") > 25, F.concat(F.lit("**"), named, F.lit("** "))).otherwise(" ").alias("markdown"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("array<double>").alias("bbox"), F.lit(None).cast("double").alias("confidence"), (-n).alias("reading_order"),
-    )
-    rows = li.select("run", "l_orderkey", page.alias("page"), F.col("l_returnflag").alias("flag"), n.alias("n"), block.alias("block"))
-    none = lambda t: F.lit(None).cast(t)
-    ref = F.struct("flag", "page", F.when(F.col("n") == 5, F.concat(F.lit("lost-"), "block.id")).otherwise(F.col("block.id")).alias("id"))
-    pages = rows.groupBy("run", "l_orderkey", "page").agg(F.sort_array(F.collect_list("block")).alias("blocks"), F.collect_list(ref).alias("refs"))
-    one = F.struct(F.concat_ws("-", F.lit("p"), text("l_orderkey"), text("page")).alias("id"), F.col("page").alias("page_number"), none("double").alias("width"), none("double").alias("height"), none("double").alias("rotation"), F.struct(none("string").alias("source_text")).alias("metadata"), "blocks")
-    whole = pages.groupBy("run", "l_orderkey").agg(F.sort_array(F.collect_list(F.struct("page", one.alias("p")))).alias("pages"), F.flatten(F.collect_list("refs")).alias("refs"))
+    # in order, the first line of a number is the least one, and the lines of a page follow each other: numbers 2k - 1 and 2k, and 0 on the first
+    held = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")))
+    rows = li.filter("l_orderkey is not null").groupBy("l_orderkey", named_run("l_orderkey").alias("run")).agg(held.alias("held"))
+    rows = rows.select("l_orderkey", "run", F.filter("held", lambda x, i: (i == 0) | ~x["l_linenumber"].eqNullSafe(F.get("held", i - 1)["l_linenumber"])).alias("held"))
+    none, number = lambda t: F.lit(None).cast(t), lambda c: c.cast("string")
+
+    def line(x):
+        page, n, named = F.call_function("div", x["l_linenumber"] - 1, F.lit(2)).cast("int") + 1, x["l_linenumber"].cast("int"), F.concat(F.lit("part "), number(x["l_partkey"]))
+        block = F.struct(
+            F.concat_ws("-", F.lit("b"), text("l_orderkey"), number(x["l_linenumber"])).alias("id"), F.concat_ws("-", F.lit("p"), text("l_orderkey"), number(page)).alias("page_id"), F.when(x["l_linestatus"] == "F", "table").otherwise("paragraph").alias("type"), named.alias("text"),
+            F.when(x["l_quantity"] > 25, F.concat(F.lit("**"), named, F.lit("** "))).otherwise(" ").alias("markdown"), none("int").alias("level"), none("array<double>").alias("bbox"), none("double").alias("confidence"), (-n).alias("reading_order"),
+        )
+        return F.struct(page.alias("page"), x["l_returnflag"].alias("flag"), n.alias("n"), block.alias("block"))
+
+    rows = rows.select("l_orderkey", "run", F.transform("held", line).alias("lines"))
+    starts = F.filter(F.transform("lines", lambda x, i: F.when((i == 0) | ~x["page"].eqNullSafe(F.get("lines", i - 1)["page"]), i)), lambda i: i.isNotNull())
+    rows = rows.select("l_orderkey", "run", "lines", starts.alias("starts"))
+
+    def page(i):
+        first = F.get("lines", i)
+        blocks = F.sort_array(F.filter(F.slice("lines", i + 1, F.lit(3)), lambda x: x["page"].eqNullSafe(first["page"]))["block"])
+        return F.struct(first["block"]["page_id"].alias("id"), first["page"].alias("page_number"), none("double").alias("width"), none("double").alias("height"), none("double").alias("rotation"), F.struct(none("string").alias("source_text")).alias("metadata"), blocks.alias("blocks"))
 
     def section(flag):
-        held = F.filter("refs", lambda r: r["flag"].eqNullSafe(flag))
-        return F.struct(F.concat_ws("-", F.lit("s"), text("l_orderkey"), flag).alias("id"), flag.alias("title"), F.array(flag).alias("heading_path"), F.lit(1).alias("level"), F.array_min(held["page"]).alias("page_start"), F.array_max(held["page"]).alias("page_end"), F.sort_array(held["id"]).alias("block_ids"), none("string").alias("markdown"))
+        held = F.filter("lines", lambda x: x["flag"].eqNullSafe(flag))
+        ids = F.sort_array(F.transform(held, lambda x: F.when(x["n"] == 5, F.concat(F.lit("lost-"), x["block"]["id"])).otherwise(x["block"]["id"])))
+        return F.struct(F.concat_ws("-", F.lit("s"), text("l_orderkey"), flag).alias("id"), flag.alias("title"), F.array(flag).alias("heading_path"), F.lit(1).alias("level"), F.array_min(held["page"]).alias("page_start"), F.array_max(held["page"]).alias("page_end"), ids.alias("block_ids"), none("string").alias("markdown"))
 
-    whole = whole.select("run", F.transform("pages", lambda x: x["p"]).alias("pages"), F.sort_array(F.transform(F.array_distinct(F.col("refs.flag")), section)).alias("sections"))
+    whole = rows.select("run", F.transform("starts", page).alias("pages"), F.sort_array(F.transform(F.array_distinct(F.col("lines.flag")), section)).alias("sections"))
     doc = F.struct(F.concat(F.lit("d-"), text("o_custkey")).alias("id"), none("string").alias("filename"), none("string").alias("sha256"), none("int").alias("page_count"))
     o = o.select("o_orderkey", "o_custkey", "o_orderpriority").repartition(parts, named_run("o_orderkey")).select(named_run("o_orderkey").alias("run"), doc.alias("document"), F.col("o_orderpriority").alias("profile_name"))
     return whole.join(o, "run").select("document", F.struct(F.col("run").alias("id"), "profile_name").alias("parse_run"), "pages", "sections")
